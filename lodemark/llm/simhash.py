@@ -101,6 +101,11 @@ def half_keys(prints: DataFrame) -> DataFrame:
     return prints.mapInArrow(run, "key long, fp long")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; on unsigned values, as the count of a negative number is that of its magnitude."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _links(fp: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of one key's fingerprints under the distance; as many pairs as it takes."""
     fp = np.unique(fp)
@@ -108,7 +113,7 @@ def _links(fp: np.ndarray) -> list[tuple[int, int]]:
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):  # breadth first; each fingerprint is linked once
-            near = np.bitwise_count(left[:, None] ^ front[None, :64]) <= RADIUS
+            near = differing(left[:, None], front[None, :64]) <= RADIUS
             hit = near.any(axis=1)
             out += zip(left[hit].tolist(), front[near[hit].argmax(axis=1)].tolist(), strict=True)
             front = np.concatenate([front[64:], left[hit]])
@@ -134,7 +139,7 @@ def _meet(batches):
         # Pairs are by far the most common meeting: they are verified all at once.
         inner = (ends - cuts == 2) & (cuts > 0) & (ends < len(key))
         two = cuts[inner]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS
+        near = differing(fp[two], fp[two + 1]) <= RADIUS
         pairs += zip(fp[two[near]].tolist(), fp[two[near] + 1].tolist(), strict=True)
         for c, e in zip(*(x[(ends - cuts > 2) | (cuts == 0) | (ends == len(key))].tolist() for x in (cuts, ends)), strict=True):
             if key[c] != held_key:
