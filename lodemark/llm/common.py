@@ -6,11 +6,13 @@ whole texts and holds one bounded slice of a batch at a time.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_model(spark: SparkSession, model):
+    """A function that gives the model on a worker. It travels by value, class and all."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)  # noqa: S301  made three lines above
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the fold that decides what may be learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0)).cast("int")

@@ -2,11 +2,17 @@
 
 from .bpe import op10_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .langid import op1_language_id
 from .packing import op7_packing
+from .quality import op4_quality
 from .simhash import op2_simhash_near_dedup
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
