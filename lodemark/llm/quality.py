@@ -203,18 +203,34 @@ def train(spark: SparkSession, sf_dir: str) -> Model | None:
     return fit(texts, labels) if len(labels) else None
 
 
-def score(documents: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. keep: columns of documents to carry along."""
+def _probabilities(texts: pa.Array, own: Model | None) -> np.ndarray:
+    if own is None:
+        return np.full(len(texts), 0.5)
+    x = (pooled(texts, own.context, own.vectors) - own.mean) / own.scale
+    return _logistic(_forward(x, own.layers)[1] / own.temperature)
+
+
+def accepted(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of documents, all columns, whose score is 0.5 or more."""
+    shared = broadcast_model(documents.sparkSession, model)
+    place = documents.columns.index("text")
+
+    def run(batches):
+        own = shared()
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_probabilities(batch.column(place), own) >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def score(documents: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row."""
     shared = broadcast_model(documents.sparkSession, model)  # bounded by CONTEXT_WORDS
 
     def run(batches):
         own = shared()
         for batch in slices(batches):
-            if own is None:
-                p = np.full(batch.num_rows, 0.5)
-            else:
-                x = (pooled(batch.column(1), own.context, own.vectors) - own.mean) / own.scale
-                p = _logistic(_forward(x, own.layers)[1] / own.temperature)
+            p = _probabilities(batch.column(1), own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_remainder("doc_id", FOLDS) == HELD).alias("held_out"))

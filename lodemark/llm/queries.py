@@ -5,7 +5,10 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op1_language_id
 from .packing import op7_packing
 from .quality import op4_quality
+from .secrets import op6_secret_scan
 from .simhash import op2_simhash_near_dedup
+from .sketch import op9_document_fingerprints
+from .substring_dedup import op5_substring_dedup
 from .toxicity import op3_toxicity
 
 QUERIES = {
@@ -13,8 +16,11 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
