@@ -11,7 +11,7 @@ Sentences inherit the label of their text, so training is by multiple instances:
 that is, all words of a clean text are not. The start is by the letter runs that toxic texts have and
 clean ones lack; then the machine is fitted and each toxic text's best word chosen anew, ROUNDS times,
 the hardest words of clean texts always among the negatives. A logistic unit over a text's two best words
-calibrates the score, on texts kept out of the machine's training.
+and the number of its suspect words calibrates the score, on texts kept out of the machine's training.
 
 A run of three or more single characters between spaces is read as a word too ("i d i o t"). A word of
 more than WIDTH characters is read in overlapping windows, all of it.
@@ -48,6 +48,8 @@ WIDTH = 16
 ROUNDS = 4
 KEPT_WORDS = 500_000
 LETTERS = 64
+#: Stands before and after a word, as a letter of its own.
+EDGE = "\x02"
 #: The score of a text without any letter triple.
 FLOOR = -2.0
 _SPACED = r"(?:^|\s)\S(?:\s\S){2,}(?:\s|$)"
@@ -55,7 +57,7 @@ _SPACED_RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
 def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes 1 .. 63 of letters, 0 of everything else, and the word lengths; words are lower case."""
+    """Codes 1 .. 62 of letters, 63 of a word's edge, 0 of everything else, and the word lengths; words are lower case."""
     joined = "".join(words)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
     plain = (points >= 97) & (points <= 122)
@@ -63,7 +65,7 @@ def letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for point in np.unique(points[points > 127]).tolist():
         if chr(point).isalpha():
             wide |= points == point
-    codes = np.where(plain, points - 96, np.where(wide, 27 + points % 37, 0))
+    codes = np.where(plain, points - 96, np.where(wide, 27 + points % 36, np.where(points == ord(EDGE), 63, 0)))
     return codes, np.fromiter(map(len, words), np.int64, len(words))
 
 
@@ -112,6 +114,7 @@ def scores(words: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
 
 
 def windows(word: str) -> list[str]:
+    word = EDGE + word.replace(EDGE, "") + EDGE
     if len(word) <= WIDTH:
         return [word]
     return [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
@@ -136,6 +139,14 @@ def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, offsets, distinct.to_pylist()
 
 
+def evidence(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per text: the two largest word values (FLOOR if there is none), and the logarithms of one plus the
+    words above zero and of ten plus all words."""
+    above = np.concatenate([[0], np.cumsum(values > 0)])
+    counts = above[offsets[1:]] - above[offsets[:-1]]
+    return np.column_stack([two_best(values, offsets), np.log1p(counts), np.log(np.diff(offsets) + 10.0)])
+
+
 def two_best(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per text the largest and second largest word value (FLOOR if there is none)."""
     out = np.full((len(offsets) - 1, 2), FLOOR)
@@ -166,9 +177,14 @@ class _Space:
 
     def __init__(self, landmarks: list[str]):
         self.n = len(landmarks)
-        self.table = np.zeros((LETTERS**3, self.n), np.float32)
+        # Only triples of a landmark have a row; all others share row 0, which stays zero.
+        self.numbers = np.unique(np.concatenate([np.zeros(1, np.int64), *(number[value > 0] for _, number, value in features(landmarks))]))
+        self.row = np.zeros(LETTERS**3, np.int32)
+        self.row[self.numbers] = np.arange(len(self.numbers))
+        self.row[0] = 0
+        self.table = np.zeros((len(self.numbers), self.n), np.float32)
         for block, number, value in features(landmarks):
-            np.add.at(self.table, (number, block[:, None]), value)
+            np.add.at(self.table, (self.row[number], block[:, None]), value)
         kernel = self.kernel(landmarks)
         values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
         self.root = vectors / np.sqrt(np.maximum(values, 1e-6))
@@ -176,15 +192,17 @@ class _Space:
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.n))
         for block, number, value in features(words):
-            for i in range(0, len(block), 256):
-                out[block[i : i + 256]] = np.einsum("wtl,wt->wl", self.table[number[i : i + 256]], value[i : i + 256], optimize=True)
+            for i in range(0, len(block), 64):
+                out[block[i : i + 64]] = np.einsum("wtl,wt->wl", self.table[self.row[number[i : i + 64]]], value[i : i + 64], optimize=True)
         return out
 
     def map(self, words: list[str]) -> np.ndarray:
         return self.kernel(words) @ self.root
 
     def collapse(self, w: np.ndarray) -> np.ndarray:
-        return self.table @ (self.root @ w)
+        out = np.zeros(LETTERS**3)
+        out[self.numbers] = self.table @ (self.root @ w)
+        return out
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -224,7 +242,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         p = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(2), float(np.log(p / (1 - p))) if len(labels) else -40.0)
+        return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(4), float(np.log(p / (1 - p))) if len(labels) else -40.0)
     rng = np.random.default_rng(11)
     codes, offsets, distinct = text_words(texts)
     # Windows stand for long words in training, too.
@@ -260,7 +278,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
             chosen += [x for x in ranked[:4] if value[x] > 0] or ranked[:1]
     kept = np.setdiff1d(np.arange(len(own)), learn) if len(learn) < len(own) else learn
     values = word_scores(distinct, weight, bias)[codes]
-    best = two_best(values, offsets)
+    best = evidence(values, offsets)
     slope, shift = _calibrate(best[kept], labels[kept])
     return Model(weight.astype(np.float32), bias, slope, shift)
 
@@ -268,13 +286,13 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton steps with a little shrinkage."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.array([2.0, 0.0, 0.0])
-    shrink = np.diag([0.05, 0.05, 0.01])
+    w = np.array([2.0] + [0.0] * x.shape[1])
+    shrink = np.diag([0.05] * x.shape[1] + [0.01])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + shrink, z.T @ (y - p) - shrink @ w)
         w = w + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
-    return w[:2], float(w[2])
+    return w[:-1], float(w[-1])
 
 
 def train(spark: SparkSession, sf_dir: str) -> Model:
@@ -298,7 +316,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             known.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
             table = np.concatenate([table, word_scores(fresh, own.weight, own.bias)])
             rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            best = two_best(table[rows][codes] if len(codes) else np.zeros(0), offsets)
+            best = evidence(table[rows][codes] if len(codes) else np.zeros(0), offsets)
             p = 1 / (1 + np.exp(-np.clip(best @ own.slope + own.shift, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
