@@ -35,7 +35,7 @@ CONTEXT_WORDS = 20_000
 LAGS = 3
 HIDDEN = 32
 EPOCHS = 150
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -101,8 +101,13 @@ class Model:
 BYTES, KINDS, NEXT = index_vectors(BUCKETS, 1), index_vectors(BUCKETS, 2), index_vectors(BUCKETS, 3)
 
 
-def word_vectors(words: pa.Array, context: pa.Array | None, vectors: np.ndarray) -> np.ndarray:
-    """The vectors of distinct words: character part, class part, context part (zero if unknown)."""
+def word_vectors(words: pa.Array, context: pa.Array | None, vectors: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """The vectors of distinct words, a block of words at a time."""
+    return np.concatenate([_word_vectors(words.slice(i, block), context, vectors) for i in range(0, len(words), block)])
+
+
+def _word_vectors(words: pa.Array, context: pa.Array | None, vectors: np.ndarray) -> np.ndarray:
+    """Character part, class part, context part (zero if unknown)."""
     by_byte, by_kind, offsets = _trigrams(words)
     root = np.sqrt(np.maximum(np.diff(offsets), 1))[:, None]
     parts = [_sums(BYTES, by_byte, offsets) / root, _sums(KINDS, by_kind, offsets) / root]
