@@ -6,6 +6,7 @@ whole texts and holds one bounded slice of a batch at a time.
 
 from __future__ import annotations
 
+import builtins
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +61,18 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kept_by_worker(key: tuple, make):
+    """What make() gives, once per Python worker: workers live on from task to task.
+
+    For memos only: results must not depend on what is in it.
+    """
+    kept = builtins.__dict__.setdefault("_lodemark_kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in order, cut so that each holds at most `most` text bytes or a single row."""
     for batch in batches:

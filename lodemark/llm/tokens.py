@@ -42,7 +42,8 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     base = coded.dictionary.to_pylist()
     # First units have no space: their codes are the even ones, the others' the odd ones.
     codes = 2 * codes + ~first
-    used, codes = np.unique(codes, return_inverse=True)
+    there = np.bincount(codes, minlength=2 * len(base)) > 0
+    used, codes = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
     units = [(" " + base[u >> 1]) if u & 1 else base[u >> 1] for u in used.tolist()]
     if not odd.any():
         return codes, offsets, units
@@ -61,28 +62,90 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), list(where)
 
 
+#: A unit of letters and marks is at most five matches of the pattern, each encoded by itself.
+_L, _P = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,!?;:&%$#*|()]+"
+_SIMPLE = re.compile(f"( ?{_L})(?:({_P})(?:(\n)({_L})({_P})?)?)?")
+
+
+def matches_of(unit: str) -> list[str]:
+    """The unit's matches of the split pattern, where that is plain to see; else the unit."""
+    if unit[1:].isalpha():
+        return [unit]
+    if unit[-1:] in ".," and unit[1:-1].isalpha() and max(unit) < "\u0250" and (unit[0] == " " or unit[0].isalpha()):
+        return [unit[:-1], unit[-1]]
+    m = _SIMPLE.fullmatch(unit)
+    return [g for g in m.groups() if g] if m else [unit]
+
+
+class _Ids:
+    """Ids of strings, as one flat array."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(strings, range(len(self.known), len(self.known) + len(strings)), strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings that are all known, and how many each has."""
+        which = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
+        sizes = self.ends[which + 1] - self.ends[which]
+        return self.flat[ragged_take(self.ends[which], sizes)], sizes
+
+
 class UnitEncoder:
-    """Encodes texts by their distinct units. Ids of at most `most` units are kept between calls."""
+    """Encodes texts by their distinct units, and those by their distinct matches. The ids of at most
+    `most` units and matches each are kept between calls."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 900_000):
         self.encode, self.most = encode, most
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.units, self.matches = _Ids(), _Ids()
+
+    def _learn(self, units: list[str]) -> None:
+        parts = [matches_of(u) for u in units]
+        pieces = [p for own in parts for p in own]
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.matches.known]
+        if len(self.matches.known) + len(fresh) > self.most:
+            self.matches = _Ids()
+            fresh = list(dict.fromkeys(pieces))
+        got = self.encode(fresh)
+        self.matches.add(fresh, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(g, np.uint32) for g in got)]), np.fromiter(map(len, got), np.int64, len(got)))
+        flat, sizes = self.matches.of(pieces)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])]
+        self.units.add(units, flat, np.diff(ends))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and offsets of each text in them."""
         codes, offsets, units = units_of(texts)
-        if len(self.known) + len(units) > self.most:
-            self.known, self.parts = {}, []
-        fresh = [u for u in units if u not in self.known]
-        for u, ids in zip(fresh, self.encode(fresh), strict=True):
-            self.known[u] = len(self.parts)
-            self.parts.append(np.array(ids, np.uint32))
-        own = [self.parts[self.known[u]] for u in units]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(own) else np.zeros(0, np.int64)
-        each = lengths[codes]
-        ids = flat[ragged_take(starts[codes], each)]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        return ids.astype(np.uint32), ends[offsets]
+        fresh = [u for u in units if u not in self.units.known]
+        if len(self.units.known) + len(fresh) > self.most:
+            self.units, fresh = _Ids(), units
+        self._learn(fresh)
+        by_unit, sizes = self.units.of(units)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        each = sizes[codes]
+        return by_unit[ragged_take(starts[codes], each)], np.concatenate([[0], np.cumsum(each)])[offsets]
+
+
+def joined(encode: Callable[[list[str]], list[list[int]]], newline: int, size: int = 256) -> Callable[[list[str]], list[np.ndarray]]:
+    """An encoder of many short strings at once, for libraries that are slow to call: strings without inner
+    white space are joined by line breaks, which the pattern keeps to themselves, and their ids cut there."""
+
+    def run(strings: list[str]) -> list[np.ndarray]:
+        plain = [k for k, s in enumerate(strings) if s[-1:].strip() and len(s.split()) == 1 and (s[0] == " " or s[0].strip()) and "\n" not in s]
+        out: list = [None] * len(strings)
+        groups = [plain[i : i + size] for i in range(0, len(plain), size)]
+        for group, ids in zip(groups, encode(["\n".join(strings[k] for k in g) for g in groups]), strict=True):
+            ids = np.asarray(ids, np.uint32)
+            cuts = np.flatnonzero(ids == newline)
+            for k, i, j in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                out[k] = ids[i:j]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, encode([strings[k] for k in rest]), strict=True):
+            out[k] = np.asarray(ids, np.uint32)
+        return out
+
+    return run
