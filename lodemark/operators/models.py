@@ -363,12 +363,12 @@ def choose(df: DataFrame, models: dict[str, Geometric], dep: str = "dep", dist:
     return min(models, key=lambda k: found[k])
 
 
-def ladder(df: DataFrame, label_type: str = "label_type", dep: str = "dep", dist: str = "truth_m") -> dict[str, Geometric]:
-    """Every geometric rung with both losses, over a frame that is read once."""
+def ladder(df: DataFrame, label_type: str = "label_type", dep: str = "dep", dist: str = "truth_m", losses: tuple[str, ...] = ("ols", "l1")) -> dict[str, Geometric]:
+    """Every geometric rung with the given losses, over a frame that is read once."""
     cached = df.select(dep, dist, label_type).persist()
     try:
         out = {}
-        for loss in ("ols", "l1"):
+        for loss in losses:
             for typed in (None, label_type):
                 mark = f"_{loss}" + "_by_type" * bool(typed)
                 out[f"C{mark}"] = fit_cotangent(cached, loss, typed, dep, dist)

@@ -139,14 +139,14 @@ def m11(spark, d):
 
 
 _GRID = "(SELECT unnest(range(0, 45)) AS k)"
-_BLINE = "(h / tan(radians(a)) - h * (pi() / 180) / power(sin(radians(a)), 2) * (greatest(dep, 0e0) - a))"
+_BLINE = "(hh / tan(radians(a)) - hh * (pi() / 180) / power(sin(radians(a)), 2) * (greatest(dep, 0e0) - a))"
 
 
 @query(
     "m12_m18_blend_profile",
-    f"""{WP}, g AS (SELECT 1e0 + 0.25e0 * k AS a FROM {_GRID}), s AS (SELECT a, sum({_X} * {_X}) / sum({_X} * ({_Y})) AS h FROM pov, g WHERE dep >= a AND {TRAIN} GROUP BY a),
-l AS (SELECT a, any_value(h) AS h, avg(power(least(greatest(CASE WHEN dep >= a THEN h / tan(radians(greatest(dep, 1e-9))) ELSE {_BLINE} END, 0e0), 50e0) - truth_m, 2)) AS loss FROM pov, s WHERE {TRAIN} GROUP BY a)
-SELECT a AS blend_deg, round(h, 6) AS height_m FROM l ORDER BY loss, a LIMIT 1""",
+    f"""{WP}, g AS (SELECT 1e0 + 0.25e0 * k AS a FROM {_GRID}), s AS (SELECT a, sum({_X} * {_X}) / sum({_X} * ({_Y})) AS hh FROM pov, g WHERE dep >= a AND {TRAIN} GROUP BY a),
+l AS (SELECT a, any_value(hh) AS hh, avg(power(least(greatest(CASE WHEN dep >= a THEN hh / tan(radians(greatest(dep, 1e-9))) ELSE {_BLINE} END, 0e0), 50e0) - truth_m, 2)) AS loss FROM pov, s WHERE {TRAIN} GROUP BY a)
+SELECT a AS blend_deg, round(hh, 6) AS height_m FROM l ORDER BY loss, a LIMIT 1""",
 )
 def m12(spark, d):
     m = models.fit_blend(with_angles(clicks(spark, d)).where(TRAIN), "ols")
@@ -156,13 +156,19 @@ def m12(spark, d):
 @query("m12_m14_m27_ladder")
 def m27(spark, d):
     view = with_angles(clicks(spark, d))
-    fits = models.ladder(view.where(TRAIN))
+    fits = models.ladder(view.where(TRAIN), losses=("ols",))
     test = view.where(f"NOT ({TRAIN})")
     errors = {k: F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")) for k, m in fits.items()}
     found = test.agg(*[F.percentile(e, 0.5).alias(k) for k, e in errors.items()]).first()
     return _rows(spark, [(k, m.form, m.height_m, m.angle_deg, round(found[k], 6)) for k, m in sorted(fits.items())], "rung string, form string, height_m double, angle_deg double, median_m double")
 
 
+@query("m12_l1_floor")
+def m12_l1(spark, d):
+    m = models.fit_floor(with_angles(clicks(spark, d)).where(TRAIN), "l1")
+    return _rows(spark, [(m.angle_deg, round(m.height_m, 6))], "dep_min_deg double, height_m double")
+
+
 @query("m13_isotonic")
 def m13(spark, d):
     m = models.fit_isotonic(with_angles(clicks(spark, d)))
