@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from lodemark.session import local_session
 
-    session = local_session(cores=min(8, os.cpu_count() or 4), memory="6g")
+    session = local_session(cores=min(8, os.cpu_count() or 4), memory="4g", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
