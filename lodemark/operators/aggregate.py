@@ -51,7 +51,7 @@ def within_slope(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
     slope = F.when(~flat, F.try_divide(F.col("sxy"), F.col("sxx")))
     left = F.col("syy") - slope * F.col("sxy")
     dof = F.greatest(F.col("n") - F.col("groups") - 1, F.lit(1))
-    return s.select("n", "groups", F.round(slope, 4).alias("slope"), F.round(F.sqrt(F.greatest(left, F.lit(0.0)) / dof / F.col("sxx")), 4).alias("se"))
+    return s.select("n", "groups", F.round(slope, 4).alias("slope"), F.round(F.when(~flat, F.sqrt(F.try_divide(F.greatest(left, F.lit(0.0)) / dof, F.col("sxx")))), 4).alias("se"))
 
 
 def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column, name: str = "median") -> DataFrame:
