@@ -56,23 +56,38 @@ def runs(df: DataFrame, by: list[str], order: list[Column], value: str) -> DataF
     return numbered.groupBy(*by, "run").agg(F.first(value).alias(value), F.min("_at").alias("start"), F.count(F.lit(1)).alias("length"))
 
 
+def nth_hash(df: DataFrame, column: str, n: int) -> str | None:
+    """The n-th (from 0) value of a column of hex hashes in order; None beyond the end.
+
+    Counts by the first four digits, at most 65,536, tell which rows it is among; only those are sorted.
+    """
+    head = F.substring(column, 1, 4)
+    counts = df.groupBy(head.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before = 0
+    for r in sorted(counts, key=lambda r: r["h"]):
+        if before + r["n"] > n:
+            return df.where(head == r["h"]).select(column).orderBy(column).offset(n - before).limit(1).first()[0]
+        before += r["n"]
+    return None
+
+
 def half_split(df: DataFrame, group: str, seed: int) -> DataFrame:
     """Every group falls whole into half A or B by the order of its hash."""
     keys = df.select(group).distinct()
-    n = keys.count()
     order = keys.select(group, md5_order(F.col(group), F.lit(seed)).alias("_o"))
-    cut = order.orderBy("_o", group).offset((n + 1) // 2).limit(1).first()
-    side = F.lit("A") if cut is None else F.when(F.struct("_o", group) < F.struct(F.lit(cut["_o"]).alias("_o"), F.lit(cut[group]).alias(group)), "A").otherwise("B")
+    cut = nth_hash(order, "_o", (keys.count() + 1) // 2)
+    side = F.lit("A") if cut is None else F.when(F.col("_o") < cut, "A").otherwise("B")
     return df.join(order.select(group, side.alias("half")), group)
 
 
 def exact_share(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
-    """round(n * share) rows are `train`, by the order of a hash of the keys; the rest `test`."""
-    n = df.count()
-    take = round(n * share)
+    """round(n * share) rows are `train`, by the order of a hash of the keys; the rest `test`.
+
+    Rows that share all keys share a hash and fall on one side together.
+    """
     order = df.select("*", md5_order(*[F.col(k) for k in keys], F.lit(seed)).alias("_o"))
-    cut = order.select("_o").orderBy("_o").offset(take).limit(1).first()
-    return order.select(*df.columns, (F.lit("train") if cut is None else F.when(F.col("_o") < cut[0], "train").otherwise("test")).alias("part"))
+    cut = nth_hash(order, "_o", round(df.count() * share))
+    return order.select(*df.columns, (F.lit("train") if cut is None else F.when(F.col("_o") < cut, "train").otherwise("test")).alias("part"))
 
 
 def proportional_sample(df: DataFrame, strata: list[str], keys: list[str], n: int, seed: int) -> DataFrame:
