@@ -6,7 +6,7 @@ a forward pass gives for all languages at once; a text's is the product over its
 probabilities are fitted by expectation maximisation over the same lattice (forward and backward), on at
 most TRAIN_ROWS rows of the training fold, a bounded sample by a hash of doc_id.
 
-Words are scored once per slice of a task, and tasks keep a bounded table of words they have scored, so
+Words are scored once per slice of a task, and workers keep a bounded table of words they have scored, so
 the cost follows the distinct words. Words of any length are scored whole.
 
 Defined results: null texts and texts without a letter get `und` and score 0; of equal scores the first
@@ -17,6 +17,7 @@ out); without any training row every text is `und`; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_model, id_remainder, read_table, segment_sums, slices, words_of
+from .common import broadcast_model, id_remainder, kept_by_worker, read_table, segment_sums, slices, words_of
 
 FOLDS = 5
 TRAIN_ROWS = 2000
@@ -38,8 +39,8 @@ START = "▁"
 SCALE = 8.0
 #: Probability of a character outside the vocabulary.
 UNKNOWN = 1e-7
-#: Words a task keeps scored.
-KEPT_WORDS = 500_000
+#: Words a worker keeps scored.
+KEPT_WORDS = 700_000
 
 
 @dataclass
@@ -59,25 +60,34 @@ def public_pieces(model_file: str) -> list[str]:
     return [p for p in map(model.id_to_piece, ids) if len(p) <= LONGEST]
 
 
+def with_beginnings(pieces: list[str]) -> dict[str, int]:
+    """The number of each piece, and -1 for every other beginning of one."""
+    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    return out | {p: k for k, p in enumerate(pieces)}
+
+
 class Lattice:
     """All pieces of a list of words as edges (word, start, end, piece)."""
 
     def __init__(self, pieces: dict[str, int], words: list[str]):
-        unknown = len(pieces)
+        """pieces: number of each piece, and -1 for what is only the beginning of one."""
+        unknown = max(pieces.values(), default=-1) + 1
         get = pieces.get
         word, start, end, piece = [], [], [], []
         for w, text in enumerate(words):
             text = START + text
             n = len(text)
             for i in range(n):
-                single = get(text[i], unknown)
+                single = get(text[i], -1)
                 word.append(w)
                 start.append(i)
                 end.append(i + 1)
-                piece.append(single)
+                piece.append(single if single >= 0 else unknown)
                 for j in range(i + 2, min(i + LONGEST, n) + 1):
                     found = get(text[i:j])
-                    if found is not None:
+                    if found is None:
+                        break  # no piece begins like this
+                    if found >= 0:
                         word.append(w)
                         start.append(i)
                         end.append(j)
@@ -149,7 +159,7 @@ class Lattice:
 def fit(texts: pa.Array, languages: np.ndarray, pieces: list[str]) -> Model:
     """texts and their languages -> piece probabilities by expectation maximisation."""
     names = sorted(set(languages.tolist()))
-    index = {p: k for k, p in enumerate(pieces)}
+    index = with_beginnings(pieces)
     codes, offsets, distinct = words_of(texts)
     which = np.repeat(np.searchsorted(names, languages), np.diff(offsets))
     weight = np.zeros((len(distinct), len(names)))
@@ -201,12 +211,12 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row; only `text` is looked at."""
     spark = documents.sparkSession
     shared = broadcast_model(spark, model)  # the vocabulary's size, whatever the input
+    name = uuid.uuid4().hex  # of the model, for the words that workers have scored with it
 
     def run(batches):
         own = shared()
-        index = {p: k for k, p in enumerate(own.pieces)} if own else {}
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(own.languages) if own else 1))
+        index = with_beginnings(own.pieces) if own else {}
+        memo = kept_by_worker(("langid", name), lambda: {"known": {}, "table": np.zeros((0, len(own.languages) if own else 1))})
         for batch in slices(batches):
             text = pc.fill_null(batch.column(1), "")
             if own is None:
@@ -214,8 +224,9 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             else:
                 codes, offsets, distinct = words_of(text)
                 words = distinct.to_pylist()
-                if len(known) + len(words) > KEPT_WORDS:
-                    known, table = {}, table[:0]
+                if len(memo["known"]) + len(words) > KEPT_WORDS:
+                    memo["known"], memo["table"] = {}, memo["table"][:0]
+                known, table = memo["known"], memo["table"]
                 fresh = [w for w in words if w not in known]
                 # Words of like length share a lattice, so that a long one costs no other anything.
                 fresh.sort(key=len)
@@ -227,7 +238,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
                     found.append(Lattice(index, block).forward(own.prob))
                     at += size
                 known.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-                table = np.concatenate(found)
+                table = memo["table"] = np.concatenate(found)
                 rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 sums = segment_sums(table[rows][codes], offsets)
                 share = _softmax(sums / own.temperature)
