@@ -2,11 +2,14 @@
 
 Every document is its ids and one end id. Whole windows of 2048 are cut off the front of a long document;
 what is left of it, and every shorter document, is routed to the context tier that it fits: 2048, 1024,
-512 or 256. Within a slice the longest tier is packed first and the gap of each window is filled from the
-shorter tiers, the largest piece that fits first; a gap that none fits takes a cut from the largest one.
-What is left for a task's last window leaves in sequences of a power of two, which need no padding.
+512 or 256. Each tier has a pool of its own and is packed into windows of its own size, the longest tier
+first. A window begins with the largest piece of its tier; its gap is filled from that pool and those of the
+shorter tiers, the largest piece that fits first. A gap that none fits takes a cut from the largest piece of
+the shorter tiers (of its own, if they are empty), and what is left of that is routed again. Tiers are packed
+after each slice; a piece whose window the slice cannot fill waits for the next. What is left at the end of a
+task leaves in sequences of a power of two, which need no padding and count to the tier that holds them.
 Sequences of a tier are dealt to step groups of STEP, heavy and light ones (by the sum of squared piece
-lengths) in turn, so that the steps of training take alike long.
+lengths) in turn, so that the steps of training take alike long; no group mixes tiers.
 
 Packing is a map over input partitions: nothing is shuffled, and a lost task packs its rows again in the
 same way. sequence_id is unique over the table: the task number above, a running number below.
@@ -41,42 +44,61 @@ SCHEMA = (
 )
 
 
-def tier_of(length: int) -> int:
-    """The shortest context tier that holds so many tokens."""
-    return next((t for t in reversed(TIERS) if length <= t), TIERS[0])
-
-
 class Packer:
-    """Packs pieces (length, key) into windows; hands out full windows and keeps the rest for the next call."""
+    """Packs pieces (document, start, length) into windows, tier by tier; keeps what fills none for the next call."""
 
     def __init__(self, window: int = WINDOW):
-        self.window = window
-        self.pool: list[tuple[int, int, int, int]] = []  # (length, order, document, start), sorted
+        self.tiers = (window, *(t for t in TIERS if t < window))
+        self.pools: dict[int, list[tuple[int, int, int, int]]] = {t: [] for t in self.tiers}  # (length, order, document, start), sorted
+        self.held = dict.fromkeys(self.tiers, 0)  # tokens in each pool
         self.order = 0
 
+    def documents(self) -> set[int]:
+        """The documents that have a piece in a pool."""
+        return {p[2] for pool in self.pools.values() for p in pool}
+
     def add(self, document: int, start: int, length: int) -> None:
         self.order += 1
-        insort(self.pool, (length, self.order, document, start))
+        tier = next(t for t in reversed(self.tiers) if length <= t)
+        insort(self.pools[tier], (length, self.order, document, start))
+        self.held[tier] += length
+
+    def _take(self, tier: int, at: int) -> tuple[int, int, int]:
+        length, _, document, start = self.pools[tier].pop(at)
+        self.held[tier] -= length
+        return document, start, length
+
+    def _window(self, room: int, tiers: tuple[int, ...]) -> list[tuple[int, int, int]]:
+        """A window of room tokens from the pools of tiers, which hold as many; begun with the largest piece."""
+        out = []
+        largest = next(t for t in tiers if self.pools[t])
+        if self.pools[largest][-1][0] <= room:
+            out.append(self._take(largest, -1))
+            room -= out[0][2]
+        while room:
+            for tier in tiers:
+                at = bisect_right(self.pools[tier], (room, self.order + 1, 0, 0)) - 1
+                if at >= 0:
+                    out.append(self._take(tier, at))
+                    room -= out[-1][2]
+                    break
+            else:  # none fits whole: what is left of the piece that is cut is routed again
+                cut = next(t for t in (*tiers[1:], tiers[0]) if self.pools[t])
+                document, start, length = self._take(cut, -1)
+                out.append((document, start, room))
+                self.add(document, start + room, length - room)
+                room = 0
+        return out
 
     def full_windows(self, last: bool = False):
-        """Windows as lists of (document, start, length). With last, all that is left comes out too."""
-        left = sum(p[0] for p in self.pool)
-        while left >= self.window or (last and left):
-            room = self.window if left >= self.window else max(1 << (left.bit_length() - 1), 1)
-            left -= room
-            out = []
-            while room:
-                at = bisect_right(self.pool, (room, self.order + 1, 0, 0)) - 1
-                if at >= 0:
-                    length, _, document, start = self.pool.pop(at)
-                    out.append((document, start, length))
-                    room -= length
-                else:  # none fits whole: cut the largest, whose rest stays in the pool
-                    length, _, document, start = self.pool.pop()
-                    out.append((document, start, room))
-                    self.add(document, start + room, length - room)
-                    room = 0
-            yield out
+        """(tier, window), a window as a list of (document, start, length). With last, all that is left comes out too."""
+        for k, tier in enumerate(self.tiers):
+            tiers = self.tiers[k:]
+            while self.pools[tier] and sum(self.held[t] for t in tiers) >= tier:
+                yield tier, self._window(tier, tiers)
+        while last and (left := sum(self.held.values())):  # less than the longest window
+            room = 1 << (left.bit_length() - 1)
+            yield next(t for t in reversed(self.tiers) if room <= t), self._window(room, self.tiers)
 
 
 def step_groups(costs: list[int], size: int = STEP) -> list[int]:
@@ -115,8 +137,8 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
         def rows(windows):
             nonlocal n_sequences, n_groups
             by_tier: dict[int, list] = {}
-            for pieces in windows:
-                by_tier.setdefault(tier_of(sum(p[2] for p in pieces)), []).append(pieces)
+            for tier, pieces in windows:
+                by_tier.setdefault(tier, []).append(pieces)
             out = []
             for tier, all_pieces in sorted(by_tier.items(), reverse=True):
                 groups = step_groups([sum(p[2] ** 2 for p in pieces) for pieces in all_pieces])
@@ -130,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
                     n_sequences += 1
                 n_groups += max(groups, default=-1) + 1
             # Only documents with a piece in the pool are needed again.
-            needed = {p[2] for p in packer.pool}
+            needed = packer.documents()
             for document in [d for d in tokens if d not in needed]:
                 del tokens[document], names[document]
             columns = list(zip(*out, strict=True)) if out else [[]] * 9
@@ -147,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
             for document in [d for d in tokens if d > number - batch.num_rows]:
                 n = len(tokens[document])
                 whole = n - n % window
-                ready += [[(document, start, window)] for start in range(0, whole, window)]
+                ready += [(window, [(document, start, window)]) for start in range(0, whole, window)]
                 if n > whole:
                     packer.add(document, whole, n - whole)
             ready += packer.full_windows()

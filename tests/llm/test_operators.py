@@ -181,6 +181,34 @@ def test_packing_places_every_id_once(unique):
         assert total & (total - 1) == 0
 
 
+def test_packing_routes_documents_to_tiers(spark):
+    sizes = [1500] * 20 + [900] * 30 + [400] * 40 + [100] * 300
+    df = spark.createDataFrame([(k, " the" * n) for k, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, P.path("byte_bpe_50k.json")).toPandas()
+    tokens = got.groupby("doc_id").doc_tokens.max()
+    whole = got.length == got.doc_tokens
+    total = got.groupby("sequence_id").length.sum()
+    tier = got.groupby("sequence_id").tier.max()
+    assert set(tier) == set(packing.TIERS) and (total <= tier).all() and (total[tier > 256] == tier[tier > 256]).all()
+    assert (total[tier == 256] == 256).sum() >= (tier == 256).sum() - 8  # the others are powers of two, at the end
+    # Every window of a tier but a task's last ones holds a piece that was routed to it.
+    longest = got.groupby("sequence_id").length.max()
+    assert ((longest > tier // 2) | (tier == 256)).sum() >= len(tier) - 11
+    assert (got[whole].doc_tokens <= got[whole].tier).all() and len(tokens) == len(sizes)
+    assert (got.groupby("step_group").tier.nunique() == 1).all()
+    short = packing.pack(df.where("doc_id >= 90"), P.path("byte_bpe_50k.json")).toPandas()
+    assert set(short.tier) == {256}
+
+
+def test_gaps_are_filled_from_shorter_tiers():
+    packer = packing.Packer()
+    for k, n in enumerate([1500, 500, 300, 200, 48]):
+        packer.add(k, 0, n)
+    assert list(packer.full_windows()) == [(2048, [(0, 0, 1500), (1, 0, 500), (4, 0, 48)])]
+    rest = list(packer.full_windows(last=True))
+    assert rest[0] == (256, [(3, 0, 200), (2, 0, 56)]) and sum(n for _, w in rest for _, _, n in w) == 500 and not packer.documents()
+
+
 def test_step_groups_are_balanced():
     costs = list(range(64))
     groups = packing.step_groups(costs, 8)
