@@ -21,21 +21,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, quality.train(spark, sf_dir))
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; rows without a doc_id cannot be told apart, so all stay."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+#: A number of its own for each row of a dedup stage's input.
+ROW = "_lodemark_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written to the shared checkpoint folder: a row has the same key whenever it is read."""
+    set_checkpoint_dir(docs.sparkSession)
+    path = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/keyed-{uuid.uuid4().hex}"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose ROW is in kept, without it."""
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays."""
-    result = checkpointed(exact.exact_dedup(docs).where("kept").select("doc_id"))
-    return _only(docs, result)
+    """Of rows with equal texts one with the largest doc_id stays; null doc_ids are smaller than any other."""
+    rows = _keyed(docs)
+    return _only(rows, checkpointed(exact.exact_dedup(rows, ROW).where("kept").select(ROW)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are connected the one with the smallest doc_id stays."""
-    result = simhash.simhash_dedup(docs)
-    return _only(docs, checkpointed(result.where(F.col("doc_id") == F.col("component_id")).select("doc_id")))
+    """Of rows whose fingerprints are connected one with the smallest doc_id stays; null doc_ids come last."""
+    rows = _keyed(docs)
+    return _only(rows, checkpointed(simhash.survivors(rows, ROW)))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

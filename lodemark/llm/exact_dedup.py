@@ -28,19 +28,22 @@ HEAVY = 1024
 SHARE = 1 / 2000
 
 
-def digest_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text with A-Z lower-cased), n_bytes and a row number of its own."""
+def digest_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text with A-Z lower-cased), n_bytes and row: the column key (a long), or else a number of its own."""
 
     def run(batches):
         for batch in slices(batches):
-            ids, digests, sizes = batch.column(0), [], []
+            digests, sizes = [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 raw = (raw or b"").lower()  # bytes.lower() changes A-Z only
                 digests.append(hashlib.sha256(raw).digest())
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "digest", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *batch.columns[2:]], ["doc_id", "digest", "n_bytes", *["row"] * (key is not None)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, n_bytes long").withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(key).alias("row")] if key else []))
+    if key:
+        return rows.mapInArrow(run, "doc_id long, digest binary, n_bytes long, row long")
+    return rows.mapInArrow(run, "doc_id long, digest binary, n_bytes long").withColumn("row", F.monotonically_increasing_id())
 
 
 def merge_summaries(summary: dict, other: dict, counters: int = COUNTERS) -> dict:
@@ -83,9 +86,9 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    rows = checkpointed(digest_rows(docs))
+def exact_dedup(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs, and its column key if one is named."""
+    rows = checkpointed(digest_rows(docs, key))
     heavy = checkpointed(frequent_digests(rows))
     marked = rows.join(F.broadcast(heavy), "digest", "left")  # bounded by HEAVY
     hot = marked.where(F.col("group_size").isNotNull())
@@ -95,7 +98,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     cold = cold.withColumns({"top": F.max(F.struct("doc_id", "row")).over(group), "group_size": F.count(F.lit(1)).over(group)}).select(
         "digest", "doc_id", "n_bytes", "row", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"
     )
-    return hot.unionByName(cold).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return hot.unionByName(cold).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *([F.col("row").alias(key)] if key else []))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

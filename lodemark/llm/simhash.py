@@ -72,17 +72,17 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; and the columns keys (longs)."""
 
     def run(batches):
         for batch in slices(batches):
             prints = np.zeros(batch.num_rows, np.uint64)
             for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 prints[i] = majority_bits(np.array(shingle_hashes(raw or b""), np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{k} long" for k in keys)]))
 
 
 def half_keys(prints: DataFrame) -> DataFrame:
@@ -206,5 +206,15 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def survivors(docs: DataFrame, key: str) -> DataFrame:
+    """The column key (unique longs) of one row per component: its least doc_id (null ids last), then the least key."""
+    prints = checkpointed(fingerprints(docs, key))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", key))
+    groups = checkpointed(prints.groupBy("fp").agg(least.alias("least")))
+    parts = connected_components(links(groups.select("fp")))
+    named = groups.join(parts, groups["fp"] == parts["vertex"], "left").select("least", F.coalesce("component", "fp").alias("component"))
+    return named.groupBy("component").agg(F.min("least").alias("least")).select(f"least.{key}")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read_table(spark, sf_dir, "documents"))

@@ -1,6 +1,10 @@
 """The pipeline on the small table: each stage on what the one before kept."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
+from test_operators import order, plain_components, plain_fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -19,3 +23,27 @@ def test_stages_in_order(spark, sf, tmp_path):
     assert len(texts) == len(set(texts))
     packed = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).toPandas()
     assert len(packed) == counts[4] and (packed["sum(length)"] == packed["max(doc_tokens)"]).all()
+
+
+def test_dedup_stages_decide_by_row(spark):
+    """Repeated rows, doc_ids that win with one text and lose with another, and missing ids."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 200)) for _ in range(12)]
+    near = [" ".join([*t.split()[:-1], "end"]) for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts)] * 3 + [(k + 5, t.upper()) for k, t in enumerate(texts[:6])] + [(None, t) for t in [*texts[4:8], *near, *near, None, ""]]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(5)
+    exact = [tuple(r) for r in corpus_pipeline.exact_stage(spark, docs, "").select("doc_id", "text").collect()]
+    best = {}
+    for i, t in rows:
+        low = (t or "").lower()
+        best[low] = max(best.get(low, i), i, key=order)
+    assert Counter((i, (t or "").lower()) for i, t in exact) == Counter((i, t) for t, i in best.items())
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    prints = [plain_fingerprint(t) for _, t in rows]
+    parts, least = plain_components(prints), {}
+    for (i, _), p in zip(rows, prints, strict=True):
+        least.setdefault(parts[p], []).append(i)
+    kept = [(r["doc_id"], parts[plain_fingerprint(r["text"])]) for r in got.collect()]
+    assert Counter(kept) == Counter((min(ids, key=lambda i: (i is None, i or 0)), part) for part, ids in least.items())
+    assert len(least) < len(set(prints))
