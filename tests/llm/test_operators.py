@@ -249,6 +249,22 @@ def test_the_network_finds_credentials_that_no_rule_names():
     assert (p[y == 1] >= net.threshold).mean() >= 0.9 and (p[y == 0] >= net.threshold).mean() <= 0.1
 
 
+def test_threshold_keeps_recall_where_negatives_prevail():
+    rng = np.random.default_rng(22)
+    alike = ["q7" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 22)) for _ in range(3300)]
+    net = secrets.fit([("the mill and ", a, " by the river", int(k % 11 == 0)) for k, a in enumerate(alike)])
+    p = np.array([net.probabilities(secrets.windows(f"the mill and {a} by the river", 13, 13 + len(a))).max() for a in alike[::11]])
+    assert (p >= net.threshold).mean() >= 0.8 and net.recall >= secrets.RECALL and net.threshold < 0.5
+
+
+def test_threshold_is_the_best_of_those_that_keep_recall():
+    good = np.linspace(0.1, 0.4, 100)
+    threshold, recall = secrets.recall_threshold(good, np.linspace(0, 0.3, 1000))
+    assert threshold == good[5] and recall == 0.95
+    assert secrets.recall_threshold(good + 0.55, np.array([0.1, 0.2])) == (0.5, 1.0)
+    assert secrets.recall_threshold(np.array([]), np.array([0.1])) == (0.5, None)
+
+
 def test_redaction_removes_spans_and_keeps_rows(unique):
     got = {r["doc_id"]: r for r in secrets.redact(unique, secrets.fit([])).collect()}
     assert len(got) == unique.count()
