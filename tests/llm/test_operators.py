@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -265,6 +266,25 @@ def test_threshold_is_the_best_of_those_that_keep_recall():
     assert secrets.recall_threshold(np.array([]), np.array([0.1])) == (0.5, None)
 
 
+def test_credentials_of_the_corpus_are_no_negatives(spark):
+    rng = np.random.default_rng(21)
+
+    def some(n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        return "".join(rng.choice(list(letters), n))
+
+    def credential(k):
+        return ["ghp_" + some(36), "AIza" + some(35), "Zx9+" + some(36), "xoxb-" + some(12, "0123456789") + "-" + some(24)][k % 4]
+
+    plain = ["0b1c2d3e-0001-4a2b-9c3d-aabbccddeeff", "2024-05-06T07-08-09", "/data/logs/2024/report/final", "how-to-bake-bread-12"]
+    texts = [f"the mill by the river {credential(k)} ran {credential(k + 1)} all day and {plain[k % 4]} too" for k in range(1500)]
+    got = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {f[1] for f in got if f[3] == 0} == {p for p in plain if len(p) >= secrets.CANDIDATE} and len(got) == 3000
+    net = secrets.fit(got)
+    fresh = [f"a note in the margin {credential(k)} was read aloud" for k in range(400)]
+    found = secrets.find(pa.array(fresh), net)
+    assert np.mean([any(kind == 3 for _, kind, _ in spans) for spans in found]) >= 0.9
+
+
 def test_redaction_removes_spans_and_keeps_rows(unique):
     got = {r["doc_id"]: r for r in secrets.redact(unique, secrets.fit([])).collect()}
     assert len(got) == unique.count()
