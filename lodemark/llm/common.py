@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python step holds at once (a single longer text is a slice of its own).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,12 @@ def kept_by_worker(key: tuple, make):
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in order, cut so that each holds at most `most` text bytes or a single row."""
+    """The batches in order, cut so that each holds at most `most` text bytes or a single row.
+
+    What Arrow's pool keeps of a slice goes back to the system before the next batch and at the end.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if batch.num_rows == 0:
             continue
         column = batch.column(text)
@@ -87,6 +91,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -9,11 +9,15 @@ the shorter tiers (of its own, if they are empty), and what is left of that is r
 after each slice; a piece whose window the slice cannot fill waits for the next. What is left at the end of a
 task leaves in sequences of a power of two, which need no padding and count to the tier that holds them.
 Sequences of a tier are dealt to step groups of STEP, heavy and light ones (by the sum of squared piece
-lengths) in turn, so that the steps of training take alike long; no group mixes tiers.
+lengths) in turn, so that the steps of training take alike long; no group mixes tiers, and only the last two
+of a task and tier hold fewer than STEP.
 
 Packing is a map over input partitions: nothing is shuffled, and a lost task packs its rows again in the
 same way. sequence_id is unique over the table: the task number above, a running number below.
 
+Ids are those of the library with its defaults and without added special tokens: the string of a special
+token in a text is that token (see `special_as_text`).
+
 Defined results: null and empty texts are the end id alone; repeated rows and doc_ids are packed each;
 other columns are ignored; an empty table gives no rows.
 """
@@ -114,8 +118,9 @@ def step_groups(costs: list[int], size: int = STEP) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
-    """One row per piece of every document of docs."""
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int = WINDOW, special_as_text: bool = False) -> DataFrame:
+    """One row per piece of every document of docs. With special_as_text, a special token's string in a text is
+    encoded like any other text; without, it is that token, as the library has it by default."""
 
     def run(batches):
         import os
@@ -125,31 +130,34 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
 
         def make() -> UnitEncoder:
             bpe = Tokenizer.from_file(tokenizer_file)
-            bpe.encode_special_tokens = True
+            bpe.encode_special_tokens = special_as_text
             newline = bpe.encode("\n", add_special_tokens=False).ids
             return UnitEncoder(joined(lambda texts: [e.ids for e in bpe.encode_batch_fast(texts, add_special_tokens=False)], *newline))
 
-        encoder = kept_by_worker(("packing", tokenizer_file), make)
+        encoder = kept_by_worker(("packing", tokenizer_file, special_as_text), make)
         task = TaskContext.get().partitionId() << 40
         packer, tokens, names, n_sequences, n_groups = Packer(window), {}, {}, 0, 0
         number = 0
+        waiting: dict[int, list] = {}  # sequences of each tier that are in no step group yet: (cost, their rows)
 
-        def rows(windows):
+        def rows(windows, last=False):
             nonlocal n_sequences, n_groups
-            by_tier: dict[int, list] = {}
             for tier, pieces in windows:
-                by_tier.setdefault(tier, []).append(pieces)
+                own, offset = [], 0
+                for document, start, length in pieces:
+                    ids = tokens[document]
+                    crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
+                    own.append((names[document], start, length, crc, len(ids), task + n_sequences, offset, tier))
+                    offset += length
+                n_sequences += 1
+                waiting.setdefault(tier, []).append((sum(p[2] ** 2 for p in pieces), own))
             out = []
-            for tier, all_pieces in sorted(by_tier.items(), reverse=True):
-                groups = step_groups([sum(p[2] ** 2 for p in pieces) for pieces in all_pieces])
-                for pieces, group in zip(all_pieces, groups, strict=True):
-                    offset = 0
-                    for document, start, length in pieces:
-                        ids = tokens[document]
-                        crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
-                        out.append((names[document], start, length, crc, len(ids), task + n_sequences, offset, tier, task + n_groups + group))
-                        offset += length
-                    n_sequences += 1
+            for tier, sequences in sorted(waiting.items(), reverse=True):
+                full = len(sequences) if last else len(sequences) - len(sequences) % STEP
+                now, waiting[tier] = sequences[:full], sequences[full:]
+                groups = step_groups([cost for cost, _ in now])
+                for (_, own), group in zip(now, groups, strict=True):
+                    out += [(*row, task + n_groups + group) for row in own]
                 n_groups += max(groups, default=-1) + 1
             # Only documents with a piece in the pool are needed again.
             needed = packer.documents()
@@ -174,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
                     packer.add(document, whole, n - whole)
             ready += packer.full_windows()
             yield rows(ready)
-        yield rows(list(packer.full_windows(last=True)))
+        yield rows(list(packer.full_windows(last=True)), last=True)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

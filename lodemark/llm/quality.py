@@ -36,6 +36,8 @@ LAGS = 3
 HIDDEN = 32
 EPOCHS = 150
 BLOCK = 1 << 16
+#: Text bytes that are scored at once: the vectors of their distinct words are the most that a task holds.
+SLICE = 3 << 20
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -69,8 +71,13 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed[0], mixed[1], np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _sums(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per segment the sum of table[rows], a block at a time."""
+def _sums(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray, squared: bool = False) -> np.ndarray:
+    """Per segment the sum of table[rows] (or of their squares), a block at a time."""
+
+    def taken(i: int, j: int) -> np.ndarray:
+        found = table[rows[i:j]]
+        return found * found if squared else found
+
     n = len(offsets) - 1
     out = np.zeros((n, table.shape[1]), np.float64)
     start = 0
@@ -78,12 +85,12 @@ def _sums(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> np.ndarra
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK, side="right")) - 1)
         if stop == start + 1 and offsets[stop] - offsets[start] > BLOCK:  # one long segment
             for i in range(int(offsets[start]), int(offsets[stop]), BLOCK):
-                out[start] += table[rows[i : min(i + BLOCK, int(offsets[stop]))]].sum(axis=0)
+                out[start] += taken(i, min(i + BLOCK, int(offsets[stop]))).sum(axis=0)
         else:
             lo, hi = int(offsets[start]), int(offsets[stop])
             full = np.flatnonzero(np.diff(offsets[start : stop + 1]) > 0)
             if len(full):
-                out[start + full] = np.add.reduceat(table[rows[lo:hi]], offsets[start + full] - lo, axis=0)
+                out[start + full] = np.add.reduceat(taken(lo, hi), offsets[start + full] - lo, axis=0)
         start = stop
     return out
 
@@ -125,13 +132,15 @@ def pooled(texts: pa.Array, context: pa.Array | None, vectors: np.ndarray) -> np
     table = word_vectors(words, context, vectors)
     n = np.maximum(np.diff(offsets), 1)[:, None]
     mean = _sums(table, codes, offsets) / n
-    square = _sums(table * table, codes, offsets) / n
+    square = _sums(table, codes, offsets, squared=True) / n
     # A word repeats the one `lag` before it if that is in the same text.
     place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
-    repeats = np.zeros((len(codes), LAGS))
+    rates = np.zeros((len(texts), LAGS))
     for lag in range(1, LAGS + 1):
-        repeats[lag:, lag - 1] = (codes[lag:] == codes[:-lag]) & (place[lag:] >= lag)
-    return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0.0)), segment_sums(repeats, offsets) / n], axis=1)
+        repeat = np.zeros(len(codes), np.int32)
+        repeat[lag:] = (codes[lag:] == codes[:-lag]) & (place[lag:] >= lag)
+        rates[:, lag - 1] = segment_sums(repeat, offsets)
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0.0)), rates / n], axis=1)
 
 
 def contexts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -222,7 +231,7 @@ def accepted(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         own = shared()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             yield batch.filter(pa.array(_probabilities(batch.column(place), own) >= 0.5))
 
     return documents.mapInArrow(run, documents.schema)
@@ -234,7 +243,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         own = shared()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             p = _probabilities(batch.column(1), own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -24,14 +24,13 @@ _ODD = r"^\s|\s$|\s\s"
 _WIDE = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of the units of each text, offsets (one more than texts) and the distinct units.
+def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of the units of each text, offsets (one more than texts) and the units (few stand there twice).
 
     Concatenated, the units of a text are the text.
     """
     texts = pc.fill_null(texts, "")
     odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(texts, _WIDE)).to_numpy(zero_copy_only=False)
-    # A marker before each unit but the first keeps its leading space.
     plain = pc.split_pattern(pc.if_else(pa.array(~odd), texts, ""), " ")
     flat, offsets = plain.flatten(), plain.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
@@ -39,27 +38,23 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     first[offsets[:-1]] = True
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    base = coded.dictionary.to_pylist()
+    base = coded.dictionary
     # First units have no space: their codes are the even ones, the others' the odd ones.
     codes = 2 * codes + ~first
     there = np.bincount(codes, minlength=2 * len(base)) > 0
     used, codes = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
-    units = [(" " + base[u >> 1]) if u & 1 else base[u >> 1] for u in used.tolist()]
+    spaced = pc.binary_join_element_wise(pa.array(np.where(used & 1, " ", ""), pa.string()), base.take(pa.array(used >> 1)), "")
     if not odd.any():
-        return codes, offsets, units
-    where = {u: k for k, u in enumerate(units)}
-    parts, sizes = [], np.diff(offsets)
-    pieces = []
+        return codes, offsets, spaced
+    parts, sizes, own = [codes[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.diff(offsets), []
+    where: dict[str, int] = {}
     for k in np.flatnonzero(odd).tolist():
         text = texts[k].as_py()
         cuts = [m.start() for m in _CUT.finditer(text)]
         own = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        pieces.append(np.fromiter((where.setdefault(u, len(where)) for u in own), np.int64, len(own)))
-    at = iter(pieces)
-    for k in range(len(texts)):
-        parts.append(next(at) if odd[k] else codes[offsets[k] : offsets[k + 1]])
-        sizes[k] = len(parts[-1])
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), list(where)
+        parts[k] = np.fromiter((where.setdefault(u, len(spaced) + len(where)) for u in own), np.int64, len(own))
+        sizes[k] = len(own)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), pa.concat_arrays([spaced, pa.array(list(where), pa.string())])
 
 
 #: A unit of letters and marks is at most five matches of the pattern, each encoded by itself.
@@ -78,73 +73,93 @@ def matches_of(unit: str) -> list[str]:
 
 
 class _Ids:
-    """Ids of strings, as one flat array."""
+    """Ids of strings, as flat arrays."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(strings, range(len(self.known), len(self.known) + len(strings)), strict=True))
+    def nbytes(self) -> int:
+        return self.known.nbytes + self.flat.nbytes + self.ends.nbytes
+
+    def find(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each string; the unknown ones, once each, are numbered on from the known ones."""
+        at = pc.index_in(strings, value_set=self.known)
+        new = pc.is_null(at)
+        coded = strings.filter(new).dictionary_encode()
+        which = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        which[new.to_numpy(zero_copy_only=False)] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(self.known)
+        return which, coded.dictionary
+
+    def add(self, strings: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, strings])
         self.flat = np.concatenate([self.flat, flat])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
-    def of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of strings that are all known, and how many each has."""
-        which = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings of these numbers, and how many each has."""
         sizes = self.ends[which + 1] - self.ends[which]
         return self.flat[ragged_take(self.ends[which], sizes)], sizes
 
 
 class UnitEncoder:
-    """Encodes texts by their distinct units, and those by their distinct matches. The ids of at most
-    `most` units and matches each are kept between calls."""
+    """Encodes texts by their distinct units, and those by their distinct matches. The ids of units and of
+    matches are kept between calls while they fill at most `most` bytes each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 900_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 48 << 20):
         self.encode, self.most = encode, most
         self.units, self.matches = _Ids(), _Ids()
 
-    def _learn(self, units: list[str]) -> None:
-        parts = [matches_of(u) for u in units]
-        pieces = [p for own in parts for p in own]
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.matches.known]
-        if len(self.matches.known) + len(fresh) > self.most:
+    def _learn(self, units: pa.Array) -> None:
+        parts = [matches_of(u) for u in units.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        coded = pa.array([p for own in parts for p in own], pa.string()).dictionary_encode()
+        del parts
+        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if self.matches.nbytes() > self.most:
             self.matches = _Ids()
-            fresh = list(dict.fromkeys(pieces))
-        got = self.encode(fresh)
-        self.matches.add(fresh, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(g, np.uint32) for g in got)]), np.fromiter(map(len, got), np.int64, len(got)))
-        flat, sizes = self.matches.of(pieces)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])]
-        self.units.add(units, flat, np.diff(ends))
+        which, fresh = self.matches.find(pieces)
+        got = self.encode(fresh.to_pylist())
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.matches.add(fresh, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(g, np.uint32) for g in got)]), sizes)
+        flat, sizes = self.matches.of(which)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        each = sizes[codes]
+        self.units.add(units, flat[ragged_take(starts[codes], each)], np.diff(np.concatenate([[0], np.cumsum(each)])[ends]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and offsets of each text in them."""
         codes, offsets, units = units_of(texts)
-        fresh = [u for u in units if u not in self.units.known]
-        if len(self.units.known) + len(fresh) > self.most:
-            self.units, fresh = _Ids(), units
+        if self.units.nbytes() > self.most:
+            self.units = _Ids()
+        which, fresh = self.units.find(units)
         self._learn(fresh)
-        by_unit, sizes = self.units.of(units)
+        by_unit, sizes = self.units.of(which)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         each = sizes[codes]
         return by_unit[ragged_take(starts[codes], each)], np.concatenate([[0], np.cumsum(each)])[offsets]
 
 
-def joined(encode: Callable[[list[str]], list[list[int]]], newline: int, size: int = 256) -> Callable[[list[str]], list[np.ndarray]]:
+def joined(encode: Callable[[list[str]], list[list[int]]], newline: int, size: int = 256, batch: int = 16) -> Callable[[list[str]], list[np.ndarray]]:
     """An encoder of many short strings at once, for libraries that are slow to call: strings without inner
-    white space are joined by line breaks, which the pattern keeps to themselves, and their ids cut there."""
+    white space are joined by line breaks, which the pattern keeps to themselves, and their ids cut there.
+    The library gets `batch` joined strings a call: it holds much more than the ids of what it encodes."""
+
+    def in_batches(strings: list[str]):
+        for i in range(0, len(strings), batch):
+            yield from encode(strings[i : i + batch])
 
     def run(strings: list[str]) -> list[np.ndarray]:
         plain = [k for k, s in enumerate(strings) if s[-1:].strip() and len(s.split()) == 1 and (s[0] == " " or s[0].strip()) and "\n" not in s]
         out: list = [None] * len(strings)
         groups = [plain[i : i + size] for i in range(0, len(plain), size)]
-        for group, ids in zip(groups, encode(["\n".join(strings[k] for k in g) for g in groups]), strict=True):
+        for group, ids in zip(groups, in_batches(["\n".join(strings[k] for k in g) for g in groups]), strict=True):
             ids = np.asarray(ids, np.uint32)
             cuts = np.flatnonzero(ids == newline)
             for k, i, j in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 out[k] = ids[i:j]
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, encode([strings[k] for k in rest]), strict=True):
+        for k, ids in zip(rest, in_batches([strings[k] for k in rest]), strict=True):
             out[k] = np.asarray(ids, np.uint32)
         return out
 

@@ -163,11 +163,32 @@ def test_bpe_is_the_librarys(awkward):
     assert sorted((order(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
 
 
-def test_packing_places_every_id_once(unique):
+SPECIAL = ["plain <|endoftext|> tail", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n", "half <|endof text|> of it <|endoftext|", "(<|endoftext|>) and so on"]
+
+
+def test_special_tokens_can_be_plain_text(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     own.encode_special_tokens = True
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    got = packing.pack(df, P.path("byte_bpe_50k.json"), special_as_text=True).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {tuple(r) for r in got} == {(k, len(own.encode(t, add_special_tokens=False).ids) + 1) for k, t in enumerate(SPECIAL)}
+
+
+def test_packing_keeps_repeated_and_missing_ids(awkward):
+    got = packing.pack(awkward, P.path("byte_bpe_50k.json")).toPandas()
+    want = awkward.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert (got[got.start == 0].groupby("doc_id", dropna=False).size().sort_index() == want.sort_index()).all()
+    assert got.length.sum() == got[got.start == 0].doc_tokens.sum()
+
+
+def test_packing_places_every_id_once(spark, unique):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert own.encode("plain <|endoftext|> tail", add_special_tokens=False).ids == [25638, 220, 50256, 7894]
+    unique = unique.unionByName(spark.createDataFrame([(900 + k, t) for k, t in enumerate(SPECIAL)], "doc_id long, text string"), allowMissingColumns=True)
     got = packing.pack(unique, P.path("byte_bpe_50k.json")).toPandas()
     for i, t in rows_of(unique):
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -197,6 +218,8 @@ def test_packing_routes_documents_to_tiers(spark):
     assert ((longest > tier // 2) | (tier == 256)).sum() >= len(tier) - 11
     assert (got[whole].doc_tokens <= got[whole].tier).all() and len(tokens) == len(sizes)
     assert (got.groupby("step_group").tier.nunique() == 1).all()
+    sizes = got.groupby("step_group").agg(tier=("tier", "max"), n=("sequence_id", "nunique"))
+    assert (sizes.n == packing.STEP).sum() >= len(sizes) - 2 * len(packing.TIERS) and sizes.n.max() == packing.STEP
     short = packing.pack(df.where("doc_id >= 90"), P.path("byte_bpe_50k.json")).toPandas()
     assert set(short.tier) == {256}
 
