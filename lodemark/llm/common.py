@@ -61,6 +61,50 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for a shuffle of df: the session's number, or as many as read df where that is more, so that
+    what a task gets does not grow with the input."""
+    return max(partitions_for(df.sparkSession), df.rdd.getNumPartitions())
+
+
+#: A key is hot if it has this share of the rows or more: 1/HOT keys at most.
+HOT = 1 / 1000
+
+
+def join_by_key(rows: DataFrame, names: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with names on key. names: one row a key, and in size how many of the `total` rows have it.
+
+    The names of hot keys, 1/HOT at most, are broadcast, so that their rows stay where they are; the rest shuffle.
+    """
+    least = max(64, int(total * HOT))
+    hot = names.where(F.col(size) >= least)
+    few = rows.join(F.broadcast(hot), key)
+    many = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names.where(F.col(size) < least), key)
+    return few.unionByName(many)
+
+
+class Numbered:
+    """Distinct strings by number, in order of arrival, as one Arrow array."""
+
+    def __init__(self):
+        self.known = pa.array([], pa.string())
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def find(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each string; the unknown ones, given once each, count on from the known ones."""
+        at = pc.index_in(strings, value_set=self.known)
+        new = pc.is_null(at)
+        coded = strings.filter(new).dictionary_encode()
+        which = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        which[new.to_numpy(zero_copy_only=False)] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(self.known)
+        return which, coded.dictionary
+
+    def add(self, strings: pa.Array) -> None:
+        self.known = pa.concat_arrays([self.known, strings])
+
+
 def kept_by_worker(key: tuple, make):
     """What make() gives, once per Python worker: workers live on from task to task.
 

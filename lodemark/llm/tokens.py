@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged_take
+from .common import Numbered, ragged_take
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A text where every plain space is such a place splits at each of them.
@@ -72,27 +72,18 @@ def matches_of(unit: str) -> list[str]:
     return [g for g in m.groups() if g] if m else [unit]
 
 
-class _Ids:
+class _Ids(Numbered):
     """Ids of strings, as flat arrays."""
 
     def __init__(self):
-        self.known = pa.array([], pa.string())
+        super().__init__()
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def nbytes(self) -> int:
         return self.known.nbytes + self.flat.nbytes + self.ends.nbytes
 
-    def find(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        """The number of each string; the unknown ones, once each, are numbered on from the known ones."""
-        at = pc.index_in(strings, value_set=self.known)
-        new = pc.is_null(at)
-        coded = strings.filter(new).dictionary_encode()
-        which = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        which[new.to_numpy(zero_copy_only=False)] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(self.known)
-        return which, coded.dictionary
-
-    def add(self, strings: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known = pa.concat_arrays([self.known, strings])
+    def learn(self, strings: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.add(strings)
         self.flat = np.concatenate([self.flat, flat])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
@@ -121,11 +112,11 @@ class UnitEncoder:
         which, fresh = self.matches.find(pieces)
         got = self.encode(fresh.to_pylist())
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.matches.add(fresh, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(g, np.uint32) for g in got)]), sizes)
+        self.matches.learn(fresh, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(g, np.uint32) for g in got)]), sizes)
         flat, sizes = self.matches.of(which)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         each = sizes[codes]
-        self.units.add(units, flat[ragged_take(starts[codes], each)], np.diff(np.concatenate([[0], np.cumsum(each)])[ends]))
+        self.units.learn(units, flat[ragged_take(starts[codes], each)], np.diff(np.concatenate([[0], np.cumsum(each)])[ends]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and offsets of each text in them."""
