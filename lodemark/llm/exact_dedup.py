@@ -12,38 +12,35 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table, slices
+from .common import checkpointed, read_table
 
-#: Counters of a Misra-Gries summary, and with that the most digests that are ever broadcast.
-COUNTERS = 256
+#: Counters of a Misra-Gries summary: no digest of more than a 1/(COUNTERS+1) share of a task's rows is missed.
+COUNTERS = 1024
+#: A digest is heavy from this share of all rows, which is more than that, so every heavy one is found.
+SHARE = 1 / 1000
+#: The most digests that are ever broadcast; 1/SHARE can be heavy.
 HEAVY = 1024
-#: A digest is heavy from this share of all rows.
-SHARE = 1 / 2000
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-def digest_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text with A-Z lower-cased), n_bytes and row: the column key (a long), or else a number of its own."""
 
-    def run(batches):
-        for batch in slices(batches):
-            digests, sizes = [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                raw = (raw or b"").lower()  # bytes.lower() changes A-Z only
-                digests.append(hashlib.sha256(raw).digest())
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *batch.columns[2:]], ["doc_id", "digest", "n_bytes", *["row"] * (key is not None)])
+def lowered(text: Column) -> Column:
+    """The text with A-Z in lower case and all else as it is; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    # Of a text of single bytes lower() changes A-Z only, and is quicker.
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(key).alias("row")] if key else []))
-    if key:
-        return rows.mapInArrow(run, "doc_id long, digest binary, n_bytes long, row long")
-    return rows.mapInArrow(run, "doc_id long, digest binary, n_bytes long").withColumn("row", F.monotonically_increasing_id())
+
+def digest_rows(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, digest (SHA-256 of the lowered text) and row: the column key (a long), or else a number of its own."""
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(lowered(F.col("text")), 256)).alias("digest"), row.alias("row"))
 
 
 def merge_summaries(summary: dict, other: dict, counters: int = COUNTERS) -> dict:
@@ -60,7 +57,7 @@ def merge_summaries(summary: dict, other: dict, counters: int = COUNTERS) -> dic
 
 
 def frequent_digests(rows: DataFrame) -> DataFrame:
-    """Digests of at least SHARE of the rows, each with its verified winner and count (HEAVY rows at most)."""
+    """Digests of at least SHARE of the rows (and 64), each with its verified winner and count (HEAVY rows at most)."""
 
     def run(batches):
         # A batch is counted in full and then merged; the summary keeps COUNTERS entries.
@@ -96,7 +93,7 @@ def exact_dedup(docs: DataFrame, key: str | None = None) -> DataFrame:
     cold = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     group = Window.partitionBy("digest")
     cold = cold.withColumns({"top": F.max(F.struct("doc_id", "row")).over(group), "group_size": F.count(F.lit(1)).over(group)}).select(
-        "digest", "doc_id", "n_bytes", "row", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"
+        "digest", "doc_id", "row", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"
     )
     return hot.unionByName(cold).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *([F.col("row").alias(key)] if key else []))
 
@@ -105,8 +102,6 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
