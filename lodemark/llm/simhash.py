@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions_for, read_table, slices
+from .common import checkpointed, join_by_key, read_table, slices, tasks_for
 from .components import connected_components
 
 SHINGLE = 4
@@ -186,7 +186,7 @@ def _refine(batches):
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly what distance at most RADIUS connects. prints: distinct fp."""
-    n = partitions_for(prints.sparkSession)
+    n = tasks_for(prints)
     met = checkpointed(half_keys(prints).repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long, key long"))
     crowded = met.where(F.col("b").isNull()).select(F.col("a").alias("fp"), "key").mapInArrow(_refine, "point long, fp long")
     # One row a point and task after the partial minimum; the minimum of a point links all that reach it.
@@ -198,12 +198,14 @@ def links(prints: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs."""
     prints = checkpointed(fingerprints(docs))
-    groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     parts = connected_components(links(groups.select("fp")))
-    named = groups.join(parts, groups["fp"] == parts["vertex"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(roots, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = checkpointed(groups.join(parts, groups["fp"] == parts["vertex"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component")))
+    roots = checkpointed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    # A component, or a fingerprint, that holds a large share of the rows is not dealt to one task.
+    labels = checkpointed(join_by_key(named, roots, "component", "members", n_groups).select("fp", "component_id", "copies"))
+    return join_by_key(prints, labels, "fp", "copies", n_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, key: str) -> DataFrame:
