@@ -1,13 +1,14 @@
 """Language ID by segmentation-marginalised unigrams.
 
-The vocabulary is that of a public sentence-piece model and stays fixed; each language has a probability
-of every piece. A word's probability in a language is the sum over all ways to cut it into pieces, which
-a forward pass gives for all languages at once; a text's is the product over its words. The piece
-probabilities are fitted by expectation maximisation over the same lattice (forward and backward), on at
-most TRAIN_ROWS rows of the training fold, a bounded sample by a hash of doc_id.
+The vocabulary is that of a public sentence-piece model and stays fixed, every piece of it; each language has
+a probability of every piece. A word's probability in a language is the sum over all ways to cut it into
+pieces, which a forward pass gives for all languages at once; a text's is the product over its words. The
+piece probabilities are fitted by expectation maximisation over the same lattice (forward and backward) from
+all words, long ones too, of at most TRAIN_ROWS rows of the training fold, a bounded sample by a hash of
+doc_id. Sums are kept as logarithms per position, so that words of any length have their value.
 
-Words are scored once per slice of a task, and workers keep a bounded table of words they have scored, so
-the cost follows the distinct words. Words of any length are scored whole.
+Distinct words are scored once per slice of a task, and workers keep a table, bounded in bytes, of words they
+have scored, so the cost follows the distinct words.
 
 Defined results: null texts and texts without a letter get `und` and score 0; of equal scores the first
 language by name wins; score is the softmax over languages at a temperature fitted on the training rows;
@@ -19,28 +20,27 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_model, id_remainder, kept_by_worker, read_table, segment_sums, slices, words_of
+from .common import Numbered, broadcast_model, id_remainder, kept_by_worker, read_table, segment_sums, slices, words_of
 
 FOLDS = 5
 TRAIN_ROWS = 2000
-#: Characters of a training text that are used at most; scoring always takes whole texts.
 ROUNDS = 3
-#: Pieces of more characters are left out of the lattice.
-LONGEST = 12
 START = "▁"
-#: Scale per character that keeps the products of a word near one.
-SCALE = 8.0
 #: Probability of a character outside the vocabulary.
 UNKNOWN = 1e-7
-#: Words a worker keeps scored.
-KEPT_WORDS = 700_000
+#: Bytes of scored words that a worker keeps.
+KEPT = 64 << 20
+#: Positions (words by characters) of a lattice.
+CELLS = 1 << 18
 
 
 @dataclass
@@ -52,63 +52,72 @@ class Model:
 
 
 def public_pieces(model_file: str) -> list[str]:
-    """The vocabulary's pieces of LONGEST characters or fewer, without control and byte pieces."""
+    """The vocabulary's pieces, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return [p for p in map(model.id_to_piece, ids) if len(p) <= LONGEST]
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
-def with_beginnings(pieces: list[str]) -> dict[str, int]:
-    """The number of each piece, and -1 for every other beginning of one."""
-    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
-    return out | {p: k for k, p in enumerate(pieces)}
+class Pieces:
+    """The vocabulary as an automaton that finds every piece in a string."""
+
+    def __init__(self, pieces: list[str]):
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.longest = int(self.sizes.max(initial=1))
+        self.unknown = len(pieces)
+        self.automaton = ahocorasick.Automaton()
+        for k, piece in enumerate(pieces):
+            self.automaton.add_word(piece, k)
+        self.automaton.make_automaton()
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces end (their last character), in order, and which they are."""
+        if not len(self.sizes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        both = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 class Lattice:
-    """All pieces of a list of words as edges (word, start, end, piece)."""
-
-    def __init__(self, pieces: dict[str, int], words: list[str]):
-        """pieces: number of each piece, and -1 for what is only the beginning of one."""
-        unknown = max(pieces.values(), default=-1) + 1
-        get = pieces.get
-        word, start, end, piece = [], [], [], []
-        for w, text in enumerate(words):
-            text = START + text
-            n = len(text)
-            for i in range(n):
-                single = get(text[i], -1)
-                word.append(w)
-                start.append(i)
-                end.append(i + 1)
-                piece.append(single if single >= 0 else unknown)
-                for j in range(i + 2, min(i + LONGEST, n) + 1):
-                    found = get(text[i:j])
-                    if found is None:
-                        break  # no piece begins like this
-                    if found >= 0:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(found)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int32) for x in (word, start, end, piece))
-        self.lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        self.n = len(words)
+    """All pieces of a list of words as edges (word, start, end, piece); words have no white space."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.n, self.longest = len(words), pieces.longest
+        self.lengths = np.fromiter((len(w) + 1 for w in words), np.int64, self.n)
+        joined = "".join(f"{START}{w}\n" for w in words)
+        last, piece = pieces.found(joined)
+        size = pieces.sizes[piece]
+        alone = np.zeros(len(joined), bool)
+        alone[last[size == 1]] = True
+        starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        alone[starts[1:] - 1] = True  # the ends of words are no characters
+        missing = np.flatnonzero(~alone)
+        if len(missing):  # characters outside the vocabulary
+            last, piece, size = np.concatenate([last, missing]), np.concatenate([piece, np.full(len(missing), pieces.unknown)]), np.concatenate([size, np.ones(len(missing), np.int64)])
+            order = np.argsort(last, kind="stable")
+            last, piece, size = last[order], piece[order], size[order]
+        word = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths + 1)[last]
+        self.word, self.piece = word, piece.astype(np.int32)
+        self.end = (last + 1 - starts[word]).astype(np.int32)
+        self.start = (self.end - size).astype(np.int32)
 
     def _order(self, by: np.ndarray):
-        order = np.lexsort((self.word, by))
-        at = by[order]
-        cuts = np.searchsorted(at, np.arange(0, int(self.lengths.max(initial=0)) + 2))
-        return order, cuts
+        """Edges in order of by, then of word (their own order), and where each value begins."""
+        most = int(self.lengths.max(initial=0))
+        order = np.argsort(by.astype(np.int16) if most < 1 << 15 else by, kind="stable")
+        return order, np.concatenate([[0], np.cumsum(np.bincount(by, minlength=most + 1))])
+
+    def _sums(self, flow: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of w, which is sorted, and the sums of flow over each."""
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        return w[first], np.add.reduceat(flow, first, axis=0)
 
-    def forward(self, prob: np.ndarray):
-        """alpha[position, word, language] with a log scale per word that is taken out as it goes."""
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """The logarithm of each word's probability in each language."""
         most = int(self.lengths.max(initial=0))
-        ring = LONGEST + 1
-        alpha = np.zeros((ring, self.n, prob.shape[1]))
-        alpha[0] = 1.0
-        log_scale = np.zeros(self.n)
+        ring = self.longest + 1
+        logs = np.zeros((ring, self.n, prob.shape[1]))  # of the sums up to a position; the last `longest` of them
         total = np.zeros((self.n, prob.shape[1]))
         order, cuts = self._order(self.end)
         by_length = np.argsort(self.lengths, kind="stable")
@@ -116,68 +125,68 @@ class Lattice:
         for j in range(1, most + 1):
             e = order[cuts[j] : cuts[j + 1]]
             w = self.word[e]
-            flow = alpha[self.start[e] % ring, w] * (prob[self.piece[e]] * (SCALE ** (j - self.start[e]))[:, None])
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, int)
-            now = alpha[j % ring]
-            now[:] = 0
-            if len(w):
-                now[w[first]] = np.add.reduceat(flow, first, axis=0)
-            if j % 16 == 0 and len(w):  # long words: bring the ring back near one
-                live = np.unique(w)
-                peak = alpha[:, live].max(axis=(0, 2))
-                peak[peak == 0] = 1.0
-                alpha[:, live] /= peak[None, :, None]
-                log_scale[live] += np.log(peak)
+            before = logs[(j - 1) % ring]
+            flow = prob[self.piece[e]]
+            far = np.flatnonzero(self.start[e] != j - 1)
+            flow[far] *= np.exp(logs[self.start[e[far]] % ring, w[far]] - before[w[far]])
+            live, sums = self._sums(flow, w)
+            logs[j % ring, live] = before[live] + np.log(sums)
             done = by_length[ends[j] : ends[j + 1]]
-            total[done] = np.log(np.maximum(now[done], 1e-300)) + log_scale[done, None] - j * np.log(SCALE)
+            total[done] = logs[j % ring, done]
         return total
 
     def expected_counts(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in each language, words weighted by weight[word, language]. Short words only."""
+        """Expected uses of each piece in each language, words weighted by weight[word, language]."""
         most = int(self.lengths.max(initial=0))
-        scaled = prob * 1.0
-        gain = scaled[self.piece] * (SCALE ** (self.end - self.start))[:, None]
-        alpha = np.zeros((most + 1, self.n, prob.shape[1]))
-        beta = np.zeros_like(alpha)
-        alpha[0] = 1.0
+        ahead = np.zeros((most + 1, self.n, prob.shape[1]))  # logarithms of the sums up to a position
+        back = np.zeros_like(ahead)  # and from it
         order, cuts = self._order(self.end)
         for j in range(1, most + 1):
             e = order[cuts[j] : cuts[j + 1]]
-            np.add.at(alpha[j], self.word[e], alpha[self.start[e], self.word[e]] * gain[e])
-        beta[self.lengths, np.arange(self.n)] = 1.0
+            w = self.word[e]
+            live, sums = self._sums(prob[self.piece[e]] * np.exp(ahead[self.start[e], w] - ahead[j - 1, w]), w)
+            ahead[j, live] = ahead[j - 1, live] + np.log(sums)
         order, cuts = self._order(self.start)
         for i in range(most - 1, -1, -1):
             e = order[cuts[i] : cuts[i + 1]]
-            np.add.at(beta[i], self.word[e], beta[self.end[e], self.word[e]] * gain[e])
-        whole = np.maximum(alpha[self.lengths, np.arange(self.n)], 1e-300)
-        use = alpha[self.start, self.word] * gain * beta[self.end, self.word] * (weight / whole)[self.word]
-        counts = np.zeros_like(prob)
-        np.add.at(counts, self.piece, use)
-        return counts
+            w = self.word[e]
+            live, sums = self._sums(prob[self.piece[e]] * np.exp(back[self.end[e], w] - back[i + 1, w]), w)
+            back[i, live] = back[i + 1, live] + np.log(sums)
+        whole = ahead[self.lengths, np.arange(self.n)]
+        use = prob[self.piece] * np.exp(ahead[self.start, self.word] + back[self.end, self.word] - whole[self.word]) * weight[self.word]
+        return np.column_stack([np.bincount(self.piece, use[:, k], minlength=len(prob)) for k in range(prob.shape[1])])
+
+
+def blocks_of(lengths: np.ndarray, most: int = 1 << 14):
+    """Numbers of words, shortest first, in blocks of about CELLS positions: a long word costs no other anything."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, min(most, CELLS // (int(lengths[order[min(at + most, len(order)) - 1]]) + 1)))
+        yield order[at : at + size]
+        at += size
 
 
 def fit(texts: pa.Array, languages: np.ndarray, pieces: list[str]) -> Model:
     """texts and their languages -> piece probabilities by expectation maximisation."""
     names = sorted(set(languages.tolist()))
-    index = with_beginnings(pieces)
+    index = Pieces(pieces)
     codes, offsets, distinct = words_of(texts)
     which = np.repeat(np.searchsorted(names, languages), np.diff(offsets))
-    weight = np.zeros((len(distinct), len(names)))
-    np.add.at(weight, (codes, which), 1.0)
+    weight = np.bincount(codes * len(names) + which, minlength=len(distinct) * len(names)).astype(float).reshape(len(distinct), len(names))
     words = distinct.to_pylist()
-    short = [k for k, w in enumerate(words) if len(w) <= 24]  # training only; scoring takes every word
     prob = np.full((len(pieces) + 1, len(names)), 1.0 / (len(pieces) + 1))
     prob[-1] = UNKNOWN
-    blocks = [(short[k : k + 8192]) for k in range(0, len(short), 8192)]
-    lattices = [(Lattice(index, [words[k] for k in b]), weight[b]) for b in blocks]
+    blocks = [b.tolist() for b in blocks_of(np.fromiter(map(len, words), np.int64, len(words)), 1 << 13)]
+    lattices = [Lattice(index, [words[k] for k in b]) for b in blocks]
     for _ in range(ROUNDS):
-        counts = sum((lattice.expected_counts(prob, w) for lattice, w in lattices), np.zeros_like(prob))
+        counts = sum((lattice.expected_counts(prob, weight[b]) for b, lattice in zip(blocks, lattices, strict=True)), np.zeros_like(prob))
         shared = counts.sum(axis=1, keepdims=True) + 0.1
         prob = counts + 5.0 * shared / shared.sum() * 100
         prob /= prob.sum(axis=0)
         prob[-1] = UNKNOWN
     logs = np.zeros((len(words), len(names)))
-    for b, (lattice, _) in zip(blocks, lattices, strict=True):
+    for b, lattice in zip(blocks, lattices, strict=True):
         logs[b] = lattice.forward(prob)
     sums = segment_sums(logs[codes], offsets)
     truth = np.searchsorted(names, languages)
@@ -215,31 +224,21 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         own = shared()
-        index = with_beginnings(own.pieces) if own else {}
-        memo = kept_by_worker(("langid", name), lambda: {"known": {}, "table": np.zeros((0, len(own.languages) if own else 1))})
+        index = kept_by_worker(("langid", name), lambda: [Pieces(own.pieces), Numbered(), np.zeros((0, len(own.languages)))]) if own else []
         for batch in slices(batches):
             text = pc.fill_null(batch.column(1), "")
             if own is None:
                 names, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
                 codes, offsets, distinct = words_of(text)
-                words = distinct.to_pylist()
-                if len(memo["known"]) + len(words) > KEPT_WORDS:
-                    memo["known"], memo["table"] = {}, memo["table"][:0]
-                known, table = memo["known"], memo["table"]
-                fresh = [w for w in words if w not in known]
-                # Words of like length share a lattice, so that a long one costs no other anything.
-                fresh.sort(key=len)
-                found = [table]
-                at = 0
-                while at < len(fresh):
-                    size = max(1, min(16384, (1 << 18) // (len(fresh[min(at + 16384, len(fresh)) - 1]) + 1)))
-                    block = fresh[at : at + size]
-                    found.append(Lattice(index, block).forward(own.prob))
-                    at += size
-                known.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-                table = memo["table"] = np.concatenate(found)
-                rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                if index[1].known.nbytes + index[2].nbytes > KEPT:
+                    index[1:] = [Numbered(), index[2][:0]]
+                rows, fresh = index[1].find(distinct)
+                words, values = fresh.to_pylist(), np.zeros((len(fresh), len(own.languages)))
+                for block in blocks_of(pc.utf8_length(fresh).to_numpy(zero_copy_only=False)):
+                    values[block] = Lattice(index[0], [words[k] for k in block.tolist()]).forward(own.prob)
+                index[1].add(fresh)
+                table = index[2] = np.concatenate([index[2], values])
                 sums = segment_sums(table[rows][codes], offsets)
                 share = _softmax(sums / own.temperature)
                 best = sums.argmax(axis=1)
