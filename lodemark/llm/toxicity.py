@@ -17,7 +17,7 @@ A run of three or more single characters between spaces is read as a word too ("
 more than WIDTH characters is read in overlapping windows, all of it.
 
 Training takes at most TRAIN_ROWS labelled rows of the training fold, a bounded sample by a hash of
-doc_id. Scoring reads whole texts.
+doc_id, and of their clean words at most NEGATIVES by chance and the HARD hardest. Scoring reads whole texts.
 
 Defined results: null and empty texts, and texts without a letter triple, get the score of the least
 toxic word; repeated rows give a row each; a null doc_id counts as held out; without labelled rows of
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_model, id_remainder, labelled_sample, read_table, slices, words_of
+from .common import Numbered, broadcast_model, id_remainder, labelled_sample, read_table, slices, words_of
 
 FOLDS = 5
 TRAIN_ROWS = 4000
@@ -46,8 +46,14 @@ DECAY = 0.7
 SPAN = 9
 WIDTH = 16
 ROUNDS = 4
-KEPT_WORDS = 500_000
+#: Bytes of scored words that a task keeps.
+KEPT = 48 << 20
+#: Words of clean training texts that are negatives in every round, and the hardest ones that join them in each:
+#: bounds of the fit, like TRAIN_ROWS.
+NEGATIVES, HARD = 12_000, 3_000
 LETTERS = 64
+#: Characters of the words that are scored at once.
+BLOCK = 1 << 20
 #: Stands before and after a word, as a letter of its own.
 EDGE = "\x02"
 #: The score of a text without any letter triple.
@@ -121,22 +127,27 @@ def windows(word: str) -> list[str]:
 
 
 def word_scores(words: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
-    """The largest decision value over each word's windows."""
-    parts = [windows(w) for w in words]
-    flat = scores([p for ps in parts for p in ps], weight, bias)
-    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-    return np.maximum.reduceat(flat, at) if len(words) else flat
-
-
-def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The largest decision value over each word's windows, a block of words at a time."""
+    out = [np.zeros(0)]
+    ends = np.cumsum([len(w) for w in words])
+    i = 0
+    while i < len(words):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK)))
+        parts = [windows(w) for w in words[i:j]]
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
+        out.append(np.maximum.reduceat(scores([p for ps in parts for p in ps], weight, bias), at))
+        i = j
+    return np.concatenate(out)
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes, offsets and distinct lower-case words of the texts, spaced-out words included."""
     lowered = pc.utf8_lower(pc.fill_null(texts, ""))
     spaced = pc.match_substring_regex(lowered, _SPACED).to_numpy(zero_copy_only=False)
     if spaced.any():
         more = [t + " " + " ".join(re.sub(r"\s", "", m.group()) for m in _SPACED_RUN.finditer(t)) if s else t for t, s in zip(lowered.to_pylist(), spaced.tolist(), strict=True)]
         lowered = pa.array(more, pa.string())
-    codes, offsets, distinct = words_of(lowered)
-    return codes, offsets, distinct.to_pylist()
+    return words_of(lowered)
 
 
 def evidence(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -245,6 +256,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         return Model(np.zeros(LETTERS**3, np.float32), 0.0, np.zeros(4), float(np.log(p / (1 - p))) if len(labels) else -40.0)
     rng = np.random.default_rng(11)
     codes, offsets, distinct = text_words(texts)
+    distinct = distinct.to_pylist()
     # Windows stand for long words in training, too.
     own = [sorted({p for k in set(codes[i:j].tolist()) for p in windows(distinct[k]) if len(p) > 2}) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     fold = rng.random(len(own)) < 0.7
@@ -254,7 +266,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     chosen = _start_words([own[k] for k in learn], labels[learn])
     clean = sorted({w for k in learn if not labels[k] for w in own[k]})
     toxic_docs = [own[k] for k in learn if labels[k] and own[k]]
-    pick = [clean[k] for k in rng.permutation(len(clean))[:12000]]
+    pick = [clean[k] for k in rng.permutation(len(clean))[:NEGATIVES]]
     common = [w for w, _ in Counter(chosen).most_common(LANDMARKS // 2)]
     space = _Space(list(dict.fromkeys(common + pick))[:LANDMARKS])
     negatives, weight, bias = list(pick), None, 0.0
@@ -268,7 +280,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         w, bias = _machine(space.map(words), y, cost)
         weight = space.collapse(w)
         value = dict(zip(clean, scores(clean, weight, bias).tolist(), strict=True))
-        hard = sorted(clean, key=lambda x: -value[x])[:3000]
+        hard = sorted(clean, key=lambda x: -value[x])[:HARD]
         negatives = list(dict.fromkeys(hard + pick))
         flat = sorted({x for words in toxic_docs for x in words})
         value = dict(zip(flat, scores(flat, weight, bias).tolist(), strict=True))
@@ -306,16 +318,14 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = shared()
-        known: dict[str, int] = {}
-        table = np.zeros(0)
+        known, table = Numbered(), np.zeros(0)
         for batch in slices(batches):
             codes, offsets, words = text_words(batch.column(1))
-            if len(known) + len(words) > KEPT_WORDS:
-                known, table = {}, table[:0]
-            fresh = [w for w in words if w not in known]
-            known.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-            table = np.concatenate([table, word_scores(fresh, own.weight, own.bias)])
-            rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            if known.known.nbytes + table.nbytes > KEPT:
+                known, table = Numbered(), table[:0]
+            rows, fresh = known.find(words)
+            known.add(fresh)
+            table = np.concatenate([table, word_scores(fresh.to_pylist(), own.weight, own.bias)])
             best = evidence(table[rows][codes] if len(codes) else np.zeros(0), offsets)
             p = 1 / (1 + np.exp(-np.clip(best @ own.slope + own.shift, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
