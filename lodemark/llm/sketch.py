@@ -1,19 +1,25 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range, so that what
-two sketches share estimates what their texts share, however unequal they are, and the sketch of a union
-is the union of the sketches. The fraction is BASE (1/16); a text that would keep fewer than LEAST hashes
-takes the smallest of 1/8, 1/4, 1/2 and 1 that keeps so many (1 at the most). Two sketches are compared
-at the smaller of their fractions, which both of them hold in full.
+A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range, SHARE (1/4), the
+same for every text, so that what two sketches share estimates what their texts share, however unequal they
+are, and the sketch of a union is the union of the sketches. Beside them it keeps the LEAST smallest hashes
+wherever they lie, also in every text, so that a short text's sketch is not left empty. A sketch thus knows
+all hashes of its text up to its reach: to the threshold, or to the LEAST-th smallest hash where that lies
+beyond, or all of them if there are fewer than LEAST. Two sketches are compared up to the smaller reach.
 
-A fingerprint is written as its level (0: 1/16 ... 4: 1), a colon and the base64 of the sorted hashes as
-little-endian unsigned 32-bit integers. Equal texts have equal fingerprints.
+What that gives: between texts of fewer than LEAST shingles likeness is exact. A short text against a long
+one is seen through its hashes below the threshold: one of n shingles has none with probability
+(1 - SHARE)^n, 6 % at ten shingles and 1 % at sixteen, and then the answer is 0; in all other cases a text
+that the other holds whole gets exactly 1. The standard error of a containment c is sqrt(c (1 - c) / (n SHARE)).
+
+A fingerprint is the base64 of the sorted hashes as little-endian unsigned 32-bit integers. Equal texts have
+equal fingerprints.
 
 Defined results: null counts as empty; a text of fewer than five words has one shingle, all of it, and a
-text without words none; two empty sketches are alike (1) if the fingerprints are equal, else 0; the next
-document is the one with the next smaller doc_id, rows that repeat a doc_id are in order of text, null
-doc_ids come last, and the last document's next is the first; a single document is its own next; other
-columns are ignored; an empty table gives no rows.
+text without words none; likeness to a sketch without hashes is 1 if both have none, else 0; the next
+document is the one with the next smaller doc_id, rows that repeat a doc_id are in order of a hash of the
+text and of the text, null doc_ids come last, and the last document's next is the first; a single document is
+its own next; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +30,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions_for, read_table, slices, words_of
+from .common import mix64, read_table, slices, tasks_for, words_of
 
 SHINGLE = 5
-LEVELS = 5
-#: Hashes (32 bits) of level k are below LIMITS[k].
-LIMITS = np.array([1 << (28 + k) for k in range(LEVELS)], np.uint64)
+#: The fraction of all hashes that every sketch keeps, and the threshold for hashes of 32 bits.
+SHARE = 0.25
+LIMIT = int(SHARE * (1 << 32))
+#: Smallest hashes that a sketch keeps whether they are below the threshold or not.
 LEAST = 32
+ALL = 1 << 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,84 +69,95 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sketches:
-    """Sketches of a list of texts: level of each, and their sorted distinct hashes one after another."""
+    """Sketches of a list of texts: their sorted distinct hashes one after another."""
 
     def __init__(self, texts: pa.Array):
-        n = len(texts)
         hashes, owner = shingles(texts)
-        counts = np.stack([np.bincount(owner[hashes < limit], minlength=n) for limit in LIMITS])
-        enough = counts >= LEAST
-        self.level = np.where(enough.any(axis=0), enough.argmax(axis=0), LEVELS - 1)
-        keep = hashes < LIMITS[self.level][owner]
-        both = np.unique((owner[keep].astype(np.uint64) << np.uint64(32)) | hashes[keep])
-        self.hashes = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.at = np.searchsorted(both >> np.uint64(32), np.arange(n + 1).astype(np.uint64))
+        both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | hashes)
+        own, low = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
+        begin = np.searchsorted(own, np.arange(len(texts)))
+        keep = (low < LIMIT) | (np.arange(len(both)) - begin[own] < LEAST)
+        self.hashes = low[keep].astype(np.uint32)
+        self.at = np.searchsorted(own[keep], np.arange(len(texts) + 1))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hashes[self.at[k] : self.at[k + 1]]
+
 
-    def of(self, k: int) -> tuple[int, np.ndarray]:
-        return int(self.level[k]), self.hashes[self.at[k] : self.at[k + 1]]
+def written(sketch: np.ndarray) -> str:
+    return base64.b64encode(sketch.astype("<u4").tobytes()).decode()
 
 
-def written(level: int, hashes: np.ndarray) -> str:
-    return f"{level}:{base64.b64encode(hashes.astype('<u4').tobytes()).decode()}"
+def read(fingerprint: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def read(fingerprint: str) -> tuple[int, np.ndarray]:
-    level, _, rest = fingerprint.partition(":")
-    return int(level), np.frombuffer(base64.b64decode(rest), "<u4")
+def reach(sketch: np.ndarray) -> int:
+    """All hashes of the text below this are in the sketch."""
+    if len(sketch) < LEAST:
+        return ALL
+    return max(LIMIT, int(sketch[-1]) + 1)
 
 
-def _at_level(sketch: tuple[int, np.ndarray], level: int) -> np.ndarray:
-    return sketch[1] if sketch[0] == level else sketch[1][: np.searchsorted(sketch[1], LIMITS[level])]
+def _to(sketch: np.ndarray, limit: int) -> np.ndarray:
+    return sketch if limit >= ALL else sketch[: np.searchsorted(sketch, limit)]
 
 
-def merge(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union of both texts' shingles."""
-    level = min(a[0], b[0])
-    return level, np.union1d(_at_level(a, level), _at_level(b, level))
+    both = np.union1d(a, b)
+    return both[: max(LEAST, int(np.searchsorted(both, LIMIT)))]
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Estimated share of a's shingles that b has; 1 or 0 for an empty sketch."""
-    level = min(a[0], b[0])
-    x, y = _at_level(a, level), _at_level(b, level)
+def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of a's shingles that b has; where nothing of a is below both reaches, 1 if both sketches are empty, else 0."""
+    limit = min(reach(a), reach(b))
+    x, y = _to(a, limit), _to(b, limit)
     if not len(x):
-        return float(a[0] == b[0] and len(a[1]) == len(b[1]) and bool((a[1] == b[1]).all()))
+        return float(not len(a) and not len(b))
     return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The larger of both containments: how much of the smaller sketch the larger one holds."""
-    level = min(a[0], b[0])
-    x, y = _at_level(a, level), _at_level(b, level)
-    return containment(a, b) if len(x) <= len(y) and len(x) else containment(b, a) if len(y) else containment(a, b)
+    limit = min(reach(a), reach(b))
+    return containment(a, b) if len(_to(a, limit)) <= len(_to(b, limit)) else containment(b, a)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, look, doc_id, text) that lie together, and in order, with the row that follows each.
 
-    Buckets are ranges of doc_id. The first row of a bucket is also sent, as a look-ahead, to the end of
-    the bucket before, so that no order over all rows is ever made in one task.
+    Buckets are ranges of doc_id, downwards; an id (or null) that holds more than one bucket's share of the rows
+    has buckets by ranges of the text's hash. The first row of a bucket is also sent, as a look-ahead, to the end
+    of the bucket before, so that no order over all rows is ever made in one task.
     """
-    n = partitions_for(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = sorted({int(x) for x in rows.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)} if n > 1 else set())
-    steps = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    # Bucket 0 holds the largest ids; the last one also holds null ids.
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(steps, lambda b: b > F.col("doc_id")))).cast("int")
-    heads = {r["bucket"]: (r["top"], r["nulls"]) for r in rows.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()}
-    order = sorted(heads)
-    before = {heads[b][0]: order[k - 1] for k, b in enumerate(order)}  # of the first bucket: the last
-    known = {k: v for k, v in before.items() if k is not None}
-    ahead = F.lit(None).cast("int")
-    if known:
-        ahead = F.try_element_at(F.create_map(*[x for k, v in known.items() for x in (F.lit(k).cast("long"), F.lit(v).cast("int"))]), F.col("doc_id"))
-    if None in before:  # a bucket of null ids alone
-        ahead = F.when(F.col("doc_id").isNull(), F.lit(before[None]).cast("int")).otherwise(ahead)
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("look"))
-    copy = F.struct(ahead.alias("bucket"), F.lit(True).alias("look"))
-    places = F.when(ahead.isNull(), F.array(own)).otherwise(F.array(own, copy))
-    spread = rows.select(F.explode(places).alias("place"), "doc_id", "text").select("place.bucket", "place.look", "doc_id", "text")
-    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "look", F.desc_nulls_last("doc_id"), "text")
+    spark, n = docs.sparkSession, tasks_for(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    quantiles = [int(x) for x in rows.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)] if n > 1 else []
+    bounds = sorted(set(quantiles))
+    split = {b: quantiles.count(b) for b in bounds if quantiles.count(b) > 1}
+    known, nulls = rows.agg(F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    split[None] = max(1, round(n * nulls / max(1, known + nulls)))
+    # Ids from bounds[k-1] on are in bucket len(bounds) - k; the number of a hash range comes below that. The
+    # search is on doubles, where ids that are equal then share a bucket, and so are in order still.
+    edges = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
+    found = Bucketizer(splits=edges, inputCol="as_double", outputCol="place", handleInvalid="keep") if len(edges) > 2 else None
+    placed = rows.withColumn("as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))
+    placed = found.transform(placed) if found else placed.withColumn("place", F.lit(0.0))
+    pieces = spark.createDataFrame([(b, k) for b, k in split.items()], "heavy long, pieces int")  # n rows at most
+    placed = placed.join(F.broadcast(pieces), F.col("doc_id").eqNullSafe(F.col("heavy")), "left")
+    part = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(1 + F.least(F.col("pieces") - 1, F.floor((F.col("hash") / 2.0**64 + 0.5) * F.col("pieces"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(len(edges) - 2 - F.col("place"))
+    placed = placed.select((bucket.cast("long") * (1 << 20) + part).alias("bucket"), "doc_id", "hash", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "hash"))
+    heads = [(r["bucket"], *r["first"]) for r in placed.groupBy("bucket").agg(first.alias("first")).orderBy("bucket").collect()]  # about n rows
+    ahead = spark.createDataFrame([(None if none else ~down, h, heads[k - 1][0]) for k, (_, none, down, h) in enumerate(heads)], "head long, first long, ahead long")
+    same = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("first"))
+    looked = placed.join(F.broadcast(ahead), same, "left")
+    own = F.struct(F.col("bucket"), F.lit(False).alias("look"))
+    places = F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("ahead").alias("bucket"), F.lit(True).alias("look"))))
+    spread = looked.select(F.explode(places).alias("at"), "doc_id", "hash", "text").select("at.bucket", "at.look", "doc_id", "hash", "text")
+    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "look", F.desc_nulls_last("doc_id"), "hash", "text").select("bucket", "look", "doc_id", "text")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
             out = []
             for n, k in enumerate(pairs):
                 a, b, c = plain.of(k), changed.of(n), plain.of(k + 1)
-                out.append((rows[k][2], len(texts[k]), hashlib.sha256(edited[n].encode()).hexdigest(), written(*a), written(*b), likeness(a, b), likeness(a, c)))
+                out.append((rows[k][2], len(texts[k]), hashlib.sha256(edited[n].encode()).hexdigest(), written(a), written(b), likeness(a, b), likeness(a, c)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
