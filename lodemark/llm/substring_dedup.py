@@ -3,9 +3,10 @@
 A window of 20 words holds a whole block of 10 at an offset that is a multiple of 10 in its document, so
 reference blocks that do not overlap index every window ten times over-sparsely, and nothing is missed.
 
-1. Every document's blocks are indexed and every other rolling 10-word window probes the index. Blocks
-   and probes travel packed: 32 bits of hash and a position, one row per chunk and partition.
-2. A probe that meets a block, and a block that meets a probe or another block, is an anchor.
+1. Every document's blocks are indexed and every other rolling 10-word window probes the index. They travel
+   packed and sorted, as 32 bits of hash each, one row per chunk and part of the hash range; a chunk names a
+   hash once, so that a block that a third of all rows share costs one entry a chunk.
+2. A hash that is a block and occurs anywhere else is an anchor; its chunks get it back.
 3. Anchors are extended: each 20-word window that holds one is hashed (96 bits) in its chunk. Of equal
    windows in one chunk only the first goes on; the others are repeats already.
 4. Equal windows of different chunks meet; all but the first are repeats. Consecutive repeats are the
@@ -13,7 +14,12 @@ reference blocks that do not overlap index every window ten times over-sparsely,
    all rows shares costs one row a chunk and window.
 5. Repeats return to their chunk, which removes the words they cover.
 
-A chunk is CHUNK consecutive rows of one input partition. Positions are words within a chunk.
+A chunk is CHUNK consecutive rows of one input partition. Positions are words within a chunk. The hash range
+has PARTS parts for each task of the shuffles, and these are as many as read the input (or the session's
+number, where that is more): a task holds one part at a time, which does not grow with the input.
+
+Rows are numbered by their place in the input, which is read three times and must come alike each time. Files
+do (`stable`); anything else is written to the checkpoint folder first.
 
 Defined results: null texts have no words; a text without words keeps the hash of the empty string;
 rows that repeat a doc_id are ordered by their place in the input; null doc_ids are the smallest; other
@@ -31,13 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions_for, read_table, slices, words_of
+from .common import checkpointed, mix64, read_table, slices, tasks_for, words_of
 
 WINDOW, BLOCK = 20, 10
 CHUNK_BITS = 10
+PARTS = 8
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
-#: Words that a task hashes at once.
-FLUSH = 1 << 21
 
 
 def rolled(words: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -57,7 +62,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed_positions(at: np.ndarray) -> bytes:
-    """Increasing positions as byte planes of their steps; the upper planes are mostly zeros."""
+    """Increasing positions (or hashes) as byte planes of their steps; the upper planes are mostly zeros."""
     steps = np.diff(at, prepend=0).astype("<u4")
     return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
 
@@ -89,7 +94,9 @@ def _record(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-PROBES = [("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("at", pa.binary())]
+#: Kinds of step 1, in this order in a part: blocks, blocks that their own chunk has once more, probes.
+BLOCKS, ANCHORS, OTHERS = 0, 1, 2
+PROBES = [("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary())]
 HITS = [("chunk", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("ids", pa.binary()), ("body", pa.binary())]
 WINDOWS = [("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary())]
 
@@ -99,82 +106,87 @@ def _schema(fields: list[tuple[str, pa.DataType]]) -> str:
     return ", ".join(f"{n} {names[t]}" for n, t in fields)
 
 
+def _keys(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the 10-word windows of texts of WINDOW words or more, whether they are blocks, and their hashes."""
+    sizes = np.diff(offsets)
+    place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
+    size = np.repeat(sizes, sizes)
+    use = np.flatnonzero((place + BLOCK <= size) & (size >= WINDOW))
+    return use, place[use] % BLOCK == 0, mix64(rolled(words, FACTORS[0])[use])
+
+
 def anchors_of(rows: DataFrame, parts: int) -> DataFrame:
-    """Step 1: blocks (kind 0) and probes (kind 1) of every chunk, packed by partition of their hash."""
+    """Step 1: blocks and probes of every chunk, each hash once, packed by part."""
 
     def run(batches):
-        now, base = None, 0
         for chunk, batch in _chunked(batches, 3):
-            if chunk != now:
-                now, base = chunk, 0
             words, offsets = word_hashes(batch.column(2))
-            if len(words):
-                sizes = np.diff(offsets)
-                place = np.arange(len(words)) - np.repeat(offsets[:-1], sizes)
-                size = np.repeat(sizes, sizes)
-                use = np.flatnonzero((place + BLOCK <= size) & (size >= WINDOW))
-                key = mix64(rolled(words, FACTORS[0])[use])
-                part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-                low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-                probe = (place[use] % BLOCK != 0).astype(np.int32)
+            if not len(words):
+                continue
+            _, block, key = _keys(words, offsets)
+            hashes, inverse = np.unique(key, return_inverse=True)
+            is_block = np.bincount(inverse, block, minlength=len(hashes)) > 0
+            kind = np.where(is_block, np.where(np.bincount(inverse, minlength=len(hashes)) > 1, ANCHORS, BLOCKS), OTHERS)
+            part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            order = np.lexsort((low, kind, part))
+            both = (part * 3 + kind)[order]
+            cuts = np.flatnonzero(np.diff(both, prepend=-1))
+            low = low[order]
+            for at in range(0, len(cuts), 512):
                 out = []
-                for both, own in _by_part(part * 2 + probe):
-                    out.append((both >> 1, both & 1, chunk, low[own].tobytes(), packed_positions(base + use[own])))
-                    if len(out) >= 512:
-                        yield _record(out, PROBES)
-                        out = []
+                for i, j in zip(cuts[at : at + 512].tolist(), [*cuts, len(low)][at + 1 : at + 513], strict=True):
+                    out.append((int(both[i]) // 3, int(both[i]) % 3, chunk, packed_positions(low[i:j])))
                 yield _record(out, PROBES)
-            base += len(words)
 
     return rows.mapInArrow(run, _schema(PROBES))
 
 
 def hits_of(probes: DataFrame) -> DataFrame:
-    """Step 2: positions of anchors by chunk. Rows of a partition come by part, blocks before probes."""
+    """Step 2: the hashes of anchors by chunk. Rows of a partition come by part, blocks before probes."""
 
     def run(batches):
         now = None
-        blocks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        blocks: list[tuple[int, np.ndarray, bool]] = []
         index = None
 
         def build():
-            hashes = np.concatenate([b[1] for b in blocks]) if blocks else np.zeros(0, np.uint32)
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            new = np.diff(hashes.astype(np.int64), prepend=-1) != 0
-            group = np.cumsum(new) - 1
-            return hashes[new], group, order, np.bincount(group) > 1 if len(group) else np.zeros(0, bool)
+            hashes = np.concatenate([b[1] for b in blocks]) if blocks else np.zeros(0, np.int64)
+            sure = np.repeat([b[2] for b in blocks], [len(b[1]) for b in blocks]) if blocks else np.zeros(0, bool)
+            distinct, group = np.unique(hashes, return_inverse=True)
+            return distinct, (np.bincount(group, minlength=len(distinct)) > 1) | (np.bincount(group, sure, minlength=len(distinct)) > 0)
 
         def close():
-            if index is None and not blocks:
-                return []
-            _, group, order, hit = index if index is not None else build()
-            owner = np.repeat(np.arange(len(blocks)), [len(b[1]) for b in blocks])
-            at = np.concatenate([b[2] for b in blocks]) if blocks else np.zeros(0, np.int64)
-            mine = np.sort(order[hit[group]]) if len(group) else np.zeros(0, np.int64)
-            return [(blocks[k][0], 0, 0, b"", packed_positions(np.sort(at[mine[own]]))) for k, own in _by_part(owner[mine])] if len(mine) else []
+            distinct, hit = index if index is not None else build()
+            anchors = distinct[hit]
+            out = []
+            for chunk, own, _ in blocks:
+                mine = own[hit[np.searchsorted(distinct, own)]] if len(anchors) else own[:0]
+                if len(mine):
+                    out.append((chunk, 0, 0, b"", packed_positions(mine)))
+            return out
 
         for batch in batches:
             out = []
-            for part, kind, chunk, hashes, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, kind, chunk, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     if now is not None:
                         out += close()
                     now, blocks, index = part, [], None
-                low = np.frombuffer(hashes, "<u4")
-                if kind == 0:
-                    blocks.append((chunk, low, unpacked_positions(at)))
+                low = unpacked_positions(hashes)
+                if kind != OTHERS:
+                    blocks.append((chunk, low, kind == ANCHORS))
                     continue
                 if index is None:
                     index = build()
-                distinct, _, _, hit = index
+                distinct, hit = index
                 if not len(distinct):
                     continue
                 found = np.minimum(np.searchsorted(distinct, low), len(distinct) - 1)
                 met = distinct[found] == low
                 if met.any():
                     hit[found[met]] = True
-                    out.append((chunk, 0, 0, b"", packed_positions(unpacked_positions(at)[met])))
+                    out.append((chunk, 0, 0, b"", packed_positions(low[met])))
             yield _record(out, HITS)
         if now is not None:
             yield _record(close(), HITS)
@@ -211,7 +223,7 @@ def _texts(ids: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 class _Marks:
-    """Marked positions of one chunk, as the sorted parts come in."""
+    """Marked positions (or hashes) of one chunk, as the sorted parts come in."""
 
     def __init__(self):
         self.parts: list[np.ndarray] = []
@@ -220,10 +232,21 @@ class _Marks:
     def add(self, raw: bytes) -> None:
         self.parts.append(unpacked_positions(raw))
 
-    def flags(self, base: int, n: int) -> np.ndarray:
-        """Flags of positions base .. base + n - 1."""
+    def _close(self) -> None:
         if self.all is None:
             self.all = np.sort(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.int64)
+            self.parts = []
+
+    def hold(self, values: np.ndarray) -> np.ndarray:
+        """Which of the values are marked."""
+        self._close()
+        if not len(self.all):
+            return np.zeros(len(values), bool)
+        return self.all[np.minimum(np.searchsorted(self.all, values), len(self.all) - 1)] == values
+
+    def flags(self, base: int, n: int) -> np.ndarray:
+        """Flags of positions base .. base + n - 1."""
+        self._close()
         out = np.zeros(n, bool)
         i, j = np.searchsorted(self.all, [base, base + n])
         out[self.all[i:j] - base] = True
@@ -234,7 +257,7 @@ def windows_of(together: DataFrame, parts: int) -> DataFrame:
     """Step 3: hashes of the windows that hold an anchor; repeats within a chunk have a part below zero."""
 
     def run(batches):
-        now, base, marks, seen_keys = None, 0, _Marks(), []
+        now, base, marks = None, 0, _Marks()
         for batch in batches:
             for chunk, kind, _, ids, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != now:
@@ -244,7 +267,10 @@ def windows_of(together: DataFrame, parts: int) -> DataFrame:
                     continue
                 doc_ids, _, texts = _texts(ids, body)
                 words, offsets = word_hashes(texts)
-                flags = marks.flags(base, len(words))
+                flags = np.zeros(len(words), bool)
+                use, _, key = _keys(words, offsets)
+                # Parts are not told apart here: an anchor too many costs some windows and changes nothing.
+                flags[use] = marks.hold((key & np.uint64(0xFFFFFFFF)).astype(np.int64))
                 if flags.any():
                     sizes = np.diff(offsets)
                     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -353,16 +379,22 @@ def _dealt(df: DataFrame, n: int, key: str, *order: str) -> DataFrame:
     return df.repartition(n, key).sortWithinPartitions(key, *order)
 
 
-def substring_dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row of docs."""
-    n = partitions_for(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def substring_dedup(docs: DataFrame, keep_text: bool = False, stable: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for every row of docs.
+
+    stable: docs gives the same rows in the same order whenever it is read, as a table of files does.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not stable:
+        docs = checkpointed(docs)
+    n = tasks_for(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     texts = packed_texts(rows)
-    hits = hits_of(_dealt(anchors_of(rows, n), n, "part", "kind"))
-    windows = windows_of(_dealt(hits.unionByName(texts), n, "chunk", "kind", "seq"), n)
+    hits = hits_of(_dealt(anchors_of(rows, PARTS * n), n, "part", "kind"))
+    windows = windows_of(_dealt(hits.unionByName(texts), n, "chunk", "kind", "seq"), PARTS * n)
     repeats = repeats_of(_dealt(windows, n, "part"))
     return removed_of(_dealt(repeats.unionByName(texts), n, "chunk", "kind", "seq"), keep_text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents"))
+    return substring_dedup(read_table(spark, sf_dir, "documents"), stable=True)
