@@ -32,7 +32,7 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool
 
     def run(batches):
         own = encoding(rank_file, pattern)
-        encoder = UnitEncoder(lambda units: [own.encode_ordinary(u) for u in units])  # ids of at most 96 MB of units are kept
+        encoder = UnitEncoder(lambda units: [own.encode_ordinary(u) for u in units])  # ids of at most 64 MB of units and matches are kept
         for batch in slices(batches):
             ids, at = encoder(batch.column(1))
             counts, hashes, decoded, lists = [], [], [], []

@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, window: int
             fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields)
 
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             ids, at = encoder(batch.column(1))
             for doc_id, i, j in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 number += 1

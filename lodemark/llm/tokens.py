@@ -97,7 +97,7 @@ class UnitEncoder:
     """Encodes texts by their distinct units, and those by their distinct matches. The ids of units and of
     matches are kept between calls while they fill at most `most` bytes each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 48 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 32 << 20):
         self.encode, self.most = encode, most
         self.units, self.matches = _Ids(), _Ids()
 
