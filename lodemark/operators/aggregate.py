@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemark.session import checkpointed
+
+from .quantiles import beside, quantile, quantiles
+
 
 def rounded(c: Column, name: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name)
@@ -13,11 +21,12 @@ def rounded(c: Column, name: str, digits: int = 6) -> Column:
 def error_metrics(df: DataFrame, by: list[str], models: dict[str, Column], truth: Column, least: int = 1) -> DataFrame:
     """Per group and model the median absolute, signed median and 90th percentile absolute error
     and the slope of the error on the truth, for all models in one pass; groups under `least` rows are left out."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+    wanted, slopes = {}, []
     for k, p in models.items():
         e = p - truth
-        aggs += [rounded(F.percentile(F.abs(e), 0.5), f"{k}_median"), rounded(F.percentile(e, 0.5), f"{k}_signed"), rounded(F.percentile(F.abs(e), 0.9), f"{k}_p90"), rounded(F.regr_slope(e, truth), f"{k}_slope")]
-    return df.groupBy(*by).agg(*aggs).where(F.col("n") >= least)
+        wanted |= {f"{k}_median": (F.abs(e), 0.5), f"{k}_signed": (e, 0.5), f"{k}_p90": (F.abs(e), 0.9)}
+        slopes.append(rounded(F.regr_slope(e, truth), f"{k}_slope"))
+    return quantiles(df, by, wanted, slopes).where(F.col("n") >= least)
 
 
 def mode_per_group(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -54,56 +63,91 @@ def within_slope(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
     return s.select("n", "groups", F.round(slope, 4).alias("slope"), F.round(F.when(~flat, F.sqrt(F.try_divide(F.greatest(left, F.lit(0.0)) / dof, F.col("sxx")))), 4).alias("se"))
 
 
-def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column, name: str = "median") -> DataFrame:
-    """The lower weighted median per group.
-
-    Equal values are added up first, so that the running sum sees distinct values only.
-    """
-    distinct = df.select(*by, value.alias("_wm_v"), weight.alias("_wm_w")).groupBy(*by, "_wm_v").agg(F.sum("_wm_w").alias("_wm_w"))
-    run = Window.partitionBy(*by).orderBy("_wm_v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    summed = distinct.select("*", F.sum("_wm_w").over(run).alias("_wm_c"), F.sum("_wm_w").over(whole).alias("_wm_t"))
-    return summed.where(F.col("_wm_c") >= 0.5 * F.col("_wm_t")).groupBy(*by).agg(F.min("_wm_v").alias(name))
-
-
-def lad_slope(df: DataFrame, by: list[str], x: Column, y: Column, name: str = "slope") -> DataFrame:
-    """Least absolute deviation slope through the origin: the |x|-weighted median of y/x; x = 0 is inert."""
-    return weighted_median(df.where(x != 0), by, y / x, F.abs(x), name)
-
-
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and median absolute deviation from it."""
-    middle = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_m"))
-    joined = df.join(middle, by)
-    return joined.groupBy(*by).agg(rounded(F.max("_m"), "median"), rounded(F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5), "mad"))
+    middle = quantiles(df, by, {"_m": (F.col(value), 0.5)}, digits=None)
+    joined = beside(df, middle, by)
+    return quantiles(joined, by, {"mad": (F.abs(F.col(value) - F.col("_m")), 0.5)}, [rounded(F.max("_m"), "median")]).select(*by, "median", "mad")
 
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> tuple[DataFrame, list[float]]:
     """Right-closed bins at n equal quantiles, equal edges dropped; the lowest value is in the first."""
     from lodemark.functions.numeric import closed_bin
 
-    edges = df.agg(F.percentile(value, [k / n for k in range(n + 1)])).first()[0]
-    edges = sorted(set(edges)) if edges else []
+    edges = sorted({e for e in quantile(df, F.col(value), [k / n for k in range(n + 1)]) if e is not None})
     if len(edges) < 2:
         return df.select("*", F.lit(0).alias("bin")), edges
     return df.select("*", closed_bin(F.col(value), edges, include_lowest=True).alias("bin")), edges
 
 
-def bootstrap_median(df: DataFrame, by: list[str], value: str, key: str, resamples: int = 200) -> DataFrame:
-    """95 % interval of the median by Poisson(1) weights from a hash of (key, resample).
+#: Half-widths of the rank ranges that may hold the medians of all resamples; 0.5 is everything.
+_HALVES = [0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.008, 0.004, 0.002, 0.001]
+
+
+def poisson_weights(keys: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of rows (their 64-bit keys) in resamples, by a hash of both."""
+    steps = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(12)]))
+    x = keys.astype(np.uint64)[:, None] ^ (resamples.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return np.searchsorted(steps, (x >> np.uint64(11)) / 2.0**53, side="right")
+
+
+def bootstrap_median(df: DataFrame, by: list[str], value: str, key: str, resamples: int = 1000) -> DataFrame:
+    """95 % interval of the lower median, from Poisson(1) weights by a hash of (key, resample).
 
-    Same rows, same answer, however they are partitioned: a row's weight in a resample depends on its key
-    alone. The weighted percentile needs no row per repetition.
+    Same rows, same answer, however they are partitioned: a row's weights depend on its key alone. The medians
+    of all resamples lie within eight standard errors of rank n/2, so each task adds up its weights per
+    resample, in all and below that range, and only the rows within the range, 16 sqrt(n) or so, are gathered.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("b")), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    # Poisson(1) by inversion: the weight is the number of steps of its distribution below u.
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    drawn = df.select(*by, value, key, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    # Equal values are added up first: the percentile then sees each once.
-    summed = drawn.select(*by, value, "b", weight.alias("w")).where("w > 0").groupBy(*by, "b", value).agg(F.sum("w").alias("w"))
-    medians = summed.groupBy(*by, "b").agg(F.percentile(value, 0.5, F.col("w")).alias("m"))
-    return medians.groupBy(*by).agg(rounded(F.percentile("m", 0.025), "low"), rounded(F.percentile("m", 0.5), "middle"), rounded(F.percentile("m", 0.975), "high"))
+    import pandas as pd
+
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(key).alias("_k"))
+    shares = [s for h in _HALVES[1:] for s in (0.5 - h, 0.5 + h)]
+    edges = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", shares, 10_000).alias("_e"))
+    low, high = F.lit(-math.inf), F.lit(math.inf)
+    for k, h in enumerate(_HALVES[1:]):
+        fits = 8 / F.sqrt("n") / 2 + 2e-4 < h
+        low, high = F.when(fits, F.get("_e", 2 * k)).otherwise(low), F.when(fits, F.get("_e", 2 * k + 1)).otherwise(high)
+    groups = checkpointed(edges.select(*by, "n", low.alias("_low"), high.alias("_high")))
+    rows = beside(known, groups, by)
+    everyone = np.arange(resamples)
+
+    def totals(batches):
+        found: dict = {}
+        for batch in batches:
+            names = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
+            index = {g: k for k, g in enumerate(dict.fromkeys(names))}
+            code = np.fromiter(map(index.__getitem__, names), np.int64, len(names))
+            below = batch.column("_v").to_numpy() < batch.column("_low").to_numpy()
+            keys = batch.column("_k").to_numpy()
+            for g, k in index.items():
+                own = found.setdefault(g, np.zeros((2, resamples), np.int64))
+                mine = np.flatnonzero(code == k)
+                for i in range(0, len(mine), 2048):
+                    w = poisson_weights(keys[mine[i : i + 2048]], everyone)
+                    own += np.stack([w.sum(axis=0), w[below[mine[i : i + 2048]]].sum(axis=0)])
+        columns = [pa.array([g[k] for g in found]) for k in range(len(by))]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[k].tolist() for x in found.values()], pa.list_(pa.int64())) for k in (0, 1)]], [*by, "_total", "_below"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in known.select(*by).dtypes)
+    per_task = rows.select(*by, "_v", "_k", "_low").mapInArrow(totals, f"{kinds}, _total array<long>, _below array<long>")
+    spread = per_task.select(*by, F.posexplode(F.arrays_zip("_total", "_below")).alias("b", "s"))
+    sums = spread.groupBy(*by, "b").agg(F.sum("s._total").alias("total"), F.sum("s._below").alias("below"))
+    near = rows.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))).select(*by, "_v", "_k")
+
+    def medians(group: tuple, values: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        values, weights = values.sort_values(["_v", "_k"]), weights.sort_values("b")
+        v, keys, out = values["_v"].to_numpy(), values["_k"].to_numpy(), []
+        total, below = weights["total"].to_numpy(), weights["below"].to_numpy()
+        for block in np.array_split(everyone, max(1, len(keys) * resamples // 4_000_000)):
+            upto = np.cumsum(poisson_weights(keys, block), axis=0) + below[block]
+            reached = 2 * upto >= total[block]
+            if not (reached[-1] & (2 * below[block] < total[block]) | (total[block] == 0)).all():
+                raise ValueError("a resample's median lies beyond its range")
+            out.append(v[reached.argmax(axis=0)][total[block] > 0])
+        found = np.concatenate(out)
+        return pd.DataFrame([(*group, *(np.quantile(found, (0.025, 0.5, 0.975)).round(6) if len(found) else [None] * 3))], columns=[*by, "low", "middle", "high"])
+
+    return near.groupBy(*by).cogroup(sums.groupBy(*by)).applyInPandas(medians, f"{kinds}, low double, middle double, high double")

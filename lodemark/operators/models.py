@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions.numeric import clip, disparity, interpolate, mapped, tan_depression
 
-from .aggregate import lad_slope
+from .quantiles import lad_slope, quantile, quantiles
 
 CAP_M = 50.0
 ANCHOR_HEIGHT_M = 2.6
@@ -223,58 +223,92 @@ def slope_ols(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
     return df.groupBy(*by).agg((F.sum(x * y) / F.sum(x * x)).alias("slope"))
 
 
+def _narrow(df: DataFrame, dep: str, dist: str, label_type: str | None) -> DataFrame:
+    """Depression, distance, type, tangent and disparity of the clicks that have them: computed once, then kept."""
+    kind = F.col(label_type) if label_type else F.lit("")
+    base = df.select(F.col(dep).cast("double").alias("_d"), F.col(dist).cast("double").alias("_m"), kind.alias("_t")).where(F.col("_d").isNotNull() & F.col("_m").isNotNull())
+    return base.select("*", tan_depression(F.col("_d"), 0.0).alias("_x"), disparity(F.col("_m"), 1.0).alias("_y")).persist()
+
+
 def fit_cotangent(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
     """Camera heights in disparity space, over clicks below the horizon; per type with a pooled fallback."""
-    rows = df.where(F.col(dep) > 0)
-    x, y = tan_depression(F.col(dep), 0.0), disparity(F.col(dist), 1.0)
-    fit = slope_ols if loss == "ols" else lad_slope
-    pooled = fit(rows.select("*", F.lit(0).alias("_all")), ["_all"], x, y).first()
-    if pooled is None or not pooled["slope"]:
-        raise ValueError("no click below the horizon to fit on")
-    types = {r[label_type]: 1 / r["slope"] for r in fit(rows, [label_type], x, y).collect() if r["slope"]} if label_type else {}
-    return Geometric("cotangent", 1 / pooled["slope"], types)
+    kept = _narrow(df, dep, dist, label_type)
+    try:
+        rows = kept.where("_d > 0")
+        if loss == "ols":  # the sums of the types add up to the pooled ones
+            sums = rows.groupBy("_t").agg(F.sum(F.col("_x") * F.col("_y")).alias("p"), F.sum(F.col("_x") * F.col("_x")).alias("q")).collect()
+            top, low = sum(r["p"] for r in sums), sum(r["q"] for r in sums)
+            pooled, slopes = top / low if low else None, {r["_t"]: r["p"] / r["q"] for r in sums if r["q"]}
+        else:
+            found = lad_slope(rows.select(F.lit(0).alias("_all"), "_x", "_y"), ["_all"], F.col("_x"), F.col("_y")).first()
+            pooled = found["slope"] if found else None
+            slopes = {r["_t"]: r["slope"] for r in lad_slope(rows, ["_t"], F.col("_x"), F.col("_y")).collect()} if label_type else {}
+        if not pooled:
+            raise ValueError("no click below the horizon to fit on")
+        return Geometric("cotangent", 1 / pooled, {t: 1 / s for t, s in slopes.items() if s} if label_type else {})
+    finally:
+        kept.unpersist()
 
 
 def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type: str | None, dep: str, dist: str) -> Geometric:
-    """The grid angle with the least loss in metres; slopes of all angles first, then all losses, a pass each."""
-    d = F.col(dep)
-    kind = F.col(label_type) if label_type else F.lit("")
-    base = df.where(d.isNotNull() & F.col(dist).isNotNull()).select(d.alias("_d"), F.col(dist).alias("_m"), kind.alias("_t"))
-    y = disparity(F.col("_m"), 1.0)
-    heights: list[dict] = [{} for _ in grid]
-    pooled: list[float | None] = [None] * len(grid)
+    """The grid angle with the least loss in metres.
+
+    Least squares needs no row per angle: sums per cell between two grid angles add up to those of every angle.
+    """
+    base = _narrow(df, dep, dist, label_type)
+    try:
+        heights: list[dict] = [{} for _ in grid]
+        pooled: list[float | None] = [None] * len(grid)
+        if loss == "ols":
+            # cell k: at or above k grid angles, below the next
+            cell = F.greatest(F.lit(0), F.least(F.lit(len(grid)), F.floor((F.col("_d") - grid[0]) / (grid[1] - grid[0])) + 1)).cast("int")
+            sums = base.groupBy("_t", cell.alias("k")).agg(F.sum(F.col("_x") * F.col("_y")).alias("p"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.sum("_y").alias("y"), F.count(F.lit(1)).alias("n")).collect()
+            for k, a in enumerate(grid):
+                t, parts = math.tan(math.radians(a)), {}
+                for r in sums:
+                    p, q = (r["p"], r["q"]) if r["k"] > k else (t * r["y"], t * t * r["n"]) if form == "floor" else (0.0, 0.0)
+                    before = parts.get(r["_t"], (0.0, 0.0))
+                    parts[r["_t"]] = (before[0] + p, before[1] + q)
+                heights[k] = {kind: q / p for kind, (p, q) in parts.items() if p > 0 and q > 0}
+                top, low = (sum(x[i] for x in parts.values()) for i in (0, 1))
+                pooled[k] = low / top if top > 0 else None
+        else:
+            angles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.tan(math.radians(a))).alias("x0"), F.lit(a).alias("a")) for k, a in enumerate(grid)])
+            spread = base.select("_d", "_t", "_x", "_y", F.explode(angles).alias("g")).select("_d", "_t", "_y", "g.k", "g.a", (F.greatest("_x", "g.x0") if form == "floor" else F.col("_x")).alias("x"))
+            used = spread if form == "floor" else spread.where("_d >= a")
+            for r in lad_slope(used, ["k"], F.col("x"), F.col("_y")).collect():
+                pooled[r["k"]] = 1 / r["slope"] if r["slope"] else None
+            if label_type:
+                for r in lad_slope(used, ["k", "_t"], F.col("x"), F.col("_y")).collect():
+                    heights[r["k"]][r["_t"]] = 1 / r["slope"]
+        models = [Geometric(form, pooled[k], heights[k] if label_type else {}, a) for k, a in enumerate(grid) if pooled[k]]
+        if not models:
+            raise ValueError("no click to fit on")
+        losses = _losses(base, models, loss, bool(label_type))
+        return models[min(range(len(models)), key=lambda k: (losses[k], k))]
+    finally:
+        base.unpersist()
 
-    def x_of(a: float) -> Column:
-        return tan_depression(F.col("_d"), a if form == "floor" else 0.0)
 
-    if loss == "ols":
-        # Sums of every grid angle in one pass; nothing is exploded.
-        sums = []
-        for k, a in enumerate(grid):
-            use = F.lit(True) if form == "floor" else F.col("_d") >= a
-            sums += [F.sum(F.when(use, x_of(a) * y)).alias(f"p{k}"), F.sum(F.when(use, x_of(a) * x_of(a))).alias(f"q{k}")]
-        rows = base.groupBy("_t").agg(*sums).collect()
-        for k in range(len(grid)):
-            parts = [(r["_t"], r[f"p{k}"] or 0.0, r[f"q{k}"] or 0.0) for r in rows]
-            heights[k] = {t: q / p for t, p, q in parts if p > 0 and q > 0}
-            top, low = sum(p for _, p, _ in parts), sum(q for _, _, q in parts)
-            pooled[k] = low / top if top > 0 else None
+def _losses(base: DataFrame, models: list[Geometric], loss: str, typed: bool, at_once: int = 6) -> list[float]:
+    """The mean loss in metres of each model, a few to an aggregate: one of them all is too long to be compiled."""
+    out: list[float] = []
+    for i in range(0, len(models), at_once):
+        errors = [_quick(m, typed) - F.col("_m") for m in models[i : i + at_once]]
+        out += list(base.agg(*[F.avg(e * e if loss == "ols" else F.abs(e)).alias(f"l{k}") for k, e in enumerate(errors)]).first())
+    return out
+
+
+def _quick(m: Geometric, typed: bool) -> Column:
+    """predict() of a floor or blend model on _narrow's columns: the tangent is there already."""
+    h = _height(m, F.col("_t") if typed else None)
+    a = math.radians(m.angle_deg)
+    if m.form == "floor":
+        out = h / F.greatest(F.col("_x"), F.lit(math.tan(a)))
     else:
-        angles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a")) for k, a in enumerate(grid)])
-        spread = base.select("*", F.explode(angles).alias("g")).select("_d", "_m", "_t", "g.k", "g.a")
-        x = F.tan(F.radians(F.greatest(F.col("_d"), F.col("a") if form == "floor" else F.lit(0.0))))
-        used = spread if form == "floor" else spread.where(F.col("_d") >= F.col("a"))
-        for r in lad_slope(used, ["k"], x, y).collect():
-            pooled[r["k"]] = 1 / r["slope"] if r["slope"] else None
-        if label_type:
-            for r in lad_slope(used, ["k", "_t"], x, y).collect():
-                heights[r["k"]][r["_t"]] = 1 / r["slope"]
-    models = [Geometric(form, pooled[k], heights[k] if label_type else {}, a) for k, a in enumerate(grid) if pooled[k]]
-    if not models:
-        raise ValueError("no click to fit on")
-    errors = [predict(m, F.col("_d"), F.col("_t") if label_type else None) - F.col("_m") for m in models]
-    losses = base.agg(*[F.avg(e * e if loss == "ols" else F.abs(e)).alias(f"l{k}") for k, e in enumerate(errors)]).first()
-    return models[min(range(len(models)), key=lambda k: (losses[k], k))]
+        line = h * (1 / math.tan(a) - (math.radians(1) / math.sin(a) ** 2) * (F.greatest(F.col("_d"), F.lit(0.0)) - m.angle_deg))
+        out = F.when(F.col("_d") >= m.angle_deg, h / F.col("_x")).otherwise(line)
+    return F.least(F.greatest(out, F.lit(0.0)), F.lit(CAP_M))
 
 
 def fit_floor(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
@@ -335,17 +369,19 @@ def fit_isotonic(df: DataFrame, loss: str = "l2", knots: int = 24, dep: str = "d
 
     from .aggregate import quantile_bins
 
-    rows = df.where(F.col(dep).isNotNull() & F.col(dist).isNotNull()).select(F.col(dep).alias("x"), F.col(dist).alias("y"))
+    rows = df.where(F.col(dep).isNotNull() & F.col(dist).isNotNull()).select(F.col(dep).cast("double").alias("x"), F.col(dist).cast("double").alias("y"))
+    near = [float(v) for v in np.geomspace(0.001, 0.5, knots // 2 - 1)]
+    shares = sorted({0.0, 1.0, *near, *[1 - v for v in near]})
     if loss == "l1":
         binned, _ = quantile_bins(rows, "x", 200)
-        rows = binned.groupBy("bin").agg(F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    else:  # equal depressions are one point, by their mean
-        rows = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    fitted = IsotonicRegression(isotonic=False, labelCol="y", weightCol="w", featuresCol="f").fit(VectorAssembler(inputCols=["x"], outputCol="f").transform(rows))
+        points = quantiles(binned, ["bin"], {"x": (F.col("x"), 0.5), "y": (F.col("y"), 0.5)}, digits=None).select("x", "y", F.col("n").cast("double").alias("w"))
+        at = points.agg(F.percentile("x", shares)).first()[0]  # of 200 points
+    else:  # equal depressions are one point, by their mean; the knots are quantiles of the rows
+        points = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        at = quantile(rows, F.col("x"), shares)
+    fitted = IsotonicRegression(isotonic=False, labelCol="y", weightCol="w", featuresCol="f").fit(VectorAssembler(inputCols=["x"], outputCol="f").transform(points))
     bounds, values = fitted.boundaries.toArray(), fitted.predictions.toArray()
-    near = [float(v) for v in np.geomspace(0.001, 0.5, knots // 2 - 1)]
-    shares = sorted({0.0, 1.0, *near, *[1 - v for v in near]})
-    at = np.unique(rows.agg(F.percentile("x", shares)).first()[0])
+    at = np.unique(at)
     y = np.minimum.accumulate(np.interp(at, bounds, values))
     return Geometric("isotonic", knots=tuple(zip(map(float, at), map(float, y), strict=True)))
 
@@ -359,7 +395,7 @@ def structural_bound(model: Geometric, spark, types: list[str]) -> float:
 def choose(df: DataFrame, models: dict[str, Geometric], dep: str = "dep", dist: str = "truth_m", label_type: str = "label_type") -> str:
     """The model with the least median error on the training rows, all in one pass; the first of equals."""
     e = {k: F.abs(predict(m, F.col(dep), F.col(label_type)) - F.col(dist)) for k, m in models.items()}
-    found = df.agg(*[F.percentile(v, 0.5).alias(k) for k, v in e.items()]).first()
+    found = quantiles(df, [], {k: (v, 0.5) for k, v in e.items()}, digits=None).first()
     return min(models, key=lambda k: found[k])
 
 
@@ -394,7 +430,7 @@ def rescaled(model: Geometric, k: float) -> Geometric:
 def implied_heights(df: DataFrame, by: list[str], dep: str = "dep", dist: str = "truth_m", least_deg: float = 5.0, least_n: int = 25) -> DataFrame:
     """Median of truth * tan(dep) over clicks of least_deg or more, for groups of least_n or more."""
     rows = df.where(F.col(dep) >= least_deg)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.col(dist) * F.tan(F.radians(dep)), 0.5), 6).alias("implied_height_m")).where(F.col("n") >= least_n)
+    return quantiles(rows, by, {"implied_height_m": (F.col(dist) * F.tan(F.radians(dep)), 0.5)}).where(F.col("n") >= least_n)
 
 
 def boosted_trees(df: DataFrame, features: list[str], label: str, loss: str = "absolute", rounds: int = 20, depth: int = 4, key: str = "label_id"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodemark.functions.numeric import closed_bin
 from lodemark.operators import aggregate as agg
 from lodemark.operators.aggregate import rounded
+from lodemark.operators.quantiles import quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
 
@@ -22,10 +23,11 @@ bool_or(deleted) AS any_deleted, bool_and(deleted) AS all_deleted FROM clicks GR
 )
 def g01(spark, d):
     t = "truth_m"
-    return clicks(spark, d).groupBy("label_type").agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.sum(t), "total", 4), F.min(t).alias("low"), F.max(t).alias("high"), rounded(F.avg(t), "mean"), rounded(F.percentile(t, 0.5), "middle"),
-        rounded(F.percentile(t, 0.9), "p90"), rounded(F.stddev_samp(t), "sd"), F.countDistinct("pano_id").alias("panos"), F.bool_or("deleted").alias("any_deleted"), F.bool_and("deleted").alias("all_deleted"),
-    )
+    others = [
+        rounded(F.sum(t), "total", 4), F.min(t).alias("low"), F.max(t).alias("high"), rounded(F.avg(t), "mean"), rounded(F.stddev_samp(t), "sd"),
+        F.countDistinct("pano_id").alias("panos"), F.bool_or("deleted").alias("any_deleted"), F.bool_and("deleted").alias("all_deleted"),
+    ]
+    return quantiles(clicks(spark, d), ["label_type"], {"middle": (F.col(t), 0.5), "p90": (F.col(t), 0.9)}, others)
 
 
 @query("g07_first_value", f"{W} SELECT city, min(label_id) AS first_label, arg_min(truth_m, label_id * 1000000 + cast(truth_m * 10 AS bigint)) FILTER (WHERE lat IS NOT NULL) AS first_truth FROM clicks GROUP BY city")
@@ -104,7 +106,7 @@ SELECT bin, count(*) AS n, round(median(truth_m), 6) AS middle, round(quantile_c
 def g17(spark, d):
     bins = closed_bin(F.col("dep"), [-90.0, 0.0, 2.0, 5.0, 11.25, 90.0])
     t = with_angles(clicks(spark, d)).select("truth_m", bins.alias("bin")).where("bin IS NOT NULL")
-    return t.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("truth_m", 0.5), "middle"), rounded(F.percentile("truth_m", 0.95), "p95"), F.max("truth_m").alias("high"))
+    return quantiles(t, ["bin"], {"middle": (F.col("truth_m"), 0.5), "p95": (F.col("truth_m"), 0.95)}, [F.max("truth_m").alias("high")])
 
 
 @query(
@@ -114,13 +116,13 @@ SELECT bin, count(*) AS n, round(median(abs(noise)), 6) AS middle FROM t GROUP B
 )
 def g17_left(spark, d):
     t = clicks(spark, d).select("noise", closed_bin(F.col("truth_m"), [0, 5, 10, 20, 50], right=False).alias("bin"))
-    return t.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(F.abs("noise"), 0.5), "middle"))
+    return quantiles(t, ["bin"], {"middle": (F.abs("noise"), 0.5)})
 
 
 @query("g18_equal_width_bins", f"{W}, t AS (SELECT cast(floor(truth_m / 2.5e0) AS bigint) AS b, truth_m, noise FROM clicks) SELECT b * 2.5e0 + 1.25e0 AS centre, count(*) AS n, round(median(noise), 6) AS middle FROM t GROUP BY b HAVING count(*) >= 30")
 def g18(spark, d):
     t = clicks(spark, d).select(F.floor(F.col("truth_m") / 2.5).alias("b"), "noise")
-    return t.groupBy("b").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("noise", 0.5), "middle")).where("n >= 30").select((F.col("b") * 2.5 + 1.25).alias("centre"), "n", "middle")
+    return quantiles(t, ["b"], {"middle": (F.col("noise"), 0.5)}).where("n >= 30").select((F.col("b") * 2.5 + 1.25).alias("centre"), "n", "middle")
 
 
 @query(
@@ -131,7 +133,7 @@ def g18(spark, d):
 def g19(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("v"))
     binned, _ = agg.quantile_bins(t, "q", 10)
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("v", 0.5), "middle"))
+    return quantiles(binned, ["bin"], {"middle": (F.col("v"), 0.5)})
 
 
 @query("g20_means", f"{W} SELECT city, round(sum(truth_m * zoom) / sum(zoom), 6) AS weighted, round(exp(avg(ln(truth_m))), 6) AS geometric, round(sqrt(avg(noise * noise)), 6) AS rms, round(max(truth_m) - min(truth_m), 6) AS spread FROM clicks GROUP BY city")
@@ -151,7 +153,7 @@ def g24(spark, d):
 
 @query("g25_bootstrap_median")
 def g25(spark, d):
-    return agg.bootstrap_median(clicks(spark, d), ["city"], "truth_m", "label_id", 100)
+    return agg.bootstrap_median(clicks(spark, d), ["city"], "truth_m", "label_id")
 
 
 @query("g26_g27_sign_test_rank", f"{WP} SELECT city, count(*) FILTER (WHERE abs({_A} - truth_m) < abs({_B} - truth_m)) AS better, count(*) FILTER (WHERE abs({_A} - truth_m) > abs({_B} - truth_m)) AS worse, count(*) FILTER (WHERE noise < 0.25) AS null_below, round(count(*) FILTER (WHERE noise < 0.25) * 100e0 / count(*), 6) AS percentile FROM pov GROUP BY city")
@@ -182,7 +184,7 @@ def g29(spark, d):
 @query("g31_across_within", f"{W}, p AS (SELECT city, pano_id, avg(noise) AS m, stddev_samp(noise) AS s FROM clicks GROUP BY city, pano_id) SELECT city, round(stddev_samp(m), 6) AS across, round(median(s), 6) AS within FROM p GROUP BY city")
 def g31(spark, d):
     p = clicks(spark, d).groupBy("city", "pano_id").agg(F.avg("noise").alias("m"), F.stddev_samp("noise").alias("s"))
-    return p.groupBy("city").agg(rounded(F.stddev_samp("m"), "across"), rounded(F.percentile("s", 0.5), "within"))
+    return quantiles(p, ["city"], {"within": (F.col("s"), 0.5)}, [rounded(F.stddev_samp("m"), "across")]).drop("n")
 
 
 @query("g32_dimension_histogram", f"{W} SELECT concat(cast(pano_width AS varchar(9)), 'x', cast(pano_height AS varchar(9))) AS dims, count(*) AS n, count(DISTINCT pano_id) AS panos FROM clicks GROUP BY 1")

@@ -7,10 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from lodemark.functions import geo
-from lodemark.operators import aggregate as agg
+from lodemark.functions.numeric import mapped
 from lodemark.operators import models
 from lodemark.operators.aggregate import rounded
 from lodemark.operators.models import Geometric
+from lodemark.operators.quantiles import beside, lad_slope, quantile, quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
 
@@ -26,7 +27,7 @@ def _rows(spark, pairs, schema):
 def _lad_sql(name: str, by: str, where: str, value: str = f"({_Y}) / ({_X})", weight: str = f"abs({_X})") -> str:
     return f"""{name}_v AS (SELECT {by}, {value} AS v, sum({weight}) AS w FROM pov WHERE {where} GROUP BY {by}, {value}),
 {name}_c AS (SELECT *, sum(w) OVER (PARTITION BY {by} ORDER BY v ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY {by}) AS t FROM {name}_v),
-{name} AS (SELECT {by}, 1 / min(v) AS h FROM {name}_c WHERE c >= 0.5 * t GROUP BY {by})"""
+{name} AS (SELECT {by}, 1 / min(v) AS height_m FROM {name}_c WHERE c >= 0.5 * t GROUP BY {by})"""
 
 
 def _blend_sql(h: str, dep: str, angle: float) -> str:
@@ -35,7 +36,7 @@ def _blend_sql(h: str, dep: str, angle: float) -> str:
     return f"least(greatest(CASE WHEN {dep} >= {angle} THEN {h} / tan(radians(greatest({dep}, 1e-9))) ELSE {line} END, 0e0), 50e0)"
 
 
-_DIST = _blend_sql("h", "dep", 11.25)
+_DIST = _blend_sql("height_m", "dep", 11.25)
 
 
 @query(
@@ -57,16 +58,16 @@ def flagship(spark, d):
     a = geo.spherical_dest(*(F.col(c) for c in ("pano_lat", "pano_lng", "pov_heading", "dist")))
     b = geo.spherical_dest(*(F.col(c) for c in ("pano_lat", "pano_lng", "pov_heading", "truth_m")))
     errors = placed.select("label_type", geo.haversine_m(*a, *b).alias("e"))
-    return errors.groupBy("label_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("e", 0.5), "median_m", 3), rounded(F.percentile("e", 0.9), "p90_m", 3))
+    return quantiles(errors, ["label_type"], {"median_m": (F.col("e"), 0.5), "p90_m": (F.col("e"), 0.9)}, digits=3)
 
 
 @query("m01_m03_medians", f"WITH {SQL}, g AS (SELECT median(truth_m) AS m FROM clicks WHERE {TRAIN}), t AS (SELECT label_type, median(truth_m) AS m FROM clicks WHERE {TRAIN} GROUP BY 1) SELECT label_id, 10e0 AS est1, round(g.m, 6) AS est2, round(t.m, 6) AS est3 FROM clicks JOIN t USING (label_type), g WHERE NOT ({TRAIN})")
 def m01(spark, d):
     c = clicks(spark, d)
     train, test = c.where(TRAIN), c.where(f"NOT ({TRAIN})")
-    overall = train.agg(F.percentile("truth_m", 0.5)).first()[0]
-    by_type = train.groupBy("label_type").agg(F.percentile("truth_m", 0.5).alias("m"))
-    return test.join(by_type, "label_type").select("label_id", F.lit(10.0).alias("est1"), F.round(F.lit(overall), 6).alias("est2"), rounded(F.col("m"), "est3"))
+    overall = quantile(train, F.col("truth_m"), 0.5)
+    by_type = quantiles(train, ["label_type"], {"m": (F.col("truth_m"), 0.5)}, digits=None)
+    return beside(test, by_type, ["label_type"]).select("label_id", F.lit(10.0).alias("est1"), F.round(F.lit(overall), 6).alias("est2"), rounded(F.col("m"), "est3"))
 
 
 def _cols(*names):
@@ -129,8 +130,8 @@ def m09(spark, d):
 
 @query(
     "m11_cotangent_heights",
-    f"""{WP}, {_lad_sql('l1', 'label_type', f'dep > 0 AND {TRAIN}')}, o AS (SELECT label_type, sum({_X} * {_X}) / sum({_X} * ({_Y})) AS h FROM pov WHERE dep > 0 AND {TRAIN} GROUP BY label_type)
-SELECT label_type, round(o.h, 6) AS ols_m, round(l1.h, 6) AS l1_m FROM o JOIN l1 USING (label_type)""",
+    f"""{WP}, {_lad_sql('l1', 'label_type', f'dep > 0 AND {TRAIN}')}, o AS (SELECT label_type, sum({_X} * {_X}) / sum({_X} * ({_Y})) AS height_m FROM pov WHERE dep > 0 AND {TRAIN} GROUP BY label_type)
+SELECT label_type, round(o.height_m, 6) AS ols_m, round(l1.height_m, 6) AS l1_m FROM o JOIN l1 USING (label_type)""",
 )
 def m11(spark, d):
     view = with_angles(clicks(spark, d)).where(TRAIN)
@@ -159,7 +160,7 @@ def m27(spark, d):
     fits = models.ladder(view.where(TRAIN), losses=("ols",))
     test = view.where(f"NOT ({TRAIN})")
     errors = {k: F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")) for k, m in fits.items()}
-    found = test.agg(*[F.percentile(e, 0.5).alias(k) for k, e in errors.items()]).first()
+    found = quantiles(test, [], {k: (e, 0.5) for k, e in errors.items()}, digits=None).first()
     return _rows(spark, [(k, m.form, m.height_m, m.angle_deg, round(found[k], 6)) for k, m in sorted(fits.items())], "rung string, form string, height_m double, angle_deg double, median_m double")
 
 
@@ -189,10 +190,10 @@ def m17(spark, d):
         return F.abs(F.greatest(F.lit(0.0), 18 + 0.012 * y) - F.col("truth_m"))
 
     y = F.col("sv_image_y").cast("double")
-    return clicks(spark, d).groupBy("pano_height").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(err(y), 0.5), "raw_m"), rounded(F.percentile(err(y * 6656 / F.col("pano_height")), 0.5), "normal_m"))
+    return quantiles(clicks(spark, d), ["pano_height"], {"raw_m": (err(y), 0.5), "normal_m": (err(y * 6656 / F.col("pano_height")), 0.5)})
 
 
-@query("m19_structural_bound", f"WITH s AS (SELECT k / 400e0 - 90 AS dep, h FROM (SELECT unnest(range(0, 72001)) AS k), (SELECT unnest([2.1e0, 2.4e0, 2.6e0]) AS h)) SELECT round(max({_DIST}), 6) AS bound_m FROM s")
+@query("m19_structural_bound", f"WITH s AS (SELECT k / 400e0 - 90 AS dep, height_m FROM (SELECT unnest(range(0, 72001)) AS k), (SELECT unnest([2.1e0, 2.4e0, 2.6e0]) AS height_m)) SELECT round(max({_DIST}), 6) AS bound_m FROM s")
 def m19(spark, d):
     m = Geometric("blend", 2.6, {"AF": 2.1, "NO": 2.4}, 11.25)
     return _rows(spark, [(round(models.structural_bound(m, spark, ["AF", "NO"]), 6),)], "bound_m double")
@@ -207,7 +208,7 @@ def m20(spark, d):
 def m21(spark, d):
     view = with_angles(clicks(spark, d))
     _, run = models.boosted_trees(view.where(TRAIN), ["dep", "zoom", "canvas_y", "lat"], "truth_m", rounds=5, depth=3)
-    return run(view.where(f"NOT ({TRAIN})")).agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(F.abs(F.col("prediction") - F.col("truth_m")), 0.5), "median_m"))
+    return quantiles(run(view.where(f"NOT ({TRAIN})")), [], {"median_m": (F.abs(F.col("prediction") - F.col("truth_m")), 0.5)})
 
 
 def site_members(view):
@@ -232,7 +233,7 @@ def m23(spark, d):
     halves = half_split(site_members(with_angles(clicks(spark, d))), "site_id", 3)
     fitted = models.sequence_scales(halves.where("half = 'A'").drop("half"), rounds=4).select("sequence_id", "k_rel")
     scored = halves.where("half = 'B'").join(fitted, "sequence_id", "left").select("site_id", "d0", (F.col("d0") * F.coalesce("k_rel", F.lit(1.0))).alias("d1"))
-    return scored.agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(F.abs(F.col("d1") - F.col("d0")), 0.5), "median_shift_m"))
+    return quantiles(scored, [], {"median_shift_m": (F.abs(F.col("d1") - F.col("d0")), 0.5)})
 
 
 @query("m24_m26_implied_heights", f"{WP} SELECT label_type, count(*) AS n, round(median(truth_m * tan(radians(dep))), 6) AS implied_height_m FROM pov WHERE dep >= 5 GROUP BY label_type HAVING count(*) >= 25")
@@ -240,15 +241,29 @@ def m26(spark, d):
     return models.implied_heights(with_angles(clicks(spark, d)), ["label_type"])
 
 
-@query("m24_remedy", f"{WP}, h AS (SELECT median(truth_m * tan(radians(dep))) AS h FROM pov WHERE dep >= 5 AND pano_id % 2 = 0) SELECT count(*) AS n, round(median(abs({_DIST} - truth_m)), 6) AS flat_m FROM pov, h WHERE pano_id % 2 = 1")
+_ASSIGNED = "CASE label_type WHEN 'AF' THEN 2.1e0 WHEN 'NO' THEN 2.4e0 ELSE 2.6e0 END"
+
+
+@query(
+    "m24_remedy",
+    f"""{WP}, i AS (SELECT median(truth_m * tan(radians(dep))) AS flat, median(truth_m * tan(radians(dep)) / ({_ASSIGNED})) AS k FROM pov WHERE dep >= 5 AND pano_id % 2 = 0),
+t AS (SELECT dep, truth_m, flat, ({_ASSIGNED}) * k AS scaled, {_ASSIGNED} AS plain FROM pov, i WHERE pano_id % 2 = 1)
+SELECT count(*) AS n, round(median(abs({_blend_sql('plain', 'dep', 11.25)} - truth_m)), 6) AS plain_m, round(median(abs({_blend_sql('scaled', 'dep', 11.25)} - truth_m)), 6) AS rescaled_m,
+round(median(abs({_blend_sql('flat', 'dep', 11.25)} - truth_m)), 6) AS flat_m FROM t""",
+)
 def m24(spark, d):
+    """The heights of one half of the panoramas, scored on the other: as assigned, all rescaled, and one flat height."""
     view = with_angles(clicks(spark, d))
-    h = view.where("dep >= 5 AND pano_id % 2 = 0").agg(F.percentile(F.col("truth_m") * F.tan(F.radians("dep")), 0.5)).first()[0]
-    e = F.abs(models.predict(Geometric("blend", h, {}, 11.25), F.col("dep")) - F.col("truth_m"))
-    return view.where("pano_id % 2 = 1").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(e, 0.5), "flat_m"))
+    assigned = Geometric("blend", 2.6, {"AF": 2.1, "NO": 2.4}, 11.25)
+    half = view.where("dep >= 5 AND pano_id % 2 = 0")
+    implied = F.col("truth_m") * F.tan(F.radians("dep"))
+    found = quantiles(half, [], {"flat": (implied, 0.5), "k": (implied / mapped(F.col("label_type"), assigned.height_by_type, assigned.height_m), 0.5)}, digits=None).first()
+    arms = {"plain_m": assigned, "rescaled_m": models.rescaled(assigned, found["k"]), "flat_m": Geometric("blend", found["flat"], {}, 11.25)}
+    errors = {k: (F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")), 0.5) for k, m in arms.items()}
+    return quantiles(view.where("pano_id % 2 = 1"), [], errors)
 
 
-@query("w05_lad_slope", f"{WP}, {_lad_sql('s', 'city', 'dep > 0')} SELECT city, round(1 / h, 8) AS slope FROM s")
+@query("w05_lad_slope", f"{WP}, {_lad_sql('s', 'city', 'dep > 0')} SELECT city, round(1 / height_m, 8) AS slope FROM s")
 def lad(spark, d):
     view = with_angles(clicks(spark, d)).where("dep > 0")
-    return agg.lad_slope(view, ["city"], F.tan(F.radians("dep")), 1 / F.greatest("truth_m", F.lit(1.0))).select("city", F.round("slope", 8).alias("slope"))
+    return lad_slope(view, ["city"], F.tan(F.radians("dep")), 1 / F.greatest("truth_m", F.lit(1.0))).select("city", F.round("slope", 8).alias("slope"))

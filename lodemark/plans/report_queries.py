@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodemark.functions.numeric import closed_bin
 from lodemark.operators import aggregate as agg
 from lodemark.operators.aggregate import rounded
+from lodemark.operators.quantiles import quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
 
@@ -28,7 +29,7 @@ def _long(df):
 @query("v01_v02_error_stats", f"{WP}, e AS ({_long_sql('pov')}) SELECT model, count(*) AS n, round(avg(err), 6) AS mean, round(median(err), 6) AS middle, round(stddev_samp(err), 6) AS sd, round(quantile_cont(err, 0.9), 6) AS p90 FROM e GROUP BY model ORDER BY middle")
 def v01(spark, d):
     e = _long(with_angles(clicks(spark, d)))
-    return e.groupBy("model").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("err"), "mean"), rounded(F.percentile("err", 0.5), "middle"), rounded(F.stddev_samp("err"), "sd"), rounded(F.percentile("err", 0.9), "p90")).orderBy("middle")
+    return quantiles(e, ["model"], {"middle": (F.col("err"), 0.5), "p90": (F.col("err"), 0.9)}, [rounded(F.avg("err"), "mean"), rounded(F.stddev_samp("err"), "sd")]).orderBy("middle")
 
 
 @query(
@@ -38,7 +39,7 @@ SELECT model, bin, count(*) AS n, round(median(err), 6) AS middle FROM b WHERE b
 )
 def v03(spark, d):
     e = _long(with_angles(clicks(spark, d))).select("model", "err", closed_bin(F.col("dep"), [-90.0, 0.0, 2.0, 5.0, 11.25, 90.0]).alias("bin")).where("bin IS NOT NULL")
-    return e.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("err", 0.5), "middle"))
+    return quantiles(e, ["model", "bin"], {"middle": (F.col("err"), 0.5)})
 
 
 _WRAP = "CASE WHEN {0} > 180 THEN {0} - 360 WHEN {0} <= -180 THEN {0} + 360 ELSE {0} END"
@@ -49,7 +50,7 @@ def v04(spark, d):
     from lodemark.functions.geo import wrap_keep_plus
 
     e = F.abs(wrap_keep_plus(F.col("pov_heading") - F.col("heading")))
-    return with_angles(clicks(spark, d)).groupBy("zoom").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(e, 0.5), "middle"), rounded(F.percentile(e, 0.95), "p95"))
+    return quantiles(with_angles(clicks(spark, d)), ["zoom"], {"middle": (e, 0.5), "p95": (e, 0.95)})
 
 
 @query("v05_fidelity", f"{W} SELECT time_created < TIMESTAMP '1996-01-01' AS early, count(*) AS n, round(avg(cast(abs(noise) < 0.1 AS double)), 6) AS exact, round(avg(cast(abs(noise) <= 0.5 AS double)), 6) AS within_half FROM clicks GROUP BY 1")
@@ -71,7 +72,7 @@ def v06(spark, d):
 
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     gap = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ms", "event_id"))
-    s = e.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.percentile("gap", 0.5) / 1000).alias("gap_s"))
+    s = quantiles(e.select("user_id", gap.alias("gap")), ["user_id"], {"gap_s": (F.col("gap") / 1000, 0.5)}, digits=None)
     g = F.col("gap_s")
     return s.select("user_id", "n", rounded(g, "gap_s"), last_rule_wins([(F.lit(True), "slow"), (g > 20000, "on_foot"), (g > 40000, "vehicle"), (F.col("n") < 3, "unknown")]).alias("mode"))
 
@@ -98,7 +99,7 @@ def v08(spark, d):
 
 @query("v09_matrix", f"{WP}, e AS ({_long_sql('pov')}) SELECT model, city, label_type, count(*) AS n, round(median(err), 6) AS middle FROM e GROUP BY ALL HAVING count(*) >= 25")
 def v09(spark, d):
-    return _long(with_angles(clicks(spark, d))).groupBy("model", "city", "label_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("err", 0.5), "middle")).where("n >= 25")
+    return quantiles(_long(with_angles(clicks(spark, d))), ["model", "city", "label_type"], {"middle": (F.col("err"), 0.5)}).where("n >= 25")
 
 
 @query("v10_riders", f"{W} SELECT city, round(corr(pitch, noise), 6) AS r, round(avg(sin(radians(heading - camera_heading)) * noise) * 2, 6) AS tilt_sin, round(avg(cos(radians(heading - camera_heading)) * noise) * 2, 6) AS tilt_cos FROM clicks GROUP BY city")
@@ -110,18 +111,18 @@ def v10(spark, d):
 @query("v11_error_by_distance", f"{WP}, e AS ({_long_sql('pov')}) SELECT model, CASE WHEN truth_m < 5 THEN 0 WHEN truth_m < 10 THEN 1 WHEN truth_m < 20 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(median(err), 6) AS middle FROM e GROUP BY ALL")
 def v11(spark, d):
     e = _long(with_angles(clicks(spark, d))).select("model", "err", closed_bin(F.col("truth_m"), [0, 5, 10, 20, 50], right=False).alias("bin"))
-    return e.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("err", 0.5), "middle"))
+    return quantiles(e, ["model", "bin"], {"middle": (F.col("err"), 0.5)})
 
 
 @query("v12_nested_summary", f"{W} SELECT city, count(*) AS n, count(DISTINCT pano_id) AS panos, round(median(truth_m), 6) AS middle, count(*) FILTER (WHERE deleted) AS deleted FROM clicks GROUP BY city")
 def v12(spark, d):
-    return clicks(spark, d).groupBy("city").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pano_id").alias("panos"), rounded(F.percentile("truth_m", 0.5), "middle"), F.count_if("deleted").alias("deleted"))
+    return quantiles(clicks(spark, d), ["city"], {"middle": (F.col("truth_m"), 0.5)}, [F.countDistinct("pano_id").alias("panos"), F.count_if("deleted").alias("deleted")])
 
 
 @query("v13_cutoff_diagnosis", f"{W} SELECT city, CASE WHEN time_created >= TIMESTAMP '1996-01-01' THEN 'post' ELSE 'pre' END AS era, count(*) AS n, round(median(abs(noise)), 6) AS middle, round(avg(cast(abs(noise) < 0.05 AS double)), 6) AS tiny, count(*) FILTER (WHERE lat IS NULL) AS missing FROM clicks GROUP BY ALL")
 def v13(spark, d):
     era = F.when(F.col("time_created") >= F.lit("1996-01-01").cast("timestamp_ntz"), "post").otherwise("pre").alias("era")
-    return clicks(spark, d).groupBy("city", era).agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile(F.abs("noise"), 0.5), "middle"), rounded(F.avg((F.abs("noise") < 0.05).cast("double")), "tiny"), F.count_if(F.col("lat").isNull()).alias("missing"))
+    return quantiles(clicks(spark, d).select("*", era), ["city", "era"], {"middle": (F.abs("noise"), 0.5)}, [rounded(F.avg((F.abs("noise") < 0.05).cast("double")), "tiny"), F.count_if(F.col("lat").isNull()).alias("missing")])
 
 
 @query("v14_hexbin_yearly", f"{W} SELECT cast(floor(truth_m / 2) AS bigint) AS bx, cast(floor((noise + 1) * 10) AS bigint) AS b_y, cast(extract(year FROM time_created) AS int) AS year, count(*) AS n FROM clicks GROUP BY ALL HAVING count(*) >= 5")
@@ -131,7 +132,7 @@ def v14(spark, d):
 
 @query("w11_g25_figure_bands")
 def bands(spark, d):
-    return agg.bootstrap_median(clicks(spark, d).where("zoom = 3"), ["label_type"], "noise", "label_id", 60)
+    return agg.bootstrap_median(clicks(spark, d).where("zoom = 3"), ["label_type"], "noise", "label_id")
 
 
 @query("r_depth_labels")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodemark.operators import aggregate as agg
 from lodemark.operators import windows
 from lodemark.operators.aggregate import rounded
+from lodemark.operators.quantiles import quantiles, weighted_median
 from lodemark.plans.clicks import SQL, clicks
 from lodemark.registry import query
 
@@ -51,7 +52,7 @@ c AS (SELECT *, sum(w) OVER (PARTITION BY label_type ORDER BY v ROWS UNBOUNDED P
 SELECT label_type, min(v) AS median FROM c WHERE c >= 0.5 * t GROUP BY label_type""",
 )
 def w05(spark, d):
-    return agg.weighted_median(clicks(spark, d), ["label_type"], F.col("truth_m"), F.col("zoom"))
+    return weighted_median(clicks(spark, d), ["label_type"], F.col("truth_m"), F.col("zoom"))
 
 
 _TOP = "l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity"
@@ -190,4 +191,4 @@ def t07(spark, d):
     h = clicks(spark, d).select("city", "label_id", "pano_id", F.explode(grid).alias("g")).select("city", "g.sigma", windows.md5_order(F.col("label_id"), F.col("pano_id"), F.col("g.draw")).alias("m"))
     u1, u2 = ((F.conv(F.substring("m", a, 7), 16, 10).cast("long") + 0.5) / 268435456 for a in (1, 8))
     z = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * F.pi() * u2) * F.col("sigma")
-    return h.groupBy("city", "sigma").agg(rounded(F.percentile(F.abs(z), 0.5), "shift"), F.count(F.lit(1)).alias("n"))
+    return quantiles(h, ["city", "sigma"], {"shift": (F.abs(z), 0.5)})

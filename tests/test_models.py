@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodemark.operators import aggregate, joins, models
+from lodemark.operators import aggregate, joins, models, quantiles
 from lodemark.operators.models import Geometric
 
 HEIGHTS = {"a": 2.0, "b": 2.5, "c": 3.0}
@@ -34,16 +34,27 @@ def test_floor_and_blend_keep_the_heights(clicks):
         assert {k: round(v, 4) for k, v in found.height_by_type.items()} == HEIGHTS
 
 
-def test_weighted_median_is_the_best_slope(spark):
-    rng = np.random.default_rng(3)
-    x = rng.uniform(0, 3, 300)
-    y = 2.5 * x + rng.standard_t(2, 300) * 0.5
-    x[:50] = 0
-    frame = spark.createDataFrame(pd.DataFrame({"g": 0, "x": x, "y": y}))
-    slope = aggregate.lad_slope(frame, ["g"], F.col("x"), F.col("y")).first()["slope"]
-    ratios = y[50:] / x[50:]
-    losses = np.abs(y[None, 50:] - ratios[:, None] * x[None, 50:]).sum(axis=1)
-    assert math.isclose(np.abs(y[50:] - slope * x[50:]).sum(), losses.min(), rel_tol=1e-12)
+def test_slope_is_the_lower_weighted_median_of_the_ratios(spark):
+    # g, x, y. Group 1: ratios 1, 2, 4 with weights 3, 1, 2, so half of the weight is reached at 1. Group 2: equal
+    # ratios add up (2 + 2 of 7) and -3 comes before them. Group 3: x = 0 has no ratio. Group 4 has none at all.
+    rows = [(1, 3.0, 3.0), (1, -1.0, -2.0), (1, 2.0, 8.0), (2, 2.0, 3.0), (2, 2.0, 3.0), (2, 3.0, -9.0), (3, 0.0, 5.0), (3, 1.0, 7.0), (4, 0.0, 1.0)]
+    frame = spark.createDataFrame(rows, "g long, x double, y double")
+    assert {tuple(r) for r in quantiles.lad_slope(frame, ["g"], F.col("x"), F.col("y")).collect()} == {(1, 1.0), (2, 1.5), (3, 7.0)}
+
+
+def test_bootstrap_draws_every_resample(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"g": np.where(np.arange(9000) % 3 == 0, "a", "b"), "v": rng.exponential(2, 9000).round(3), "k": np.arange(9000)})
+    frame = spark.createDataFrame(data).repartition(5)
+    got = {r["g"]: (r["low"], r["middle"], r["high"]) for r in aggregate.bootstrap_median(frame, ["g"], "v", "k", 300).collect()}
+    keys = {r["k"]: r["h"] for r in frame.selectExpr("k", "xxhash64(k) AS h").collect()}
+    for g, own in data.groupby("g"):
+        own = own.sort_values("v")
+        weights = aggregate.poisson_weights(np.array([keys[k] for k in own.k]), np.arange(300))
+        upto = np.cumsum(weights, axis=0)
+        medians = own.v.to_numpy()[(2 * upto >= upto[-1]).argmax(axis=0)]
+        assert np.allclose(got[g], np.quantile(medians, (0.025, 0.5, 0.975)).round(6))
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
 
 
 def test_predictions_are_bounded_monotone_and_fall_back(spark):
