@@ -92,11 +92,6 @@ def v07(spark, d):
     return s.agg(F.sum("n").alias("n"), F.sum(left).alias("l"), F.sum("d").alias("d")).select("n", rounded(F.sqrt(F.col("l") / F.col("n")) / (F.col("d") / F.col("n")), "rms_over_range", 4))
 
 
-@query("v08_circularity_guard", f"{W} SELECT city, count(*) AS n, round(avg(cast(abs(noise) <= 0.5 AS double)), 6) AS echo, round(avg(cast(abs(noise * 3) <= 0.5 AS double)), 6) AS cross_echo FROM clicks WHERE lat IS NOT NULL GROUP BY city")
-def v08(spark, d):
-    return clicks(spark, d).where("lat IS NOT NULL").groupBy("city").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.abs("noise") <= 0.5).cast("double")), "echo"), rounded(F.avg((F.abs(F.col("noise") * 3) <= 0.5).cast("double")), "cross_echo"))
-
-
 @query("v09_matrix", f"{WP}, e AS ({_long_sql('pov')}) SELECT model, city, label_type, count(*) AS n, round(median(err), 6) AS middle FROM e GROUP BY ALL HAVING count(*) >= 25")
 def v09(spark, d):
     return quantiles(_long(with_angles(clicks(spark, d))), ["model", "city", "label_type"], {"middle": (F.col("err"), 0.5)}).where("n >= 25")

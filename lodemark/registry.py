@@ -31,6 +31,7 @@ def _load() -> None:
         model_queries,
         projection_queries,
         report_queries,
+        sampling_queries,
         window_queries,
     )
 
