@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,13 +64,17 @@ def on_float32_grid(x: Column) -> Column:
 
 
 def ulp32(x: Column) -> Column:
-    """The spacing of 32-bit floats at x."""
+    """The spacing of 32-bit floats at x (the step away from zero)."""
+    near = F.abs(x.cast("float").cast("double"))
+    power = F.floor(F.log2(near))
+    # log2 may round up to the next power just below it
+    power = F.when(F.pow(F.lit(2.0), power) > near, power - 1).otherwise(power)
+    return F.when(near == 0, F.lit(2.0**-149)).otherwise(F.pow(F.lit(2.0), F.greatest(power, F.lit(-126)) - 23))
 
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(np.abs(np.spacing(np.abs(v.to_numpy(np.float32)))).astype(float))
 
-    return run(x)
+def ulp32_distance(x: Column, y: Column) -> Column:
+    """How many 32-bit steps (at y) lie between x and y."""
+    return F.abs(x - y) / ulp32(y)
 
 
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:

@@ -160,11 +160,6 @@ def x25(spark, d):
     return clicks(spark, d).select("label_id", numeric.on_float32_grid(F.col("truth_m")).alias("on_grid"))
 
 
-@query("x25_ulp32")
-def x25_ulp(spark, d):
-    return clicks(spark, d).select("label_id", numeric.ulp32(F.col("truth_m")).alias("ulp"))
-
-
 @query(
     "x26_x27_raster_cells",
     f"""{W}, t AS (SELECT label_id, cast(round_even(canvas_x / 720e0 * 512, 0) AS int) % 512 AS c, cast(least(greatest(round_even(canvas_y / 480e0 * 256, 0), 0), 255) AS int) AS r FROM clicks)

@@ -128,22 +128,3 @@ def v14(spark, d):
 @query("w11_g25_figure_bands")
 def bands(spark, d):
     return agg.bootstrap_median(clicks(spark, d).where("zoom = 3"), ["label_type"], "noise", "label_id")
-
-
-@query("r_depth_labels")
-def r_depth(spark, d):
-    """Synthetic payloads per panorama, decoded and sampled at the clicks' cells."""
-    from lodemark.operators import depth
-
-    view = clicks(spark, d).select(F.concat_ws("-", "city", "zoom").alias("pano_id"), "label_id", (F.col("canvas_x") % 512).cast("int").alias("col"), (F.col("canvas_y") % 256).cast("int").alias("row"))
-    payloads = view.select("pano_id").distinct().select("pano_id", depth.synthetic_payload(F.pmod(F.xxhash64("pano_id"), F.lit(1000))).alias("b64"))
-    return depth.classify_labels(payloads, view).select("pano_id", "label_id", "hit_class", rounded(F.col("range_m"), "range_m", 4))
-
-
-@query("r05_r09_payload_checks")
-def r_checks(spark, d):
-    """Camera height, plane inventory and flat-earth comparison of every payload."""
-    from lodemark.operators import depth
-
-    panos = clicks(spark, d).select(F.concat_ws("-", "city", "zoom").alias("pano_id")).distinct()
-    return depth.payload_stats(panos.select("pano_id", depth.synthetic_payload(F.pmod(F.xxhash64("pano_id"), F.lit(1000))).alias("b64")))

@@ -49,10 +49,10 @@ def _own_distances():
     return distances.deployed_distance(_pano_y(), height, canvas, zoom), distances.normalized_distance(F.col("dep"), canvas, zoom)
 
 
-@query("x22_deployed_distances", f"{WP} SELECT label_id, round({_DEPLOYED}, 6) AS deployed, round({_NORMALIZED}, 6) AS normalized, round(CASE WHEN dep <= 0 THEN 50e0 ELSE least(2.6e0 / tan(radians(dep)), 50e0) END, 6) AS anchor FROM pov")
+@query("x22_deployed_distances", f"{WP} SELECT label_id, round({_DEPLOYED}, 8) AS deployed, round({_NORMALIZED}, 8) AS normalized, round(CASE WHEN dep <= 0 THEN 50e0 ELSE least(2.6e0 / tan(radians(dep)), 50e0) END, 8) AS anchor FROM pov")
 def x22(spark, d):
     deployed, normalized = _own_distances()
-    return with_angles(clicks(spark, d)).select("label_id", rounded(deployed, "deployed"), rounded(normalized, "normalized"), rounded(distances.anchor_distance(F.col("dep")), "anchor"))
+    return with_angles(clicks(spark, d)).select("label_id", rounded(deployed, "deployed", 8), rounded(normalized, "normalized", 8), rounded(distances.anchor_distance(F.col("dep")), "anchor", 8))
 
 
 _TAIL = f"{2.783 / math.tan(math.radians(11.25))!r} + {2.783 * math.radians(1) / math.sin(math.radians(11.25)) ** 2!r} * (11.25e0 - greatest(dep, 0e0))"

@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     from lodemark.plans import (  # noqa: F401  importing registers
         aggregate_queries,
+        depth_queries,
         join_queries,
         model_queries,
         projection_queries,

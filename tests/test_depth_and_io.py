@@ -33,13 +33,133 @@ def test_decode_round_trip(squeeze):
 
 def test_ground_range_is_the_cotangent_and_holes_are_nowhere():
     r = depth.decode(depth.encode(*ground(2.2, True)))
-    hit = depth.hit(r, 300, 200, 2.2)
-    assert hit[1] == "ground"
-    assert math.isclose(hit[3], 2.2 / math.tan(r.depression[200]), rel_tol=1e-6)
+    found = depth.hits(r, [300, 105, 512, 512, 5], [200, 200, 255, 199, 10], 2.2)
+    assert found.hit_class.tolist() == ["ground", "sky", "out_of_bounds", "ground", "sky"] and found.plane.tolist() == [1, 0, -1, 1, 0]
+    assert math.isclose(found.horizontal_m[0], 2.2 / math.tan(r.depression[200]), rel_tol=1e-6) and abs(found.flat_excess_m[0]) < 1e-4
+    assert abs(found.above_ground_m[0]) < 1e-5 and abs(found.range_ratio[0] - 1) < 0.01 and found.range_m[1:3].isna().all()
     assert r.cloud[200, 105, 0] == np.float32(1e19) and np.isnan(r.distance[200, 105])
-    assert depth.hit(r, 105, 200, 2.2)[1] == "sky"
-    assert depth.hit(r, 512, 255, 2.2)[1] == "out_of_bounds"
-    assert depth.hit(r, 512, 199, 2.2)[0] == r.cells[200, 0]  # the seam reads the next row
+
+
+def scene():
+    """Ground, a terrace, a wall and a slope in four quarters of the turn, sky above."""
+    cells = np.zeros((256, 512), np.uint8)
+    cells[128:] = 1
+    cells[140:170, 100:200] = 2
+    cells[90:150, 250:300] = 3
+    cells[100:190, 400:450] = 4
+    slope = math.sqrt(0.5)
+    return cells, np.array([[0, 0, 0, 0], [0, 0, -1, 2.4], [0.02, 0, -0.9998, 1.4], [0.6, 0.8, 0, 9], [slope, 0, -slope, 5]])
+
+
+def test_hits_of_a_scene_cell_by_cell():
+    """Every measure of hits() from the definitions, one cell after another."""
+    r = depth.decode(depth.encode(*scene()))
+    cells, planes = scene()
+    planes = planes.astype(np.float32).astype(float)
+    rng = np.random.default_rng(4)
+    cols, rows = rng.integers(-2, 514, 400), rng.integers(-1, 257, 400)
+    found = depth.hits(r, cols, rows, 2.4)
+
+    def reach(col, row):
+        polar, turn = (256 - row - 0.5) / 256 * np.pi, (512 - col - 0.5) / 512 * 2 * np.pi + np.pi / 2
+        ray = np.array([np.sin(polar) * np.cos(turn), np.sin(polar) * np.sin(turn), np.cos(polar)])
+        normal, d = planes[cells[row, col], :3], planes[cells[row, col], 3]
+        return abs(d / (ray @ normal)) * ray
+
+    for k, (col, row) in enumerate(zip(cols.tolist(), rows.tolist(), strict=True)):
+        place = col + 512 * row
+        if not 0 <= place < 256 * 512:
+            assert found.hit_class[k] == "out_of_bounds"
+            continue
+        y, x = divmod(place, 512)
+        if cells[y, x] == 0:
+            assert found.hit_class[k] == "sky" and found.loc[k, "range_m":].isna().all()
+            continue
+        assert found.hit_class[k] == {1: "ground", 2: "terrain", 3: "facade", 4: "oblique"}[cells[y, x]]
+        point = reach(x, y)
+        assert np.allclose(found.loc[k, ["range_m", "horizontal_m", "above_ground_m"]].astype(float), [np.linalg.norm(point), np.hypot(*point[:2]), 2.4 - point[2]], rtol=1e-5)
+        near = [np.linalg.norm(reach(j, i)) for i in range(max(row - 1, 0), min(row + 2, 256)) for j in range(max(col - 1, 0), min(col + 2, 512)) if cells[i, j]]
+        if near:
+            assert math.isclose(found.range_ratio[k], np.linalg.norm(point) / np.median(near), rel_tol=1e-5)
+    flat = depth.flat_earth(r, 2.4)
+    assert flat["off_facade"] > 0 and flat["off_terrain"] > 0 and math.isclose(flat["off_facade"] + flat["off_terrain"] + flat["off_other"], 1)
+
+
+def test_labels_of_broken_and_missing_payloads_have_a_status(spark):
+    payloads = spark.createDataFrame([("a", depth.encode(*scene())), ("b", None), ("c", "CQAA")], "pano_id string, b64 string")
+    labels = spark.createDataFrame([(p, k, k * 40, 200) for p in "abcd" for k in range(12)], "pano_id string, label_id long, col int, row int")
+    got = depth.classify_labels(payloads, labels, controls=depth.CONTROLS).toPandas()
+    assert got.groupby("pano_id").status.first().to_dict() == {"a": "ok", "b": "no_depth", "c": "decode_error", "d": "no_depth"}
+    assert len(got) == 4 * 12 * 4 and got[got.pano_id != "a"].hit_class.isna().all()
+    whole = depth.decode(depth.encode(*scene()))
+    for control, own in got[got.pano_id == "a"].groupby("control"):
+        turned = depth.controlled(whole.cells, control)
+        own = own.sort_values("label_id")
+        assert own.plane.astype(int).tolist() == [turned[200, k * 40] for k in range(12)]
+
+
+def test_relocated_labels_and_classes(spark):
+    payloads = spark.createDataFrame([(p, depth.encode(*scene())) for p in "abcd"] + [("e", None), ("f", "CQAA")], "pano_id string, b64 string")
+    labels = spark.createDataFrame([(p, n * 10 + k, 26 * 40 * k + 5, -800, 40.0, -75.0) for n, p in enumerate("abcdefg") for k in range(4)] + [("a", 99, 13312, -800, 40.0, -75.0)], "pano_id string, label_id long, sv_image_x long, sv_image_y long, pano_lat double, pano_lng double")
+    found = depth.relocated(payloads, labels)
+    got = {r["label_id"]: r for r in found.collect()}
+    r = depth.decode(depth.encode(*scene()))
+    for k in range(4):
+        x, y = math.ceil((26 * 40 * k + 5) * (1 / 26)), math.ceil((3328 + 800) * (1 / 26))
+        point = r.cloud[y, x].astype(float)
+        assert math.isclose(got[k]["new_lat"], 40 + point[1] / 111111) and math.isclose(got[k]["new_lng"], -75 + point[0] / (111111 * math.cos(math.radians(40))))
+    assert got[99]["seam_wrap"] and not got[0]["seam_wrap"] and got[40]["status"] == "no_depth" and got[50]["status"] == "decode_error"
+    # a: all as today; b: three of four; c: none; d: no label cleaned; e: no depth; f: broken; g: gone; h: unreadable
+    off = {"b": (3,), "c": (0, 1, 2, 3)}
+    stored = [(r["pano_id"], r["label_id"], *(float(np.float32(r[f"new_{c}"])) + 1e-3 * (r["label_id"] % 10 in off.get(r["pano_id"], ())) if r["new_lat"] else 1.0 for c in ("lat", "lng")), 40.0, -75.0, 350.0, r["pano_id"] != "d") for r in got.values() if r["label_id"] != 99]
+    stored = spark.createDataFrame(stored, "pano_id string, label_id long, lat double, lng double, pano_lat double, pano_lng double, heading_then double, cleaned boolean")
+    panos = spark.createDataFrame([(p, None if p == "g" else p != "h", 40.0, -74.999, 10.0) for p in "abcdefgh"], "pano_id string, meta_ok boolean, fresh_lat double, fresh_lng double, fresh_heading double")
+    out = {r["pano_id"]: r for r in depth.pano_classes(panos, found.where("label_id <> 99"), stored).collect()}
+    assert {p: (r["status"], r["pano_class"]) for p, r in out.items()} == {
+        "a": ("ok", "unchanged"), "b": ("ok", "mostly_unchanged"), "c": ("ok", "changed"), "d": ("ok", "no_comparable_labels"), "e": ("no_depth", None), "f": ("decode_error", None), "g": ("gone", None), "h": ("parse_error", None),
+    }
+    assert abs(out["a"]["pano_shift_m"] - 85.27) < 0.1 and out["a"]["heading_shift_deg"] == 20 and out["b"]["n_consistent"] == 3
+
+
+def test_cameras_that_see_the_same_ground_and_walls_agree(spark):
+    cells, planes = scene()
+    moved = planes.copy()
+    east, north = 1.5, -2.0  # the first camera from the second's
+    moved[3, 3] = planes[3, 3] - planes[3, 0] * east - planes[3, 1] * north
+    payloads = spark.createDataFrame([("a", depth.encode(cells, planes)), ("b", depth.encode(cells, moved)), ("x", None)], "pano_id string, b64 string")
+    pairs = spark.createDataFrame([(1, "a", "b", east, north, 0.0), (2, "a", "a", 0.0, 0.0, 0.0), (3, "a", "x", 0.0, 0.0, 0.0)], "pair long, a string, b string, east double, north double, up double")
+    walls = {r["pair"]: r["separation_m"] for r in depth.facade_separation(pairs, depth.facade_planes(payloads)).collect()}
+    assert set(walls) == {1, 2} and abs(walls[1]) < 1e-5 and walls[2] == 0
+    ground_only = np.where(np.arange(256)[:, None] >= 128, 1, 0) * np.ones((1, 512), int)
+    flat = spark.createDataFrame([("a", depth.encode(ground_only, planes)), ("b", depth.encode(ground_only, planes))], "pano_id string, b64 string")
+    left = {r["pair"]: r for r in depth.cross_vintage(pairs.where("pair < 3"), flat, stride=16).collect()}
+    assert left[2]["n"] > 100 and left[2]["median_m"] < 0.02 and left[1]["median_m"] < 0.5
+    assert depth.cross_vintage(pairs.where("pair = 3"), payloads).first()["n"] == 0
+
+
+def test_registration_tells_the_frames_apart(spark):
+    frame = spark.createDataFrame([(7,), (8,)], "seed int").select(F.col("seed").alias("pano_id"), depth.synthetic_payload(F.col("seed")).alias("b64"), depth.synthetic_image(F.col("seed")).alias("rgb"), F.lit(128).alias("width"), F.lit(64).alias("height"))
+    for r in frame.collect():
+        raster, rgb = depth.decode(r["b64"]), np.frombuffer(r["rgb"], np.uint8).reshape(64, 128, 3)
+        sky = depth.sky_mask(rgb)
+        for own in depth.registration(frame.where(F.col("pano_id") == r["pano_id"])).collect():
+            grid = depth.controlled(raster.cells, own["control"])
+            empty = np.array([[grid[i * 4, j * 4] == 0 for j in range(128)] for i in range(64)])
+            assert math.isclose(own["sky_violation"], (sky & ~empty).sum() / sky.sum()) and math.isclose(own["sky_iou"], (sky & empty).sum() / (sky | empty).sum())
+            assert (own["control"] != "identity") == (own["sky_violation"] > 0) and own["best_shift"] == 0
+
+
+def test_road_links_are_read_in_both_frames(spark):
+    images = spark.createDataFrame([("a", bytes([10, 10, 10, 200, 10, 10, 10, 10, 10, 200, 10, 10] * 100 * 25), 100, 100)], "pano_id string, rgb binary, width int, height int")
+    links = spark.createDataFrame([("a", 180.0, 90.0), ("a", 0.0, 90.0)], "pano_id string, yaw double, bearing double")
+    got = depth.road_share(images, links).collect()
+    assert len(got) == 2 and all(0.3 <= r["a_share"] <= 0.7 and r["bearing"] == 90 for r in got)
+    payloads = spark.createDataFrame([("a", depth.encode(*scene()))], "pano_id string, b64 string")
+    seen = depth.sightlines(payloads, links).collect()
+    r = depth.decode(depth.encode(*scene()))
+    strip = r.distance[132:150]
+    columns = (128 + np.arange(-6, 7)) % 512
+    assert all(math.isclose(s["a_m"], np.nanmedian(strip[:, columns])) and math.isclose(s["base_m"], np.nanmedian(strip)) for s in seen)
 
 
 def test_checks_of_a_default_payload():
