@@ -529,6 +529,220 @@ def test_gapped_insults_are_near_their_plain_form():
     assert "idiot" in words.to_pylist()
 
 
+def plain_word_value(word, weight, bias):
+    """The decision value of a word by its definition: all letter triples that span at most nine characters."""
+    word = "\x02" + word + "\x02"
+    if len(word) > 16:
+        return max(plain_window(word[i : i + 16], weight, bias) for i in range(0, len(word) - 8, 8))
+    return plain_window(word, weight, bias)
+
+
+def plain_window(word, weight, bias):
+    code = [63 if c == "\x02" else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36 if c.isalpha() else 0 for c in word]
+    sums = {}
+    for i in range(len(word)):
+        for j in range(i + 1, len(word)):
+            for k in range(j + 1, min(len(word), i + 9)):
+                if code[i] and code[j] and code[k]:
+                    key = (code[i] * 64 + code[j]) * 64 + code[k]
+                    sums[key] = sums.get(key, 0.0) + 0.7 ** (k - i + 1)
+    norm = np.sqrt(sum(v * v for v in sums.values()))
+    return sum(weight[k] * v for k, v in sums.items()) / norm + bias if norm else -2.0
+
+
+def test_toxicity_scores_by_their_definition(spark, sf, awkward):
+    model = toxicity.train(spark, sf)
+    rows = rows_of(awkward) + rows_of(spark.read.parquet(f"{sf}/documents.parquet").limit(40))
+    got = toxicity.score(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"), model).toPandas().set_index("doc_id").score
+    known = {}
+    for k, (_, text) in enumerate(rows):
+        text = (text or "").lower()
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        words += ["".join(m.group().split()) for m in re.finditer(r"(?<!\S)\S(?:\s\S){2,}(?!\S)", text)]
+        for w in words:
+            known[w] = known.get(w, plain_word_value(w, model.weight, model.bias) if w not in known else 0)
+        best = sorted((known[w] for w in words), reverse=True)[:2]
+        best = np.maximum(best + [-2.0] * (2 - len(best)), -2.0)
+        x = np.array([*best, np.log1p(sum(known[w] > 0 for w in words)), np.log(len(words) + 10)])
+        assert np.isclose(got[k], 1 / (1 + np.exp(-np.clip(x @ model.slope + model.shift, -40, 40))), atol=1e-4), text[:50]
+
+
+def test_landmarks_span_the_collapsed_weights():
+    """One weight per triple gives the same as the kernel against all landmarks."""
+    landmarks, words = ["idiot", "river", "stone", "stupid", "water"], ["idi0t", "rivers", "stupidity", "xyz", "watering"]
+    space = toxicity._Space(landmarks)
+    w = np.array([0.5, -1.0, 0.25, 2.0, -0.5])
+    assert np.allclose(space.map(words) @ w, toxicity.scores(words, space.collapse(w), 0.0), atol=1e-5)
+
+
+def test_a_fit_without_both_labels_scores_the_share(spark):
+    for labels, want in (([0, 0, 0], 0.0), ([1, 1], 1.0), ([], 0.0)):
+        model = toxicity.fit(pa.array(["some words here"] * len(labels), pa.string()), np.array(labels, np.int64))
+        got = toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, None)], "doc_id long, text string"), model).toPandas().score
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def plain_pooled(text, context, vectors):
+    """Mean and spread of a text's word vectors and its repeat rates, one word after another."""
+    words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    if not words:
+        return np.zeros(144 + quality.LAGS if context is not None else 96 + quality.LAGS)
+    rows = []
+    for w in words:
+        raw = ("<" + w + ">").encode()
+        kinds = bytes(1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b >= 128 else b for b in raw)
+        parts = []
+        for table, data in ((quality.BYTES, raw), (quality.KINDS, kinds)):
+            at = [((data[i] * 961 + data[i + 1] * 31 + data[i + 2]) * 0x9E3779B1 >> 7) & 4095 for i in range(len(data) - 2)]
+            parts.append(sum(table[a].astype(float) for a in at) / np.sqrt(max(len(at), 1)))
+        parts.append(vectors[context[w]] if w in context else np.zeros(24))
+        rows.append(np.concatenate(parts))
+    rows = np.array(rows)
+    repeats = [sum(words[i] == words[i - lag] for i in range(lag, len(words))) / len(words) for lag in range(1, quality.LAGS + 1)]
+    return np.concatenate([rows.mean(axis=0), rows.std(axis=0), repeats])
+
+
+def test_quality_scores_by_their_definition(spark, sf, awkward):
+    model = quality.train(spark, sf)
+    rows = rows_of(awkward) + rows_of(spark.read.parquet(f"{sf}/documents.parquet").limit(40))
+    got = quality.score(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"), model).toPandas().set_index("doc_id").score
+    context = {w: k for k, w in enumerate(model.context.to_pylist())}
+    for k, (_, text) in enumerate(rows):
+        z = (plain_pooled(text or "", context, model.vectors) - model.mean) / model.scale
+        hidden = np.maximum(z @ model.layers[0] + model.layers[1], 0)
+        out = (hidden @ model.layers[2] + model.layers[3])[0] / model.temperature
+        assert np.isclose(got[k], 1 / (1 + np.exp(-np.clip(out, -40, 40))), atol=2e-4), (text or "")[:50]
+
+
+def plain_value(net, text, start, end):
+    """The network's value of a candidate, one window and one character after another."""
+    best = 0.0
+    for at in range(start, max(end - 32, start + 1), 32) if end - start > 64 else [start]:
+        codes = [0] * 112
+        for place, part in ((32 - min(32, start), text[max(0, start - 32) : start]), (32, text[at : min(end, at + 64)]), (96, text[end : end + 16])):
+            for k, c in enumerate(part):
+                codes[place + k] = ord(c) - 31 if 32 <= ord(c) < 127 else 96 if ord(c) < 128 else ord("?") - 31
+        padded = [0, 0, *codes, 0, 0]
+        out = np.array([sum(net.vectors[padded[i + k]] @ net.kernel[k] for k in range(5)) + net.shift for i in range(112)])
+        out = np.maximum(out, 0)
+        logit = np.concatenate([out[:32].max(axis=0), out[32:96].max(axis=0), out[96:].max(axis=0)]) @ net.dense + net.bias[0]
+        best = max(best, 1 / (1 + np.exp(-np.clip(logit / net.temperature, -40, 40))))
+    return best
+
+
+def test_model_spans_by_their_definition(monkeypatch):
+    monkeypatch.setattr(secrets, "BATCH", 7)
+    net = secrets.fit([])
+    rng = np.random.default_rng(12)
+    texts = ["", "plain words only", "key ghp_" + "a1B2" * 9 + " and 2024-01-02T10-11-12 é end", "x" * 20 + "7" + "y" * 300, "uuid 0b1c2d3e-0001-4a2b-9c3d-aabbccddeeff, tok AIza" + "q7Zp" * 9]
+    texts += [" ".join(t) for t in [(a, b, c) for a, b, c, _ in secrets.generated(rng, 30)]]
+    for text, spans in zip(texts, secrets.find(pa.array(texts), net), strict=True):
+        base = plain_spans(text)
+        want = list(base)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text):
+            token = m.group()
+            if re.search("[0-9]", token) and re.search("[A-Za-z]", token) and not any(s < m.end() and e > m.start() for s, _, e in base) and plain_value(net, text, *m.span()) >= net.threshold:
+                want.append((m.start(), 3, m.end()))
+        assert spans == sorted(want), text
+
+
+# ---- very long texts
+
+
+@pytest.fixture(scope="module")
+def giants():
+    """Texts of 2 to 3 MB: words, one unbroken word, one unbroken blob of token characters, and one word over and over."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = " ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 9, 350_000))
+    return [(1, words), (2, "".join(rng.choice(letters, 2_000_000))), (3, "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 2_000_000))), (4, "again " * 400_000), (5, words + " tail"), (6, "short")]
+
+
+def test_every_operator_takes_very_long_texts(spark, sf, giants):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(giants, "doc_id long, text string").repartition(3).cache()
+    texts = dict(giants)
+    n = {i: len(t.split()) for i, t in giants}
+    model = langid.train(spark, spark.read.parquet(f"{sf}/documents.parquet"), P.path("piece_bpe_32k.model"))
+    found = langid.predict(df, model).toPandas()
+    assert len(found) == 6 and found.score.between(0, 1).all() and (found.lang_pred != "und").all()
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.simhash_dedup(df).collect()}
+    assert prints == {i: f"{plain_fingerprint(t):016x}" for i, t in giants}
+    for module in (toxicity, quality):
+        got = module.score(df, module.train(spark, sf)).toPandas()
+        assert len(got) == 6 and got.score.between(0, 1).all()
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert removed == {1: (n[1], 0), 2: (1, 0), 3: (1, 0), 4: (n[4], n[4] - 1), 5: (n[5], n[5] - 1), 6: (1, 0)}
+    net = secrets.fit([])
+    spans = {r["doc_id"]: r for r in secrets.scan(df, net).collect()}
+    assert len(spans) == 6 and spans[1]["n_hex"] == 0 and spans[3]["n_hex"] == sum(x[1] == 2 for x in plain_spans(texts[3]))
+    packed = packing.pack(df, P.path("byte_bpe_50k.json")).groupBy("doc_id").agg({"length": "sum"}).collect()
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert {r[0]: r[1] for r in packed} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in giants}
+    exact = {r["doc_id"]: r["text_sha256"] for r in exact_dedup.exact_dedup(df).collect()}
+    assert exact == {i: hashlib.sha256(t.lower().encode()).hexdigest() for i, t in giants}
+    near = {r["doc_id"]: r for r in sketch.document_fingerprints(df).collect()}
+    assert near[6]["n_chars"] == 5 and near[5]["near_next"] == 0 and len(near) == 6
+    round_trip = {r["doc_id"]: r["decoded_sha256"] for r in bpe.bpe_round_trip(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    assert round_trip == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in giants}
+
+
+# ---- hot groups
+
+
+def test_a_text_in_a_third_of_the_rows(spark, sample):
+    """Copies of one text and near copies of another, a third of the rows each, against brute force."""
+    rng = np.random.default_rng(14)
+    hot, near = sample.text[3], sample.text[4].split()
+    rows = []
+    for k in range(900):
+        text = hot if k % 3 == 0 else sample.text[k % len(sample)]
+        if k % 3 == 1:
+            words = list(near)
+            words[rng.integers(len(words))] = f"x{k}"
+            text = " ".join(words)
+        rows.append((k, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df).collect()) == plain_removal(rows)
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    parts, least = plain_components(prints.values()), {}
+    for i, p in prints.items():
+        least[parts[p]] = min(least.get(parts[p], i), i)
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_dedup(df).collect()} == {(i, least[parts[p]]) for i, p in prints.items()}
+
+
+def test_a_key_with_more_fingerprints_than_a_crowd(spark):
+    """5,000 fingerprints that share a half, at the operator's own CROWD."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 32, 1000)
+    high = np.concatenate([centres, *[centres ^ (1 << rng.integers(0, 32, 1000)) ^ (1 << rng.integers(0, 32, 1000)) for _ in range(4)]])
+    prints = np.unique((high.astype(np.int64) << 32) | 12345)
+    assert len(prints) > simhash.CROWD
+    parent = {int(p): int(p) for p in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p in prints:
+        for q in prints[(np.bitwise_count((prints ^ p).view(np.uint64)) <= 4) & (prints > p)].tolist():
+            parent[root(q)] = root(int(p))
+    want = {}
+    for p in parent:
+        want.setdefault(root(p), []).append(p)
+    got = {r["vertex"]: r["component"] for r in connected_components(simhash.links(spark.createDataFrame([(int(p),) for p in prints], "fp long"))).collect()}
+    assert all(got.get(p, p) == min(g) for g in want.values() for p in g)
+
+
+def test_a_star_and_a_chain_become_components(spark, monkeypatch):
+    monkeypatch.setattr("lodemark.llm.common.HOT", 0.01)
+    edges = [(0, k) for k in range(1, 600)] + [(1000 + k, 1001 + k) for k in range(150)] + [(5, 5)]
+    got = {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(600)} | {1000 + k: 1000 for k in range(151)}
+
+
 # ---- empty tables
 
 
