@@ -17,12 +17,19 @@ from lodemark.llm.common import checkpointed, read_table, set_checkpoint_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score below 0.5) go.
+
+    Null and empty texts get the score of a text without words; texts of any length are read whole; equal texts
+    have equal scores; repeated rows stay or go together; other columns pass through as they are; an empty
+    table gives no rows.
+    """
     return quality.accepted(docs, quality.train(spark, sf_dir))
 
 
 #: A number of its own for each row of a dedup stage's input.
 ROW = "_lodemark_row"
+#: Marks of 64 rows each that one broadcast holds at most: 32 MB of them, for 128 million rows.
+MOST_MARKS = 2_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -33,30 +40,65 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose ROW is in kept, without it."""
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+def _only(rows: DataFrame, kept: DataFrame, most: int = MOST_MARKS) -> DataFrame:
+    """The rows whose ROW is in kept, without it. No text is shuffled, whatever the size.
+
+    The kept keys become marks, one bit a row and 64 rows a mark, and are broadcast. More marks than one
+    broadcast may hold are cut into ranges of keys; each range reads only its own rows, as keys ascend in files.
+    """
+    mark, bit = F.shiftright(ROW, 6), F.expr(f"shiftleft(1L, cast({ROW} & 63 AS int))")
+    marks = checkpointed(kept.groupBy(mark.alias("_mark")).agg(F.bit_or(bit).alias("_bits")))
+    parts = -(-marks.count() // most)
+    cuts = sorted(set(marks.approxQuantile("_mark", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    out = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        own, held = rows, marks
+        if low is not None:
+            own, held = own.where(F.col(ROW) >= int(low) << 6), held.where(F.col("_mark") >= int(low))
+        if high is not None:
+            own, held = own.where(F.col(ROW) < int(high) << 6), held.where(F.col("_mark") < int(high))
+        found = own.join(F.broadcast(held), mark == F.col("_mark")).where(F.expr(f"getbit(_bits, cast({ROW} & 63 AS int)) = 1")).select(*rows.columns)
+        out = found if out is None else out.unionByName(found)
+    return out.drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts one with the largest doc_id stays; null doc_ids are smaller than any other."""
+    """Of rows with equal texts (A-Z and a-z alike) one with the largest doc_id stays; null doc_ids are smaller than any other.
+
+    Null and empty texts are one text; texts of any length are hashed whole; of several rows with the same text and
+    doc_id one stays; other columns, whatever their names, stay with their row; an empty table gives no rows.
+    """
     rows = _keyed(docs)
-    return _only(rows, checkpointed(exact.exact_dedup(rows, ROW).where("kept").select(ROW)))
+    return _only(rows, exact.exact_dedup(rows, ROW).where("kept").select(ROW))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows whose fingerprints are connected one with the smallest doc_id stays; null doc_ids come last."""
+    """Of rows whose fingerprints are connected one with the smallest doc_id stays; null doc_ids come last.
+
+    Null, empty and blank texts have fingerprint zero and are linked like any other; texts of any length are read
+    whole; of several rows with the same smallest doc_id the first stays; other columns stay with their row; an
+    empty table gives no rows.
+    """
     rows = _keyed(docs)
-    return _only(rows, checkpointed(simhash.survivors(rows, ROW)))
+    return _only(rows, simhash.survivors(rows, ROW))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret that the scan finds is replaced by a mark; all documents stay."""
+    """Every secret that the scan finds is replaced by a mark; all documents stay.
+
+    Null texts stay null and empty ones empty; texts of any length are read whole; spans that overlap become one
+    mark; repeated rows are treated alike; n_chars, if there, follows the text, other columns pass through; an
+    empty table gives no rows.
+    """
     return secrets.redact(docs, secrets.train(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids: one row a piece of a document."""
+    """Sequences of token ids: one row a piece of a document.
+
+    Null and empty texts are the end id alone; texts of any length are cut into pieces; repeated rows and ids, and
+    missing ids, are packed each; other columns are ignored; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
