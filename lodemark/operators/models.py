@@ -20,6 +20,8 @@ from .quantiles import lad_slope, quantile, quantiles
 
 CAP_M = 50.0
 ANCHOR_HEIGHT_M = 2.6
+#: Groups whose moment matrices the driver takes.
+MOST_GROUPS = 100_000
 FLOOR_GRID = [0.5 + 0.25 * k for k in range(47)]
 BLEND_GRID = [1.0 + 0.25 * k for k in range(45)]
 
@@ -45,15 +47,16 @@ class Linear:
 
 def _moments(df: DataFrame, x: list[Column], ys: list[Column], weight: Column | None = None, by: Column | None = None):
     """Per group the sums of products of (1, x..., y...), from one aggregation pass."""
-    cols = [F.lit(1.0), *x, *ys]
+    names = [f"_c{k}" for k in range(len(x) + len(ys))]
     known = F.lit(True)
-    for c in [*x, *ys]:
-        known = known & c.isNotNull()
-    w = F.lit(1.0) if weight is None else weight
+    for c in names:
+        known = known & F.col(c).isNotNull()
+    # Columns of their own, so that no product computes an expression anew.
+    source = df.select(*[c.cast("double").alias(n) for n, c in zip(names, [*x, *ys], strict=True)], (F.lit(1.0) if weight is None else weight).alias("_w"), *([by.alias("g")] if by is not None else [])).where(known)
+    cols = [F.lit(1.0), *map(F.col, names)]
     k = len(cols)
-    sums = [F.sum(w * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    source = df.where(known)
-    rows = (source.groupBy(by.alias("g")) if by is not None else source.groupBy()).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    sums = [F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
+    rows = (source.groupBy("g") if by is not None else source.groupBy()).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
     out = {}
     for r in rows:
         m = np.zeros((k, k))
@@ -93,28 +96,31 @@ def per_zoom(fits: dict, response: str, zoom: Column, columns: dict[str, Column]
     return clip(out, 0.0, CAP_M)
 
 
-def quantile_regression(df: DataFrame, x: dict[str, Column], y: Column, q: float = 0.5, rounds: int = 40, tolerance: float = 1e-7) -> Linear:
-    """Quantile regression by iteratively reweighted least squares, one aggregation a round.
+def quantile_regression(df: DataFrame, x: dict[str, Column], y: Column, q: float = 0.5, rounds: int = 40, tolerance: float = 1e-7, by: Column | None = None):
+    """Quantile regression by iteratively reweighted least squares, one aggregation a round for all groups.
 
-    The optimum need not be unique; the loss is what converges.
+    The optimum need not be unique; the loss is what converges. Returns a Linear, or one per group (a few groups).
     """
     terms = ("(Intercept)", *x)
-    cached = df.select(*[c.alias(f"x{k}") for k, c in enumerate(x.values())], y.alias("y")).dropna().persist()
+    kept = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(x.values())], y.cast("double").alias("y"), (by if by is not None else F.lit(0)).alias("g")).dropna().persist()
     cols = [F.col(f"x{k}") for k in range(len(x))]
+    named = dict(zip(x, cols, strict=True))
     try:
-        fit = least_squares(cached, dict(zip(x, cols, strict=True)), {"y": F.col("y")})["y"]
+        fits = {g: f["y"] for g, f in least_squares(kept, named, {"y": F.col("y")}, by=F.col("g")).items()}
         for _ in range(rounds):
-            r = F.col("y") - fit.predict(dict(zip(x, cols, strict=True)))
+            guess = F.lit(None).cast("double")
+            for g, f in fits.items():
+                guess = F.when(F.col("g") == g, f.predict(named)).otherwise(guess)
+            r = F.col("y") - guess
             w = F.when(r >= 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(1e-6))
-            n, m = _moments(cached, cols, [F.col("y")], w)[None]
-            fresh = _solve(n, m, len(terms), 0, terms)
-            step = max(abs(a - b) for a, b in zip(fit.coef, fresh.coef, strict=True))
-            fit = fresh
+            fresh = {g: _solve(n, m, len(terms), 0, terms) for g, (n, m) in _moments(kept, cols, [F.col("y")], w, F.col("g")).items()}
+            step = max((abs(a - b) for g, f in fresh.items() for a, b in zip(fits[g].coef, f.coef, strict=True)), default=0.0)
+            fits = fresh
             if step < tolerance:
                 break
-        return fit
+        return fits if by is not None else fits[0]
     finally:
-        cached.unpersist()
+        kept.unpersist()
 
 
 def mixed_model(df: DataFrame, x: dict[str, Column], y: Column, group: Column) -> tuple[Linear, dict, float]:
@@ -123,6 +129,8 @@ def mixed_model(df: DataFrame, x: dict[str, Column], y: Column, group: Column) -
     Returns the fixed part, the groups' intercepts and the variance ratio (group to residual). Only a
     matrix of moments per group comes to the driver; the ratio is a one-dimensional search.
     """
+    if df.select(group.alias("g")).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: their moments would not fit on the driver")
     found = _moments(df, list(x.values()), [y], by=group)
     p = len(x) + 1
     terms = ("(Intercept)", *x)
@@ -250,8 +258,8 @@ def fit_cotangent(df: DataFrame, loss: str = "l1", label_type: str | None = None
         kept.unpersist()
 
 
-def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type: str | None, dep: str, dist: str) -> Geometric:
-    """The grid angle with the least loss in metres.
+def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type: str | None, dep: str, dist: str) -> tuple[Geometric, Geometric | None]:
+    """The models of the grid angle with the least loss in metres: with one height, and with one per type.
 
     Least squares needs no row per angle: sums per cell between two grid angles add up to those of every angle.
     """
@@ -281,11 +289,17 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
             if label_type:
                 for r in lad_slope(used, ["k", "_t"], F.col("x"), F.col("_y")).collect():
                     heights[r["k"]][r["_t"]] = 1 / r["slope"]
-        models = [Geometric(form, pooled[k], heights[k] if label_type else {}, a) for k, a in enumerate(grid) if pooled[k]]
-        if not models:
-            raise ValueError("no click to fit on")
-        losses = _losses(base, models, loss, bool(label_type))
-        return models[min(range(len(models)), key=lambda k: (losses[k], k))]
+        out: list[Geometric | None] = []
+        for typed in (False, True):
+            models = [Geometric(form, pooled[k], heights[k] if typed else {}, a) for k, a in enumerate(grid) if pooled[k]]
+            if not models:
+                raise ValueError("no click to fit on")
+            if typed and not label_type:
+                out.append(None)
+                continue
+            losses = _losses(base, models, loss, typed)
+            out.append(models[min(range(len(models)), key=lambda k: (losses[k], k))])
+        return out[0], out[1]
     finally:
         base.unpersist()
 
@@ -313,12 +327,12 @@ def _quick(m: Geometric, typed: bool) -> Column:
 
 def fit_floor(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
     """The depression is kept at a profiled least angle."""
-    return _profile(df, "floor", FLOOR_GRID, loss, label_type, dep, dist)
+    return _profile(df, "floor", FLOOR_GRID, loss, label_type, dep, dist)[bool(label_type)]
 
 
 def fit_blend(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
     """Cotangent above a profiled angle, its tangent line below."""
-    return _profile(df, "blend", BLEND_GRID, loss, label_type, dep, dist)
+    return _profile(df, "blend", BLEND_GRID, loss, label_type, dep, dist)[bool(label_type)]
 
 
 def _bounded(gram: np.ndarray, right: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -399,22 +413,110 @@ def choose(df: DataFrame, models: dict[str, Geometric], dep: str = "dep", dist:
     return min(models, key=lambda k: found[k])
 
 
-def ladder(df: DataFrame, label_type: str = "label_type", dep: str = "dep", dist: str = "truth_m", losses: tuple[str, ...] = ("ols", "l1")) -> dict[str, Geometric]:
-    """Every geometric rung with the given losses, over a frame that is read once."""
-    cached = df.select(dep, dist, label_type).persist()
+@dataclass(frozen=True)
+class PerZoom:
+    """Rung A: each zoom level's own line."""
+
+    fits: dict
+    form: str = "per_zoom_linear"
+
+
+def fit_per_zoom(df: DataFrame, loss: str, x: dict[str, Column], y: Column, zoom: Column) -> PerZoom:
+    """The lines of all zoom levels, by least squares or medians."""
+    if loss == "ols":
+        return PerZoom({z: f["y"] for z, f in least_squares(df, x, {"y": y}, by=zoom).items()})
+    return PerZoom(quantile_regression(df, x, y, by=zoom))
+
+
+@dataclass(frozen=True)
+class Served:
+    """The height that each panorama is served with; NULL elsewhere."""
+
+    form: str = "cotangent_served"
+
+
+def predict_any(model, columns: dict[str, Column]) -> Column:
+    """Distance by any rung. columns: dep, label_type, and for rung A zoom and its terms; for Served height_m."""
+    if isinstance(model, PerZoom):
+        return per_zoom({z: {"y": f} for z, f in model.fits.items()}, "y", columns["zoom"], columns)
+    if isinstance(model, Served):
+        return F.when(columns["height_m"].isNotNull(), clip(columns["height_m"] / tan_depression(columns["dep"], 1e-9), 0.0, CAP_M))
+    if model.form == "anchor":
+        return anchor(columns["dep"], model.height_m)
+    return predict(model, columns["dep"], columns["label_type"])
+
+
+def ladder(df: DataFrame, label_type: str = "label_type", dep: str = "dep", dist: str = "truth_m", zoom: str = "zoom", terms: tuple[str, ...] = ("sv_image_y", "canvas_y"), losses: tuple[str, ...] = ("ols", "l1")) -> dict:
+    """Ten rungs under each loss and the two anchors, over a frame that is read once.
+
+    Rung A under least squares is checked against the per-zoom estimator that it must equal.
+    """
+    kept = df.select(dep, dist, label_type, zoom, *terms).persist()
+    x, y, z = {t: F.col(t).cast("double") for t in terms}, F.col(dist), F.col(zoom)
     try:
-        out = {}
+        out: dict = {}
         for loss in losses:
-            for typed in (None, label_type):
-                mark = f"_{loss}" + "_by_type" * bool(typed)
-                out[f"C{mark}"] = fit_cotangent(cached, loss, typed, dep, dist)
-                out[f"D_floor{mark}"] = fit_floor(cached, loss, typed, dep, dist)
-                out[f"D_blend{mark}"] = fit_blend(cached, loss, typed, dep, dist)
-                out[f"D_soft{mark}"] = fit_softcap(cached, loss, typed, dep, dist)
-            out[f"E_{loss}"] = fit_isotonic(cached, "l2" if loss == "ols" else "l1", 24, dep, dist)
-        return out
+            out[f"A_{loss}"] = fit_per_zoom(kept, loss, x, y, z)
+            typed = fit_cotangent(kept, loss, label_type, dep, dist)
+            out[f"C_{loss}"], out[f"C_type_{loss}"] = replace(typed, height_by_type={}), typed
+            for name, form, grid in (("D_floor", "floor", FLOOR_GRID), ("D_blend", "blend", BLEND_GRID)):
+                out[f"{name}_{loss}"], out[f"{name}_type_{loss}"] = _profile(kept, form, grid, loss, label_type, dep, dist)
+            out[f"D_soft_{loss}"] = fit_softcap(kept, loss, None, dep, dist)
+            out[f"D_soft_type_{loss}"] = fit_softcap(kept, loss, label_type, dep, dist)
+            out[f"E_{loss}"] = fit_isotonic(kept, "l2" if loss == "ols" else "l1", 24, dep, dist)
+        if "ols" in losses:
+            for level, own in least_squares(kept, x, {"y": y}, by=z).items():
+                if max(abs(a - b) for a, b in zip(own["y"].coef, out["A_ols"].fits[level].coef, strict=True)) > 1e-9:
+                    raise AssertionError(f"rung A differs from the per-zoom estimator at zoom {level}")
+        return out | {"anchor": Geometric("anchor", ANCHOR_HEIGHT_M), "anchor_served": Served()}
     finally:
-        cached.unpersist()
+        kept.unpersist()
+
+
+def candidate(df: DataFrame, fits: dict, dep: str = "dep", dist: str = "truth_m", label_type: str = "label_type") -> str:
+    """Of the saturating rungs (D) the one with the least median error on the training rows."""
+    return choose(df, {k: m for k, m in fits.items() if k.startswith("D_")}, dep, dist, label_type)
+
+
+def quantile_bands(train: DataFrame, test: DataFrame, dep: str = "dep", dist: str = "truth_m", shares: tuple[float, float] = (0.1, 0.9)) -> dict[str, float]:
+    """The disparity line at two quantiles, and the median and 90th percentile of the distance between them."""
+    t = tan_depression(F.col(dep), 0.0)
+    out, bands = {}, []
+    for q in shares:
+        c0, c1 = quantile_regression(train, {"t": t}, disparity(F.col(dist), 1.0), q).coef
+        out |= {f"c0_{q}": max(c0, 1 / CAP_M), f"c1_{q}": c1}
+        bands.append(clip(1 / (out[f"c0_{q}"] + c1 * t), 0.0, CAP_M))
+    found = quantiles(test, [], {"width_median_m": (F.abs(bands[0] - bands[1]), 0.5), "width_p90_m": (F.abs(bands[0] - bands[1]), 0.9)}, digits=None).first()
+    return out | {k: found[k] for k in ("width_median_m", "width_p90_m")}
+
+
+#: What a height term could add to the linear model, as columns of a frame with sv_image_y, canvas_y, pano_height.
+HEIGHT_FORMS = {
+    "a_sub": {"sv_image_y": "sv_image_y", "canvas_y": "canvas_y"},
+    "b_norm": {"sv_norm": "sv_image_y * (6656e0 / pano_height)", "canvas_y": "canvas_y"},
+    "b_log": {"sv_image_y": "sv_image_y", "canvas_y": "canvas_y", "log_h": "ln(pano_height / 6656e0)"},
+    "b_interact": {"sv_image_y": "sv_image_y", "canvas_y": "canvas_y", "sv_interact": "sv_image_y * (6656e0 / pano_height - 1)"},
+}
+
+
+def height_terms(train: DataFrame, test: DataFrame, dist: str = "truth_m", city: str = "city", zoom: str = "zoom", losses: tuple[str, ...] = ("ols",)) -> list[tuple]:
+    """(form, zoom, term, coef, se) of the four forms with fixed effects of cities, over panoramas of the two
+    main heights, and per loss a row (form, zoom, `error_<loss>`, median error of test, NULL)."""
+    train, test = (x.where("pano_height IN (6656, 8192)") for x in (train, test))
+    cities = sorted(r[0] for r in train.select(city).distinct().collect())[1:]
+    effects = {f"city_{c}": (F.col(city) == c).cast("double") for c in cities}
+    out: list[tuple] = []
+    for form, terms in HEIGHT_FORMS.items():
+        x = {k: F.expr(e).cast("double") for k, e in terms.items()} | effects
+        y, z = F.col(dist).cast("double"), F.col(zoom)
+        for loss in losses:
+            fits = {k: f["y"] for k, f in least_squares(train, x, {"y": y}, by=z).items()} if loss == "ols" else quantile_regression(train, x, y, by=z)
+            if loss == "ols":
+                out += [(form, k, t, c, s) for k, f in fits.items() for t, c, s in zip(f.terms, f.coef, f.se, strict=True) if t in terms]
+            guess = per_zoom({k: {"y": f} for k, f in fits.items()}, "y", z, x)
+            found = quantiles(test, [zoom], {"m": (F.abs(guess - y), 0.5)}, digits=None).collect()
+            out += [(form, r[zoom], f"error_{loss}", r["m"], None) for r in found]
+    return out
 
 
 def era_shift(df: DataFrame, target: Column, era: Column) -> float:
@@ -457,32 +559,72 @@ def boosted_trees(df: DataFrame, features: list[str], label: str, loss: str = "a
     return model, transform
 
 
+#: Pairs of sequences whose sums the driver takes; beyond, each round is a join.
+MOST_PAIRS = 1_000_000
+
+
 def sequence_scales(members: DataFrame, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """One distance scale per sequence, by alternating least squares over sites of two or more sequences.
 
-    members: sequence_id, site_id, e0, n0 (camera, metres), ux, uy (unit ray), d0 (distance). Each round is
-    two grouped sums; the scale table is cut from its lineage by a checkpoint in the shared folder.
+    members: sequence_id, site_id, e0, n0 (camera, metres), ux, uy (unit ray), d0 (distance). A round sets every
+    site to the mean of its members and every scale to its best fit to the sites, which is linear in the scales:
+    its sums over pairs of sequences that share a site come from one pass over the members, whatever the number of
+    rounds. Many pairs stay distributed, and a round is one join and one sum over them.
     """
     from lodemark.session import checkpointed
 
-    seen = members.groupBy("site_id").agg(F.countDistinct("sequence_id").alias("_s")).where("_s >= 2").select("site_id")
-    sub = members.join(seen, "site_id", "left_semi").persist()
-    below = sub.groupBy("sequence_id").agg(F.sum(F.col("d0") * F.col("d0")).alias("below"), F.count(F.lit(1)).alias("n_fit"))
-    scale = checkpointed(below.select("sequence_id", "below", F.lit(1.0).alias("k")))
-    for _ in range(rounds):
-        placed = sub.join(scale.select("sequence_id", "k"), "sequence_id")
-        px, py = F.col("e0") + F.col("k") * F.col("d0") * F.col("ux"), F.col("n0") + F.col("k") * F.col("d0") * F.col("uy")
-        centre = placed.groupBy("site_id").agg(F.avg(px).alias("cx"), F.avg(py).alias("cy"))
-        along = (F.col("cx") - F.col("e0")) * F.col("ux") + (F.col("cy") - F.col("n0")) * F.col("uy")
-        above = sub.join(centre, "site_id").groupBy("sequence_id").agg(F.sum(F.col("d0") * along).alias("above"))
-        fresh = scale.join(above, "sequence_id").select("sequence_id", "below", F.col("k").alias("old"), F.when(F.col("below") > 0, F.col("above") / F.greatest("below", F.lit(1e-12))).otherwise(1.0).alias("k"))
-        scale = checkpointed(fresh)
-        moved = scale.agg(F.max(F.abs(F.col("k") - F.col("old")))).first()[0]
-        if moved is None or moved < tolerance:
-            break
-    sub.unpersist()
+    seen = members.groupBy("site_id").agg(F.countDistinct("sequence_id").alias("_s"), F.count(F.lit(1)).alias("_n"), F.avg("e0").alias("_e"), F.avg("n0").alias("_q")).where("_s >= 2")
+    rays = members.select("sequence_id", "site_id", "e0", "n0", "d0", (F.col("d0") * F.col("ux")).alias("px"), (F.col("d0") * F.col("uy")).alias("py"))
+    # along each ray: d * u . (mean camera - own camera) does not depend on the scales
+    own = rays.join(seen, "site_id").withColumn("_b", F.col("px") * (F.col("_e") - F.col("e0")) + F.col("py") * (F.col("_q") - F.col("n0")))
+    per_site = checkpointed(own.groupBy("site_id", "sequence_id").agg(F.first("_n").alias("_n"), F.sum("px").alias("px"), F.sum("py").alias("py"), F.sum("_b").alias("b"), F.sum(F.col("d0") * F.col("d0")).alias("below"), F.count(F.lit(1)).alias("n_fit")))
+    fixed = checkpointed(per_site.groupBy("sequence_id").agg(F.sum("b").alias("b"), F.sum("below").alias("below"), F.sum("n_fit").alias("n_fit")))
+    other = per_site.select("site_id", F.col("sequence_id").alias("other"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    pairs = checkpointed(per_site.join(other, "site_id").groupBy("sequence_id", "other").agg(F.sum((F.col("px") * F.col("qx") + F.col("py") * F.col("qy")) / F.col("_n")).alias("a")))
+
+    if pairs.count() <= MOST_PAIRS:
+        known, links = fixed.collect(), pairs.collect()
+        at = {r["sequence_id"]: k for k, r in enumerate(known)}
+        row, col = (np.array([at[r[c]] for r in links], np.int64) for c in ("sequence_id", "other"))
+        a, b, below = np.array([r["a"] for r in links], float), np.array([r["b"] for r in known], float), np.array([r["below"] for r in known], float)
+        k = np.ones(len(known))
+        for _ in range(rounds):
+            fresh = np.where(below > 0, (np.bincount(row, a * k[col], len(k)) + b) / np.maximum(below, 1e-12), 1.0) if len(k) else k
+            moved, k = np.abs(fresh - k).max(initial=0), fresh
+            if moved < tolerance:
+                break
+        scale = members.sparkSession.createDataFrame([(r["sequence_id"], float(v)) for r, v in zip(known, k, strict=True)], f"sequence_id {dict(members.dtypes)['sequence_id']}, k double")
+    else:
+        scale = checkpointed(fixed.select("sequence_id", F.lit(1.0).alias("k")))
+        for _ in range(rounds):
+            above = pairs.join(scale.select(F.col("sequence_id").alias("other"), "k"), "other").groupBy("sequence_id").agg(F.sum(F.col("a") * F.col("k")).alias("above"))
+            fresh = fixed.join(above, "sequence_id").join(scale.withColumnRenamed("k", "old"), "sequence_id")
+            scale = checkpointed(fresh.select("sequence_id", "old", F.when(F.col("below") > 0, (F.col("above") + F.col("b")) / F.greatest("below", F.lit(1e-12))).otherwise(1.0).alias("k")))
+            if scale.agg(F.max(F.abs(F.col("k") - F.col("old")))).first()[0] < tolerance:
+                break
     counts = members.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("n_members"))
-    every_k = counts.join(scale.select("sequence_id", "k"), "sequence_id", "left").join(below.select("sequence_id", "n_fit"), "sequence_id", "left")
-    every_k = every_k.select("sequence_id", "n_members", F.coalesce("n_fit", F.lit(0)).alias("n_fit_members"), F.coalesce("k", F.lit(1.0)).alias("k"))
+    every_k = counts.join(scale.select("sequence_id", "k"), "sequence_id", "left").join(fixed.select("sequence_id", "n_fit"), "sequence_id", "left")
+    every_k = checkpointed(every_k.select("sequence_id", "n_members", F.coalesce("n_fit", F.lit(0)).alias("n_fit_members"), F.coalesce("k", F.lit(1.0)).alias("k")))
     mean = every_k.agg(F.exp(F.sum(F.ln(F.greatest("k", F.lit(1e-6))) * F.col("n_members")) / F.sum("n_members"))).first()[0]
     return every_k.select("sequence_id", "n_members", "n_fit_members", (F.col("k") / (mean or 1.0)).alias("k_rel"))
+
+
+def scale_transfer(members: DataFrame, seeds: list[int]) -> DataFrame:
+    """Per seed, the median distance of the members of one half of the sites from their site's mean, with the scales
+    that the other half gives and without (scale 1 where a sequence has none)."""
+    from .windows import half_split
+
+    out = None
+    for seed in seeds:
+        halves = half_split(members, "site_id", seed)
+        fitted = sequence_scales(halves.where("half = 'A'").drop("half")).select("sequence_id", "k_rel")
+        held = halves.where("half = 'B'").join(fitted, "sequence_id", "left")
+        arms = []
+        for name, k in (("scaled", F.coalesce("k_rel", F.lit(1.0))), ("plain", F.lit(1.0))):
+            arms += [(F.col("e0") + k * F.col("d0") * F.col("ux")).alias(f"{name}_x"), (F.col("n0") + k * F.col("d0") * F.col("uy")).alias(f"{name}_y")]
+        placed = held.select("site_id", *arms)
+        centres = placed.groupBy("site_id").agg(*[F.avg(c).alias(f"c_{c}") for c in ("scaled_x", "scaled_y", "plain_x", "plain_y")])
+        off = {f"{n}_m": (F.hypot(F.col(f"{n}_x") - F.col(f"c_{n}_x"), F.col(f"{n}_y") - F.col(f"c_{n}_y")), 0.5) for n in ("scaled", "plain")}
+        row = quantiles(placed.join(centres, "site_id"), [], off).select(F.lit(seed).alias("seed"), "n", "scaled_m", "plain_m")
+        out = row if out is None else out.unionByName(row)
+    return out

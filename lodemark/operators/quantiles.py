@@ -7,6 +7,9 @@ and no task holds a group.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,10 +97,33 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
 
 def quantile(df: DataFrame, value: Column, q: float | list[float]):
     """The exact quantile, or list of quantiles, of a whole column; None without values."""
-    many = q if isinstance(q, list) else [q]
-    found = quantiles(df, [], {f"q{k}": (value, x) for k, x in enumerate(many)}, digits=None).first()
-    values = [found[f"q{k}"] if found is not None else None for k in range(len(many))]
-    return values if isinstance(q, list) else values[0]
+    if isinstance(q, list):
+        return _many(df, value, q)
+    found = quantiles(df, [], {"q": (value, q)}, digits=None).first()
+    return found["q"] if found is not None else None
+
+
+def _many(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
+    """Quantiles at many shares, from the running counts of the distinct values, which are made range by range."""
+    from lodemark.session import checkpointed
+
+    from .windows import running_counts
+
+    counts = checkpointed(running_counts(df.select(value.cast("double").alias("_v")), "_v"))
+    total = counts.agg(F.max("upto")).first()[0]
+    if not total:
+        return [None] * len(shares)
+    spots = [q * (total - 1) for q in shares]
+    ranks = sorted({int(f(x)) for x in spots for f in (math.floor, math.ceil)})
+    # Two values a share at most come to the driver.
+    hit = F.exists(F.lit(ranks).cast("array<long>"), lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    rows = sorted((r["upto"], r["_v"]) for r in counts.where(hit).select("_v", "upto").collect())
+    upto = [u for u, _ in rows]
+
+    def of(rank: int) -> float:
+        return rows[bisect_right(upto, rank)][1]
+
+    return [of(math.floor(x)) if x == math.floor(x) else (math.ceil(x) - x) * of(math.floor(x)) + (x - math.floor(x)) * of(math.ceil(x)) for x in spots]
 
 
 def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column, name: str = "median", persisted: bool = False) -> DataFrame:

@@ -79,16 +79,6 @@ def _terms(spark, fits: dict, digits: int = 8):
     return _rows(spark, rows, "response string, term string, coef double")
 
 
-@query("m04_m05_ols")
-def m04(spark, d):
-    c = clicks(spark, d).where(TRAIN)
-    zoom = {"zoom2": (F.col("zoom") == 2).cast("double"), "zoom3": (F.col("zoom") == 3).cast("double")}
-    ys = _cols("truth_m", "noise")
-    plain = models.least_squares(c, _cols("canvas_y", "sv_image_y"), ys)
-    dummied = models.least_squares(c, _cols("canvas_y", "sv_image_y") | zoom, ys)
-    return _terms(spark, {f"est4 {k}": v for k, v in plain.items()} | {f"est5 {k}": v for k, v in dummied.items()})
-
-
 _DET = "(var_samp(sv_image_y) * var_samp(canvas_y) - power(covar_samp(sv_image_y, canvas_y), 2))"
 _B1 = f"(covar_samp(sv_image_y, truth_m) * var_samp(canvas_y) - covar_samp(canvas_y, truth_m) * covar_samp(sv_image_y, canvas_y)) / {_DET}"
 _B2 = f"(covar_samp(canvas_y, truth_m) * var_samp(sv_image_y) - covar_samp(sv_image_y, truth_m) * covar_samp(sv_image_y, canvas_y)) / {_DET}"
@@ -100,6 +90,40 @@ def m07(spark, d):
     return _rows(spark, [(z, *(round(c, 6) for c in f["truth_m"].coef)) for z, f in sorted(fits.items())], "zoom long, intercept double, sv_image_y double, canvas_y double")
 
 
+def _plane_sql(name: str, y: str, within: str) -> str:
+    """Intercept-free slopes of y on (sv_image_y, canvas_y) about the means of `within`, and those means."""
+    c = {k: f"{k} - avg({k}) OVER (PARTITION BY {within})" for k in ("sv_image_y", "canvas_y", y)}
+    return f"""{name}_c AS (SELECT {c['sv_image_y']} AS a, {c['canvas_y']} AS b, {c[y]} AS y FROM clicks WHERE {TRAIN}),
+{name} AS (SELECT (sum(a * y) * sum(b * b) - sum(b * y) * sum(a * b)) / (sum(a * a) * sum(b * b) - sum(a * b) * sum(a * b)) AS ba,
+(sum(b * y) * sum(a * a) - sum(a * y) * sum(a * b)) / (sum(a * a) * sum(b * b) - sum(a * b) * sum(a * b)) AS bb FROM {name}_c)"""
+
+
+def _m04_sql() -> str:
+    ctes, rows = [], []
+    for y in ("truth_m", "noise"):
+        means = f"(SELECT zoom, avg({y}) AS my, avg(sv_image_y) AS ma, avg(canvas_y) AS mb FROM clicks WHERE {TRAIN} GROUP BY zoom)"
+        whole = f"(SELECT avg({y}) AS my, avg(sv_image_y) AS ma, avg(canvas_y) AS mb FROM clicks WHERE {TRAIN})"
+        for est, within in (("est4", "1"), ("est5", "zoom")):
+            f = f"{est}_{y}"
+            ctes.append(_plane_sql(f, y, within))
+            rows += [f"SELECT '{est} {y}' AS response, 'sv_image_y' AS term, round(ba, 8) AS coef FROM {f}", f"SELECT '{est} {y}', 'canvas_y', round(bb, 8) FROM {f}"]
+            base = whole if est == "est4" else f"(SELECT * FROM {means} WHERE zoom = 1)"
+            rows.append(f"SELECT '{est} {y}', '(Intercept)', round(my - ba * ma - bb * mb, 8) FROM {f}, {base}")
+            if est == "est5":
+                rows += [f"SELECT '{est} {y}', 'zoom{z}', round((m.my - ba * m.ma - bb * m.mb) - (o.my - ba * o.ma - bb * o.mb), 8) FROM {f}, (SELECT * FROM {means} WHERE zoom = {z}) m, (SELECT * FROM {means} WHERE zoom = 1) o" for z in (2, 3)]
+    return f"WITH {SQL}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query("m04_m05_ols", _m04_sql())
+def m04(spark, d):
+    c = clicks(spark, d).where(TRAIN)
+    zoom = {"zoom2": (F.col("zoom") == 2).cast("double"), "zoom3": (F.col("zoom") == 3).cast("double")}
+    ys = _cols("truth_m", "noise")
+    plain = models.least_squares(c, _cols("canvas_y", "sv_image_y"), ys)
+    dummied = models.least_squares(c, _cols("canvas_y", "sv_image_y") | zoom, ys)
+    return _terms(spark, {f"est4 {k}": v for k, v in plain.items()} | {f"est5 {k}": v for k, v in dummied.items()})
+
+
 @query("m06_mixed_model")
 def m06(spark, d):
     fixed, random, ratio = models.mixed_model(clicks(spark, d), _cols("canvas_y", "sv_image_y"), F.col("truth_m"), F.col("zoom"))
@@ -107,13 +131,18 @@ def m06(spark, d):
     return _rows(spark, rows, "part string, term string, value double")
 
 
-@query("m08_m15_quantile_regression")
+@query("m08_per_zoom_medians")
 def m08(spark, d):
-    c, rows = clicks(spark, d).where(TRAIN), []
-    for q in (0.1, 0.5, 0.9):
-        f = models.quantile_regression(c, _cols("sv_image_y", "canvas_y"), F.col("truth_m"), q, rounds=12)
-        rows += [(q, t, round(v, 6)) for t, v in zip(f.terms, f.coef, strict=True)]
-    return _rows(spark, rows, "q double, term string, coef double")
+    """Rung A under the absolute loss: the median line of each zoom level."""
+    fits = models.fit_per_zoom(clicks(spark, d).where(TRAIN), "l1", _cols("sv_image_y", "canvas_y"), F.col("truth_m"), F.col("zoom")).fits
+    return _rows(spark, [(z, *(round(c, 6) for c in f.coef)) for z, f in sorted(fits.items())], "zoom long, intercept double, sv_image_y double, canvas_y double")
+
+
+@query("m15_quantile_bands")
+def m15(spark, d):
+    view = with_angles(clicks(spark, d))
+    found = models.quantile_bands(view.where(TRAIN), view.where(f"NOT ({TRAIN})"))
+    return _rows(spark, [(k, round(v, 6)) for k, v in found.items()], "name string, value double")
 
 
 _ANCHOR = "CASE WHEN dep <= 0 THEN 50e0 ELSE least(2.6e0 / tan(radians(greatest(dep, 1e-9))), 50e0) END"
@@ -156,12 +185,36 @@ def m12(spark, d):
 
 @query("m12_m14_m27_ladder")
 def m27(spark, d):
-    view = with_angles(clicks(spark, d))
-    fits = models.ladder(view.where(TRAIN), losses=("ols",))
-    test = view.where(f"NOT ({TRAIN})")
-    errors = {k: F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")) for k, m in fits.items()}
-    found = quantiles(test, [], {k: (e, 0.5) for k, e in errors.items()}, digits=None).first()
-    return _rows(spark, [(k, m.form, m.height_m, m.angle_deg, round(found[k], 6)) for k, m in sorted(fits.items())], "rung string, form string, height_m double, angle_deg double, median_m double")
+    """All 22 fits: what they are, and their median and 90th percentile error on the test rows."""
+    view = with_angles(clicks(spark, d)).withColumn("height_m", F.when(F.col("pano_height") == 8192, 2.31))
+    fits = models.ladder(view.where(TRAIN))
+    columns = _cols("dep", "zoom", "sv_image_y", "canvas_y", "height_m") | {"label_type": F.col("label_type")}
+    errors = {k: F.abs(models.predict_any(m, columns) - F.col("truth_m")) for k, m in fits.items()}
+    test = view.where(f"NOT ({TRAIN})").select(*[e.alias(k) for k, e in errors.items()])
+    found = quantiles(test, [], {f"{k}_{n}": (F.col(k), q) for k in errors for n, q in (("median", 0.5), ("p90", 0.9))}, digits=None).first()
+    shape = {k: (getattr(m, "height_m", None), getattr(m, "angle_deg", None)) for k, m in fits.items()}
+    rows = [(k, m.form, *shape[k], *(None if found[f"{k}_{n}"] is None else round(found[f"{k}_{n}"], 6) for n in ("median", "p90"))) for k, m in sorted(fits.items())]
+    return _rows(spark, rows, "rung string, form string, height_m double, angle_deg double, median_m double, p90_m double")
+
+
+_HS = "sum({x} * {x}) / sum({x} * ({y}))"
+
+
+def _m18_sql() -> str:
+    """Two saturating forms at fixed angles, one height each by least squares; the lower training median is chosen."""
+    floor = "hf / tan(radians(greatest(dep, 3e0)))"
+    return f"""{WP}, t AS (SELECT * FROM pov WHERE {TRAIN}), h AS (SELECT {_HS.format(x='tan(radians(greatest(dep, 3e0)))', y=_Y)} AS hf, sum(CASE WHEN dep >= 11.25 THEN {_X} * {_X} END) / sum(CASE WHEN dep >= 11.25 THEN {_X} * ({_Y}) END) AS hb FROM t),
+e AS (SELECT median(abs(least(greatest({floor}, 0e0), 50e0) - truth_m)) AS f, median(abs({_blend_sql('hb', 'dep', 11.25)} - truth_m)) AS b FROM t, h)
+SELECT CASE WHEN f <= b THEN 'D_floor' ELSE 'D_blend' END AS rung, round(least(f, b), 6) AS median_m FROM e"""
+
+
+@query("m18_candidate", _m18_sql())
+def m18(spark, d):
+    train = with_angles(clicks(spark, d)).where(TRAIN)
+    fits = {"D_floor": models._profile(train, "floor", [3.0, 99.0], "ols", None, "dep", "truth_m")[0], "D_blend": models._profile(train, "blend", [11.25, 99.0], "ols", None, "dep", "truth_m")[0]}
+    chosen = models.candidate(train, fits | {"C": fits["D_floor"]})
+    error = quantile(train, F.abs(models.predict(fits[chosen], F.col("dep")) - F.col("truth_m")), 0.5)
+    return _rows(spark, [(chosen, round(error, 6))], "rung string, median_m double")
 
 
 @query("m12_l1_floor")
@@ -176,12 +229,37 @@ def m13(spark, d):
     return _rows(spark, [(round(x, 6), round(y, 6)) for x, y in m.knots], "dep double, dist_m double")
 
 
-@query("m16_city_fixed_effects")
+def _m16_sql() -> str:
+    """Slopes and their errors about the means of (zoom, city), for the two forms with two terms."""
+    parts = []
+    for form, x, term in (("a_sub", "sv_image_y", "sv_image_y"), ("b_norm", "sv_image_y * (6656e0 / pano_height)", "sv_norm")):
+        parts.append(f"""{form}_c AS (SELECT zoom, city, ({x}) - avg({x}) OVER w AS a, canvas_y - avg(canvas_y) OVER w AS b, truth_m - avg(truth_m) OVER w AS y FROM clicks WHERE {TRAIN} AND pano_height IN (6656, 8192) WINDOW w AS (PARTITION BY zoom, city)),
+{form}_s AS (SELECT zoom, count(*) AS n, count(DISTINCT city) AS k, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb, sum(y * y) AS yy FROM {form}_c GROUP BY zoom),
+{form}_f AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM {form}_s),
+{form} AS (SELECT *, (yy - ca * ay - cb * yb) / (n - k - 2) AS s2 FROM {form}_f)""")
+    rows = [f"SELECT '{form}' AS form, zoom, '{t}' AS term, round({c}, 8) AS coef, round(sqrt(s2 * {v} / (aa * bb - ab * ab)), 8) AS se FROM {form}" for form, term in (("a_sub", "sv_image_y"), ("b_norm", "sv_norm")) for t, c, v in ((term, "ca", "bb"), ("canvas_y", "cb", "aa"))]
+    return f"WITH {SQL}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+_HEIGHT_ROWS = "form string, zoom long, term string, coef double, se double"
+
+
+def _rounded_rows(rows):
+    return [(f, z, t, None if c is None else round(c, 8), None if s is None else round(s, 8)) for f, z, t, c, s in rows]
+
+
+@query("m16_city_fixed_effects", _m16_sql())
 def m16(spark, d):
     c = clicks(spark, d)
-    dummies = {f"c{k}": (F.col("city") == f"c{k}").cast("double") for k in range(1, 7)}
-    f = models.least_squares(c, _cols("sv_image_y") | dummies, _cols("truth_m"))["truth_m"]
-    return _rows(spark, [(t, round(b, 8), round(s, 8)) for t, b, s in zip(f.terms, f.coef, f.se, strict=True)], "term string, coef double, se double")
+    rows = models.height_terms(c.where(TRAIN), c.where(f"NOT ({TRAIN})"))
+    return _rows(spark, _rounded_rows(r for r in rows if r[0] in ("a_sub", "b_norm") and not r[2].startswith("error")), _HEIGHT_ROWS)
+
+
+@query("m16_height_terms")
+def m16_all(spark, d):
+    """All four forms with their test errors."""
+    c = clicks(spark, d)
+    return _rows(spark, _rounded_rows(models.height_terms(c.where(TRAIN), c.where(f"NOT ({TRAIN})"))), _HEIGHT_ROWS)
 
 
 @query("m17_apply_path", f"WITH {SQL} SELECT pano_height, count(*) AS n, round(median(abs(greatest(0e0, 18e0 + 0.012e0 * sv_image_y) - truth_m)), 6) AS raw_m, round(median(abs(greatest(0e0, 18e0 + 0.012e0 * (sv_image_y * 6656e0 / pano_height)) - truth_m)), 6) AS normal_m FROM clicks GROUP BY pano_height")
@@ -222,18 +300,31 @@ def site_members(view):
 
 @query("m22_sequence_scales")
 def m22(spark, d):
-    return models.sequence_scales(site_members(with_angles(clicks(spark, d))), rounds=6).select("sequence_id", "n_members", "n_fit_members", rounded(F.col("k_rel"), "k_rel"))
+    return models.sequence_scales(site_members(with_angles(clicks(spark, d)))).select("sequence_id", "n_members", "n_fit_members", rounded(F.col("k_rel"), "k_rel"))
 
 
 @query("m23_scale_transfer")
 def m23(spark, d):
-    """Scales fitted on one half of the sites, and how far they move the other half's distances."""
-    from lodemark.operators.windows import half_split
+    """Scales of one half of the sites on the other half, for five splits."""
+    return models.scale_transfer(site_members(with_angles(clicks(spark, d))), [1, 2, 3, 4, 5])
 
-    halves = half_split(site_members(with_angles(clicks(spark, d))), "site_id", 3)
-    fitted = models.sequence_scales(halves.where("half = 'A'").drop("half"), rounds=4).select("sequence_id", "k_rel")
-    scored = halves.where("half = 'B'").join(fitted, "sequence_id", "left").select("site_id", "d0", (F.col("d0") * F.coalesce("k_rel", F.lit(1.0))).alias("d1"))
-    return quantiles(scored, [], {"median_shift_m": (F.abs(F.col("d1") - F.col("d0")), 0.5)})
+
+_GATE = "deleted IS NOT TRUE AND tutorial IS NOT TRUE AND computation_method <> 'other'"
+
+
+@query(
+    "m25_final_coefficients",
+    f"""{WP}, g AS (SELECT * FROM pov WHERE {_GATE}), h AS (SELECT median(truth_m * tan(radians(dep))) AS height_m, count(*) AS n_fit FROM g WHERE dep >= 5),
+e AS (SELECT height_m, n_fit, {_DIST} - truth_m AS e FROM g, h) SELECT count(*) AS n, any_value(n_fit) AS n_fit, round(any_value(height_m), 6) AS height_m, round(median(abs(e)), 6) AS median_abs_m, round(median(e), 6) AS signed_m, round(quantile_cont(abs(e), 0.9), 6) AS p90_m FROM e""",
+)
+def m25(spark, d):
+    """One flat height from all gated clicks, and its errors on them."""
+    gated = with_angles(clicks(spark, d)).where(_GATE)
+    steep = gated.where("dep >= 5")
+    found = quantiles(steep, [], {"h": (F.col("truth_m") * F.tan(F.radians("dep")), 0.5)}, digits=None).first()
+    e = models.predict(Geometric("blend", found["h"], {}, 11.25), F.col("dep")) - F.col("truth_m")
+    out = quantiles(gated, [], {"median_abs_m": (F.abs(e), 0.5), "signed_m": (e, 0.5), "p90_m": (F.abs(e), 0.9)})
+    return out.select("n", F.lit(found["n"]).alias("n_fit"), F.lit(round(found["h"], 6)).alias("height_m"), "median_abs_m", "signed_m", "p90_m")
 
 
 @query("m24_m26_implied_heights", f"{WP} SELECT label_type, count(*) AS n, round(median(truth_m * tan(radians(dep))), 6) AS implied_height_m FROM pov WHERE dep >= 5 GROUP BY label_type HAVING count(*) >= 25")

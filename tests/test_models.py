@@ -110,3 +110,199 @@ def test_join_guards(spark):
         joins.require_unique(a, ["k"])
     with pytest.raises(joins.CardinalityError):
         joins.join_on_keys(a, spark.createDataFrame([(1,), (9,)], "k long").union(spark.createDataFrame([(8,)], "k long")), ["k"])
+
+
+# ---- fits against plain versions
+
+
+def noisy(spark, n=240, seed=5, partitions=3):
+    rng = np.random.default_rng(seed)
+    dep = np.concatenate([rng.uniform(-2, 35, n - 20), np.repeat(rng.uniform(3, 20, 4), 5)])  # repeated depressions
+    kind = rng.choice(["a", "b"], n)
+    truth = np.clip(np.where(kind == "a", 2.2, 2.9) / np.tan(np.radians(np.maximum(dep, 2.5))) + rng.normal(0, 0.8, n), 0.5, 60)
+    data = pd.DataFrame({"dep": dep, "truth_m": truth, "label_type": kind, "zoom": rng.integers(1, 4, n), "sv_image_y": rng.integers(-900, 0, n), "canvas_y": rng.integers(0, 480, n)})
+    return data, spark.createDataFrame(data).repartition(partitions)
+
+
+def plain_lad(x, y):
+    x, y = x[x != 0], y[x != 0]
+    order = np.argsort(y / x, kind="stable")
+    w = np.abs(x)[order]
+    return (y / x)[order][np.searchsorted(np.cumsum(w), 0.5 * w.sum())]
+
+
+def plain_predict(form, h, a, dep):
+    if form == "floor":
+        out = h / np.tan(np.radians(np.maximum(dep, a)))
+    else:
+        r = np.radians(a)
+        line = h / np.tan(r) - h * np.radians(1) / np.sin(r) ** 2 * (np.maximum(dep, 0) - a)
+        out = np.where(dep >= a, h / np.tan(np.radians(np.maximum(dep, 1e-9))), line)
+    return np.clip(out, 0, 50)
+
+
+@pytest.mark.parametrize(("form", "loss"), [("floor", "ols"), ("blend", "ols"), ("floor", "l1")])
+def test_profiles_by_brute_force(spark, form, loss):
+    data, frame = noisy(spark, 120, partitions=1)
+    dep, y = data.dep.to_numpy(), 1 / np.maximum(data.truth_m.to_numpy(), 1)
+    best = {}
+    for typed in (None, "label_type"):
+        scores = []
+        for a in models.FLOOR_GRID if form == "floor" else models.BLEND_GRID:
+            x = np.tan(np.radians(np.maximum(dep, a if form == "floor" else 0)))
+            use = np.full(len(dep), True) if form == "floor" else dep >= a
+            fit = (lambda m: (x[m] @ y[m]) / (x[m] @ x[m])) if loss == "ols" else (lambda m: plain_lad(x[m], y[m]))  # noqa: B023
+            pooled = 1 / fit(use)
+            heights = np.array([1 / fit(use & (data.label_type == k).to_numpy()) for k in data.label_type]) if typed else pooled
+            e = plain_predict(form, heights, a, dep) - data.truth_m.to_numpy()
+            scores.append(((e * e).mean() if loss == "ols" else np.abs(e).mean(), a, pooled))
+        best[typed] = min(scores)
+    found = models._profile(frame, form, models.FLOOR_GRID if form == "floor" else models.BLEND_GRID, loss, "label_type", "dep", "truth_m")
+    for got, (_, a, pooled) in zip(found, best.values(), strict=True):
+        assert got.angle_deg == a and math.isclose(got.height_m, pooled, rel_tol=1e-9)
+
+
+def plain_isotonic(y, w):
+    """Pool adjacent violators, decreasing."""
+    blocks = []
+    for v, k in zip(y, w, strict=True):
+        blocks.append([v, k, 1])
+        while len(blocks) > 1 and blocks[-2][0] < blocks[-1][0]:
+            (a, m, i), (b, n, j) = blocks[-2:]
+            blocks[-2:] = [[(a * m + b * n) / (m + n), m + n, i + j]]
+    return np.concatenate([[b[0]] * b[2] for b in blocks])
+
+
+def test_isotonic_by_brute_force(spark):
+    data, frame = noisy(spark)
+    near = np.geomspace(0.001, 0.5, 11)
+    shares = np.unique(np.concatenate([[0.0, 1.0], near, 1 - near]))
+    points = data.groupby("dep").truth_m.agg(["mean", "size"]).reset_index()
+    fitted = plain_isotonic(points["mean"], points["size"])
+    at = np.unique(np.quantile(data.dep, shares))  # of all rows, repeated depressions count
+    got = np.array(models.fit_isotonic(frame).knots)
+    assert np.allclose(got[:, 0], at) and np.allclose(got[:, 1], np.minimum.accumulate(np.interp(at, points.dep, fitted)))
+    bins = pd.qcut(data.dep, 200, duplicates="drop")
+    binned = data.groupby(bins, observed=True).agg(x=("dep", "median"), y=("truth_m", "median"), w=("dep", "size"))
+    fitted = plain_isotonic(binned.y, binned.w)
+    at = np.unique(np.quantile(binned.x, shares))
+    got = np.array(models.fit_isotonic(frame, "l1").knots)
+    assert np.allclose(got[:, 0], at) and np.allclose(got[:, 1], np.minimum.accumulate(np.interp(at, binned.x, fitted)))
+
+
+def test_medians_of_planes_reach_the_least_loss(spark):
+    """Quantile regression against every line through as many points as it has terms, per group."""
+    rng = np.random.default_rng(11)
+    x, g = rng.uniform(0, 4, 60), rng.integers(1, 3, 60)
+    y = 1 + g * x + rng.standard_t(2, 60)
+    frame = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "g": g}))
+    for q in (0.8,):
+        fits = models.quantile_regression(frame.coalesce(1), {"x": F.col("x")}, F.col("y"), q, by=F.col("g"))
+
+        def loss(a, b, own, q=q):
+            r = y[own] - a - b * x[own]
+            return np.maximum(q * r, (q - 1) * r).sum()
+
+        for k in (1, 2):
+            own = np.flatnonzero(g == k)
+            least = min(loss(y[i] - (y[j] - y[i]) / (x[j] - x[i]) * x[i], (y[j] - y[i]) / (x[j] - x[i]), own) for i in own for j in own if i < j)
+            assert loss(*fits[k].coef, own) <= least * (1 + 1e-3)
+
+
+def test_softcap_is_bounded_least_squares(spark):
+    data, frame = noisy(spark)
+    t, y = np.tan(np.radians(np.maximum(data.dep, 0))), 1 / np.maximum(data.truth_m, 1)
+    got = models.fit_softcap(frame, "ols")
+    grid = [(c0, max((t @ (y - c0)) / (t @ t), 0)) for c0 in np.linspace(0.02, 0.2, 2000)]
+    c0, c1 = min(grid, key=lambda c: ((y - c[0] - c[1] * t) ** 2).sum())
+    assert abs(got.c0 - c0) < 2e-4 and abs(got.c1 - c1) < 2e-3 and got.c0 >= 0.02
+    typed = models.fit_softcap(frame, "ols", "label_type")
+    assert typed.c0 >= 0.02 and typed.c1_by_type["a"] > typed.c1_by_type["b"] > 0
+
+
+def test_mixed_model_is_the_best_restricted_likelihood(spark):
+    rng = np.random.default_rng(2)
+    g = rng.integers(0, 8, 400)
+    x = rng.normal(0, 1, 400)
+    y = 3 + 2 * x + rng.normal(0, 1.5, 8)[g] + rng.normal(0, 1, 400)
+    fixed, random, ratio = models.mixed_model(spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y})), {"x": F.col("x")}, F.col("y"), F.col("g"))
+    design, same = np.column_stack([np.ones(400), x]), (g[:, None] == g).astype(float)
+
+    def restricted(r):
+        inverse = np.linalg.inv(np.eye(400) + r * same)
+        gram = design.T @ inverse @ design
+        coef = np.linalg.solve(gram, design.T @ inverse @ y)
+        left = y - design @ coef
+        return -0.5 * (398 * np.log(left @ inverse @ left) + np.linalg.slogdet(np.eye(400) + r * same)[1] + np.linalg.slogdet(gram)[1]), coef, inverse @ left
+
+    value, coef, weighted = restricted(ratio)
+    assert np.allclose(fixed.coef, coef) and value >= max(restricted(ratio * f)[0] for f in (0.7, 0.95, 1.05, 1.4))
+    assert all(math.isclose(random[k], ratio * weighted[g == k].sum(), rel_tol=1e-6) for k in range(8))
+
+
+def plain_scales(data, rounds=200):
+    seen = data.groupby("site_id").sequence_id.nunique()
+    sub = data[data.site_id.isin(seen[seen >= 2].index)]
+    k = pd.Series(1.0, index=sorted(sub.sequence_id.unique()))
+    for _ in range(rounds):
+        own = sub.assign(k=sub.sequence_id.map(k))
+        own["px"], own["py"] = own.e0 + own.k * own.d0 * own.ux, own.n0 + own.k * own.d0 * own.uy
+        centre = own.groupby("site_id")[["px", "py"]].transform("mean")
+        own["above"] = own.d0 * ((centre.px - own.e0) * own.ux + (centre.py - own.n0) * own.uy)
+        own["below"] = own.d0**2
+        sums = own.groupby("sequence_id")[["above", "below"]].sum()
+        fresh = sums.above / sums.below
+        moved, k = (fresh - k).abs().max(), fresh
+        if moved < 1e-10:
+            break
+    whole = pd.Series(1.0, index=sorted(data.sequence_id.unique()))
+    whole.update(k)
+    n = data.groupby("sequence_id").size()
+    return whole / np.exp((np.log(whole) * n).sum() / n.sum())
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_sequence_scales_converge_to_the_plain_rounds(spark, monkeypatch, most):
+    monkeypatch.setattr(models, "MOST_PAIRS", most)
+    rng = np.random.default_rng(7)
+    sites, true = rng.uniform(0, 40, (30, 2)), {f"s{k}": v for k, v in enumerate([0.8, 1.0, 1.3, 1.1])}
+    rows = []
+    for k in range(160):
+        s, site = f"s{rng.integers(4)}", int(rng.integers(30))
+        camera = sites[site] + rng.uniform(-12, 12, 2)
+        ray = sites[site] - camera
+        rows.append((s, site, *camera, *(ray / np.hypot(*ray)), np.hypot(*ray) / true[s]))
+    rows.append(("alone", 99, 0.0, 0.0, 1.0, 0.0, 5.0))
+    data = pd.DataFrame(rows, columns=["sequence_id", "site_id", "e0", "n0", "ux", "uy", "d0"])
+    rounds = 200 if most > 1 else 3  # the distributed rounds are the same ones
+    got = {r["sequence_id"]: r["k_rel"] for r in models.sequence_scales(spark.createDataFrame(data), rounds).collect()}
+    want = plain_scales(data, rounds)
+    assert all(math.isclose(got[s], v, rel_tol=1e-7) for s, v in want.items()) and len(got) == 5
+    if most > 1:
+        assert abs(got["s2"] / got["s0"] - 1.3 / 0.8) < 0.02
+
+
+def test_ladder_has_all_rungs_and_a_choice(spark):
+    _, frame = noisy(spark, 120, partitions=1)
+    fits = models.ladder(frame, losses=("ols",))
+    forms = [f"{k}{t}" for k in ("C", "D_floor", "D_blend", "D_soft") for t in ("", "_type")]
+    assert set(fits) == {f"{k}_{loss}" for k in ("A", *forms, "E") for loss in ("ols",)} | {"anchor", "anchor_served"}
+    columns = {c: F.col(c) for c in ("dep", "label_type", "zoom", "sv_image_y", "canvas_y")} | {"height_m": F.lit(2.4)}
+    out = frame.select("truth_m", *[models.predict_any(m, columns).alias(k) for k, m in fits.items()]).toPandas()
+    assert out.notna().all().all() and (out >= 0).all().all() and (out.drop(columns="truth_m") <= 50).all().all()
+    medians = {k: (out[k] - out.truth_m).abs().median() for k in fits if k.startswith("D_")}
+    assert math.isclose(medians[models.candidate(frame, fits)], min(medians.values()))
+
+
+def test_height_terms(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    data = pd.DataFrame({"city": rng.choice(["x", "y", "z"], n), "zoom": rng.integers(1, 3, n), "pano_height": rng.choice([6656, 8192, 1664], n), "sv_image_y": rng.integers(-900, 0, n), "canvas_y": rng.integers(0, 480, n)})
+    data["truth_m"] = 20 + 0.01 * data.sv_image_y + data.city.map({"x": 0, "y": 1, "z": 3}) + rng.normal(0, 0.1, n)
+    frame = spark.createDataFrame(data).repartition(2)
+    rows = {(f, z, t): (c, s) for f, z, t, c, s in models.height_terms(frame, frame, losses=("ols",))}
+    assert len(rows) == 2 * (2 + 2 + 3 + 3) + 2 * 4
+    for z in (1, 2):
+        coef, se = rows[("b_interact", z, "sv_interact")]
+        assert abs(rows[("a_sub", z, "sv_image_y")][0] - 0.01) < 1e-3 and abs(coef) < 4 * se
+        assert rows[("a_sub", z, "error_ols")][0] < 0.12 and rows[("b_norm", z, "error_ols")][0] > rows[("a_sub", z, "error_ols")][0]

@@ -31,6 +31,8 @@ def test_quantiles_are_exact(spark, monkeypatch, whole, accuracy, few):
         r, v = got[None if pd.isna(g) else g], own.v.dropna().to_numpy()
         assert np.allclose([r[f"q{k}"] for k in range(5)], np.quantile(v, shares)) and np.isclose(r["size"], np.median(np.abs(v))) and np.isclose(r["weight"], own.w.sum())
     assert np.isclose(qs.quantile(df, F.col("v"), 0.25), np.quantile(want.v.dropna(), 0.25))
+    many = [k / 40 for k in range(41)]
+    assert np.allclose(qs.quantile(df, F.col("v"), many), np.quantile(want.v.dropna(), many))
 
 
 @pytest.mark.parametrize(("whole", "cells"), [(100_000, 4096), (20, 8)])
@@ -48,4 +50,4 @@ def test_weighted_medians_are_exact(spark, monkeypatch, whole, cells):
 def test_no_rows_give_no_groups(spark):
     none = spark.createDataFrame([], "g string, v double, w double")
     assert qs.weighted_median(none, ["g"], F.col("v"), F.col("w")).count() == 0
-    assert qs.quantiles(none, ["g"], {"m": (F.col("v"), 0.5)}).count() == 0 and qs.quantile(none, F.col("v"), 0.5) is None
+    assert qs.quantiles(none, ["g"], {"m": (F.col("v"), 0.5)}).count() == 0 and qs.quantile(none, F.col("v"), 0.5) is None and qs.quantile(none, F.col("v"), [0.5, 1.0]) == [None, None]
