@@ -598,7 +598,7 @@ def sequence_scales(members: DataFrame, rounds: int = 200, tolerance: float = 1e
         scale = checkpointed(fixed.select("sequence_id", F.lit(1.0).alias("k")))
         for _ in range(rounds):
             above = pairs.join(scale.select(F.col("sequence_id").alias("other"), "k"), "other").groupBy("sequence_id").agg(F.sum(F.col("a") * F.col("k")).alias("above"))
-            fresh = fixed.join(above, "sequence_id").join(scale.withColumnRenamed("k", "old"), "sequence_id")
+            fresh = fixed.join(above, "sequence_id").join(scale.select("sequence_id", F.col("k").alias("old")), "sequence_id")
             scale = checkpointed(fresh.select("sequence_id", "old", F.when(F.col("below") > 0, (F.col("above") + F.col("b")) / F.greatest("below", F.lit(1e-12))).otherwise(1.0).alias("k")))
             if scale.agg(F.max(F.abs(F.col("k") - F.col("old")))).first()[0] < tolerance:
                 break
