@@ -43,6 +43,8 @@ LIMIT = int(SHARE * (1 << 32))
 #: Smallest hashes that a sketch keeps whether they are below the threshold or not.
 LEAST = 32
 ALL = 1 << 32
+#: Buckets for each task of the shuffle, so that tasks that get several of them are alike.
+BUCKETS = 8
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,24 +135,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark, n = docs.sparkSession, tasks_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
-    quantiles = [int(x) for x in rows.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)] if n > 1 else []
+    m = BUCKETS * n
+    quantiles = [int(x) for x in rows.stat.approxQuantile("doc_id", [k / m for k in range(1, m)], 0.2 / m)]
     bounds = sorted(set(quantiles))
     split = {b: quantiles.count(b) for b in bounds if quantiles.count(b) > 1}
     known, nulls = rows.agg(F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    split[None] = max(1, round(n * nulls / max(1, known + nulls)))
+    split[None] = max(1, round(m * nulls / max(1, known + nulls)))
     # Ids from bounds[k-1] on are in bucket len(bounds) - k; the number of a hash range comes below that. The
     # search is on doubles, where ids that are equal then share a bucket, and so are in order still.
     edges = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
     found = Bucketizer(splits=edges, inputCol="as_double", outputCol="place", handleInvalid="keep") if len(edges) > 2 else None
     placed = rows.withColumn("as_double", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))
     placed = found.transform(placed) if found else placed.withColumn("place", F.lit(0.0))
-    pieces = spark.createDataFrame([(b, k) for b, k in split.items()], "heavy long, pieces int")  # n rows at most
+    pieces = spark.createDataFrame([(b, k) for b, k in split.items()], "heavy long, pieces int")  # m rows at most
     placed = placed.join(F.broadcast(pieces), F.col("doc_id").eqNullSafe(F.col("heavy")), "left")
     part = F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(1 + F.least(F.col("pieces") - 1, F.floor((F.col("hash") / 2.0**64 + 0.5) * F.col("pieces"))))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(len(edges) - 2 - F.col("place"))
     placed = placed.select((bucket.cast("long") * (1 << 20) + part).alias("bucket"), "doc_id", "hash", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "hash"))
-    heads = [(r["bucket"], *r["first"]) for r in placed.groupBy("bucket").agg(first.alias("first")).orderBy("bucket").collect()]  # about n rows
+    heads = [(r["bucket"], *r["first"]) for r in placed.groupBy("bucket").agg(first.alias("first")).orderBy("bucket").collect()]  # about m rows
     ahead = spark.createDataFrame([(None if none else ~down, h, heads[k - 1][0]) for k, (_, none, down, h) in enumerate(heads)], "head long, first long, ahead long")
     same = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("first"))
     looked = placed.join(F.broadcast(ahead), same, "left")
