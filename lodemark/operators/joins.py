@@ -89,6 +89,12 @@ def best_partner(pairs: DataFrame, key: str, year: str, other_year: str, place:
     return pairs.select("*", gap.alias("gap")).where(F.col("gap") >= least_gap).select("*", F.row_number().over(w).alias("_k")).where("_k = 1").drop("_k")
 
 
+def _far(places: np.ndarray, one: np.ndarray, apart_m: float) -> np.ndarray:
+    """Which places (radians) are apart_m or more from one."""
+    chord = np.sin((places[:, 0] - one[0]) / 2) ** 2 + np.cos(places[:, 0]) * np.cos(one[0]) * np.sin((places[:, 1] - one[1]) / 2) ** 2
+    return 2 * RADIUS_EQUATOR * np.arcsin(np.sqrt(chord)) >= apart_m
+
+
 def greedy_spacing(df: DataFrame, by: str, key: str, lat: str, lng: str, apart_m: float = 100.0, most: int = 100, seed: int = 0) -> DataFrame:
     """Per group, in a hash order, keep a candidate if it is apart_m or more from all kept; at most `most`.
 
@@ -100,21 +106,26 @@ def greedy_spacing(df: DataFrame, by: str, key: str, lat: str, lng: str, apart_m
     schema = df.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        group, kept = None, np.zeros((0, 2))
         for frame in frames:
-            take = []
-            for row in frame[[by, lat, lng]].itertuples(index=False):
-                if row[0] != group:
-                    group, kept = row[0], []
-                if len(kept) >= most:
-                    take.append(False)
+            take = np.zeros(len(frame), bool)
+            places = np.radians(frame[[lat, lng]].to_numpy(float))
+            names = frame[by].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
                     continue
-                a, b = np.radians(row[1]), np.radians(row[2])
-                ok = all(2 * RADIUS_EQUATOR * np.arcsin(np.sqrt(np.sin((a - p) / 2) ** 2 + np.cos(a) * np.cos(p) * np.sin((b - q) / 2) ** 2)) >= apart_m for p, q in kept)
-                if ok:
-                    kept.append((a, b))
-                take.append(ok)
-            yield frame[np.array(take, bool)][schema.names]
+                if names[i] != group:
+                    group, kept = names[i], np.zeros((0, 2))
+                # Those near an earlier pick fall at once; each new pick then strikes out what is near it.
+                left = np.arange(i, j)
+                for p in kept:
+                    left = left[_far(places[left], p, apart_m)]
+                while len(left) and len(kept) < most:
+                    first = left[0]
+                    take[first], kept = True, np.vstack([kept, places[first]])
+                    left = left[1:][_far(places[left[1:]], places[first], apart_m)]
+            yield frame[take][schema.names]
 
     ordered = df.select("*", md5_order(F.col(key), F.lit(seed)).alias("_o")).repartition(by).sortWithinPartitions(by, "_o", key)
     return ordered.mapInPandas(run, schema)

@@ -170,3 +170,45 @@ def t06(spark, d):
     sample = sampling.share_sample(orders, "o_orderpriority", _SHARES, 150, "o_orderkey", 11)
     labels = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"))
     return sample.join(sampling.most_labelled(sample, labels, "o_orderkey", 25), "o_orderkey", "left")
+
+
+# ------------------------------------------------------------------ pivots, ratios and null samples
+
+
+@query("g29_long_and_wide", f"WITH {SQL}, l AS (SELECT city, unnest(['truth_m', 'noise']) AS name, unnest([truth_m, abs(noise)]) AS v FROM clicks), s AS (SELECT city, name, avg(v) AS mean, max(v) AS high FROM l GROUP BY ALL) SELECT city, round(max(mean) FILTER (WHERE name = 'truth_m'), 6) AS truth_m_mean, round(max(high) FILTER (WHERE name = 'truth_m'), 6) AS truth_m_high, round(max(mean) FILTER (WHERE name = 'noise'), 6) AS noise_mean, round(max(high) FILTER (WHERE name = 'noise'), 6) AS noise_high FROM s GROUP BY city")
+def g29_wide(spark, d):
+    """Wide columns to long rows, summed up, and back to a column a name and statistic."""
+    long = clicks(spark, d).select("city", "truth_m", F.abs("noise").alias("noise")).unpivot(["city"], ["truth_m", "noise"], "name", "v")
+    wide = long.groupBy("city").pivot("name", ["truth_m", "noise"]).agg(F.avg("v").alias("mean"), F.max("v").alias("high"))
+    return wide.select("city", *[rounded(F.col(c), c) for c in wide.columns if c != "city"])
+
+
+@query(
+    "g30_height_ratio",
+    f"""{WP}, r AS (SELECT city, pano_height, median(-sv_image_y / 36.977e0 / dep) AS m, count(*) AS n FROM pov WHERE dep > 2 AND pano_height IN (6656, 8192) GROUP BY ALL)
+SELECT a.city, a.n AS n_6656, b.n AS n_8192, round(a.m, 6) AS m_6656, round(b.m, 6) AS m_8192, round(b.m / a.m, 6) AS ratio FROM r a JOIN r b USING (city) WHERE a.pano_height = 6656 AND b.pano_height = 8192""",
+)
+def g30_ratio(spark, d):
+    """Whether a stored pixel grows with the panorama's height: medians of implied over exact depression, and their ratio by city."""
+    rows = with_angles(clicks(spark, d)).where("dep > 2 AND pano_height IN (6656, 8192)")
+    groups = quantiles(rows, ["city", "pano_height"], {"m": (-F.col("sv_image_y") / 36.977 / F.col("dep"), 0.5)}, digits=None)
+    wide = groups.groupBy("city").pivot("pano_height", [6656, 8192]).agg(F.first("n").alias("n"), F.first("m").alias("m")).dropna()
+    return wide.select("city", F.col("6656_n").alias("n_6656"), F.col("8192_n").alias("n_8192"), rounded(F.col("6656_m"), "m_6656"), rounded(F.col("8192_m"), "m_8192"), rounded(F.col("8192_m") / F.col("6656_m"), "ratio"))
+
+
+@query(
+    "g27_null_rank",
+    f"""WITH {SQL}, s AS (SELECT pano_id, round(avg(abs(noise)), 9) AS score FROM clicks GROUP BY pano_id), o AS (SELECT *, row_number() OVER (ORDER BY concat_ws('|', {_md5('pano_id', 9)}, cast(pano_id AS varchar))) - 1 AS place, count(*) OVER () AS total FROM s),
+n AS (SELECT a.pano_id, a.score, b.score AS other FROM o a, (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS k) JOIN o b ON b.place = (a.place + k) % a.total)
+SELECT pano_id, count(*) AS n_null, count(*) FILTER (WHERE other < score) AS below, round(count(*) FILTER (WHERE other < score) * 100e0 / count(*), 6) AS percentile FROM n GROUP BY pano_id""",
+)
+def g27_null(spark, d):
+    """The rank of each panorama's score among those of eight others that a permutation gives it."""
+    from lodemark.operators.joins import other_keys
+    from lodemark.session import checkpointed
+
+    scores = checkpointed(clicks(spark, d).groupBy("pano_id").agg(F.round(F.avg(F.abs("noise")), 9).alias("score")))
+    pairs = other_keys(scores, "pano_id", 8, 9)
+    null = pairs.join(scores, "pano_id").join(scores.select(F.col("pano_id").alias("other"), F.col("score").alias("other_score")), "other")
+    below = F.count_if(F.col("other_score") < F.col("score"))
+    return null.groupBy("pano_id").agg(F.count(F.lit(1)).alias("n_null"), below.alias("below"), rounded(below * 100 / F.count(F.lit(1)), "percentile"))

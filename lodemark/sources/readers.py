@@ -135,12 +135,32 @@ def pano_meta(document: Column) -> list[Column]:
     return [*angle, F.concat_ws(";", F.transform(links, lambda x: F.format_string("%.3f", F.degrees(x)))).alias("link_bearings_deg")]
 
 
-def pano_rows(images: DataFrame) -> DataFrame:
-    """Flat rows from nested image records; missing levels are NULL, the camera parameters compact JSON."""
-    return images.select(
-        F.col("id").cast("string").alias("pano_id"), F.col("sequence").cast("string").alias("sequence_id"), F.timestamp_millis(F.col("captured_at").cast("long")).alias("captured_at"),
-        F.col("geometry.coordinates")[0].alias("lng"), F.col("geometry.coordinates")[1].alias("lat"), F.to_json("camera_parameters").alias("camera_parameters"), "make", "model", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"),
-    )
+#: The columns of an imported panorama, their types, and where each is in its record.
+PANO_COLUMNS = {
+    "source": ("string", "pano.source"), "pano_id": ("string", "pano.panorama_id"), "sequence_id": ("string", "pano.sequence_id"),
+    "capture_date": ("string", "pano.capture_date"), "captured_at_ms": ("long", "pano.source_metadata.captured_at"),
+    "width": ("long", "pano.width"), "height": ("long", "pano.height"), "lat": ("double", "pano.lat"), "lng": ("double", "pano.lng"),
+    "camera_heading": ("double", "pano.camera_heading"), "camera_pitch": ("double", "pano.camera_pitch"), "camera_roll": ("double", "pano.camera_roll"),
+    "camera_make": ("string", "pano.camera_make"), "camera_model": ("string", "pano.camera_model"), "camera_type": ("string", "pano.camera_type"),
+    "camera_parameters": ("string", "pano.source_metadata.camera_parameters"), "quality_score": ("double", "pano.quality_score"),
+    "altitude": ("double", "pano.source_metadata.altitude"), "computed_altitude": ("double", "pano.source_metadata.computed_altitude"),
+    "atomic_scale": ("double", "pano.source_metadata.atomic_scale"), "compass_angle": ("double", "pano.source_metadata.compass_angle"),
+    "computed_compass_angle": ("double", "pano.source_metadata.computed_compass_angle"),
+    "raw_lat": ("double", "pano.source_metadata.geometry.coordinates[1]"), "raw_lng": ("double", "pano.source_metadata.geometry.coordinates[0]"),
+    "computed_rotation_x": ("double", "pano.source_metadata.computed_rotation[0]"), "computed_rotation_y": ("double", "pano.source_metadata.computed_rotation[1]"),
+    "computed_rotation_z": ("double", "pano.source_metadata.computed_rotation[2]"), "creator_username": ("string", "pano.source_metadata.creator.username"),
+    "creator_id": ("string", "pano.source_metadata.creator.id"), "exif_orientation": ("long", "pano.source_metadata.exif_orientation"),
+    "merge_cc": ("long", "pano.source_metadata.merge_cc"), "copyright": ("string", "pano.copyright"),
+}
+
+
+def pano_rows(records: DataFrame, run: str, value: str = "value") -> DataFrame:
+    """34 flat columns from nested JSON records (a column of text); missing levels are NULL. A record without a
+    panorama id is an error."""
+    found = {c: F.get_json_object(value, f"$.{path}").cast(kind) for c, (kind, path) in PANO_COLUMNS.items()}
+    found["pano_id"] = F.coalesce(found["pano_id"], F.raise_error(F.lit("a record has no panorama id")).cast("string"))
+    detections = F.coalesce(F.json_array_length(F.get_json_object(value, "$.detections")), F.lit(0))
+    return records.select(F.lit(run).alias("run"), *[c.alias(n) for n, c in found.items()], detections.alias("n_detections"))
 
 
 def sha256_of_files(spark: SparkSession, path: str) -> DataFrame:

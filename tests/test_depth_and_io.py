@@ -213,6 +213,39 @@ def test_readers(spark, tmp_path):
     assert empty.count() == 0 and "depth_b64" in empty.columns
 
 
+def test_imported_panoramas_have_every_column(spark):
+    import json
+
+    full = {"pano": {"panorama_id": "a", "width": 10, "lat": 1.5, "source_metadata": {"captured_at": 7, "geometry": {"coordinates": [-75.0, 40.0]}, "computed_rotation": [1, 2, 3], "camera_parameters": [0.5, 0, 1], "creator": {"username": "u", "id": 3}}}, "detections": [{}, {}]}
+    rows = [json.dumps(full), json.dumps({"pano": {"panorama_id": "b", "source_metadata": None}, "detections": None})]
+    got = {r["pano_id"]: r for r in readers.pano_rows(spark.createDataFrame([(r,) for r in rows], "value string"), "r1").collect()}
+    a, b = got["a"].asDict(), got["b"].asDict()
+    assert len(a) == 34 and (a["raw_lat"], a["raw_lng"], a["computed_rotation_z"], a["creator_id"], a["n_detections"], a["captured_at_ms"], a["camera_parameters"]) == (40.0, -75.0, 3.0, "3", 2, 7, "[0.5,0,1]")
+    assert {k for k, v in b.items() if v is not None} == {"run", "pano_id", "n_detections"} and b["n_detections"] == 0
+    with pytest.raises(Exception, match="no panorama id"):
+        readers.pano_rows(spark.createDataFrame([("{}",)], "value string"), "r1").collect()
+
+
+def test_greedy_spacing_keeps_what_a_plain_loop_keeps(spark):
+    from lodemark.operators import joins
+
+    rng = np.random.default_rng(1)
+    rows = [(f"c{k % 3}", k, 40 + float(v), -75 + float(w)) for k, (v, w) in enumerate(rng.uniform(0, 0.01, (300, 2)))]
+    got = joins.greedy_spacing(spark.createDataFrame(rows, "city string, k long, lat double, lng double"), "city", "k", "lat", "lng", 150.0, 12, 5)
+    order = {r["k"]: r["o"] for r in spark.createDataFrame(rows, "city string, k long, lat double, lng double").selectExpr("k", "md5(concat_ws('|', cast(k AS string), '5')) AS o").collect()}
+    kept = {}
+    for city, k, lat, lng in sorted(rows, key=lambda r: (order[r[1]], r[1])):
+        own = kept.setdefault(city, [])
+
+        def metres(p, q):
+            (a, b), (c, e) = np.radians(p), np.radians(q)
+            return 2 * 6378137.0 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((e - b) / 2) ** 2))
+
+        if len(own) < 12 and all(metres((lat, lng), q[1:]) >= 150 for q in own):
+            own.append((k, lat, lng))
+    assert {r["k"] for r in got.collect()} == {q[0] for own in kept.values() for q in own}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (2, "c")], "k long, v string")
     writers.sorted_csv(df, str(tmp_path / "csv"), ["k", "v"], single=True)

@@ -5,7 +5,8 @@ import pytest
 import compare
 from lodemark.registry import all_queries, all_sql
 
-SLOW = {"m08_m15_quantile_regression", "m12_m14_m27_ladder", "m22_sequence_scales", "m23_scale_transfer", "m21_boosted_trees", "g25_bootstrap_median", "w11_g25_figure_bands"}
+#: Minutes each; their operators are tested on small data in test_models.py.
+SLOW = {"m12_m14_m27_ladder"}
 
 
 @pytest.fixture(scope="module")
@@ -20,4 +21,5 @@ def test_same_rows_as_sql(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql()) - SLOW))
 def test_runs(spark, sf, name):
-    assert len(all_queries()[name](spark, sf).take(1)) == 1
+    rows = all_queries()[name](spark, sf).collect()
+    assert rows and any(v is not None for v in rows[0])
