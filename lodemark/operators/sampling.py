@@ -6,13 +6,20 @@ order, and what earlier strata took is anti-joined as a small table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodemark.functions.pov import CANVAS_HEIGHT, CANVAS_WIDTH, pov_if_centered
+
+from .quantiles import quantiles
 from .windows import md5_order, top_per_group
 
+#: Pixels of the stored frame for a degree of pitch.
+PIXELS_PER_DEGREE = 6656 / 180
+
 
 @dataclass(frozen=True)
 class Stratum:
@@ -99,3 +106,29 @@ def with_edges(df: DataFrame, strata: list[str], keys: list[str], n: int, edges:
         more = df.where(test).join(F.broadcast(out.select(*keys)), keys, "left_anti").orderBy(*order).limit(most)
         out = checkpointed(out.unionByName(more.select(*keys, F.lit(name).alias("sample"))))
     return out
+
+
+def noise_sweep(clicks: DataFrame, predictors: dict[str, Callable[[], Column]], truth: str, keys: list[str], sigmas: tuple[float, ...] = (2.0, 5.0, 10.0), draws: int = 5) -> DataFrame:
+    """(model, sigma, delta_median_m, delta_p90_m): what pixel noise on the clicks does to each model's errors.
+
+    Noise is Gaussian by a hash of the row's keys and the draw, so it is the same whatever the partitions and the
+    models; clicks stay on the canvas. canvas_x, canvas_y, dep and sv_image_y are derived anew from the moved
+    click before a predictor sees the row; any Column of these can be one. Deltas are means over the draws less the
+    errors without noise.
+    """
+    grid = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(k).alias("draw")) for s, k in [(0.0, 0), *((s, k) for s in sigmas for k in range(draws))]])
+    rows = clicks.select("*", F.inline(grid))
+    rows = rows.withColumn("_m", md5_order(*[F.col(k) for k in keys], F.col("draw")))
+    u, v = ((F.conv(F.substring("_m", a, 7), 16, 10).cast("long") + 0.5) / 268435456 for a in (1, 8))
+    reach, turn = F.sqrt(-2 * F.ln(u)) * F.col("sigma"), 2 * F.pi() * v
+    x, y = F.col("canvas_x").cast("double"), F.col("canvas_y").cast("double")
+    angle = [F.col(c).cast("double") for c in ("heading", "pitch", "zoom")]
+    before = pov_if_centered(x, y, *angle)[1]
+    moved = rows.withColumns({"_pitch": before, "canvas_x": F.least(F.greatest(x + reach * F.cos(turn), F.lit(0.0)), F.lit(float(CANVAS_WIDTH))), "canvas_y": F.least(F.greatest(y + reach * F.sin(turn), F.lit(0.0)), F.lit(float(CANVAS_HEIGHT)))})
+    moved = moved.withColumn("dep", -pov_if_centered(F.col("canvas_x"), F.col("canvas_y"), *angle)[1])
+    moved = moved.withColumn("sv_image_y", F.col("sv_image_y") + (-F.col("dep") - F.col("_pitch")) * PIXELS_PER_DEGREE)
+    errors = moved.select("sigma", "draw", *[F.abs(p() - F.col(truth)).alias(k) for k, p in predictors.items()]).unpivot(["sigma", "draw"], list(predictors), "model", "e")
+    each = quantiles(errors, ["model", "sigma", "draw"], {"m": (F.col("e"), 0.5), "p": (F.col("e"), 0.9)}, digits=None)
+    means = each.groupBy("model", "sigma").agg(F.avg("m").alias("m"), F.avg("p").alias("p"))
+    base = means.where("sigma = 0").select("model", F.col("m").alias("m0"), F.col("p").alias("p0"))
+    return means.where("sigma > 0").join(base, "model").select("model", "sigma", F.round(F.col("m") - F.col("m0"), 6).alias("delta_median_m"), F.round(F.col("p") - F.col("p0"), 6).alias("delta_p90_m"))

@@ -212,3 +212,26 @@ def g27_null(spark, d):
     null = pairs.join(scores, "pano_id").join(scores.select(F.col("pano_id").alias("other"), F.col("score").alias("other_score")), "other")
     below = F.count_if(F.col("other_score") < F.col("score"))
     return null.groupBy("pano_id").agg(F.count(F.lit(1)).alias("n_null"), below.alias("below"), rounded(below * 100 / F.count(F.lit(1)), "percentile"))
+
+
+def _t07_sql() -> str:
+    """The clicks moved by hashed noise, and the view's own angles over them; sigma 0 is the click as it is."""
+    grid = "(SELECT 0e0 AS sigma, 0 AS draw UNION ALL SELECT * FROM (SELECT unnest([2e0, 5e0, 10e0]) AS sigma), (SELECT unnest([0, 1, 2, 3, 4]) AS draw))"
+    blend = f"CASE WHEN dep >= 11.25 THEN 2.6e0 / tan(radians(greatest(dep, 1e-9))) ELSE {2.6 / math.tan(math.radians(11.25))!r} - {2.6 * math.radians(1) / math.sin(math.radians(11.25)) ** 2!r} * (greatest(dep, 0e0) - 11.25) END"
+    moved = POV_SQL.replace("FROM clicks", "FROM moved")
+    return f"""WITH {SQL}, h AS (SELECT clicks.*, sigma, draw, md5(concat_ws('|', cast(label_id AS varchar), cast(pano_id AS varchar), cast(draw AS varchar))) AS m FROM clicks, {grid}),
+u AS (SELECT *, sqrt(-2 * ln((cast(('0x' || substr(m, 1, 7)) AS bigint) + 0.5e0) / 268435456e0)) * sigma AS reach, 2 * pi() * ((cast(('0x' || substr(m, 8, 7)) AS bigint) + 0.5e0) / 268435456e0) AS turn FROM h),
+moved AS (SELECT * EXCLUDE (canvas_x, canvas_y, m), canvas_y AS own_y, least(greatest(canvas_x + reach * cos(turn), 0e0), 720e0) AS canvas_x, least(greatest(canvas_y + reach * sin(turn), 0e0), 480e0) AS canvas_y FROM u),
+{moved}, e AS (SELECT sigma, draw, unnest(['blend', 'linear']) AS model, unnest([abs(least(greatest({blend}, 0e0), 50e0) - truth_m), abs(greatest(0e0, 30e0 - 0.05e0 * canvas_y) - truth_m)]) AS e FROM pov),
+s AS (SELECT model, sigma, draw, median(e) AS md, quantile_cont(e, 0.9) AS p FROM e GROUP BY ALL), b AS (SELECT model, md AS m0, p AS p0 FROM s WHERE sigma = 0)
+SELECT model, sigma, round(avg(md) - any_value(m0), 6) AS delta_median_m, round(avg(p) - any_value(p0), 6) AS delta_p90_m FROM s JOIN b USING (model) WHERE sigma > 0 GROUP BY model, sigma"""
+
+
+@query("t07_feature_noise", _t07_sql())
+def t07_features(spark, d):
+    """Two predictors under the same noise: one of the depression, and one from outside that reads the canvas."""
+    from lodemark.operators import models
+
+    blend = models.Geometric("blend", 2.6, {}, 11.25)
+    predictors = {"blend": lambda: models.predict(blend, F.col("dep")), "linear": lambda: F.greatest(F.lit(0.0), 30 - 0.05 * F.col("canvas_y"))}
+    return sampling.noise_sweep(clicks(spark, d), predictors, "truth_m", ["label_id", "pano_id"])
