@@ -101,12 +101,3 @@ def test_every_stage_takes_awkward_rows(spark, sf, awkward, tmp_path):
 def test_every_stage_takes_an_empty_table(spark, sf, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
-
-
-def test_kept_rows_in_many_ranges(spark):
-    rows = corpus_pipeline._keyed(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(7))
-    kept = rows.where(F.xxhash64("doc_id") % 3 == 0).select(corpus_pipeline.ROW)
-    want = sorted(r["doc_id"] for r in rows.join(kept, corpus_pipeline.ROW).collect())
-    for most in (1_000_000, 9):
-        got = corpus_pipeline._only(rows, kept, most)
-        assert got.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in got.collect()) == want
