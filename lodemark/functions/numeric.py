@@ -48,7 +48,7 @@ def dummies(x: Column, levels: list) -> list[Column]:
     return [(x == F.lit(v)).cast("double") for v in levels]
 
 
-def disparity(d: Column, cap: float = 50.0) -> Column:
+def disparity(d: Column, cap: float = 1.0) -> Column:
     """One over the distance, at least one over the cap."""
     return 1 / F.greatest(d, F.lit(1 / cap))
 
