@@ -231,18 +231,19 @@ def slope_ols(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
     return df.groupBy(*by).agg((F.sum(x * y) / F.sum(x * x)).alias("slope"))
 
 
-def _narrow(df: DataFrame, dep: str, dist: str, label_type: str | None) -> DataFrame:
-    """Depression, distance, type, tangent and disparity of the clicks that have them: computed once, then kept."""
+def _narrow(df: DataFrame, dep: str, dist: str, label_type: str | None) -> tuple[DataFrame, DataFrame]:
+    """(what is persisted, the frame to fit on): depression, distance, type, tangent and disparity of the clicks that
+    have them. A depression is often a long expression: it is computed once, before anything filters by it."""
     kind = F.col(label_type) if label_type else F.lit("")
-    base = df.select(F.col(dep).cast("double").alias("_d"), F.col(dist).cast("double").alias("_m"), kind.alias("_t")).where(F.col("_d").isNotNull() & F.col("_m").isNotNull())
-    return base.select("*", tan_depression(F.col("_d"), 0.0).alias("_x"), disparity(F.col("_m"), 1.0).alias("_y")).persist()
+    kept = df.select(F.col(dep).cast("double").alias("_d"), F.col(dist).cast("double").alias("_m"), kind.alias("_t")).persist()
+    return kept, kept.where(F.col("_d").isNotNull() & F.col("_m").isNotNull()).select("*", tan_depression(F.col("_d"), 0.0).alias("_x"), disparity(F.col("_m"), 1.0).alias("_y"))
 
 
 def fit_cotangent(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
     """Camera heights in disparity space, over clicks below the horizon; per type with a pooled fallback."""
-    kept = _narrow(df, dep, dist, label_type)
+    kept, base = _narrow(df, dep, dist, label_type)
     try:
-        rows = kept.where("_d > 0")
+        rows = base.where("_d > 0")
         if loss == "ols":  # the sums of the types add up to the pooled ones
             sums = rows.groupBy("_t").agg(F.sum(F.col("_x") * F.col("_y")).alias("p"), F.sum(F.col("_x") * F.col("_x")).alias("q")).collect()
             top, low = sum(r["p"] for r in sums), sum(r["q"] for r in sums)
@@ -263,7 +264,7 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
 
     Least squares needs no row per angle: sums per cell between two grid angles add up to those of every angle.
     """
-    base = _narrow(df, dep, dist, label_type)
+    kept, base = _narrow(df, dep, dist, label_type)
     try:
         heights: list[dict] = [{} for _ in grid]
         pooled: list[float | None] = [None] * len(grid)
@@ -301,7 +302,7 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
             out.append(models[min(range(len(models)), key=lambda k: (losses[k], k))])
         return out[0], out[1]
     finally:
-        base.unpersist()
+        kept.unpersist()
 
 
 def _losses(base: DataFrame, models: list[Geometric], loss: str, typed: bool, at_once: int = 6) -> list[float]:
