@@ -1,4 +1,4 @@
-"""Geodesy and angles as Column expressions; the ellipsoidal ones as Arrow-batched functions.
+"""Geodesy and angles as Column expressions.
 
 Two earth radii are in use and must not be mixed: RADIUS_EQUATOR for the historical functions and
 RADIUS_MEAN for the multi-view ones.
@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import geodesic
+
 RADIUS_EQUATOR = 6378137.0
 RADIUS_MEAN = 6371008.8
 METRES_PER_DEGREE = 111111.0
-WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 
 
 def _half_chord(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -84,73 +83,14 @@ def camera_offset(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> tup
     return (lng2 - lng1) * METRES_PER_DEGREE * F.cos(F.radians((lat1 + lat2) / 2)), (lat2 - lat1) * METRES_PER_DEGREE
 
 
-def _vincenty_direct(lat, lng, azimuth, distance):
-    a, f = WGS84_A, WGS84_F
-    b = a * (1 - f)
-    alpha, u1 = np.radians(azimuth), np.arctan((1 - f) * np.tan(np.radians(lat)))
-    s1 = np.arctan2(np.tan(u1), np.cos(alpha))
-    sin_a = np.cos(u1) * np.sin(alpha)
-    u2 = (1 - sin_a**2) * (a * a - b * b) / (b * b)
-    big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-    big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-    sigma = distance / (b * big_a)
-    for _ in range(20):
-        c2 = np.cos(2 * s1 + sigma)
-        d = big_b * np.sin(sigma) * (c2 + big_b / 4 * (np.cos(sigma) * (2 * c2**2 - 1) - big_b / 6 * c2 * (4 * np.sin(sigma) ** 2 - 3) * (4 * c2**2 - 3)))
-        fresh = distance / (b * big_a) + d
-        if np.nanmax(np.abs(fresh - sigma), initial=0) < 1e-14:
-            sigma = fresh
-            break
-        sigma = fresh
-    c2 = np.cos(2 * s1 + sigma)
-    x = np.sin(u1) * np.sin(sigma) - np.cos(u1) * np.cos(sigma) * np.cos(alpha)
-    phi = np.arctan2(np.sin(u1) * np.cos(sigma) + np.cos(u1) * np.sin(sigma) * np.cos(alpha), (1 - f) * np.sqrt(sin_a**2 + x**2))
-    lam = np.arctan2(np.sin(sigma) * np.sin(alpha), np.cos(u1) * np.cos(sigma) - np.sin(u1) * np.sin(sigma) * np.cos(alpha))
-    c = f / 16 * (1 - sin_a**2) * (4 + f * (4 - 3 * (1 - sin_a**2)))
-    turn = lam - (1 - c) * f * sin_a * (sigma + c * np.sin(sigma) * (c2 + c * np.cos(sigma) * (2 * c2**2 - 1)))
-    return np.degrees(phi), lng + np.degrees(turn)
-
-
-def _vincenty_azimuth(lat1, lng1, lat2, lng2):
-    f = WGS84_F
-    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(x))) for x in (lat1, lat2))
-    span = np.radians(lng2 - lng1)
-    lam = span.copy()
-    for _ in range(50):
-        sin_s = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
-        cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-        sigma = np.arctan2(sin_s, cos_s)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sin_a = np.where(sin_s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / sin_s)
-            c2 = np.where(sin_a**2 == 1, 0.0, cos_s - 2 * np.sin(u1) * np.sin(u2) / (1 - sin_a**2))
-        c = f / 16 * (1 - sin_a**2) * (4 + f * (4 - 3 * (1 - sin_a**2)))
-        fresh = span + (1 - c) * f * sin_a * (sigma + c * sin_s * (c2 + c * cos_s * (2 * c2**2 - 1)))
-        done = np.nanmax(np.abs(fresh - lam), initial=0) < 1e-13
-        lam = fresh
-        if done:
-            break
-    return np.degrees(np.arctan2(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam)))
-
-
 def bearing_deg(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Forward azimuth of the WGS84 geodesic, in (-180, 180]; NULL in, NULL out."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(_vincenty_azimuth(*(x.to_numpy(float) for x in (a, b, c, d)))).where(a.notna() & b.notna() & c.notna() & d.notna())
-
-    return run(lat1, lng1, lat2, lng2)
+    return geodesic.azimuth(lat1, lng1, lat2, lng2)
 
 
 def dest_point(lat: Column, lng: Column, bearing: Column, distance: Column) -> Column:
     """struct<lat, lng> at a distance and azimuth on the WGS84 ellipsoid."""
-
-    @F.pandas_udf("lat double, lng double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        lat2, lng2 = _vincenty_direct(*(x.to_numpy(float) for x in (a, b, c, d)))
-        return pd.DataFrame({"lat": lat2, "lng": lng2})
-
-    return run(lat, lng, bearing, distance)
+    return geodesic.destination(lat, lng, bearing, distance)
 
 
 def latlng_error_m(estimator: int, lat: Column, lng: Column, heading: Column, distance: Column, true_lat: Column, true_lng: Column) -> Column:

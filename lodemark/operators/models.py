@@ -536,30 +536,6 @@ def implied_heights(df: DataFrame, by: list[str], dep: str = "dep", dist: str =
     return quantiles(rows, by, {"implied_height_m": (F.col(dist) * F.tan(F.radians(dep)), 0.5)}).where(F.col("n") >= least_n)
 
 
-def boosted_trees(df: DataFrame, features: list[str], label: str, loss: str = "absolute", rounds: int = 20, depth: int = 4, key: str = "label_id"):
-    """Gradient-boosted trees with early stopping on a tenth of the rows (by a hash of the key).
-
-    Missing features become zero with a 0/1 mark beside them. Trees differ from those of other libraries,
-    so results are this model's own. Returns (model, transform).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    def ready(frame: DataFrame) -> DataFrame:
-        cols = []
-        for f in features:
-            cols += [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_v_{f}"), F.col(f).isNull().cast("double").alias(f"_n_{f}")]
-        held = (F.pmod(F.xxhash64(key), F.lit(10)) == 0).alias("_held")
-        return VectorAssembler(inputCols=[f"_{k}_{f}" for f in features for k in "vn"], outputCol="_f").transform(frame.select("*", *cols, held))
-
-    model = GBTRegressor(featuresCol="_f", labelCol=label, predictionCol="_p", lossType=loss, maxIter=rounds, maxDepth=depth, validationIndicatorCol="_held", seed=1).fit(ready(df))
-
-    def transform(frame: DataFrame) -> DataFrame:
-        return model.transform(ready(frame)).select(*frame.columns, clip(F.col("_p"), 0.0, CAP_M).alias("prediction"))
-
-    return model, transform
-
-
 #: Pairs of sequences whose sums the driver takes; beyond, each round is a join.
 MOST_PAIRS = 1_000_000
 

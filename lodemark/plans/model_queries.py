@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions import geo
 from lodemark.functions.numeric import mapped
-from lodemark.operators import models
+from lodemark.operators import boosting, models
 from lodemark.operators.aggregate import rounded
 from lodemark.operators.models import Geometric
 from lodemark.operators.quantiles import beside, lad_slope, quantile, quantiles
@@ -282,11 +282,40 @@ def m20(spark, d):
     return _rows(spark, [(round(models.era_shift(clicks(spark, d).where(TRAIN), F.col("truth_m"), F.col("noise")), 6),)], "shift double")
 
 
+_TYPES = ["AF", "NF", "NO", "RF"]
+
+
+def _boosting_view(view):
+    """Clicks as the benchmark sees them: the height of the oldest panoramas is not known."""
+    return view.withColumn("pano_height", F.when(F.col("pano_height") != 1664, F.col("pano_height")))
+
+
 @query("m21_boosted_trees")
 def m21(spark, d):
-    view = with_angles(clicks(spark, d))
-    _, run = models.boosted_trees(view.where(TRAIN), ["dep", "zoom", "canvas_y", "lat"], "truth_m", rounds=5, depth=3)
-    return quantiles(run(view.where(f"NOT ({TRAIN})")), [], {"median_m": (F.abs(F.col("prediction") - F.col("truth_m")), 0.5)})
+    """The thirteen models of the benchmark, at most 100 rounds, on the test rows; the ablations beside the full model."""
+    view = _boosting_view(with_angles(clicks(spark, d)))
+    features = boosting.benchmark_features(F.col("dep"))
+    fits = boosting.fit_boosted(view.where(TRAIN), boosting.benchmark_specs(), features, {"label_type": _TYPES}, F.col("truth_m"), "label_id", rounds=100, stop=5, depth=3)
+    scored = boosting.predict_boosted(view.where(f"NOT ({TRAIN})"), fits, features)
+    place = {k: geo.haversine_m(F.col("lat"), F.col("lng"), *geo.spherical_dest(F.col("pano_lat"), F.col("pano_lng"), F.col("pov_heading"), F.col(k))) for k in fits}
+    long = scored.select(*[F.abs(F.col(k) - F.col("truth_m")).alias(f"{k}_dist") for k in fits], *[place[k].alias(f"{k}_place") for k in fits])
+    found = quantiles(long, [], {f"{k}_{e}_{n}": (F.col(f"{k}_{e}"), q) for k in fits for e in ("dist", "place") for n, q in (("median", 0.5), ("p90", 0.9))}, digits=None).first()
+    rows = []
+    for k, m in fits.items():
+        own = [found[f"{k}_{e}_{n}"] for e in ("dist", "place") for n in ("median", "p90")]
+        delta = own[0] - found["gbm_l1_dist_median"] if k.startswith("drop_") and own[0] is not None else None
+        rows.append((k, m.best_round, found["n"], *own, delta))
+    return _rows(spark, rows, "model string, rounds int, n long, dist_median_m double, dist_p90_m double, place_median_m double, place_p90_m double, delta_dist_median_m double")
+
+
+@query("m21_gain_importances")
+def m21_gains(spark, d):
+    """What each feature's splits bring to the full model."""
+    view = _boosting_view(with_angles(clicks(spark, d))).where(TRAIN)
+    spec = boosting.Spec("gbm_l1", boosting.FEATURES)
+    model = boosting.fit_boosted(view, [spec], boosting.benchmark_features(F.col("dep")), {"label_type": _TYPES}, F.col("truth_m"), "label_id", rounds=100, stop=5, depth=3)["gbm_l1"]
+    total = sum(model.gains.values()) or 1.0
+    return _rows(spark, [(f, model.gains.get(f, 0.0), model.gains.get(f, 0.0) / total) for f in spec.features], "feature string, gain double, gain_share double")
 
 
 def site_members(view):
