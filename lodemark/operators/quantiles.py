@@ -8,6 +8,7 @@ and no task holds a group.
 from __future__ import annotations
 
 import math
+import sys
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,7 @@ ACCURACY = 50_000
 CELLS = 4096
 #: Tables of so many groups are broadcast.
 FEW = 10_000
+_LARGEST = sys.float_info.max
 
 
 def beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
@@ -52,7 +54,7 @@ def _rank(k: int, at: Column) -> Column:
 def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], aggs: list[Column] = (), digits: int | None = 6) -> DataFrame:
     """by, n (rows), every column of aggs and, for each name of wanted, the exact quantile of a Column (linear between ranks).
 
-    Missing values do not count; a group without any gets NULL. Two passes over df, both with partial aggregates.
+    Missing values and NaN do not count; a group without any gets NULL. Two passes over df, both with partial aggregates.
     """
     from lodemark.session import checkpointed
 
@@ -61,7 +63,7 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     values = list({str(c): c for c, _ in wanted.values()}.items())
     number = {name: k for k, (name, _) in enumerate(values)}
     spots = [(name, number[str(c)], q) for name, (c, q) in wanted.items()]
-    wide = df.select("*", *[c.cast("double").alias(f"_v{k}") for k, (_, c) in enumerate(values)], *([] if by else [F.lit(0).alias("_all")]))
+    wide = df.select("*", *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, (_, c) in enumerate(values)], *([] if by else [F.lit(0).alias("_all")]))
     # Pass 1: how many values, and for every quantile a range of ranks that must hold it.
     margin, found = 2 / ACCURACY, [F.count(F.lit(1)).alias("n")]
     for k in range(len(values)):
@@ -131,12 +133,13 @@ def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column,
 
     A pass cuts each group's range into CELLS of equal width, adds up their weights and goes on with the cell
     that holds the median, until WHOLE values or fewer are left in it; equal values of those are added up and
-    summed in order. Tells no group's values apart but those of its last cell.
+    summed in order. Tells no group's values apart but those of its last cell. Values and weights that are missing
+    or NaN do not count; infinite values have cells of their own at both ends.
     """
     from lodemark.session import checkpointed
 
     by = list(by)
-    rows = df.select(*by, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where(F.col("_v").isNotNull() & F.col("_w").isNotNull())
+    rows = df.select(*by, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where(F.col("_v").isNotNull() & F.col("_w").isNotNull() & ~F.isnan("_v") & ~F.isnan("_w"))
     if not persisted:
         rows = rows.persist()
     try:
@@ -147,7 +150,10 @@ def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column,
             if not state.where(large).limit(1).count():
                 break
             inside = beside(rows, state.where(large).select(*by, *narrow), by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-            cell = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * CELLS), F.lit(CELLS - 1))
+            # Halves before the difference, so that no finite range overflows.
+            low, high = F.greatest(F.col("_low"), F.lit(-_LARGEST)), F.least(F.col("_high"), F.lit(_LARGEST))
+            inner = F.greatest(F.least(F.floor((F.col("_v") / 2 - low / 2) / (high / 2 - low / 2) * CELLS), F.lit(CELLS - 1)), F.lit(0))
+            cell = F.when(F.col("_v") > _LARGEST, CELLS).when(F.col("_v") < -_LARGEST, -1).when(low < high, inner).otherwise(F.lit(0))
             cells = inside.groupBy(*by, cell.alias("_cell")).agg(F.sum("_w").alias("_cw"), F.count(F.lit(1)).alias("_cm"), F.min("_v").alias("_cl"), F.max("_v").alias("_ch"))
             # CELLS rows a group at most.
             upto = F.sum("_cw").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))

@@ -19,11 +19,11 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _value(v):
     if isinstance(v, float):
-        return None if v != v else round(v, 5) + 0.0
+        return None if v != v else round(v, 6) + 0.0
     if hasattr(v, "isoformat"):
         return str(v).replace("+00:00", "")
     if type(v).__name__ == "Decimal":
-        return round(float(v), 5) + 0.0
+        return round(float(v), 6) + 0.0
     return v
 
 

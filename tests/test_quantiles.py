@@ -47,6 +47,24 @@ def test_weighted_medians_are_exact(spark, monkeypatch, whole, cells):
     assert len(got) == 4
 
 
+@pytest.mark.parametrize("whole", [100_000, 50])
+def test_infinite_and_missing_values(spark, monkeypatch, whole):
+    """Infinite values have their ranks, NaN has none, and the search ends."""
+    monkeypatch.setattr(qs, "WHOLE", whole)
+    monkeypatch.setattr(qs, "ACCURACY", 400 if whole == 50 else 50_000)
+    inf, nan = float("inf"), float("nan")
+    rng = np.random.default_rng(4)
+    base = [float(v) for v in rng.normal(size=1000)]
+    groups = {"up": [*base, inf], "down": [*base, -inf, -inf], "nan": [*base, nan], "top": [inf] * 700 + base[:300], "both": [inf] * 400 + [-inf] * 300 + base[:300], "wide": [1.7e308, -1.7e308, *base], "all": [inf] * 200, "none": [nan] * 90}
+    df = spark.createDataFrame([(g, v, 1.0) for g, vs in groups.items() for v in vs] + [("up", 5.0, nan)], "g string, v double, w double").repartition(3)
+    got = {r["g"]: r["median"] for r in qs.weighted_median(df, ["g"], F.col("v"), F.col("w")).collect()}
+    for g, vs in groups.items():
+        known = sorted(v for v in vs if v == v)
+        assert (got[g] == known[(len(known) - 1) // 2]) if known else g not in got, g
+    even = {r["g"]: r["m"] for r in qs.quantiles(df, ["g"], {"m": (F.col("v"), 0.5)}, digits=None).collect()}
+    assert even["none"] is None and np.isclose(even["nan"], np.median(base)) and even["top"] == inf
+
+
 def test_no_rows_give_no_groups(spark):
     none = spark.createDataFrame([], "g string, v double, w double")
     assert qs.weighted_median(none, ["g"], F.col("v"), F.col("w")).count() == 0
