@@ -49,14 +49,24 @@ def summary_json(rows: DataFrame, keys: list[str]) -> str:
 
 
 def guarded_overwrite(df: DataFrame, path: str) -> int:
-    """Writes df over path unless it has fewer rows than what is there. Returns the rows written."""
+    """Writes df over path unless it has fewer rows than what is there. Returns the rows written.
+
+    The new table is written beside the old one and counted there, so df may read path, and what is at path is whole
+    at any time but between two renames, when the old table is at path + ".old".
+    """
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    new, old = df.count(), spark.read.parquet(path).count() if exists else 0
-    if new < old:
-        raise ShrinkError(f"{path} has {old} rows, the new table {new}")
-    df.write.mode("overwrite").parquet(path)
+    place, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    exists = store.exists(place)
+    df.write.mode("overwrite").parquet(path + ".new")
+    new, before = spark.read.schema(df.schema).parquet(path + ".new").count(), spark.read.parquet(path).count() if exists else 0
+    if new < before:
+        store.delete(fresh, True)
+        raise ShrinkError(f"{path} has {before} rows, the new table {new}")
+    store.delete(old, True)
+    if exists and not store.rename(place, old) or not store.rename(fresh, place):
+        raise OSError(f"cannot move the new table to {path}")
+    store.delete(old, True)
     return new
 
 

@@ -4,6 +4,8 @@ file systems, so that any store works."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -109,6 +111,68 @@ def jdbc(spark: SparkSession, url: str, tables: list[str], schema: str, properti
     return {t: spark.read.jdbc(url, f"{schema}.{t}", properties=properties or {}) for t in tables}
 
 
+class NoBranch(ValueError):
+    """A schema has the columns of no known version."""
+
+
+@dataclass(frozen=True)
+class Branch:
+    """A version of a city's schema: the columns that tell it, by table, and the extraction from its tables.
+
+    Of several versions whose columns are all there the first in the list is taken.
+    """
+
+    name: str
+    needs: dict[str, set[str]]
+    build: Callable[[dict[str, DataFrame]], DataFrame]
+
+    def fits(self, columns: dict[str, set[str]]) -> bool:
+        return all(need <= columns.get(table, set()) for table, need in self.needs.items())
+
+
+def discovered(spark: SparkSession, like: str, exclude: set[str] = frozenset()) -> list[str]:
+    """The schemas of the current catalog whose names match a pattern (* and |), but the excluded ones, by name."""
+    return sorted(d.name for d in spark.catalog.listDatabases(like) if d.name not in exclude)
+
+
+def catalog_columns(spark: SparkSession, database: str) -> dict[str, set[str]]:
+    """The tables of a schema and the columns of each, from the catalog alone."""
+    return {t.name: {c.name for c in spark.catalog.listColumns(f"{database}.{t.name}")} for t in spark.catalog.listTables(database) if not t.isTemporary}
+
+
+def jdbc_columns(spark: SparkSession, url: str, like: str, properties: dict | None = None) -> dict[str, dict[str, set[str]]]:
+    """The same of a database's information_schema, for all schemas LIKE a pattern in one small read."""
+    query = f"(SELECT table_schema AS s, table_name AS t, column_name AS c FROM information_schema.columns WHERE table_schema LIKE '{like}') AS found"
+    out: dict[str, dict[str, set[str]]] = {}
+    for r in spark.read.jdbc(url, query, properties=properties or {}).collect():  # one row a column of the schemas
+        out.setdefault(r["s"], {}).setdefault(r["t"], set()).add(r["c"])
+    return out
+
+
+def extracted(columns: dict[str, dict[str, set[str]]], branches: list[Branch], table: Callable[[str, str], DataFrame], prefix: str = "", exclude: set[str] = frozenset()) -> DataFrame:
+    """One row set of all schemas: each read by the first branch that its columns fit, with its city (the name
+    without the prefix) and the branch's name, put together by column name.
+
+    table(schema, name) gives a table; filters of a branch, and of whoever reads the result, reach its source.
+    """
+    parts = {}
+    for schema, own in columns.items():
+        if schema in exclude:
+            continue
+        branch = next((b for b in branches if b.fits(own)), None)
+        if branch is None:
+            raise NoBranch(f"{schema} has the columns of no known version")
+        rows = branch.build({t: table(schema, t) for t in branch.needs})
+        parts[schema] = rows.select("*", F.lit(schema.removeprefix(prefix)).alias("city"), F.lit(branch.name).alias("schema_version"))
+    return union_of(parts)
+
+
+def extract_catalog(spark: SparkSession, like: str, branches: list[Branch], prefix: str = "", exclude: set[str] = frozenset()) -> DataFrame:
+    """S15 over the session's catalog."""
+    columns = {d: catalog_columns(spark, d) for d in discovered(spark, like, exclude)}
+    return extracted(columns, branches, lambda d, t: spark.table(f"{d}.{t}"), prefix)
+
+
 def union_of(parts: dict[str, DataFrame], exclude: set[str] = frozenset()) -> DataFrame:
     """All listed parts but the excluded ones, by column name; columns that some lack are NULL there."""
     kept = [df for name, df in sorted(parts.items()) if name not in exclude]
@@ -123,9 +187,60 @@ def cached_documents(spark: SparkSession, folders: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min_by("value", "place").alias("document"))
 
 
+def json_at(document: Column, path: str, kind: str) -> Column:
+    """A value deep in a JSON document of arrays by position; NULL where a level is missing, is of another shape or is not
+    of the kind, and where the document is no JSON."""
+    return F.try_variant_get(F.try_parse_json(document), path, kind)
+
+
 def depth_b64(document: Column) -> Column:
-    """The payload deep in a document; NULL where a level is missing."""
-    return F.get_json_object(document, "$[1][0][5][0][5][1][2]")
+    """The payload deep in a document; NULL where a level is missing or there is no text."""
+    found = json_at(document, "$[1][0][5][0][5][1][2]", "string")
+    return F.when(found != "", found)
+
+
+#: Where a photo document keeps its metadata, by position, and their types.
+PHOTO_PATHS = {
+    "pano_id": ("$[1][0][1][1]", "string"), "lat": ("$[1][0][5][0][1][0][2]", "double"), "lng": ("$[1][0][5][0][1][0][3]", "double"), "elevation_m": ("$[1][0][5][0][1][1][0]", "double"),
+    "heading_deg": ("$[1][0][5][0][1][2][0]", "double"), "tilt_deg": ("$[1][0][5][0][1][2][1]", "double"), "roll_deg": ("$[1][0][5][0][1][2][2]", "double"),
+    "capture_year": ("$[1][0][6][7][0]", "int"), "capture_month": ("$[1][0][6][7][1]", "int"), "source": ("$[1][0][6][5][2]", "string"),
+}
+PHOTO_SIZES = "$[1][0][2][3][0]"
+PHOTO_TILE = ("$[1][0][2][3][1][0]", "$[1][0][2][3][1][1]")
+
+
+def photo_meta(document: Column) -> list[Column]:
+    """The flat metadata of a photo document: id, place, angles in degrees, capture date, and the sizes of its
+    images as a `;` list of width x height. Pitch is what the tilt from straight down leaves over the horizon.
+
+    A document with missing levels has NULL for what they hold.
+    """
+    found = {n: json_at(document, p, k) for n, (p, k) in PHOTO_PATHS.items()}
+    found["pitch_deg"] = 90 - found.pop("tilt_deg")
+    sizes = json_at(document, PHOTO_SIZES, "array<array<array<int>>>")
+    text = F.array_join(F.transform(F.filter(sizes, lambda s: (F.size(s) > 0) & (F.size(s[0]) > 1)), lambda s: F.concat(s[0][1], F.lit("x"), s[0][0])), ";")
+    return [*[c.alias(n) for n, c in found.items()], F.when(text != "", text).alias("image_sizes")]
+
+
+def tile_grid(document: Column, zoom: Column) -> list[Column]:
+    """Image and tile size at a zoom level, and the columns and rows of tiles that cover it."""
+    sizes = json_at(document, PHOTO_SIZES, "array<array<array<int>>>")
+    height, width = F.get(F.get(F.get(sizes, zoom), F.lit(0)), F.lit(0)), F.get(F.get(F.get(sizes, zoom), F.lit(0)), F.lit(1))
+    tile_width, tile_height = (json_at(document, p, "int") for p in PHOTO_TILE)
+    grid = {"width": width, "height": height, "tile_width": tile_width, "tile_height": tile_height, "columns": F.ceil(F.try_divide(width, tile_width)).cast("int"), "rows": F.ceil(F.try_divide(height, tile_height)).cast("int")}
+    return [c.alias(n) for n, c in grid.items()]
+
+
+def image_tiles(spark: SparkSession, path: str, place: str = r"([^/]+)/(\d+)_(\d+)\.jpe?g$") -> DataFrame:
+    """Image files as decoded tiles: pano_id, tx, ty, tile_width, tile_height, channels, pixels (rows of blue, green, red).
+
+    Spark's image source decodes in the JVM. `place` finds panorama, tx and ty in a file's path; a file that is no image
+    is an error here, since a hole in a panorama would pass for a black one.
+    """
+    raw = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    size = F.when(F.col("width") > 0, F.col("width")).otherwise(F.raise_error(F.concat(F.lit("no image: "), "origin")).cast("int"))
+    parts = {n: F.regexp_extract("origin", place, k).cast(t) for k, (n, t) in enumerate((("pano_id", "string"), ("tx", "int"), ("ty", "int")), 1)}
+    return raw.select(*[c.alias(n) for n, c in parts.items()], size.alias("tile_width"), F.col("height").alias("tile_height"), F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
 
 
 def pano_meta(document: Column) -> list[Column]:
