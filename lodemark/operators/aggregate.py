@@ -41,26 +41,37 @@ def first_by(value: str, order: Column) -> Column:
     return F.min_by(value, F.when(F.col(value).isNotNull(), order))
 
 
-def within_slope(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
-    """Slope of y on x, both less their group mean, with its standard error; one row.
+def within_slopes(df: DataFrame, group: str, pairs: dict[str, tuple[Column, Column]], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Slopes of y on x, both less their group mean, with standard errors, for all pairs (x, y) at once: n, groups, and for
+    each pair <name>_slope and <name>_se; sums over all rows come along. One row.
 
     Group sums come first, so that only a row per group is gathered. Without real variation of x within
-    groups both are NULL.
+    groups slope and error are NULL.
     """
-    g = df.select(group, x.alias("x"), y.alias("y")).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy")
-    )
-    s = g.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"),
-        F.sum(F.col("xx") - F.col("sx") * F.col("sx") / F.col("n")).alias("sxx"),
-        F.sum(F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")).alias("sxy"),
-        F.sum(F.col("yy") - F.col("sy") * F.col("sy") / F.col("n")).alias("syy"),
-    )
-    flat = F.col("sxx") < F.col("n") * 1e-8
-    slope = F.when(~flat, F.try_divide(F.col("sxy"), F.col("sxx")))
-    left = F.col("syy") - slope * F.col("sxy")
-    dof = F.greatest(F.col("n") - F.col("groups") - 1, F.lit(1))
-    return s.select("n", "groups", F.round(slope, 4).alias("slope"), F.round(F.when(~flat, F.sqrt(F.try_divide(F.greatest(left, F.lit(0.0)) / dof, F.col("sxx")))), 4).alias("se"))
+    wide = df.select(group, *[c.cast("double").alias(f"{a}_{k}") for k, xy in pairs.items() for a, c in zip("xy", xy, strict=True)], *[c.cast("double").alias(f"s_{k}") for k, c in (sums or {}).items()])
+    moments = []
+    for k in pairs:
+        x, y = F.col(f"x_{k}"), F.col(f"y_{k}")
+        moments += [F.sum(v).alias(f"{m}_{k}") for m, v in (("x", x), ("y", y), ("xx", x * x), ("xy", x * y), ("yy", y * y))]
+    g = wide.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *moments, *[F.sum(f"s_{k}").alias(f"s_{k}") for k in sums or {}])
+    totals = []
+    for k in pairs:
+        for m, (a, b) in {"xx": "xx", "xy": "xy", "yy": "yy"}.items():
+            totals.append(F.sum(F.col(f"{m}_{k}") - F.col(f"{a}_{k}") * F.col(f"{b}_{k}") / F.col("n")).alias(f"{m}_{k}"))
+    s = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), *totals, *[F.sum(f"s_{k}").alias(k) for k in sums or {}])
+    out = []
+    for k in pairs:
+        xx, xy, yy = (F.col(f"{m}_{k}") for m in ("xx", "xy", "yy"))
+        real = xx >= F.col("n") * 1e-8
+        slope = F.when(real, F.try_divide(xy, xx))
+        dof = F.greatest(F.col("n") - F.col("groups") - 1, F.lit(1))
+        out += [slope.alias(f"{k}_slope"), F.when(real, F.sqrt(F.try_divide(F.greatest(yy - slope * xy, F.lit(0.0)) / dof, xx))).alias(f"{k}_se")]
+    return s.select("n", "groups", *out, *(sums or {}))
+
+
+def within_slope(df: DataFrame, group: str, x: Column, y: Column) -> DataFrame:
+    """Slope of y on x, both less their group mean, with its standard error; one row."""
+    return within_slopes(df, group, {"one": (x, y)}).select("n", "groups", F.round("one_slope", 4).alias("slope"), F.round("one_se", 4).alias("se"))
 
 
 def mad(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -249,9 +249,9 @@ def fit_cotangent(df: DataFrame, loss: str = "l1", label_type: str | None = None
             top, low = sum(r["p"] for r in sums), sum(r["q"] for r in sums)
             pooled, slopes = top / low if low else None, {r["_t"]: r["p"] / r["q"] for r in sums if r["q"]}
         else:
-            found = lad_slope(rows.select(F.lit(0).alias("_all"), "_x", "_y"), ["_all"], F.col("_x"), F.col("_y")).first()
+            found = lad_slope(rows.select(F.lit(0).alias("_all"), "_x", "_y"), ["_all"], F.col("_x"), F.col("_y"), persisted=True).first()
             pooled = found["slope"] if found else None
-            slopes = {r["_t"]: r["slope"] for r in lad_slope(rows, ["_t"], F.col("_x"), F.col("_y")).collect()} if label_type else {}
+            slopes = {r["_t"]: r["slope"] for r in lad_slope(rows, ["_t"], F.col("_x"), F.col("_y"), persisted=True).collect()} if label_type else {}
         if not pooled:
             raise ValueError("no click below the horizon to fit on")
         return Geometric("cotangent", 1 / pooled, {t: 1 / s for t, s in slopes.items() if s} if label_type else {})

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Groups of so many values are gathered whole; of a larger one about 4/ACCURACY of its values.
 WHOLE = 100_000
 ACCURACY = 50_000
+#: Where no group has more rows than this, they are gathered, or run through by a window, in a single pass.
+DIRECT = 200_000
 #: Cells that the range of a weighted median is cut into in each pass.
 CELLS = 4096
 #: Tables of so many groups are broadcast.
@@ -44,6 +46,18 @@ def beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return few.unionByName(many).drop(*drop)
 
 
+def _largest(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _between(values: Column, q: float) -> Column:
+    """The quantile of an ordered array, linear between ranks; NULL of an empty one."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(F.size(values) > 0, F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high))
+
+
 def _rank(k: int, at: Column) -> Column:
     """The value of rank `at` (from 0) among value k's rows: below the low edge, on it, between the edges, or on the high one."""
     low, inside = F.col(f"_low{k}"), F.col(f"_in{k}")
@@ -64,6 +78,11 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     number = {name: k for k, (name, _) in enumerate(values)}
     spots = [(name, number[str(c)], q) for name, (c, q) in wanted.items()]
     wide = df.select("*", *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, (_, c) in enumerate(values)], *([] if by else [F.lit(0).alias("_all")]))
+    rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    if _largest(df, by) <= DIRECT:
+        plain = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs, *[F.sort_array(F.collect_list(f"_v{k}")).alias(f"_s{k}") for k in range(len(values))])
+        named = [c for c in plain.columns if not c.startswith("_") and c not in ("n", *keys)]
+        return plain.select(*by, "n", *named, *[rounded(_between(F.col(f"_s{k}"), q)).alias(name) for name, k, q in spots])
     # Pass 1: how many values, and for every quantile a range of ranks that must hold it.
     margin, found = 2 / ACCURACY, [F.count(F.lit(1)).alias("n")]
     for k in range(len(values)):
@@ -93,7 +112,7 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
         at = (F.col(f"_c{s}") - 1) * q
         a, b = _rank(s, F.floor(at)), _rank(s, F.ceil(at))
         value = F.when(F.col(f"_c{s}") > 0, F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b))
-        out.append((F.round(value, digits) if digits is not None else value).alias(name))
+        out.append(rounded(value).alias(name))
     return joined.select(*by, "n", *extra, *out)
 
 
@@ -131,8 +150,8 @@ def _many(df: DataFrame, value: Column, shares: list[float]) -> list[float | Non
 def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column, name: str = "median", persisted: bool = False) -> DataFrame:
     """The lower weighted median per group.
 
-    A pass cuts each group's range into CELLS of equal width, adds up their weights and goes on with the cell
-    that holds the median, until WHOLE values or fewer are left in it; equal values of those are added up and
+    A pass cuts each group's range into CELLS, narrow near the middle and wide in the tails, adds up their weights and
+    goes on with the cell that holds the median, until WHOLE values or fewer are left in it; equal values of those are added up and
     summed in order. Tells no group's values apart but those of its last cell. Values and weights that are missing
     or NaN do not count; infinite values have cells of their own at both ends.
     """
@@ -140,26 +159,39 @@ def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column,
 
     by = list(by)
     rows = df.select(*by, value.cast("double").alias("_v"), weight.cast("double").alias("_w")).where(F.col("_v").isNotNull() & F.col("_w").isNotNull() & ~F.isnan("_v") & ~F.isnan("_w"))
+    if _largest(df, by) <= DIRECT:
+        w = Window.partitionBy(*by)
+        sums = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_vw"))
+        run = sums.select(*by, "_v", F.sum("_vw").over(w).alias("_total"), F.sum("_vw").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+        return run.where(F.col("_upto") >= 0.5 * F.col("_total")).groupBy(*by).agg(F.min("_v").alias(name))
     if not persisted:
         rows = rows.persist()
     try:
-        state = checkpointed(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).withColumns({"_below": F.lit(0.0), "_m": F.col("n")}))
-        narrow = ["n", "_low", "_high", "_m"]
+        first = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", [0.25, 0.5, 0.75], 1000).alias("_p"))
+        spread = F.get("_p", 2) - F.get("_p", 0)
+        scale = F.when((spread > 0) & (spread < _LARGEST), spread).otherwise(F.lit(1.0))
+        state = checkpointed(first.withColumns({"_below": F.lit(0.0), "_m": F.col("n"), "_at": F.get("_p", 1), "_scale": scale}).drop("_p"))
+        narrow = ["n", "_low", "_high", "_m", "_at", "_scale"]
         while True:
             large = (F.col("_m") > WHOLE) & (F.col("_low") < F.col("_high"))
             if not state.where(large).limit(1).count():
                 break
             inside = beside(rows, state.where(large).select(*by, *narrow), by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-            # Halves before the difference, so that no finite range overflows.
-            low, high = F.greatest(F.col("_low"), F.lit(-_LARGEST)), F.least(F.col("_high"), F.lit(_LARGEST))
-            inner = F.greatest(F.least(F.floor((F.col("_v") / 2 - low / 2) / (high / 2 - low / 2) * CELLS), F.lit(CELLS - 1)), F.lit(0))
-            cell = F.when(F.col("_v") > _LARGEST, CELLS).when(F.col("_v") < -_LARGEST, -1).when(low < high, inner).otherwise(F.lit(0))
+            def scaled(v: Column) -> Column:
+                z = F.least(F.greatest((v - F.col("_at")) / F.col("_scale"), F.lit(-_LARGEST)), F.lit(_LARGEST))
+                return F.signum(z) * F.log1p(F.abs(z))
+
+            low, high = scaled(F.greatest(F.col("_low"), F.lit(-_LARGEST))), scaled(F.least(F.col("_high"), F.lit(_LARGEST)))
+            # Where the scale cannot tell the ends apart, their own middle does.
+            inner = F.greatest(F.least(F.floor((scaled(F.col("_v")) - low) / (high - low) * CELLS), F.lit(CELLS - 1)), F.lit(0))
+            halves = F.when(F.col("_v") / 2 > F.greatest(F.col("_low"), F.lit(-_LARGEST)) / 4 + F.least(F.col("_high"), F.lit(_LARGEST)) / 4, 1).otherwise(0)
+            cell = F.when(F.col("_v") > _LARGEST, CELLS).when(F.col("_v") < -_LARGEST, -1).when(low < high, inner).otherwise(halves)
             cells = inside.groupBy(*by, cell.alias("_cell")).agg(F.sum("_w").alias("_cw"), F.count(F.lit(1)).alias("_cm"), F.min("_v").alias("_cl"), F.max("_v").alias("_ch"))
             # CELLS rows a group at most.
             upto = F.sum("_cw").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
             run = beside(cells.select("*", upto.alias("_upto")), state, by).where(F.col("_below") + F.col("_upto") >= 0.5 * F.col("_total"))
-            hit = run.groupBy(*by, "n", "_total").agg(F.min_by(F.struct("_cl", "_ch", "_cm", (F.col("_below") + F.col("_upto") - F.col("_cw")).alias("_b")), "_cell").alias("_h"))
-            fresh = hit.select(*by, "n", "_total", F.col("_h._cl").alias("_low"), F.col("_h._ch").alias("_high"), F.col("_h._b").alias("_below"), F.col("_h._cm").alias("_m"))
+            hit = run.groupBy(*by, "n", "_total", "_at", "_scale").agg(F.min_by(F.struct("_cl", "_ch", "_cm", (F.col("_below") + F.col("_upto") - F.col("_cw")).alias("_b")), "_cell").alias("_h"))
+            fresh = hit.select(*by, "n", "_total", "_at", "_scale", F.col("_h._cl").alias("_low"), F.col("_h._ch").alias("_high"), F.col("_h._b").alias("_below"), F.col("_h._cm").alias("_m"))
             state = checkpointed(state.where(~large).unionByName(fresh))
         left = beside(rows, state.select(*by, "n", "_low", "_high"), by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
         distinct = left.groupBy(*by, "_v").agg(F.sum("_w").alias("_vw"))
@@ -171,6 +203,6 @@ def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column,
             rows.unpersist()
 
 
-def lad_slope(df: DataFrame, by: list[str], x: Column, y: Column, name: str = "slope") -> DataFrame:
+def lad_slope(df: DataFrame, by: list[str], x: Column, y: Column, name: str = "slope", persisted: bool = False) -> DataFrame:
     """Least absolute deviation slope through the origin: the |x|-weighted median of y/x; x = 0 is inert."""
-    return weighted_median(df.where(x != 0), by, y / x, F.abs(x), name)
+    return weighted_median(df.where(x != 0), by, y / x, F.abs(x), name, persisted)

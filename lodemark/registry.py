@@ -33,6 +33,7 @@ def _load() -> None:
         projection_queries,
         report_queries,
         sampling_queries,
+        site_queries,
         window_queries,
     )
 

@@ -16,9 +16,11 @@ def frame(spark, n=6000, seed=1):
     return rows, spark.createDataFrame([*rows, ("empty", None, 1.0)], "g string, v double, w double").repartition(7)
 
 
-@pytest.mark.parametrize(("whole", "accuracy", "few"), [(100_000, 50_000, 10_000), (50, 400, 10_000), (50, 400, 1)])
+@pytest.mark.parametrize(("whole", "accuracy", "few"), [(200_000, 50_000, 10_000), (100_000, 50_000, 10_000), (50, 400, 10_000), (50, 400, 1)])
 def test_quantiles_are_exact(spark, monkeypatch, whole, accuracy, few):
     monkeypatch.setattr(qs, "WHOLE", whole)
+    if whole <= 100_000:
+        monkeypatch.setattr(qs, "DIRECT", 0)
     monkeypatch.setattr(qs, "ACCURACY", accuracy)
     monkeypatch.setattr(qs, "FEW", few)
     rows, df = frame(spark)
@@ -35,9 +37,11 @@ def test_quantiles_are_exact(spark, monkeypatch, whole, accuracy, few):
     assert np.allclose(qs.quantile(df, F.col("v"), many), np.quantile(want.v.dropna(), many))
 
 
-@pytest.mark.parametrize(("whole", "cells"), [(100_000, 4096), (20, 8)])
+@pytest.mark.parametrize(("whole", "cells"), [(200_000, 4096), (100_000, 4096), (20, 8)])
 def test_weighted_medians_are_exact(spark, monkeypatch, whole, cells):
     monkeypatch.setattr(qs, "WHOLE", whole)
+    if whole <= 100_000:
+        monkeypatch.setattr(qs, "DIRECT", 0)
     monkeypatch.setattr(qs, "CELLS", cells)
     rows, df = frame(spark, seed=2)
     got = {r["g"]: r["median"] for r in qs.weighted_median(df, ["g"], F.col("v"), F.col("w")).collect()}
@@ -47,10 +51,12 @@ def test_weighted_medians_are_exact(spark, monkeypatch, whole, cells):
     assert len(got) == 4
 
 
-@pytest.mark.parametrize("whole", [100_000, 50])
+@pytest.mark.parametrize("whole", [200_000, 100_000, 50])
 def test_infinite_and_missing_values(spark, monkeypatch, whole):
     """Infinite values have their ranks, NaN has none, and the search ends."""
     monkeypatch.setattr(qs, "WHOLE", whole)
+    if whole <= 100_000:
+        monkeypatch.setattr(qs, "DIRECT", 0)
     monkeypatch.setattr(qs, "ACCURACY", 400 if whole == 50 else 50_000)
     inf, nan = float("inf"), float("nan")
     rng = np.random.default_rng(4)
