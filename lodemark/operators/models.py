@@ -107,13 +107,14 @@ def quantile_regression(df: DataFrame, x: dict[str, Column], y: Column, q: float
     named = dict(zip(x, cols, strict=True))
     try:
         fits = {g: f["y"] for g, f in least_squares(kept, named, {"y": F.col("y")}, by=F.col("g")).items()}
+        kind = dict(kept.dtypes)["g"]
         for _ in range(rounds):
-            guess = F.lit(None).cast("double")
-            for g, f in fits.items():
-                guess = F.when(F.col("g") == g, f.predict(named)).otherwise(guess)
-            r = F.col("y") - guess
+            # Coefficients come in as rows, a few groups' own, so that every round runs the same compiled plan.
+            at = kept.sparkSession.createDataFrame([(g, list(f.coef)) for g, f in fits.items()], f"g {kind}, b array<double>")
+            joined = kept.join(F.broadcast(at), "g")
+            r = F.col("y") - sum((F.col(f"x{k}") * F.get("b", k + 1) for k in range(len(x))), F.get("b", 0))
             w = F.when(r >= 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(1e-6))
-            fresh = {g: _solve(n, m, len(terms), 0, terms) for g, (n, m) in _moments(kept, cols, [F.col("y")], w, F.col("g")).items()}
+            fresh = {g: _solve(n, m, len(terms), 0, terms) for g, (n, m) in _moments(joined, cols, [F.col("y")], w, F.col("g")).items()}
             step = max((abs(a - b) for g, f in fresh.items() for a, b in zip(fits[g].coef, f.coef, strict=True)), default=0.0)
             fits = fresh
             if step < tolerance:

@@ -217,6 +217,19 @@ def m18(spark, d):
     return _rows(spark, [(chosen, round(error, 6))], "rung string, median_m double")
 
 
+@query("m18_fitted_rungs")
+def m18_fitted(spark, d):
+    """The fitted D rungs under least squares, pooled and by type, their training medians, and the one chosen."""
+    train = with_angles(clicks(spark, d)).where(TRAIN)
+    fits = {}
+    for name, fit in (("floor", models.fit_floor), ("blend", models.fit_blend), ("soft", models.fit_softcap)):
+        fits |= {f"D_{name}": fit(train, "ols"), f"D_{name}_type": fit(train, "ols", "label_type")}
+    chosen = models.candidate(train, fits)
+    errors = train.select(*[F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")).alias(k) for k, m in fits.items()])
+    found = quantiles(errors, [], {k: (F.col(k), 0.5) for k in fits}, digits=None).first()
+    return _rows(spark, [(k, m.form, m.angle_deg, round(found[k], 6), k == chosen) for k, m in fits.items()], "rung string, form string, angle_deg double, train_median_m double, chosen boolean")
+
+
 @query("m12_l1_floor")
 def m12_l1(spark, d):
     m = models.fit_floor(with_angles(clicks(spark, d)).where(TRAIN), "l1")
@@ -262,6 +275,13 @@ def m16_all(spark, d):
     return _rows(spark, _rounded_rows(models.height_terms(c.where(TRAIN), c.where(f"NOT ({TRAIN})"))), _HEIGHT_ROWS)
 
 
+@query("m16_l1_errors")
+def m16_l1(spark, d):
+    """Test errors of all four forms under the absolute loss."""
+    c = clicks(spark, d)
+    return _rows(spark, _rounded_rows(models.height_terms(c.where(TRAIN), c.where(f"NOT ({TRAIN})"), losses=("l1",))), _HEIGHT_ROWS)
+
+
 @query("m17_apply_path", f"WITH {SQL} SELECT pano_height, count(*) AS n, round(median(abs(greatest(0e0, 18e0 + 0.012e0 * sv_image_y) - truth_m)), 6) AS raw_m, round(median(abs(greatest(0e0, 18e0 + 0.012e0 * (sv_image_y * 6656e0 / pano_height)) - truth_m)), 6) AS normal_m FROM clicks GROUP BY pano_height")
 def m17(spark, d):
     def err(y):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions import distances, pov
 from lodemark.functions.numeric import closed_bin
-from lodemark.operators import reports
+from lodemark.operators import estimators, models, reports
 from lodemark.operators.aggregate import error_metrics, rounded
 from lodemark.operators.quantiles import quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
@@ -250,3 +250,79 @@ def v12_levels(spark, d):
     c = clicks(spark, d)
     aggs = [F.count_if("deleted").alias("deleted"), rounded(F.avg("noise"), "mean_noise")]
     return reports.nested_summary(c, LEVELS, {"middle_m": (F.col("truth_m"), 0.5), "p90_m": (F.col("truth_m"), 0.9)}, aggs, ["truth_m", "noise", "deleted"])
+
+
+# ------------------------------------------------------------------ V01, V02
+
+TRAIN = "label_id % 5 <> 0"
+_HD = "CASE WHEN pov_heading - heading > 180 THEN pov_heading - heading - 360 WHEN pov_heading - heading <= -180 THEN pov_heading - heading + 360 ELSE pov_heading - heading END"
+_EST_KEYS = ["est1", "est2", "est3", "est4", "est5", "est7"]
+
+
+def _frame_sql() -> str:
+    """Fits by normal equations about the means (those of each zoom level for 5 and 7), then the errors of all estimators."""
+
+    def plane(name: str, y: str, by: str) -> str:
+        det = "(sum(a * a) * sum(b * b) - sum(a * b) * sum(a * b))"
+        return f"""{name}_m AS (SELECT zoom, sv_image_y - avg(sv_image_y) OVER w AS a, canvas_y - avg(canvas_y) OVER w AS b, {y} - avg({y}) OVER w AS y FROM t WINDOW w AS (PARTITION BY {'zoom' if by else '1'})),
+{name} AS (SELECT {'zoom, ' if by == 'own' else ''}(sum(a * y) * sum(b * b) - sum(b * y) * sum(a * b)) / {det} AS s, (sum(b * y) * sum(a * a) - sum(a * y) * sum(a * b)) / {det} AS c FROM {name}_m {'GROUP BY zoom' if by == 'own' else ''})"""
+
+    def line(name: str, by: str) -> str:
+        return f"""{name}_m AS (SELECT zoom, canvas_x - avg(canvas_x) OVER w AS a, hd - avg(hd) OVER w AS y FROM t WINDOW w AS (PARTITION BY zoom)),
+{name} AS (SELECT {'zoom, ' if by == 'own' else ''}sum(a * y) / sum(a * a) AS x FROM {name}_m {'GROUP BY zoom' if by == 'own' else ''})"""
+
+    flat = "lat, lng, pano_lat + {d} * cos(radians(heading)) / 111111e0 AS f2, pano_lng + {d} * sin(radians(heading)) / (111111e0 * cos(radians(pano_lat))) AS l2"
+    parts = []
+    for k in _EST_KEYS:
+        d, h = f"d_{k}", f"(heading + h_{k})"
+        if k in ("est1", "est2", "est3"):
+            place = flat.format(d=d)
+        else:
+            phi = f"asin(sin(radians(pano_lat)) * cos({d} / 6378137e0) + cos(radians(pano_lat)) * sin({d} / 6378137e0) * cos(radians({h})))"
+            place = f"lat, lng, degrees({phi}) AS f2, pano_lng + degrees(atan2(sin(radians({h})) * sin({d} / 6378137e0) * cos(radians(pano_lat)), cos({d} / 6378137e0) - sin(radians(pano_lat)) * sin({phi}))) AS l2"
+        parts.append(f"SELECT '{k}' AS model, abs(truth_m - {d}) AS de, {place} FROM f")
+    chord = "(power(sin(radians(f2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(f2)) * power(sin(radians(l2 - lng) / 2), 2))"
+    return f"""{WP}, v AS (SELECT *, {_HD} AS hd FROM pov), t AS (SELECT * FROM v WHERE {TRAIN}), {plane('d4', 'truth_m', '')}, {plane('h4', 'hd', '')}, {plane('d5', 'truth_m', 'zoom')}, {line('h5', 'zoom')}, {plane('d7', 'truth_m', 'own')}, {line('h7', 'own')},
+tm AS (SELECT avg(truth_m) AS y, avg(hd) AS h, avg(sv_image_y) AS s, avg(canvas_y) AS c, median(truth_m) AS med FROM t), zm AS (SELECT zoom, avg(truth_m) AS y, avg(hd) AS h, avg(sv_image_y) AS s, avg(canvas_y) AS c, avg(canvas_x) AS x FROM t GROUP BY zoom),
+ty AS (SELECT label_type, median(truth_m) AS med FROM t GROUP BY label_type),
+f AS (SELECT v.*, 10e0 AS d_est1, tm.med AS d_est2, ty.med AS d_est3, greatest(0e0, tm.y + d4.s * (sv_image_y - tm.s) + d4.c * (canvas_y - tm.c)) AS d_est4, tm.h + h4.s * (sv_image_y - tm.s) + h4.c * (canvas_y - tm.c) AS h_est4,
+greatest(0e0, zm.y + d5.s * (sv_image_y - zm.s) + d5.c * (canvas_y - zm.c)) AS d_est5, zm.h + h5.x * (canvas_x - zm.x) AS h_est5, greatest(0e0, zm.y + d7.s * (sv_image_y - zm.s) + d7.c * (canvas_y - zm.c)) AS d_est7, zm.h + h7.x * (canvas_x - zm.x) AS h_est7
+FROM v JOIN ty USING (label_type) JOIN zm USING (zoom) JOIN d7 USING (zoom) JOIN h7 USING (zoom), tm, d4, h4, d5, h5 WHERE NOT ({TRAIN})),
+e AS ({' UNION ALL '.join(parts)}), g AS (SELECT model, de, 2 * 6378137e0 * atan2(sqrt({chord}), sqrt(1 - {chord})) AS pe FROM e)
+SELECT model, count(pe) AS n, {', '.join(f'round({fn.format(c)}, 5) AS {s}_{m}' for s, c in (('place', 'pe'), ('dist', 'de')) for m, fn in (('median', 'median({})'), ('p90', 'quantile_cont({}, 0.9)'), ('mean', 'avg({})'), ('sd', 'stddev_samp({})')))} FROM g GROUP BY model"""
+
+
+def _estimator_view(spark, d):
+    from lodemark.functions.geo import wrap_keep_plus
+
+    view = with_angles(clicks(spark, d))
+    return view.withColumn("heading_diff", wrap_keep_plus(F.col("pov_heading") - F.col("heading")))
+
+
+@query("v01_error_frame", _frame_sql())
+def v01_frame(spark, d):
+    """Estimators 1 to 5 and 7 on the test rows, the later ones set out on the sphere as SQL can."""
+    view = _estimator_view(spark, d)
+    found = estimators.fit_estimators(view.where(TRAIN), mixed=False, geodesy=estimators.SPHERE)
+    frame = estimators.error_frame(view.where(f"NOT ({TRAIN})"), found, ["label_id", "city"])
+    return estimators.frame_metrics(frame, list(found), 5)
+
+
+@query("v01_error_frame_ellipsoid")
+def v01_ellipsoid(spark, d):
+    """All seven estimators, 4 to 7 set out on the ellipsoid."""
+    view = _estimator_view(spark, d)
+    found = estimators.fit_estimators(view.where(TRAIN))
+    return estimators.frame_metrics(estimators.error_frame(view.where(f"NOT ({TRAIN})"), found, ["label_id", "city"]), list(found))
+
+
+@query("v02_ladder_frame")
+def v02_frame(spark, d):
+    """Every rung of the ladder with one heading for all, and estimator 7 in both conventions: the keys that the ladder is read by."""
+    view = _estimator_view(spark, d).withColumn("height_m", F.when(F.col("pano_height") == 8192, 2.31))
+    train, test = view.where(TRAIN), view.where(f"NOT ({TRAIN})")
+    columns = {k: F.col(k) for k in ("dep", "zoom", "sv_image_y", "canvas_y", "height_m", "label_type")}
+    found = estimators.rung_predictors(models.ladder(train), columns, F.col("heading_diff"))
+    seven = estimators.fit_estimators(train, mixed=False)["est7"]
+    found |= {"est7": seven, "est7_sph": estimators.Predictor(seven.distance, F.col("heading_diff"))}
+    return estimators.frame_metrics(estimators.error_frame(test, found, ["label_id", "city"]), list(found))

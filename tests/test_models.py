@@ -306,3 +306,16 @@ def test_height_terms(spark):
         coef, se = rows[("b_interact", z, "sv_interact")]
         assert abs(rows[("a_sub", z, "sv_image_y")][0] - 0.01) < 1e-3 and abs(coef) < 4 * se
         assert rows[("a_sub", z, "error_ols")][0] < 0.12 and rows[("b_norm", z, "error_ols")][0] > rows[("a_sub", z, "error_ols")][0]
+
+
+def test_height_terms_under_the_absolute_loss_ignore_outliers(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(240):
+        y, canvas, zoom, height, city = -int(rng.integers(0, 2000)), int(rng.integers(1, 480)), 1 + k % 2, (6656, 8192)[k % 2 if k % 3 else 0], "ab"[k % 2]
+        rows.append((y, canvas, zoom, height, city, 18 + 0.006 * y + 0.01 * canvas + (300.0 if k % 9 == 0 else 0.0)))
+    df = spark.createDataFrame(rows, "sv_image_y long, canvas_y long, zoom long, pano_height long, city string, truth_m double")
+    test = df.where("truth_m < 100")
+    got = {(r[0], r[1], r[2]): r[3] for r in models.height_terms(df, test, losses=("l1", "ols")) if r[2].startswith("error")}
+    for zoom in (1, 2):
+        assert got["a_sub", zoom, "error_l1"] < 0.01 < 1 < got["a_sub", zoom, "error_ols"]

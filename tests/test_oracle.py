@@ -5,8 +5,8 @@ import pytest
 import compare
 from lodemark.registry import all_queries, all_sql
 
-#: Minutes each; their operators are tested on small data in test_models.py.
-SLOW = {"m12_m14_m27_ladder"}
+#: Minutes each; their operators are tested on small data in test_models.py, test_estimators.py and test_boosting.py.
+SLOW = {"m12_m14_m27_ladder", "v02_ladder_frame", "m21_boosted_trees", "m16_l1_errors"}
 
 
 @pytest.fixture(scope="module")
