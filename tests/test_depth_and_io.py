@@ -135,6 +135,10 @@ def test_cameras_that_see_the_same_ground_and_walls_agree(spark):
     left = {r["pair"]: r for r in depth.cross_vintage(pairs.where("pair < 3"), flat, stride=16).collect()}
     assert left[2]["n"] > 100 and left[2]["median_m"] < 0.02 and left[1]["median_m"] < 0.5
     assert depth.cross_vintage(pairs.where("pair = 3"), payloads).first()["n"] == 0
+    same = depth.cross_vintage(pairs.where("pair = 2"), payloads, stride=4).first()
+    raster = depth.decode(depth.encode(cells, planes))
+    level = np.isin(raster.cells, np.flatnonzero(np.append(False, raster.tilt[1:] <= depth.LEVEL_DEG))) & (raster.distance < 20)
+    assert same["n"] == level[128::4, ::4].sum() > 0 and same["p90_m"] < 1e-6  # a camera finds its own cells
 
 
 def test_registration_tells_the_frames_apart(spark):
