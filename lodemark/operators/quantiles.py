@@ -205,4 +205,4 @@ def weighted_median(df: DataFrame, by: list[str], value: Column, weight: Column,
 
 def lad_slope(df: DataFrame, by: list[str], x: Column, y: Column, name: str = "slope", persisted: bool = False) -> DataFrame:
     """Least absolute deviation slope through the origin: the |x|-weighted median of y/x; x = 0 is inert."""
-    return weighted_median(df.where(x != 0), by, y / x, F.abs(x), name, persisted)
+    return weighted_median(df.where(x != 0), by, F.try_divide(y, x), F.abs(x), name, persisted)
