@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -43,26 +44,56 @@ def unresolved(members: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     return members.join(owners.select(key), key, "left_anti")
 
 
-def nearest_parallel(a: DataFrame, b: DataFrame, least_cosine: float, bands: int = 64) -> DataFrame:
+def nearest_parallel(a: DataFrame, b: DataFrame, least_cosine: float, bands: int = 64, per_cell: int = 4) -> DataFrame:
     """For each plane (id, nx, ny, d) of a, the least |da - db| over planes of b with
-    |cos of the normals| >= least_cosine.
-
-    Candidate planes share a band of their direction (mod half a turn) or a neighbouring one, so that
-    planes meet on a key and not in a product; the exact test decides. Bands are as wide as the tolerance
-    needs.
+    |cos of the normals| >= least_cosine (above 0). Planes with a null or no direction match nothing.
+
+    Planes are turned into the upper half of directions and meet on a band of direction and a cell of d, or on
+    neighbours of both. A gap within the width of a cell is final, as all nearer planes were met; the planes of a
+    that have none yet look again in cells eight times as wide. The first cells hold about per_cell planes each
+    between the quartiles of d, so that what is met grows with the planes and not with their product. Planes that
+    are alike are one. With bands that leave no plane of b at the right angle a plane of a ends with all of the
+    band's.
     """
+    from lodemark.session import checkpointed
+
     width = max(np.arccos(least_cosine), np.pi / bands)
     n = max(int(np.pi // width), 1)
 
-    def banded(df: DataFrame) -> DataFrame:
-        turn = F.pmod(F.atan2("ny", "nx"), F.lit(np.pi))
-        return df.select("*", F.least(F.floor(turn / (np.pi / n)).cast("int"), F.lit(n - 1)).alias("_band"))
-
-    spread = banded(b).select(F.col("nx").alias("bx"), F.col("ny").alias("by"), F.col("d").alias("bd"), F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_band") + k, F.lit(n)) for k in (-1, 0, 1)]))).alias("_band"))
-    cosine = F.abs(F.col("nx") * F.col("bx") + F.col("ny") * F.col("by")) / F.sqrt((F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")) * (F.col("bx") * F.col("bx") + F.col("by") * F.col("by")))
-    sign = F.when(F.col("nx") * F.col("bx") + F.col("ny") * F.col("by") >= 0, 1).otherwise(-1)
-    met = banded(a).join(spread, "_band").where(cosine >= least_cosine)
-    return met.groupBy("id").agg(F.min(F.abs(F.col("d") - sign * F.col("bd"))).alias("gap"))
+    def upright(df: DataFrame, *keep: str) -> DataFrame:
+        usable = df.where((F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") > 0) & F.col("d").isNotNull() & ~F.isnan("d"))
+        up = F.when((F.col("ny") < 0) | ((F.col("ny") == 0) & (F.col("nx") < 0)), -1.0).otherwise(1.0)
+        turned = usable.select(*keep, (F.col("nx") * up).alias("nx"), (F.col("ny") * up).alias("ny"), (F.col("d") * up).alias("d"))
+        return turned.select("*", F.least(F.floor(F.atan2("ny", "nx") / (np.pi / n)).cast("int"), F.lit(n - 1)).alias("_band"))
+
+    # A neighbour beyond either end of the half turn is met with its other face.
+    beyond = [F.struct(F.pmod(F.col("_band") + k, F.lit(n)).alias("_band"), F.when((F.col("_band") + k).between(0, n - 1), 1.0).otherwise(-1.0).alias("face")) for k in (-1, 0, 1)]
+    faced = upright(b).distinct().select("nx", "ny", "d", F.explode(F.array_distinct(F.array(*beyond))).alias("_at"))
+    planes = checkpointed(faced.select("_at._band", (F.col("nx") * F.col("_at.face")).alias("bx"), (F.col("ny") * F.col("_at.face")).alias("by"), (F.col("d") * F.col("_at.face")).alias("bd")))
+    low, high, least, most, size = planes.agg(F.percentile_approx("bd", 0.25), F.percentile_approx("bd", 0.75), F.min("bd"), F.max("bd"), F.count(F.lit(1))).first()
+    left = checkpointed(upright(a, "id"))
+    if not size:
+        return left.select("id", F.col("d").alias("gap")).limit(0)
+    ends = left.agg(F.min("d"), F.max("d")).first()
+    span = max([most, *[v for v in ends if v is not None]]) - min([least, *[v for v in ends if v is not None]])
+    cell = max((high - low) / max(1.0, size / n / per_cell / 2), span * 1e-12)
+    cosine = (F.col("nx") * F.col("bx") + F.col("ny") * F.col("by")) / F.sqrt((F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")) * (F.col("bx") * F.col("bx") + F.col("by") * F.col("by")))
+    found = None
+    while True:
+        last = cell > span
+        here = F.floor(F.col("d") / cell) if not last else F.lit(0).cast("long")
+        there = F.floor(F.col("bd") / cell) if not last else F.lit(0).cast("long")
+        cells = F.explode(F.sequence(here - 1, here + 1)) if not last else here
+        met = left.select("*", cells.alias("_cell")).join(planes.select("*", there.alias("_cell")), ["_band", "_cell"]).where(cosine >= least_cosine)
+        near = met.groupBy("id").agg(F.min(F.abs(F.col("d") - F.col("bd"))).alias("gap"))
+        near = checkpointed(near if last else near.where(F.col("gap") <= cell))
+        found = near if found is None else found.unionByName(near)
+        if last:
+            return found
+        left = checkpointed(left.join(near, "id", "left_anti"))
+        if left.isEmpty():
+            return found
+        cell *= 8
 
 
 def other_keys(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -95,15 +126,12 @@ def _far(places: np.ndarray, one: np.ndarray, apart_m: float) -> np.ndarray:
     return 2 * RADIUS_EQUATOR * np.arcsin(np.sqrt(chord)) >= apart_m
 
 
-def greedy_spacing(df: DataFrame, by: str, key: str, lat: str, lng: str, apart_m: float = 100.0, most: int = 100, seed: int = 0) -> DataFrame:
-    """Per group, in a hash order, keep a candidate if it is apart_m or more from all kept; at most `most`.
+#: Rows of a group that one round of greedy_spacing looks at, for each row that may be kept.
+ROUND = 64
 
-    Sequential by nature. Rows of a group stream by in that order; only the kept ones, `most` at the most,
-    are held.
-    """
-    from .windows import md5_order
 
-    schema = df.schema
+def _spaced(by: str, lat: str, lng: str, apart_m: float, most: int, schema):
+    """A function of frames, sorted by group and order, that keeps the rows that are apart_m or more from all kept."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, kept = None, np.zeros((0, 2))
@@ -127,8 +155,50 @@ def greedy_spacing(df: DataFrame, by: str, key: str, lat: str, lng: str, apart_m
                     left = left[1:][_far(places[left[1:]], places[first], apart_m)]
             yield frame[take][schema.names]
 
-    ordered = df.select("*", md5_order(F.col(key), F.lit(seed)).alias("_o")).repartition(by).sortWithinPartitions(by, "_o", key)
-    return ordered.mapInPandas(run, schema)
+    return run
+
+
+def _cubes(lat: Column, lng: Column, apart_m: float) -> list[Column]:
+    """The cube of a place on the sphere, as large as the chord of apart_m: what is nearer is in it or a neighbour."""
+    side = 2 * np.sin(min(apart_m / RADIUS_EQUATOR, np.pi) / 2) * (1 + 1e-9) + 1e-15
+    lat, lng = F.radians(lat), F.radians(lng)
+    return [F.floor(x / side).alias(f"_{k}") for k, x in zip("xyz", (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat)), strict=True)]
+
+
+def greedy_spacing(df: DataFrame, by: str, key: str, lat: str, lng: str, apart_m: float = 100.0, most: int = 100, seed: int = 0) -> DataFrame:
+    """Per group, in a hash order, keep a candidate if it is apart_m or more from all kept; at most `most`.
+
+    The loop is sequential, but `most` rows are soon found: a round takes the first ROUND * most undecided rows
+    of each group (a limit that is applied before the shuffle) and runs it on those. Groups that are then neither
+    full nor at their end go on with their later rows, without those near a kept one: they are struck out by a
+    join on cubes as large as the spacing. So no task sees a whole group, and each round keeps a row of every
+    group that goes on. Groups and places that are null are left out.
+    """
+    from lodemark.session import checkpointed
+
+    from .windows import md5_order, top_per_group
+
+    rows = df.where(F.col(by).isNotNull() & F.col(lat).isNotNull() & F.col(lng).isNotNull()).select("*", md5_order(F.col(key), F.lit(seed)).alias("_o"))
+    order, schema = F.struct("_o", key), rows.schema
+    near = [F.struct(*[(F.col(f"_{k}") + d).alias(f"_{k}") for k, d in zip("xyz", move, strict=True)]) for move in product((-1, 0, 1), repeat=3)]
+    chord = F.pow(F.sin((F.radians(lat) - F.radians("_lat")) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians("_lat")) * F.pow(F.sin((F.radians(lng) - F.radians("_lng")) / 2), 2)
+    left, kept = rows, rows.limit(0)
+    while True:
+        head = checkpointed(top_per_group(left, [by], [F.col("_o"), F.col(key)], ROUND * most))
+        # Kept rows come before all that is left, and are kept again.
+        stream = kept.unionByName(head).repartition(by).sortWithinPartitions(by, "_o", key)
+        kept = checkpointed(stream.mapInPandas(_spaced(by, lat, lng, apart_m, most, schema), schema))
+        seen = head.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.max(order).alias("_upto")).where(F.col("_n") >= ROUND * most)
+        full = kept.groupBy(by).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= most)
+        going = checkpointed(seen.join(full, by, "left_anti").select(by, "_upto"))
+        if going.isEmpty():
+            return kept.select(*df.columns)
+        later = rows.join(going, by).where(order > F.col("_upto")).drop("_upto").select("*", *_cubes(F.col(lat), F.col(lng), apart_m))
+        marks = kept.join(going.select(by), by).select(by, F.col(lat).alias("_lat"), F.col(lng).alias("_lng"), *_cubes(F.col(lat), F.col(lng), apart_m))
+        marks = marks.select(by, "_lat", "_lng", F.explode(F.array(*near)).alias("_at")).select(by, "_lat", "_lng", "_at.*")
+        cubes = [by, "_x", "_y", "_z"]
+        met = later.alias("l").join(marks.alias("m"), [F.col(f"l.{c}") == F.col(f"m.{c}") for c in cubes] + [2 * RADIUS_EQUATOR * F.asin(F.sqrt(chord)) < apart_m], "left_anti")
+        left = met.select(*schema.names)
 
 
 def flagged_members(df: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:

@@ -230,13 +230,20 @@ def test_imported_panoramas_have_every_column(spark):
         readers.pano_rows(spark.createDataFrame([("{}",)], "value string"), "r1").collect()
 
 
-def test_greedy_spacing_keeps_what_a_plain_loop_keeps(spark):
+@pytest.mark.parametrize("rounds", [64, 2])
+def test_greedy_spacing_keeps_what_a_plain_loop_keeps(spark, monkeypatch, rounds):
+    """In one round, and in rounds so small that groups need many; a group alone at the pole, and null places."""
     from lodemark.operators import joins
 
+    monkeypatch.setattr(joins, "ROUND", rounds)
     rng = np.random.default_rng(1)
     rows = [(f"c{k % 3}", k, 40 + float(v), -75 + float(w)) for k, (v, w) in enumerate(rng.uniform(0, 0.01, (300, 2)))]
-    got = joins.greedy_spacing(spark.createDataFrame(rows, "city string, k long, lat double, lng double"), "city", "k", "lat", "lng", 150.0, 12, 5)
-    order = {r["k"]: r["o"] for r in spark.createDataFrame(rows, "city string, k long, lat double, lng double").selectExpr("k", "md5(concat_ws('|', cast(k AS string), '5')) AS o").collect()}
+    rows += [("pole", 1000 + k, 90 - float(v), float(w)) for k, (v, w) in enumerate(rng.uniform(0, 1, (200, 2)) * [0.004, 360])]
+    rows += [("turn", 2000 + k, float(v), (179.999 + float(w) + 180) % 360 - 180) for k, (v, w) in enumerate(rng.uniform(0, 0.003, (100, 2)))]
+    kind = "city string, k long, lat double, lng double"
+    df = spark.createDataFrame([*rows, ("c0", 9000, None, 1.0), (None, 9001, 1.0, 1.0)], kind)
+    got = joins.greedy_spacing(df, "city", "k", "lat", "lng", 150.0, 12, 5)
+    order = {r["k"]: r["o"] for r in spark.createDataFrame(rows, kind).selectExpr("k", "md5(concat_ws('|', cast(k AS string), '5')) AS o").collect()}
     kept = {}
     for city, k, lat, lng in sorted(rows, key=lambda r: (order[r[1]], r[1])):
         own = kept.setdefault(city, [])
@@ -247,7 +254,37 @@ def test_greedy_spacing_keeps_what_a_plain_loop_keeps(spark):
 
         if len(own) < 12 and all(metres((lat, lng), q[1:]) >= 150 for q in own):
             own.append((k, lat, lng))
-    assert {r["k"] for r in got.collect()} == {q[0] for own in kept.values() for q in own}
+    assert sorted(r["k"] for r in got.collect()) == sorted(q[0] for own in kept.values() for q in own)
+    assert got.columns == df.columns and joins.greedy_spacing(df.limit(0), "city", "k", "lat", "lng").count() == 0
+
+
+@pytest.mark.parametrize("least", [0.98, 0.3])
+def test_nearest_parallel_is_the_least_of_all_pairs(spark, least):
+    """Faces turned either way, outliers, repeated planes, planes that no other is parallel to, nulls."""
+    from lodemark.operators import joins
+
+    rng = np.random.default_rng(4)
+
+    def planes(n, ids):
+        turn, d = rng.uniform(-np.pi, np.pi, n), rng.normal(0, 20, n)
+        d[:3] = [1e7, -1e7, 0.0]
+        rows = [(ids + k, float(np.cos(t)) * 2, float(np.sin(t)) * 2, float(v)) for k, (t, v) in enumerate(zip(turn, d, strict=True))]
+        return [*rows, (ids + n, -1.0, 0.0, 5.0), (ids + n + 1, 1.0, 0.0, -5.25), (ids + n + 2, None, 1.0, 1.0), (ids + n + 3, 0.0, 0.0, 1.0), (ids + n + 4, 1.0, 1.0, None)]
+
+    a, b = planes(120, 0), planes(60, 1000)
+    b = [*b, *[(2000 + k, *b[7][1:]) for k in range(40)]]
+    want = {}
+    for i, x, y, d in a:
+        for _, p, q, e in b:
+            if None not in (x, y, d, p, q, e) and (x or y) and (p or q):
+                dot = x * p + y * q
+                if abs(dot) / np.sqrt((x * x + y * y) * (p * p + q * q)) >= least:
+                    want[i] = min(want.get(i, np.inf), abs(d - (e if dot >= 0 else -e)))
+    kind = "id long, nx double, ny double, d double"
+    left, right = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    got = {r["id"]: r["gap"] for r in joins.nearest_parallel(left, right, least).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert joins.nearest_parallel(left, right.limit(0), least).count() == 0 and joins.nearest_parallel(left.limit(0), right, least).count() == 0
 
 
 def test_sinks(spark, tmp_path):
