@@ -22,7 +22,7 @@ from .common import checkpointed, read_table
 
 #: Counters of a Misra-Gries summary: no digest of more than a 1/(COUNTERS+1) share of a task's rows is missed.
 COUNTERS = 1024
-#: A digest is heavy from this share of all rows, which is more than that, so every heavy one is found.
+#: A digest is heavy from this share of all rows, which is more than that: it keeps a counter in some task at least.
 SHARE = 1 / 1000
 #: The most digests that are ever broadcast; 1/SHARE can be heavy.
 HEAVY = 1024
@@ -60,11 +60,12 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     """Digests of at least SHARE of the rows (and 64), each with its verified winner and count (HEAVY rows at most)."""
 
     def run(batches):
-        # A batch is counted in full and then merged; the summary keeps COUNTERS entries.
+        # A batch is counted in full and then merged; the summary keeps COUNTERS entries, those of 1 as well: a
+        # digest may be heavy over all tasks and yet occur once in each.
         summary: dict = {}
         for batch in batches:
             summary = merge_summaries(summary, Counter(batch.column(0).to_pylist()))
-        kept = [(k, v) for k, v in summary.items() if v > 1]
+        kept = list(summary.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.binary()), pa.array([v for _, v in kept], pa.int64())], ["digest", "low"])
 
     total = rows.count()
