@@ -197,8 +197,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int, most: int):
     """(texts, labels) of about `most` labelled rows outside the held-out fold, or of all if fewer.
 
-    The sample is by a hash of doc_id, so its size is bounded whatever the input; nulls and repeated
-    labels of one document are dropped.
+    The sample is by a hash of doc_id, and an id that repeats has one text (the least), so its size is bounded
+    whatever the input; nulls and repeated labels of one document are dropped.
     """
     labels = (
         read_table(spark, sf_dir, "labels")
@@ -213,7 +213,7 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, modulus: int,
         kept = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most / total))
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull())
     # kept has about `most` ids, a fixed bound, so that the texts need no shuffle
-    table = documents.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y").toArrow()
+    table = documents.join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     return table["text"].combine_chunks(), table["y"].to_numpy().astype(np.int64)

@@ -205,12 +205,14 @@ def _loss(x: np.ndarray, truth: np.ndarray) -> float:
 
 
 def train(spark: SparkSession, documents: DataFrame, model_file: str) -> Model | None:
-    """A model from a bounded sample of the training fold; None if that has no row."""
+    """A model from a bounded sample of the training fold, one text an id; None if that has no row."""
     rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", FOLDS) != 0))
     total = rows.count()
     if total > TRAIN_ROWS:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int((1 << 24) * TRAIN_ROWS / total))
-    table = rows.select("text", "lang").toArrow()
+    # One text of an id, so that an id that repeats without end is one row.
+    table = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "one.text", "one.lang").toArrow()
+    table = table.sort_by("doc_id")
     if not table.num_rows:
         return None
     return fit(table["text"].combine_chunks(), np.array(table["lang"].to_pylist(), dtype=object), public_pieces(model_file))
