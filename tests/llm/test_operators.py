@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodemark.llm import bpe, exact_dedup, langid, packing, quality, secrets, simhash, sketch, substring_dedup, toxicity
 from lodemark.llm.components import connected_components
@@ -274,6 +275,53 @@ def test_the_network_finds_credentials_that_no_rule_names():
     assert (p[y == 1] >= net.threshold).mean() >= 0.9 and (p[y == 0] >= net.threshold).mean() <= 0.1
 
 
+SLUG, UUID, PATH = r"[a-z]{8}_[a-z]{9}_[0-9]{2}", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[a-z]+(/[a-z]+){3}/[0-9]{3}"
+
+
+@pytest.mark.parametrize(("form", "secret"), [("ghp_.*", True), ("AIza.*", True), ("xoxb-.*", True), (SLUG, False), (UUID, False), (PATH, False)])
+def test_the_network_judges_forms_that_it_never_saw(monkeypatch, form, secret):
+    """One form at a time is left out of training; then with the words before it, and without a telling lead."""
+    real, form = secrets.generated, re.compile(form)
+    monkeypatch.setattr(secrets, "generated", lambda rng, n: [g for g in real(rng, n) if not form.fullmatch(g[1])])
+    net = secrets.fit([])
+
+    def taken(rows):
+        p = np.array([net.probabilities(secrets.windows(a + b + c, len(a), len(a) + len(b))).max() for a, b, c in rows])
+        return (p >= net.threshold).mean()
+
+    unseen = [(a, b, c) for a, b, c, _ in real(np.random.default_rng(98), 3000) if form.fullmatch(b)]
+    plain = [(" ".join(a.split()[:5]) + " ", b, c) for a, b, c in unseen]
+    assert len(unseen) > 100
+    if secret:
+        assert taken(unseen) >= 0.9 and taken(plain) >= 0.85
+    else:
+        assert taken(unseen) <= 0.2 and taken(plain) <= 0.2
+
+
+def test_held_back_contexts_are_not_learned(monkeypatch):
+    seen = []
+    real = secrets.Network.slopes
+    monkeypatch.setattr(secrets.Network, "slopes", lambda self, rows, y: seen.append(rows) or real(self, rows, y))
+    monkeypatch.setattr(secrets, "generated", lambda rng, n: [])
+    monkeypatch.setattr(secrets, "EPOCHS", 1)
+    pairs = [(f"context {k:03d} has ", body, " in it", y) for k in range(50) for body, y in (("a1" * 12, 1), ("0000-11-22-0000-11-22", 0))]
+    secrets.fit(pairs)
+    assert sum(map(len, seen)) == 80
+
+
+def test_fits_read_one_text_of_an_id_that_repeats(spark, monkeypatch):
+    """However often an id (or null) repeats, samples are bounded by ids."""
+    rows = [(7, f'password = "hunter{k}x" now', "en") for k in range(400)] + [(None, f'secret: "abcd{k}ef" now', "en") for k in range(400)] + [(k, f'token="tokens{k}" end', "de") for k in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert len(secrets.findings(docs)) == 202
+    monkeypatch.setattr(secrets, "TRAIN_DOCS", 100)
+    assert len(secrets.findings(docs)) <= 60
+    got = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, languages, pieces: got.update(n=len(texts)))
+    langid.train(spark, docs, P.path("piece_bpe_32k.model"))
+    assert got["n"] == docs.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id").distinct().count()
+
+
 def test_threshold_keeps_recall_where_negatives_prevail():
     rng = np.random.default_rng(22)
     alike = ["q7" + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 22)) for _ in range(3300)]
@@ -282,6 +330,13 @@ def test_threshold_keeps_recall_where_negatives_prevail():
     assert (p >= net.threshold).mean() >= 0.8 and net.recall >= secrets.RECALL and net.threshold < 0.5
 
 
+def test_a_digest_that_occurs_once_a_task_is_heavy(spark):
+    """200 tasks of 1,000 rows, the digest once in each: a thousandth of all rows."""
+    rows = spark.range(0, 200_000, 1, 200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 500, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    heavy = exact_dedup.frequent_digests(exact_dedup.digest_rows(rows)).collect()
+    assert [(r["keep_id"], r["group_size"]) for r in heavy] == [(199_500, 200)]
+
+
 def test_threshold_is_the_best_of_those_that_keep_recall():
     good = np.linspace(0.1, 0.4, 100)
     threshold, recall = secrets.recall_threshold(good, np.linspace(0, 0.3, 1000))
