@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodemark.llm import exact_dedup as exact
 from lodemark.llm import packing, quality, secrets, simhash
 from lodemark.llm.common import checkpointed, read_table, set_checkpoint_dir
+from lodemark.session import discard
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 #: A number of its own for each row of a dedup stage's input.
 ROW = "_lodemark_row"
+#: Tables with that number that stages wrote; run() removes them when it has written what they were for.
+_keyed_tables: list[str] = []
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -35,6 +38,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     set_checkpoint_dir(docs.sparkSession)
     path = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/keyed-{uuid.uuid4().hex}"
     docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    _keyed_tables.append(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -98,14 +102,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What lies between them is kept in the shared checkpoint folder."""
+    """All stages over documents, each written to the shared checkpoint folder.
+
+    A stage's table goes once the next one is written, and so do the tables that a stage wrote for itself; the one
+    that the result is read from stays.
+    """
     set_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        known, path = len(_keyed_tables), f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        for done in [*_keyed_tables[known:], *([before] if before else [])]:
+            discard(spark, done)
+        del _keyed_tables[known:]
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
