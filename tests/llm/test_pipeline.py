@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from test_operators import order, plain_components, plain_fingerprint
 
 from lodemark.llm import quality, secrets
+from lodemark.llm.common import set_checkpoint_dir
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -30,6 +32,17 @@ def test_stages_in_order(spark, sf, tmp_path):
     assert len(packed) == counts[4] and (packed["sum(length)"] == packed["max(doc_tokens)"]).all()
 
 
+def test_run_leaves_one_table(spark, sf):
+    """Of what the stages write only the table that packing reads stays; the result can be read more than once."""
+    set_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {*folder.glob("keyed-*"), *folder.glob("pipeline-*/*")}
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() == out.count() > 0
+    left = {*folder.glob("keyed-*"), *folder.glob("pipeline-*/*")} - before
+    assert [p.name for p in left] == ["3-secret_scan"]
+
+
 def test_dedup_stages_decide_by_row(spark):
     """Repeated rows, doc_ids that win with one text and lose with another, and missing ids."""
     rng = np.random.default_rng(8)
