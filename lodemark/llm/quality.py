@@ -3,8 +3,11 @@
 A word's vector has two parts, both random indexing: the sum of the sparse random index vectors of its
 character trigrams and of its character-class trigrams (so that no word is without one), and its context,
 the sum of the index vectors of the words next to it over the training sample, for the CONTEXT_WORDS most
-frequent words. A document is the mean and the standard deviation of its words' vectors, and how often a
-word's vector is that of the word one to LAGS places before. The network is numpy: one hidden layer, then a logistic unit whose temperature is fitted on rows kept back from training.
+frequent words. A document is the mean and the standard deviation of its words' vectors, and, for order,
+the mean of each word's trigram vector bound (multiplied entry by entry) with that of the word one to LAGS
+places before; a word bound with itself has no negative entry, so the network sees repetition there. The
+network is numpy: one hidden layer, then a logistic unit whose temperature is fitted on rows kept back from
+training.
 
 The network and contexts learn from at most TRAIN_ROWS labelled rows of the training fold, a bounded
 sample by a hash of doc_id. Scoring reads whole texts.
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_model, id_remainder, labelled_sample, ragged_take, read_table, segment_sums, slices, words_of
+from .common import broadcast_model, id_remainder, labelled_sample, ragged_take, read_table, slices, words_of
 
 FOLDS, HELD = 3, 1
 TRAIN_ROWS = 4000
@@ -71,12 +74,12 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed[0], mixed[1], np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _sums(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray, squared: bool = False) -> np.ndarray:
-    """Per segment the sum of table[rows] (or of their squares), a block at a time."""
+def _sums(table: np.ndarray, rows: np.ndarray, offsets: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Per segment the sum of table[rows], each multiplied by table[times] if given, a block at a time."""
 
     def taken(i: int, j: int) -> np.ndarray:
         found = table[rows[i:j]]
-        return found * found if squared else found
+        return found if times is None else found * (found if times is rows else table[times[i:j]])
 
     n = len(offsets) - 1
     out = np.zeros((n, table.shape[1]), np.float64)
@@ -125,22 +128,23 @@ def _word_vectors(words: pa.Array, context: pa.Array | None, vectors: np.ndarray
 
 
 def pooled(texts: pa.Array, context: pa.Array | None, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text; zeros for a text without words."""
+    """Mean and standard deviation of the word vectors of each text and its bound vectors; zeros for a text without words."""
     codes, offsets, words = words_of(texts)
     if not len(codes):
-        return np.zeros((len(texts), 2 * DIMENSIONS * (3 if context is not None else 2) + LAGS))
+        return np.zeros((len(texts), 2 * DIMENSIONS * (3 if context is not None else 2) + DIMENSIONS * LAGS))
     table = word_vectors(words, context, vectors)
     n = np.maximum(np.diff(offsets), 1)[:, None]
     mean = _sums(table, codes, offsets) / n
-    square = _sums(table, codes, offsets, squared=True) / n
-    # A word repeats the one `lag` before it if that is in the same text.
+    square = _sums(table, codes, offsets, times=codes) / n
+    parts = [mean, np.sqrt(np.maximum(square - mean * mean, 0.0))]
+    # The word `lag` before is bound if it is in the same text; the last row stands for none.
+    own = np.concatenate([table[:, :DIMENSIONS], np.zeros((1, DIMENSIONS), np.float32)])
     place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
-    rates = np.zeros((len(texts), LAGS))
     for lag in range(1, LAGS + 1):
-        repeat = np.zeros(len(codes), np.int32)
-        repeat[lag:] = (codes[lag:] == codes[:-lag]) & (place[lag:] >= lag)
-        rates[:, lag - 1] = segment_sums(repeat, offsets)
-    return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0.0)), rates / n], axis=1)
+        before = np.full(len(codes), len(table))
+        before[lag:] = np.where(place[lag:] >= lag, codes[:-lag], len(table))
+        parts.append(_sums(own, codes, offsets, times=before) / n)
+    return np.concatenate(parts, axis=1)
 
 
 def contexts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

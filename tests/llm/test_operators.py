@@ -560,7 +560,7 @@ def test_language_id(spark, sf, awkward):
     assert set(none.lang_pred) == {"und"}
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.93), (toxicity, "toxic", 0.88)])
+@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.95), (toxicity, "toxic", 0.88)])
 def test_classifiers_on_held_out_rows(spark, sf, awkward, empty, module, label, least):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     model = module.train(spark, sf)
@@ -638,10 +638,10 @@ def test_a_fit_without_both_labels_scores_the_share(spark):
 
 
 def plain_pooled(text, context, vectors):
-    """Mean and spread of a text's word vectors and its repeat rates, one word after another."""
+    """Mean and spread of a text's word vectors and its bound vectors, one word after another."""
     words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
     if not words:
-        return np.zeros(144 + quality.LAGS if context is not None else 96 + quality.LAGS)
+        return np.zeros((144 if context is not None else 96) + 24 * quality.LAGS)
     rows = []
     for w in words:
         raw = ("<" + w + ">").encode()
@@ -653,8 +653,8 @@ def plain_pooled(text, context, vectors):
         parts.append(vectors[context[w]] if w in context else np.zeros(24))
         rows.append(np.concatenate(parts))
     rows = np.array(rows)
-    repeats = [sum(words[i] == words[i - lag] for i in range(lag, len(words))) / len(words) for lag in range(1, quality.LAGS + 1)]
-    return np.concatenate([rows.mean(axis=0), rows.std(axis=0), repeats])
+    bound = [sum((rows[i, :24] * rows[i - lag, :24] for i in range(lag, len(words))), np.zeros(24)) / len(words) for lag in range(1, quality.LAGS + 1)]
+    return np.concatenate([rows.mean(axis=0), rows.std(axis=0), *bound])
 
 
 def test_quality_scores_by_their_definition(spark, sf, awkward):
