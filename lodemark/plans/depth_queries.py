@@ -1,6 +1,7 @@
 """Queries on depth payloads (R), the pixel and lattice rules beside them (X25, X28, X29) and their checks.
 
-Payloads are synthetic, one per city and zoom, and follow from a number that both engines can compute.
+Payloads are synthetic, one per city and zoom (those read cell by cell: one per supplier), and follow from a number
+that both engines can compute.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodemark.functions import geo, numeric
-from lodemark.operators import depth
+from lodemark.operators import depth, depth_cells
 from lodemark.operators.aggregate import rounded
 from lodemark.operators.quantiles import quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
@@ -121,6 +122,34 @@ def j15(spark, d):
     return depth.cross_vintage(_pairs(spark, d), _payloads(spark, d))
 
 
+def _supplier_payloads(spark, d):
+    """A payload a supplier; those of odd keys are deflated."""
+    keys = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey")
+    # Eight bytes a key become 175 KB of payload: dealt to all tasks before they grow.
+    return keys.repartition(spark.sparkContext.defaultParallelism, "s_suppkey").select(F.col("s_suppkey").alias("pano_id"), depth.synthetic_payload(F.col("s_suppkey")).alias("b64"))
+
+
+@query(
+    "r18_a_decoders",
+    """SELECT s_suppkey AS pano_id, 131072 AS n_cells, 131072 AS n_same, 131072 - 104 * (100 - greatest(0, 100 - abs(2 * (s_suppkey * 37 % 400) - 412))) AS n_mirrored
+FROM supplier WHERE s_suppkey % 2 = 0""",
+)
+def r18_a(spark, d):
+    """Two decoders of the bare payloads cell by cell; mirrored, the wall's columns differ where it is not over its image."""
+    return depth_cells.decoder_check(_supplier_payloads(spark, d))
+
+
+@query(
+    "r05_r06_plane_inventory",
+    """WITH p AS (SELECT s_suppkey AS s, unnest([1, 2]) AS plane FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT s AS pano_id, plane, CASE plane WHEN 1 THEN 0e0 ELSE 90e0 END AS tilt_deg, round(cast(cast(CASE plane WHEN 1 THEN 2 + s % 10 / 10e0 ELSE 8e0 + s % 7 END AS float) AS double), 5) AS offset_m,
+CASE plane WHEN 1 THEN 124 * 512 ELSE 52 * 100 END AS n_cells, CASE plane WHEN 1 THEN 124 * 512 ELSE 4 * 100 END AS n_below, plane = 1 AS is_ground FROM p""",
+)
+def r05_inventory(spark, d):
+    found = depth_cells.plane_inventory(_supplier_payloads(spark, d))
+    return found.withColumns({"tilt_deg": rounded(F.col("tilt_deg"), "tilt_deg"), "offset_m": rounded(F.col("offset_m"), "offset_m", 5)})
+
+
 def _images(spark, d):
     return _payloads(spark, d).select("pano_id", "b64", depth.synthetic_image(F.col("seed")).alias("rgb"), F.lit(128).alias("width"), F.lit(64).alias("height"))
 
