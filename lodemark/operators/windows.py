@@ -33,10 +33,13 @@ def running_counts(df: DataFrame, value: str) -> DataFrame:
     """(value, n, upto): how many rows have this value, and at most this value.
 
     Distinct values are counted first and then cut into ranges; a range knows the rows before it from one
-    small total per range, so that no order over all values is made in one task.
+    small total per range, so that no order over all values is made in one task. The ranges are written before
+    they are read: their edges are sampled, and sampled anew would not be those of the totals.
     """
+    from lodemark.session import checkpointed
+
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.repartitionByRange(value).select("*", F.spark_partition_id().alias("_r"))
+    ranged = checkpointed(counts.repartitionByRange(value).select("*", F.spark_partition_id().alias("_r")))
     totals = {r["_r"]: r["t"] for r in ranged.groupBy("_r").agg(F.sum("n").alias("t")).collect()}
     before, so_far = [], 0
     for r in range(max(totals, default=-1) + 1):
