@@ -16,3 +16,10 @@ def _many(spark):
 def test_running_counts_of_many_values(spark):
     got = windows.running_counts(_many(spark).select(F.md5(F.col("id").cast("string")).alias("o")), "o").toPandas().sort_values("o")
     assert len(got) == N and got.upto.tolist() == list(range(1, N + 1))
+
+
+def test_pairs_of_many_keys_are_the_permutations(spark):
+    ids = sorted((r["id"] for r in _many(spark).collect()), key=lambda k: (hashlib.md5(f"{k}|9".encode()).hexdigest(), str(k)))
+    got = joins.other_keys(_many(spark), "id", 3, 9).toPandas()
+    want = {(a, ids[(i + s) % N]) for i, a in enumerate(ids) for s in (1, 2, 3)}
+    assert len(got) == 3 * N and set(zip(got.id, got.other, strict=True)) == want
