@@ -53,11 +53,16 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_angles(df: DataFrame) -> DataFrame:
-    """pov_heading, pov_pitch and dep (degrees below the horizon) beside the click's columns."""
+    """pov_heading, pov_pitch and dep (degrees below the horizon) beside the click's columns.
+
+    The angles pass through a generator of one row: a filter on them is then not moved below their projection, where
+    it would hold their whole expression many times over, in a method too long for the JVM to compile.
+    """
     from pyspark.sql import functions as F
 
     from lodemark.functions.pov import pov_if_centered
 
     c = [F.col(k).cast("double") for k in ("canvas_x", "canvas_y", "heading", "pitch", "zoom")]
     h, p = pov_if_centered(*c)
-    return df.select("*", h.alias("pov_heading"), p.alias("pov_pitch"), (-p).alias("dep"))
+    angles = F.struct(h.alias("pov_heading"), p.alias("pov_pitch"), (-p).alias("dep"))
+    return df.select("*", angles.alias("_angles")).select(*[F.col(f"`{k}`") for k in df.columns], F.inline(F.array("_angles")))
