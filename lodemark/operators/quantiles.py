@@ -116,6 +116,21 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     return joined.select(*by, "n", *extra, *out)
 
 
+def with_distinct(groups: DataFrame, df: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
+    """groups, one row per value of by, with the number of distinct values of Columns of df.
+
+    Counted in a pass of its own: beside other aggregates Spark keeps the state of each of them, summaries for
+    quantiles too, once per group and distinct value.
+    """
+    for name, c in columns.items():
+        counts = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in by]).agg(F.countDistinct(c).alias(name))
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        groups = groups.join(counts, same).drop(*[f"_g_{k}" for k in by])
+    return groups
+
+
 def quantile(df: DataFrame, value: Column, q: float | list[float]):
     """The exact quantile, or list of quantiles, of a whole column; None without values."""
     if isinstance(q, list):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodemark.functions.numeric import closed_bin
 from lodemark.operators import aggregate as agg
 from lodemark.operators.aggregate import rounded
-from lodemark.operators.quantiles import quantiles
+from lodemark.operators.quantiles import quantiles, with_distinct
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
 
@@ -25,9 +25,11 @@ def g01(spark, d):
     t = "truth_m"
     others = [
         rounded(F.sum(t), "total", 4), F.min(t).alias("low"), F.max(t).alias("high"), rounded(F.avg(t), "mean"), rounded(F.stddev_samp(t), "sd"),
-        F.countDistinct("pano_id").alias("panos"), F.bool_or("deleted").alias("any_deleted"), F.bool_and("deleted").alias("all_deleted"),
+        F.bool_or("deleted").alias("any_deleted"), F.bool_and("deleted").alias("all_deleted"),
     ]
-    return quantiles(clicks(spark, d), ["label_type"], {"middle": (F.col(t), 0.5), "p90": (F.col(t), 0.9)}, others)
+    c = clicks(spark, d)
+    found = quantiles(c, ["label_type"], {"middle": (F.col(t), 0.5), "p90": (F.col(t), 0.9)}, others)
+    return with_distinct(found, c, ["label_type"], {"panos": F.col("pano_id")}).select("label_type", "n", "total", "low", "high", "mean", "sd", "panos", "any_deleted", "all_deleted", "middle", "p90")
 
 
 @query("g07_first_value", f"{W} SELECT city, min(label_id) AS first_label, arg_min(truth_m, label_id * 1000000 + cast(truth_m * 10 AS bigint)) FILTER (WHERE lat IS NOT NULL) AS first_truth FROM clicks GROUP BY city")
