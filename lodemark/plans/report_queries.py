@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodemark.functions.numeric import closed_bin
 from lodemark.operators import aggregate as agg
 from lodemark.operators.aggregate import rounded
-from lodemark.operators.quantiles import quantiles
+from lodemark.operators.quantiles import quantiles, with_distinct
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
 
@@ -111,7 +111,9 @@ def v11(spark, d):
 
 @query("v12_nested_summary", f"{W} SELECT city, count(*) AS n, count(DISTINCT pano_id) AS panos, round(median(truth_m), 6) AS middle, count(*) FILTER (WHERE deleted) AS deleted FROM clicks GROUP BY city")
 def v12(spark, d):
-    return quantiles(clicks(spark, d), ["city"], {"middle": (F.col("truth_m"), 0.5)}, [F.countDistinct("pano_id").alias("panos"), F.count_if("deleted").alias("deleted")])
+    c = clicks(spark, d)
+    found = quantiles(c, ["city"], {"middle": (F.col("truth_m"), 0.5)}, [F.count_if("deleted").alias("deleted")])
+    return with_distinct(found, c, ["city"], {"panos": F.col("pano_id")}).select("city", "n", "panos", "deleted", "middle")
 
 
 @query("v13_cutoff_diagnosis", f"{W} SELECT city, CASE WHEN time_created >= TIMESTAMP '1996-01-01' THEN 'post' ELSE 'pre' END AS era, count(*) AS n, round(median(abs(noise)), 6) AS middle, round(avg(cast(abs(noise) < 0.05 AS double)), 6) AS tiny, count(*) FILTER (WHERE lat IS NULL) AS missing FROM clicks GROUP BY ALL")
