@@ -309,3 +309,14 @@ def test_stream_counts_late_rows_in(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == 500
+
+
+def test_a_task_holds_one_group_of_labels_at_a_time(spark):
+    """Many payloads in one task: Python is handed them one by one, and labels without one stay."""
+    payloads = spark.range(40).select(F.col("id").alias("pano_id"), F.lit(depth.encode(np.ones((8, 16), int), np.array([[0, 0, 0, 0], [0, 0, -1, 2.5]], np.float32))).alias("b64"))
+    labels = spark.range(200).select((F.col("id") % 50).alias("pano_id"), (F.col("id") + (1 << 60) + 1).alias("label_id"), F.lit(3).alias("col"), F.lit(6).alias("row"))
+    found = depth.classify_labels(payloads, labels)
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas().set_index("label_id")
+    assert sorted(got.index) == [k + (1 << 60) + 1 for k in range(200)]
+    assert (got.status == "no_depth").sum() == 40 and (got.hit_class == "ground").sum() == 160
