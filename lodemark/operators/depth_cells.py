@@ -7,6 +7,9 @@ Keys name one payload each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +47,21 @@ def _binary(text: Column) -> Column:
     return F.try_to_binary(F.rpad(plain, (F.ceil(F.length(text) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
 
 
-def bare(payloads: DataFrame, key: str = "pano_id") -> DataFrame:
-    """key, raw, n_planes, width, height, at (the place of the first cell, from 1) of the bare payloads.
+def bare(payloads: DataFrame, key: str = "pano_id", *carry: str) -> DataFrame:
+    """key, columns to carry, raw, n_planes, width, height, at (the place of the first cell, from 1) of the bare payloads.
 
     The header is read from the first twelve characters and the size from the text's length, so that filters, which
-    Catalyst moves below the projection, decode no whole payload to test a header.
+    Catalyst moves below the projection, decode no whole payload to test a header. The bytes leave a generator of one
+    row, so that what reads them line by line does not decode the payload for every line.
     """
-    head = payloads.select(key, "b64", _binary(F.substring("b64", 1, 12)).alias("head"))
+    head = payloads.select(key, *carry, "b64", _binary(F.substring("b64", 1, 12)).alias("head"))
     numbers = {"n_planes": PLANES_AT, "width": WIDTH_AT, "height": HEIGHT_AT, "at": OFFSET_AT}
     is_bare = (F.length("head") > HEADER) & (F.hex(F.substring("head", 1, 1)) == f"{HEADER:02X}")
-    read = head.where(is_bare).select(key, "b64", *[number_at(F.col("head"), at, 2).alias(name) for name, at in numbers.items()])
+    read = head.where(is_bare).select(key, *carry, "b64", *[number_at(F.col("head"), at, 2).alias(name) for name, at in numbers.items()])
     end = F.col("at") + F.col("width") * F.col("height") + F.col("n_planes") * PLANE_BYTES
     whole = read.where((F.floor(F.length("b64") * 3 / 4) >= end) & (F.col("width") > 0) & (F.col("height") > 0))
-    return whole.select(key, _binary(F.col("b64")).alias("raw"), "n_planes", "width", "height", (F.col("at") + 1).alias("at")).where("raw IS NOT NULL")
+    numbered = whole.select(key, *carry, "b64", "n_planes", "width", "height", (F.col("at") + 1).alias("at"))
+    return numbered.select(key, *carry, F.explode(F.array(_binary(F.col("b64")))).alias("raw"), "n_planes", "width", "height", "at").where("raw IS NOT NULL")
 
 
 def lines(payloads: DataFrame, key: str = "pano_id") -> DataFrame:
@@ -96,16 +101,39 @@ def plane_inventory(payloads: DataFrame, key: str = "pano_id") -> DataFrame:
     return found.withColumn("best", best).select(key, "plane", tilt.alias("tilt_deg"), "offset_m", "n_cells", "n_below", ((F.col("best.n") > 0) & (F.col("best.p") == -F.col("plane"))).alias("is_ground"))
 
 
+def _with_cells(payloads: DataFrame, key: str) -> DataFrame:
+    """key, b64 and the other decoder's cells, as they are and with columns mirrored; a payload at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, text in frame.itertuples(index=False):
+                _, r = depth._status(text)
+                if r is not None:
+                    yield pd.DataFrame({key: [k], "b64": [text], "other": [r.cells.tobytes()], "turned": [r.cells[:, ::-1].tobytes()]})
+
+    return payloads.select(key, "b64").mapInPandas(run, f"`{key}` {dict(payloads.dtypes)[key]}, b64 string, other binary, turned binary")
+
+
 def decoder_check(payloads: DataFrame, key: str = "pano_id") -> DataFrame:
     """R18, check A: the two decoders cell by cell, in payload order and with columns mirrored.
 
     key, n_cells, n_same, n_mirrored (cells equal to the other decoder's at the same column, and at the mirrored one).
-    Lines of both are joined by key and row, so no task holds more than a line of each.
+    The other decoder's cells travel with their payload, so that no side is shuffled or broadcast. Equal lines are counted
+    whole, others cell by cell; only counts are shuffled.
     """
-    other = depth.per_payload(payloads, key, {"row": "int", "other": "binary"}, lambda r: [(k, line.tobytes()) for k, line in enumerate(r.cells)])
-    both = lines(payloads, key).join(other.select(key, "row", "other"), [key, "row"])
-    each = both.select(key, "line", "other", "width", F.explode(F.sequence(F.lit(1), F.col("width").cast("int"))).alias("col"))
+    width = F.col("width").cast("int")
+
+    def line(raw: str, first: Column, r: Column) -> Column:
+        return F.substring(F.col(raw), (first + r * F.col("width")).cast("int"), width)
+
+    first = F.lit(1).cast("long")
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("height") - 1), lambda r: F.struct(line("raw", F.col("at"), r).alias("line"), line("other", first, r).alias("other"), line("turned", first, r).alias("turned")))
+    each = bare(_with_cells(payloads, key), key, "other", "turned").select(key, "width", F.inline(cut))
+    whole = (F.col("line") == F.col("other")) & (F.col("line") == F.col("turned"))
+    places = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), width))
+    cells_of = each.select(key, "width", "line", "other", "turned", F.explode(places).alias("col"))
     own = F.substring("line", F.col("col"), F.lit(1))
-    same = own == F.substring("other", F.col("col"), F.lit(1))
-    mirrored = own == F.substring("other", (F.col("width") + 1).cast("int") - F.col("col"), F.lit(1))
-    return each.groupBy(key).agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(same).alias("n_same"), F.count_if(mirrored).alias("n_mirrored"))
+    # Column 0 stands for a whole line that is equal both ways.
+    n = F.when(F.col("col") == 0, F.col("width")).otherwise(1)
+    same = [F.when(F.col("col") == 0, F.col("width")).when(own == F.substring(c, F.col("col"), F.lit(1)), 1).otherwise(0) for c in ("other", "turned")]
+    return cells_of.groupBy(key).agg(F.sum(n).alias("n_cells"), F.sum(same[0]).alias("n_same"), F.sum(same[1]).alias("n_mirrored"))

@@ -126,7 +126,7 @@ def _supplier_payloads(spark, d):
     """A payload a supplier; those of odd keys are deflated."""
     keys = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey")
     # Eight bytes a key become 175 KB of payload: dealt to all tasks before they grow.
-    return keys.repartition(spark.sparkContext.defaultParallelism, "s_suppkey").select(F.col("s_suppkey").alias("pano_id"), depth.synthetic_payload(F.col("s_suppkey")).alias("b64"))
+    return depth.synthetic_payloads(keys.repartition(spark.sparkContext.defaultParallelism, "s_suppkey"), "s_suppkey")
 
 
 @query(

@@ -64,3 +64,16 @@ def test_decoders_agree_in_payload_order_only(payloads):
 def test_no_payloads(spark):
     none = spark.createDataFrame([], "pano_id string, b64 string")
     assert all(f(none).count() == 0 for f in (depth_cells.cells, depth_cells.planes, depth_cells.plane_inventory, depth_cells.decoder_check))
+
+
+def test_check_joins_no_lines_and_decodes_a_payload_once(spark, payloads):
+    plan = depth_cells.decoder_check(payloads[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    for line in plan.splitlines():
+        assert not ("lambda" in line and "to_binary" in line)
+
+
+def test_fixture_payloads_come_in_small_frames(spark):
+    got = depth.synthetic_payloads(spark.range(0, 40, 1, 1), "id").toPandas()
+    one = spark.range(40).select("id", depth.synthetic_payload(depth_cells.F.col("id")).alias("b64")).toPandas()
+    assert got.pano_id.tolist() == one.id.tolist() and got.b64.tolist() == one.b64.tolist()
