@@ -46,6 +46,19 @@ def beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return few.unionByName(many).drop(*drop)
 
 
+def apart(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with the columns, each computed in an operator of its own.
+
+    Neighbouring projections become one, and the JVM does not compile a method of more than 8,000 bytes: a few long
+    expressions in one projection run many times slower. A generator of one row after each keeps them apart.
+    """
+    kept = [F.col(f"`{k}`") for k in df.columns]
+    for name, c in columns.items():
+        df = df.select(*kept, c.alias("_apart")).select(*kept, F.explode(F.array("_apart")).alias(name))
+        kept.append(F.col(f"`{name}`"))
+    return df
+
+
 def _largest(df: DataFrame, by: list[str]) -> int:
     """Rows of the largest group."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -77,7 +90,10 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     values = list({str(c): c for c, _ in wanted.values()}.items())
     number = {name: k for k, (name, _) in enumerate(values)}
     spots = [(name, number[str(c)], q) for name, (c, q) in wanted.items()]
-    wide = df.select("*", *[F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, (_, c) in enumerate(values)], *([] if by else [F.lit(0).alias("_all")]))
+    named = {f"Column<'{c}'>" for c in df.columns}
+    long = {f"_v{k}": F.nanvl(c.cast("double"), F.lit(None)) for k, (text, c) in enumerate(values) if text not in named}
+    short = [F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, (text, c) in enumerate(values) if text in named]
+    wide = (apart(df, long) if len(long) > 1 else df.select("*", *[c.alias(n) for n, c in long.items()])).select("*", *short, *([] if by else [F.lit(0).alias("_all")]))
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     if _largest(df, by) <= DIRECT:
         plain = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs, *[F.sort_array(F.collect_list(f"_v{k}")).alias(f"_s{k}") for k in range(len(values))])
