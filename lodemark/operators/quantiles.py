@@ -132,6 +132,36 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     return joined.select(*by, "n", *extra, *out)
 
 
+def cell_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by and, for each name of wanted, the exact quantile of a column (linear between ranks), for few groups of many rows.
+
+    As quantiles(), but counts by cells of the value tell which cells hold the ranks, where summaries of all values
+    would cost more than the rows; only those cells are gathered. Keys must not be missing.
+    """
+    from lodemark.session import checkpointed
+
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    rows = df.select(*by, v.alias("_v"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * (CELLS / 2)).alias("_cell"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_m").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.groupBy(*by, "_cell").agg(F.count("_v").alias("_m")).select("*", upto.alias("_upto"), F.sum("_m").over(group).alias("_total"))
+    spots = {name: (F.col("_total") - 1) * F.lit(q) for name, q in wanted.items()}
+    first = F.col("_upto") - F.col("_m")
+    held = F.col("_total") == 0
+    for at in spots.values():
+        for r in (F.floor(at), F.ceil(at)):
+            held = held | ((r >= first) & (r < F.col("_upto")))
+    hits = checkpointed(counts.where(held))
+    inside = rows.join(F.broadcast(hits), [*by, "_cell"]).groupBy(*by, "_cell", "_m", "_upto", "_total").agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    found = [F.max(F.when((r >= first) & (r < F.col("_upto")), F.get("_s", (r - first).cast("int")))).alias(f"_{e}_{name}") for name, at in spots.items() for e, r in (("low", F.floor(at)), ("high", F.ceil(at)))]
+    joined = hits.select(*by, "_total").distinct().join(inside.groupBy(*by).agg(*found), by, "left")
+    out = []
+    for name, at in spots.items():
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        out.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    return joined.select(*by, *out)
+
+
 def with_distinct(groups: DataFrame, df: DataFrame, by: list[str], columns: dict[str, Column]) -> DataFrame:
     """groups, one row per value of by, with the number of distinct values of Columns of df.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions.pov import CANVAS_HEIGHT, CANVAS_WIDTH, pov_if_centered
 
-from .quantiles import quantiles
+from .quantiles import cell_quantiles
 from .windows import md5_order, top_per_group
 
 #: Pixels of the stored frame for a degree of pitch.
@@ -119,7 +119,8 @@ def noise_sweep(clicks: DataFrame, predictors: dict[str, Callable[[], Column]],
     grid = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(k).alias("draw")) for s, k in [(0.0, 0), *((s, k) for s in sigmas for k in range(draws))]])
     rows = clicks.select("*", F.inline(grid))
     rows = rows.withColumn("_m", md5_order(*[F.col(k) for k in keys], F.col("draw")))
-    u, v = ((F.conv(F.substring("_m", a, 7), 16, 10).cast("long") + 0.5) / 268435456 for a in (1, 8))
+    digits = F.conv(F.substring("_m", 1, 14), 16, 10).cast("long")
+    u, v = ((x + 0.5) / 268435456 for x in (F.shiftright(digits, 28), digits.bitwiseAND(268435455)))
     reach, turn = F.sqrt(-2 * F.ln(u)) * F.col("sigma"), 2 * F.pi() * v
     x, y = F.col("canvas_x").cast("double"), F.col("canvas_y").cast("double")
     angle = [F.col(c).cast("double") for c in ("heading", "pitch", "zoom")]
@@ -128,7 +129,7 @@ def noise_sweep(clicks: DataFrame, predictors: dict[str, Callable[[], Column]],
     moved = moved.withColumn("dep", -pov_if_centered(F.col("canvas_x"), F.col("canvas_y"), *angle)[1])
     moved = moved.withColumn("sv_image_y", F.col("sv_image_y") + (-F.col("dep") - F.col("_pitch")) * PIXELS_PER_DEGREE)
     errors = moved.select("sigma", "draw", *[F.abs(p() - F.col(truth)).alias(k) for k, p in predictors.items()]).unpivot(["sigma", "draw"], list(predictors), "model", "e")
-    each = quantiles(errors, ["model", "sigma", "draw"], {"m": (F.col("e"), 0.5), "p": (F.col("e"), 0.9)}, digits=None)
+    each = cell_quantiles(errors, ["model", "sigma", "draw"], "e", {"m": 0.5, "p": 0.9})
     means = each.groupBy("model", "sigma").agg(F.avg("m").alias("m"), F.avg("p").alias("p"))
     base = means.where("sigma = 0").select("model", F.col("m").alias("m0"), F.col("p").alias("p0"))
     return means.where("sigma > 0").join(base, "model").select("model", "sigma", F.round(F.col("m") - F.col("m0"), 6).alias("delta_median_m"), F.round(F.col("p") - F.col("p0"), 6).alias("delta_p90_m"))
