@@ -16,7 +16,7 @@ from lodemark.functions import geo
 from lodemark.functions.numeric import dummies, mapped
 
 from . import models
-from .quantiles import quantile, quantiles
+from .quantiles import apart, quantile, quantiles
 
 #: How a place is set out: on the flat earth, on the sphere or on the ellipsoid.
 FLAT, SPHERE, ELLIPSOID = "flat", "sphere", "ellipsoid"
@@ -85,12 +85,11 @@ def error_frame(test: DataFrame, predictors: dict[str, Predictor], keep: list[st
 
     test has pano_lat, pano_lng, heading, lat, lng and truth_m. A missing prediction or place leaves its errors missing.
     """
-    known = test.select("*", *[p.distance.alias(f"dist_pred_{k}") for k, p in predictors.items()], *[p.turn.alias(f"turn_{k}") for k, p in predictors.items()])
-    out = []
+    known, out = apart(test, {f"dist_pred_{k}": p.distance for k, p in predictors.items()}), []
     for k, p in predictors.items():
         d = F.col(f"dist_pred_{k}")
         start = F.col("pano_lat"), F.col("pano_lng")
-        heading = F.col("heading") + F.col(f"turn_{k}")
+        heading = F.col("heading") + p.turn
         if p.geodesy == FLAT:
             place = geo.flat_dest(*start, F.col("heading"), d)
         elif p.geodesy == SPHERE:
@@ -98,7 +97,8 @@ def error_frame(test: DataFrame, predictors: dict[str, Predictor], keep: list[st
         else:
             point = geo.dest_point(*start, heading, d)
             place = point["lat"], point["lng"]
-        out += [d, geo.haversine_m(F.col("lat"), F.col("lng"), *place).alias(f"error_{k}"), F.abs(F.col("truth_m") - d).alias(f"dist_error_{k}")]
+        known = apart(known, {f"error_{k}": geo.haversine_m(F.col("lat"), F.col("lng"), *place)})
+        out += [d, F.col(f"error_{k}"), F.abs(F.col("truth_m") - d).alias(f"dist_error_{k}")]
     return known.select(*keep, *out)
 
 

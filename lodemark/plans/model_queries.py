@@ -222,11 +222,11 @@ def m18_fitted(spark, d):
     """The fitted D rungs under least squares, pooled and by type, their training medians, and the one chosen."""
     train = with_angles(clicks(spark, d)).where(TRAIN)
     fits = {}
-    for name, fit in (("floor", models.fit_floor), ("blend", models.fit_blend), ("soft", models.fit_softcap)):
-        fits |= {f"D_{name}": fit(train, "ols"), f"D_{name}_type": fit(train, "ols", "label_type")}
-    chosen = models.candidate(train, fits)
-    errors = train.select(*[F.abs(models.predict(m, F.col("dep"), F.col("label_type")) - F.col("truth_m")).alias(k) for k, m in fits.items()])
-    found = quantiles(errors, [], {k: (F.col(k), 0.5) for k in fits}, digits=None).first()
+    for form, grid in (("floor", models.FLOOR_GRID), ("blend", models.BLEND_GRID)):
+        fits[f"D_{form}"], fits[f"D_{form}_type"] = models._profile(train, form, grid, "ols", "label_type", "dep", "truth_m")
+    fits |= {"D_soft": models.fit_softcap(train, "ols"), "D_soft_type": models.fit_softcap(train, "ols", "label_type")}
+    found = models.median_errors(train, fits)
+    chosen = models.candidate(train, fits, medians=found)
     return _rows(spark, [(k, m.form, m.angle_deg, round(found[k], 6), k == chosen) for k, m in fits.items()], "rung string, form string, angle_deg double, train_median_m double, chosen boolean")
 
 
