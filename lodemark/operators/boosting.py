@@ -83,12 +83,15 @@ class Tree:
     children: list[list[int]] = field(default_factory=list)
     root: int = -1
     values: list[float] = field(default_factory=lambda: [0.0])
+    _tables: tuple | None = field(default=None, repr=False, compare=False)  # of _coded_leaves, until the next split
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of every column of bins."""
-        at = np.full(bins.shape[1], self.root, np.int64)
         if not self.feature:
-            return ~at
+            return np.full(bins.shape[1], ~self.root, np.int64)
+        if len(self.feature) <= 8:
+            return self._coded_leaves(bins)
+        at = np.full(bins.shape[1], self.root, np.int64)
         feature, children = np.array(self.feature), np.array(self.children)
         table = np.unpackbits(np.frombuffer(b"".join(self.left), np.uint8).reshape(-1, 32), axis=1).astype(bool)
         going = np.flatnonzero(at >= 0)
@@ -99,8 +102,26 @@ class Tree:
             going = going[at[going] >= 0]
         return ~at
 
+    def _coded_leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaves of a tree of at most eight nodes: a bit a node that a bin goes left at, then the leaf of those bits, both by byte tables."""
+        if self._tables is None:
+            sides = [(np.unpackbits(np.frombuffer(left, np.uint8)) << k).astype(np.uint8).tobytes() for k, left in enumerate(self.left)]
+            ends = bytearray(256)
+            for bits in range(1 << len(sides)):
+                at = self.root
+                while at >= 0:
+                    at = self.children[at][0 if bits >> at & 1 else 1]
+                ends[bits] = ~at
+            self._tables = sides, bytes(ends)
+        sides, ends = self._tables
+        bits = np.zeros(bins.shape[1], np.uint8)
+        for f, side in zip(self.feature, sides, strict=True):
+            bits |= np.frombuffer(bins[f].tobytes().translate(side), np.uint8)
+        return np.frombuffer(bits.tobytes().translate(ends), np.uint8)
+
     def split(self, leaf: int, feature: int, left: np.ndarray) -> tuple[int, int]:
         """Makes a leaf an inner node; its left child keeps the leaf's number."""
+        self._tables = None
         node, fresh = len(self.feature), len(self.values)
         self.feature.append(feature)
         self.left.append(np.packbits(left).tobytes())
@@ -227,7 +248,7 @@ class _Passes:
         discard(self.spark, self.path)
 
     def sums(self, pending: list[list[Tree]], visit, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sums and counts by place. visit(bins, y, held, scores, model) gives for each block and model (first place, number of places, place of each value from the first, values)."""
+        """Sums and counts by place. visit(bins, y, held, scores, model) gives for each block and model (first place, sums, counts) of places in a row."""
         sent = self.spark.sparkContext.broadcast(cloudpickle.dumps((pending, visit)))
         features, models, all_rows = self.features, self.models, self.all_rows
 
@@ -237,9 +258,9 @@ class _Passes:
             for batch in batches:
                 for bins, y, held, scores in _arrays(batch, features, models):
                     for m in range(models):
-                        for first, places, at, values in visit(bins, y, held & (not all_rows), _added(scores[m], pending[m], bins), m):
-                            total[first : first + places] += np.bincount(at, values, places)
-                            count[first : first + places] += np.bincount(at, minlength=places)
+                        for first, sums, counts in visit(bins, y, held & (not all_rows), scores[m], pending[m], m):
+                            total[first : first + len(sums)] += sums
+                            count[first : first + len(sums)] += counts
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(count[at].astype(np.int64))], ["place", "total", "n"])
 
@@ -251,6 +272,11 @@ class _Passes:
         return total, count
 
 
+def _counted(at: np.ndarray, values: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts by place."""
+    return np.bincount(at, values, places), np.bincount(at, minlength=places)
+
+
 def _residual_cells(r: np.ndarray, reach: float) -> np.ndarray:
     return np.clip((np.sign(r) * np.sqrt(np.abs(r) / reach) * (CELLS / 2) + CELLS / 2).astype(np.int64), 0, CELLS - 1)
 
@@ -274,23 +300,31 @@ def _grow(passes: _Passes, specs: list[Spec], bins: Bins, going: list[int], pend
         if at == m_count:
             break
 
-        def visit(b, y, held, s, m, trees=trees, slots=slots, base=base, level=level):
+        def visit(b, y, held, scores, grown, m, trees=trees, slots=slots, base=base, level=level):
             if m not in trees:
                 return
-            error = s - y
+            error = _added(scores, grown, b) - y
             absolute = specs[m].loss == "l1"
             if level == 0 and held.any():
-                yield m, 1, np.zeros(int(held.sum()), np.int64), np.abs(error[held]) if absolute else error[held] ** 2
-            slot_of = np.full(len(trees[m].values), -1)
+                yield m, *_counted(np.zeros(int(held.sum()), np.int64), np.abs(error[held]) if absolute else error[held] ** 2, 1)
+            # Rows of closed leaves and those held back have a slot of their own behind the others.
+            width = len(slots[m])
+            slot_of = np.full(len(trees[m].values), width)
             for leaf, k in slots[m].items():
                 slot_of[leaf] = k
-            slot = np.where(held, -1, slot_of[trees[m].leaves(b)])
-            rows = np.flatnonzero(slot >= 0)
-            g = np.sign(error[rows]) if absolute else error[rows]
-            wide = slot[rows] * 256
-            size = len(slots[m]) * 256
+            slot = slot_of[trees[m].leaves(b)]
+            slot[held] = width
+            if absolute:  # signs are counted
+                wide = (slot * 3 + (error > 0) + 2 * (error < 0)) * 256
+            else:
+                wide = slot * 256
             for k, f in enumerate(used[m]):
-                yield base[m] + k * size, size, wide + b[f, rows], g
+                if absolute:
+                    none, more, less = np.bincount(wide + b[f], minlength=(width + 1) * 768).reshape(-1, 3, 256)[:width].transpose(1, 0, 2).reshape(3, -1)
+                    yield base[m] + k * width * 256, more - less, none + more + less
+                else:
+                    sums, counts = _counted(wide + b[f], error, (width + 1) * 256)
+                    yield base[m] + k * width * 256, sums[: width * 256], counts[: width * 256]
 
         total, count = passes.sums(pending, visit, at)
         if level == 0:
@@ -324,10 +358,10 @@ def _grow(passes: _Passes, specs: list[Spec], bins: Bins, going: list[int], pend
             base[m] = at
             at += len(trees[m].values) * CELLS
 
-        def visit_leaves(b, y, held, s, m):
+        def visit_leaves(b, y, held, scores, grown, m):
             if m in base:
-                r = (y - s)[~held]
-                yield base[m], len(trees[m].values) * CELLS, trees[m].leaves(b)[~held] * CELLS + _residual_cells(r, reach), r
+                r = (y - _added(scores, grown, b))[~held]
+                yield base[m], *_counted(trees[m].leaves(b)[~held].astype(np.int64) * CELLS + _residual_cells(r, reach), r, len(trees[m].values) * CELLS)
 
         total, count = passes.sums(pending, visit_leaves, at)
         for m in absolute:

@@ -128,3 +128,21 @@ def test_awkward_tables(spark):
     odd = spark.createDataFrame([(k % 3, None, float("nan"), "other", 5.0 if k % 4 else None) for k in range(300)], "key long, a double, b double, c string, y double")
     fits = bt.fit_boosted(odd, spec, columns(), {"c": LEVELS}, F.col("y"), "key", rounds=2, stop=2)
     assert {r["m"] for r in bt.predict_boosted(odd, fits, columns()).collect()} == {5.0}
+
+
+def _walked(tree, column):
+    at = tree.root
+    while at >= 0:
+        left = np.unpackbits(np.frombuffer(tree.left[at], np.uint8))[column[tree.feature[at]]]
+        at = tree.children[at][0 if left else 1]
+    return ~at
+
+
+def test_leaves_by_byte_tables_are_those_of_the_walk():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 256, (4, 500)).astype(np.uint8)
+    tree = bt.Tree()
+    for nodes in range(1, 12):
+        tree.split(int(rng.integers(len(tree.values))), int(rng.integers(4)), rng.random(256) < 0.5)
+        assert tree.leaves(bins).tolist() == [_walked(tree, c) for c in bins.T]
+        assert (tree._tables is not None) == (nodes <= 8)
