@@ -31,11 +31,14 @@ def site_diagnosis(members: DataFrame, least_range: float = 0.5) -> DataFrame:
     the slope of the residual on the distance, height_slope that of the residual as a share of the site's mean distance
     (at least `least_range`) on the image height, both within sites and with standard errors.
     """
+    from lodemark.session import checkpointed
+
     turn = F.radians("bearing_deg")
     models = distances.model_distances(F.col("dep_deg"), F.col("pano_height").cast("double"))
     rays = members.select("site_id", "e", "n", F.sin(turn).alias("ux"), F.cos(turn).alias("uy"), (F.col("pano_height") / FRAME_HEIGHT).alias("height"), *[d.alias(f"d_{k}") for k, d in models.items()])
     spots = {k: (F.col("e") + F.col(f"d_{k}") * F.col("ux"), F.col("n") + F.col(f"d_{k}") * F.col("uy")) for k in models}
     means = rays.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{a}_{k}") for k, xy in spots.items() for a, c in zip("xy", xy, strict=True)], *[F.avg(f"d_{k}").alias(f"m_{k}") for k in models])
+    means = checkpointed(means)  # read for its size and again for the join
     about = beside(rays.withColumnRenamed("n", "north"), means, ["site_id"]).withColumnRenamed("n", "members")
     spots = {k: (F.col("e") + F.col(f"d_{k}") * F.col("ux") - F.col(f"x_{k}"), F.col("north") + F.col(f"d_{k}") * F.col("uy") - F.col(f"y_{k}")) for k in models}
     wide = about.select(
