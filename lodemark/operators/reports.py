@@ -134,6 +134,8 @@ def replay_fidelity(labels: DataFrame, by: list[str], cutoff: str) -> DataFrame:
     the camera heading used then: constant within a panorama (spread_within) and not across panoramas (spread_across).
     Labels without a time are of the older era.
     """
+    from lodemark.session import checkpointed
+
     known = labels.dropna(subset=["stored_x", "stored_y", "pano_width", "pano_height", "camera_heading"])
     w, h = F.col("pano_width").cast("double"), F.col("pano_height").cast("double")
     x, y = pov.pano_pixel(F.col("pov_heading"), F.col("pov_pitch"), F.col("camera_heading"), w, h)
@@ -149,7 +151,7 @@ def replay_fidelity(labels: DataFrame, by: list[str], cutoff: str) -> DataFrame:
         share(exact, F.col("early")).alias("x_exact_early"), share(exact, ~F.col("early")).alias("x_exact_late"),
     )
     angle = F.col("dx") / F.col("w") * 360
-    missed = rows.where(F.abs("dx") > 1).groupBy(*by, "pano_id").agg(F.avg(angle).alias("a"), F.stddev_samp(angle).alias("s"))
+    missed = checkpointed(rows.where(F.abs("dx") > 1).groupBy(*by, "pano_id").agg(F.avg(angle).alias("a"), F.stddev_samp(angle).alias("s")))  # quantiles read it twice or more
     spread = quantiles(missed, by, {"spread_within": (F.col("s"), 0.5)}, [F.round(F.stddev_samp("a"), 6).alias("spread_across"), F.count(F.lit(1)).alias("n_panos_off")]).drop("n")
     return beside(rates, spread.withColumn("n", F.lit(1)), by).drop("n") if not by else rates.join(spread, by, "left")
 
