@@ -23,6 +23,8 @@ DIRECT = 200_000
 CELLS = 4096
 #: Tables of so many groups are broadcast.
 FEW = 10_000
+#: Ranks of so many groups are found by counting cells of the values, as many for each factor of e.
+COUNTED, FINE = 100, 16_384
 _LARGEST = sys.float_info.max
 
 
@@ -59,9 +61,15 @@ def apart(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df
 
 
+def _sizes(df: DataFrame, by: list[str]) -> tuple[int, int]:
+    """Rows of the largest group, and how many groups there are."""
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    return found["n"] or 0, found["k"]
+
+
 def _largest(df: DataFrame, by: list[str]) -> int:
     """Rows of the largest group."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return _sizes(df, by)[0]
 
 
 def _between(values: Column, q: float) -> Column:
@@ -78,10 +86,57 @@ def _rank(k: int, at: Column) -> Column:
     return F.when(at < first, low).when(at < first + F.size(inside), F.get(inside, (at - first).cast("int"))).otherwise(F.col(f"_high{k}"))
 
 
+def _gathered(spots: list[tuple[str, int, float]]) -> list[Column]:
+    """For each of spots the counts below and on its low edge, and the values between both edges."""
+    out = []
+    for s, (_, k, _) in enumerate(spots):
+        v, low, high = F.col(f"_v{k}"), F.col(f"_low{s}"), F.col(f"_high{s}")
+        out += [F.count_if(v < low).alias(f"_below{s}"), F.count_if(v == low).alias(f"_eq{s}"), F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"_in{s}")]
+    return out
+
+
+def _at_ranks(groups: DataFrame, kept: list[str], spots: list[tuple[str, int, float]], rounded) -> DataFrame:
+    """The kept columns and the quantile of each of spots, from what was gathered about its edges."""
+    out = []
+    for s, (name, _, q) in enumerate(spots):
+        at = (F.col(f"_c{s}") - 1) * q
+        a, b = _rank(s, F.floor(at)), _rank(s, F.ceil(at))
+        value = F.when(F.col(f"_c{s}") > 0, F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b))
+        out.append(rounded(value).alias(name))
+    return groups.select(*kept, *out)
+
+
+def _counted_edges(wide: DataFrame, keys: list[str], n_values: int, spots: list[tuple[str, int, float]]) -> DataFrame | None:
+    """keys and, for each of spots, the least and largest value (_low, _high) of the cells that hold its ranks, and how many values there are (_c).
+
+    None where such a cell holds more values than are to be gathered.
+    """
+    from lodemark.session import checkpointed
+
+    v = F.col("_v")
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_v{k}").alias("v")) for k in range(n_values)])
+    rows = wide.select(*keys, F.explode(values).alias("_x")).select(*keys, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
+    cells = rows.groupBy(*keys, "_k", F.floor(F.signum(v) * F.log1p(F.abs(v)) * FINE).alias("_cell")).agg(F.count(v).alias("_m"), F.min(v).alias("_min"), F.max(v).alias("_max"))
+    group = Window.partitionBy(*keys, "_k")
+    upto = F.sum("_m").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    counts = cells.select("*", upto.alias("_upto"), F.sum("_m").over(group).alias("_total"))
+    first, held, edges = F.col("_upto") - F.col("_m"), F.col("_total") == 0, []
+    for s, (_, k, q) in enumerate(spots):
+        own, at = F.col("_k") == k, (F.col("_total") - 1) * F.lit(q)
+        low, high = (own & (r >= first) & (r < F.col("_upto")) for r in (F.floor(at), F.ceil(at)))
+        held = held | low | high
+        edges += [F.max(F.when(low, F.col("_min"))).alias(f"_low{s}"), F.max(F.when(high, F.col("_max"))).alias(f"_high{s}"), F.max(F.when(own, F.col("_total"))).alias(f"_c{s}")]
+    hits = checkpointed(counts.where(held))
+    if hits.where((F.col("_m") > F.greatest(F.lit(WHOLE), F.col("_total") * (8 / ACCURACY))) & (F.col("_min") < F.col("_max"))).limit(1).count():
+        return None
+    return hits.groupBy(*keys).agg(*edges)
+
+
 def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]], aggs: list[Column] = (), digits: int | None = 6) -> DataFrame:
     """by, n (rows), every column of aggs and, for each name of wanted, the exact quantile of a Column (linear between ranks).
 
-    Missing values and NaN do not count; a group without any gets NULL. Two passes over df, both with partial aggregates.
+    Missing values and NaN do not count; a group without any gets NULL. Two passes over df, both with partial aggregates:
+    the first finds a narrow range for each quantile, by counted cells for few groups, else by summaries.
     """
     from lodemark.session import checkpointed
 
@@ -95,11 +150,21 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     short = [F.nanvl(c.cast("double"), F.lit(None)).alias(f"_v{k}") for k, (text, c) in enumerate(values) if text in named]
     wide = (apart(df, long) if len(long) > 1 else df.select("*", *[c.alias(n) for n, c in long.items()])).select("*", *short, *([] if by else [F.lit(0).alias("_all")]))
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    if _largest(df, by) <= DIRECT:
+    largest, n_groups = _sizes(df, by)
+    if largest <= DIRECT:
         plain = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs, *[F.sort_array(F.collect_list(f"_v{k}")).alias(f"_s{k}") for k in range(len(values))])
         named = [c for c in plain.columns if not c.startswith("_") and c not in ("n", *keys)]
         return plain.select(*by, "n", *named, *[rounded(_between(F.col(f"_s{k}"), q)).alias(name) for name, k, q in spots])
-    # Pass 1: how many values, and for every quantile a range of ranks that must hold it.
+    counted = _counted_edges(wide, keys, len(values), spots) if n_groups <= min(COUNTED, FEW) else None
+    if counted is not None:
+        named = counted.withColumnsRenamed({c: f"_g_{c}" for c in keys})
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        found = wide.join(F.broadcast(named), same).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs, *_gathered(spots))
+        extra = [c for c in found.columns if not c.startswith("_") and c not in ("n", *keys)]
+        return _at_ranks(found.join(F.broadcast(named), same), [*by, "n", *extra], spots, rounded)
+    # Where cells do not tell, or groups are many. Pass 1: how many values, and for every quantile a range of ranks that must hold it.
     margin, found = 2 / ACCURACY, [F.count(F.lit(1)).alias("n")]
     for k in range(len(values)):
         v = F.col(f"_v{k}")
@@ -117,19 +182,8 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, floa
     groups = checkpointed(first.select(*keys, "n", *extra, *edged))
     # Pass 2: counts below and on the low edge, and the values between both edges.
     rows = beside(wide.select(*keys, *[f"_v{k}" for k in range(len(values))]), groups.select(*keys, "n", *[f"_{e}{s}" for s in range(len(spots)) for e in ("low", "high")]), keys)
-    gathered = []
-    for s, (_, k, _) in enumerate(spots):
-        v, low, high = F.col(f"_v{k}"), F.col(f"_low{s}"), F.col(f"_high{s}")
-        gathered += [F.count_if(v < low).alias(f"_below{s}"), F.count_if(v == low).alias(f"_eq{s}"), F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"_in{s}")]
-    counted = rows.groupBy(*keys).agg(*gathered)
-    joined = beside(counted, groups, keys)
-    out = []
-    for s, (name, _, q) in enumerate(spots):
-        at = (F.col(f"_c{s}") - 1) * q
-        a, b = _rank(s, F.floor(at)), _rank(s, F.ceil(at))
-        value = F.when(F.col(f"_c{s}") > 0, F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b))
-        out.append(rounded(value).alias(name))
-    return joined.select(*by, "n", *extra, *out)
+    counted = rows.groupBy(*keys).agg(*_gathered(spots))
+    return _at_ranks(beside(counted, groups, keys), [*by, "n", *extra], spots, rounded)
 
 
 def cell_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
