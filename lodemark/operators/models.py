@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions.numeric import clip, disparity, interpolate, mapped, tan_depression
 
+from .grid_slopes import absolute_losses, median_slopes
 from .quantiles import lad_slope, quantile, quantiles
 
 CAP_M = 50.0
@@ -263,7 +264,8 @@ def fit_cotangent(df: DataFrame, loss: str = "l1", label_type: str | None = None
 def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type: str | None, dep: str, dist: str) -> tuple[Geometric, Geometric | None]:
     """The models of the grid angle with the least loss in metres: with one height, and with one per type.
 
-    Least squares needs no row per angle: sums per cell between two grid angles add up to those of every angle.
+    No loss needs a row per angle: for least squares sums per cell between two grid angles add up to those of every
+    angle, absolute errors are counted for all angles at once.
     """
     kept, base = _narrow(df, dep, dist, label_type)
     try:
@@ -283,14 +285,12 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
                 top, low = (sum(x[i] for x in parts.values()) for i in (0, 1))
                 pooled[k] = low / top if top > 0 else None
         else:
-            angles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.tan(math.radians(a))).alias("x0"), F.lit(a).alias("a")) for k, a in enumerate(grid)])
-            spread = base.select("_d", "_t", "_x", "_y", F.explode(angles).alias("g")).select("_d", "_t", "_y", "g.k", "g.a", (F.greatest("_x", "g.x0") if form == "floor" else F.col("_x")).alias("x"))
-            used = spread if form == "floor" else spread.where("_d >= a")
-            for r in lad_slope(used, ["k"], F.col("x"), F.col("_y")).collect():
-                pooled[r["k"]] = 1 / r["slope"] if r["slope"] else None
-            if label_type:
-                for r in lad_slope(used, ["k", "_t"], F.col("x"), F.col("_y")).collect():
-                    heights[r["k"]][r["_t"]] = 1 / r["slope"]
+            types = [r["_t"] for r in kept.select("_t").distinct().dropna().orderBy("_t").collect()] if label_type else []
+            slopes, by_type = median_slopes(base, form, grid, types)
+            pooled = [1 / s if s else None for s in slopes]
+            heights = [{t: 1 / s for t, s in own.items() if s} for own in by_type]
+        used = [k for k in range(len(grid)) if pooled[k]]
+        absolute = absolute_losses(base, form, *[[x[k] for k in used] for x in (grid, pooled, heights)], CAP_M) if loss == "l1" and used else None
         out: list[Geometric | None] = []
         for typed in (False, True):
             models = [Geometric(form, pooled[k], heights[k] if typed else {}, a) for k, a in enumerate(grid) if pooled[k]]
@@ -299,7 +299,7 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
             if typed and not label_type:
                 out.append(None)
                 continue
-            losses = _losses(base, models, loss, typed)
+            losses = absolute[typed] if loss == "l1" else _losses(base, models, loss, typed)
             out.append(models[min(range(len(models)), key=lambda k: (losses[k], k))])
         return out[0], out[1]
     finally:
