@@ -13,6 +13,9 @@ from lodemark.session import checkpointed
 
 from .quantiles import beside, quantile, quantiles
 
+#: Bins beyond this number are found by binary search: as branches they are longer than the JVM compiles.
+MOST_BRANCHES = 32
+
 
 def rounded(c: Column, name: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name)
@@ -88,9 +91,24 @@ def quantile_bins(df: DataFrame, value: str, n: int) -> tuple[DataFrame, list[fl
     edges = sorted({e for e in quantile(df, F.col(value), [k / n for k in range(n + 1)]) if e is not None})
     if len(edges) < 2:
         return df.select("*", F.lit(0).alias("bin")), edges
+    if len(edges) > MOST_BRANCHES:
+        return _searched_bins(df, value, edges), edges
     return df.select("*", closed_bin(F.col(value), edges, include_lowest=True).alias("bin")), edges
 
 
+def _searched_bins(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """df with the right-closed bin of a value by binary search; NULL outside the edges."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(value).cast(pa.float64())
+            x = column.fill_null(math.nan).to_numpy(zero_copy_only=False)
+            bins = np.maximum(np.searchsorted(edges, x, side="left") - 1, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, mask=~((x >= edges[0]) & (x <= edges[-1])))], [*batch.schema.names, "bin"])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "bin int"]))
+
+
 #: Half-widths of the rank ranges that may hold the medians of all resamples; 0.5 is everything.
 _HALVES = [0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.008, 0.004, 0.002, 0.001]
 

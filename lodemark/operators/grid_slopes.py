@@ -129,13 +129,13 @@ def median_slopes(base: DataFrame, form: str, grid: list[float], types: list[str
     return pooled, by_type
 
 
-def absolute_losses(base: DataFrame, form: str, grid: list[float], pooled: list[float], by_type: list[dict[str, float]], cap: float) -> tuple[list[float], list[float]]:
-    """The mean absolute error in metres at each angle: with one height, and with those of the types (one for the others); one pass."""
+def mean_losses(base: DataFrame, form: str, grid: list[float], pooled: list[float], by_type: list[dict[str, float]], cap: float, loss: str = "l1") -> tuple[list[float], list[float]]:
+    """The mean absolute ("ols": squared) error in metres at each angle: with one height, and with those of the types (one for the others); one pass."""
     types = sorted({t for own in by_type for t in own if t is not None})
     heights = np.array([[h, *[own.get(t, h) for t in types]] for h, own in zip(pooled, by_type, strict=True)])
 
     def run(batches):
-        loss, n = np.zeros((len(grid), 2)), 0
+        sums, n = np.zeros((len(grid), 2)), 0
         for batch in batches:
             d, x, _, m, kind = _columns(batch, types)
             n += len(m)
@@ -146,8 +146,9 @@ def absolute_losses(base: DataFrame, form: str, grid: list[float], pooled: list[
                     per_metre = 1 / np.maximum(x, math.tan(a)) if form == "floor" else np.where(d >= angle, 1 / x, 1 / math.tan(a) - (math.radians(1) / math.sin(a) ** 2) * (level - angle))
                     for typed in (0, 1):
                         h = heights[k][kind] if typed else heights[k, 0]
-                        loss[k, typed] += np.abs(np.clip(h * per_metre, 0.0, cap) - m).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(loss[:, 0]), pa.array(loss[:, 1]), pa.array(np.full(len(grid), n)), pa.array(np.arange(len(grid)))], ["one", "typed", "n", "k"])
+                        e = np.clip(h * per_metre, 0.0, cap) - m
+                        sums[k, typed] += e @ e if loss == "ols" else np.abs(e).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(np.full(len(grid), n)), pa.array(np.arange(len(grid)))], ["one", "typed", "n", "k"])
 
     found = base.select("_d", "_x", "_y", "_m", "_t").mapInArrow(run, "one double, typed double, n long, k long").groupBy("k").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("one", "typed")]).collect()
     own = {r["k"]: r for r in found}

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemark.functions.numeric import clip, disparity, interpolate, mapped, tan_depression
 
-from .grid_slopes import absolute_losses, median_slopes
+from .grid_slopes import mean_losses, median_slopes
 from .quantiles import lad_slope, quantile, quantiles
 
 CAP_M = 50.0
@@ -103,26 +104,59 @@ def quantile_regression(df: DataFrame, x: dict[str, Column], y: Column, q: float
     The optimum need not be unique; the loss is what converges. Returns a Linear, or one per group (a few groups).
     """
     terms = ("(Intercept)", *x)
-    kept = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(x.values())], y.cast("double").alias("y"), (by if by is not None else F.lit(0)).alias("g")).dropna().persist()
-    cols = [F.col(f"x{k}") for k in range(len(x))]
-    named = dict(zip(x, cols, strict=True))
+    rows = df.select(*[c.cast("double").alias(f"x{k}") for k, c in enumerate(x.values())], y.cast("double").alias("y"), (by if by is not None else F.lit(0)).alias("g")).dropna()
+    named = {name: F.col(f"x{k}") for k, name in enumerate(x)}
+    fits = {g: f["y"] for g, f in least_squares(rows, named, {"y": F.col("y")}, by=F.col("g")).items()}
+    groups = list(fits)
+    blocks = _design_blocks(rows, len(terms), groups).persist()
     try:
-        fits = {g: f["y"] for g, f in least_squares(kept, named, {"y": F.col("y")}, by=F.col("g")).items()}
-        kind = dict(kept.dtypes)["g"]
         for _ in range(rounds):
-            # Coefficients come in as rows, a few groups' own, so that every round runs the same compiled plan.
-            at = kept.sparkSession.createDataFrame([(g, list(f.coef)) for g, f in fits.items()], f"g {kind}, b array<double>")
-            joined = kept.join(F.broadcast(at), "g")
-            r = F.col("y") - sum((F.col(f"x{k}") * F.get("b", k + 1) for k in range(len(x))), F.get("b", 0))
-            w = F.when(r >= 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(1e-6))
-            fresh = {g: _solve(n, m, len(terms), 0, terms) for g, (n, m) in _moments(joined, cols, [F.col("y")], w, F.col("g")).items()}
+            fresh = {g: _solve(n, m, len(terms), 0, terms) for g, (n, m) in zip(groups, _weighted_moments(blocks, np.array([fits[g].coef for g in groups]).reshape(len(groups), len(terms)), q), strict=True)}
             step = max((abs(a - b) for g, f in fresh.items() for a, b in zip(fits[g].coef, f.coef, strict=True)), default=0.0)
             fits = fresh
             if step < tolerance:
                 break
         return fits if by is not None else fits[0]
     finally:
-        kept.unpersist()
+        blocks.unpersist()
+
+
+def _design_blocks(rows: DataFrame, terms: int, groups: list) -> DataFrame:
+    """Blocks of rows: a matrix with the number of the group, 1, x0 ..., y as its rows; what a round reads is copied, not converted."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = pa.compute.index_in(batch.column("g"), value_set=pa.array(groups, batch.column("g").type))
+                columns = [batch.column(f"x{k}").to_numpy() for k in range(terms - 1)]
+                block = np.stack([at.to_numpy(zero_copy_only=False).astype(np.float64), np.ones(batch.num_rows), *columns, batch.column("y").to_numpy()])
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], ["block"])
+
+    return rows.mapInArrow(run, "block binary")
+
+
+def _weighted_moments(blocks: DataFrame, coef: np.ndarray, q: float) -> list[tuple[int, np.ndarray]]:
+    """Of each group its rows and the sums of products of (1, x0 ..., y), weighted for a round of quantile regression."""
+    n_groups, terms = coef.shape
+    size = (terms + 1) ** 2
+
+    def run(batches):
+        sums, count = np.zeros((n_groups, size)), np.zeros(n_groups)
+        for batch in batches:
+            for cell in batch.column(0):
+                block = np.frombuffer(cell.as_buffer(), np.float64).reshape(terms + 2, -1)
+                for g in range(n_groups):
+                    own = block[1:, block[0] == g] if n_groups > 1 else block[1:]
+                    r = own[-1] - coef[g] @ own[:-1]
+                    w = np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), 1e-6)
+                    sums[g] += ((own * w) @ own.T).ravel()
+                    count[g] += own.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_groups * (size + 1))), pa.array(np.hstack([sums, count[:, None]]).ravel())], ["place", "total"])
+
+    out = np.zeros(n_groups * (size + 1))
+    for r in blocks.mapInArrow(run, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).collect():
+        out[r["place"]] = r["total"]
+    return [(int(own[-1]), own[:-1].reshape(terms + 1, terms + 1)) for own in out.reshape(n_groups, -1)]
 
 
 def mixed_model(df: DataFrame, x: dict[str, Column], y: Column, group: Column) -> tuple[Linear, dict, float]:
@@ -290,43 +324,21 @@ def _profile(df: DataFrame, form: str, grid: list[float], loss: str, label_type:
             pooled = [1 / s if s else None for s in slopes]
             heights = [{t: 1 / s for t, s in own.items() if s} for own in by_type]
         used = [k for k in range(len(grid)) if pooled[k]]
-        absolute = absolute_losses(base, form, *[[x[k] for k in used] for x in (grid, pooled, heights)], CAP_M) if loss == "l1" and used else None
+        if not used:
+            raise ValueError("no click to fit on")
+        losses = mean_losses(base, form, *[[x[k] for k in used] for x in (grid, pooled, heights)], CAP_M, loss)
         out: list[Geometric | None] = []
         for typed in (False, True):
-            models = [Geometric(form, pooled[k], heights[k] if typed else {}, a) for k, a in enumerate(grid) if pooled[k]]
-            if not models:
-                raise ValueError("no click to fit on")
             if typed and not label_type:
                 out.append(None)
                 continue
-            losses = absolute[typed] if loss == "l1" else _losses(base, models, loss, typed)
-            out.append(models[min(range(len(models)), key=lambda k: (losses[k], k))])
+            models = [Geometric(form, pooled[k], heights[k] if typed else {}, grid[k]) for k in used]
+            out.append(models[min(range(len(models)), key=lambda k: (losses[typed][k], k))])
         return out[0], out[1]
     finally:
         kept.unpersist()
 
 
-def _losses(base: DataFrame, models: list[Geometric], loss: str, typed: bool, at_once: int = 6) -> list[float]:
-    """The mean loss in metres of each model, a few to an aggregate: one of them all is too long to be compiled."""
-    out: list[float] = []
-    for i in range(0, len(models), at_once):
-        errors = [_quick(m, typed) - F.col("_m") for m in models[i : i + at_once]]
-        out += list(base.agg(*[F.avg(e * e if loss == "ols" else F.abs(e)).alias(f"l{k}") for k, e in enumerate(errors)]).first())
-    return out
-
-
-def _quick(m: Geometric, typed: bool) -> Column:
-    """predict() of a floor or blend model on _narrow's columns: the tangent is there already."""
-    h = _height(m, F.col("_t") if typed else None)
-    a = math.radians(m.angle_deg)
-    if m.form == "floor":
-        out = h / F.greatest(F.col("_x"), F.lit(math.tan(a)))
-    else:
-        line = h * (1 / math.tan(a) - (math.radians(1) / math.sin(a) ** 2) * (F.greatest(F.col("_d"), F.lit(0.0)) - m.angle_deg))
-        out = F.when(F.col("_d") >= m.angle_deg, h / F.col("_x")).otherwise(line)
-    return F.least(F.greatest(out, F.lit(0.0)), F.lit(CAP_M))
-
-
 def fit_floor(df: DataFrame, loss: str = "l1", label_type: str | None = None, dep: str = "dep", dist: str = "truth_m") -> Geometric:
     """The depression is kept at a profiled least angle."""
     return _profile(df, "floor", FLOOR_GRID, loss, label_type, dep, dist)[bool(label_type)]
@@ -383,14 +395,17 @@ def fit_isotonic(df: DataFrame, loss: str = "l2", knots: int = 24, dep: str = "d
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
+    from lodemark.session import checkpointed, discard, stored
+
     from .aggregate import quantile_bins
 
     rows = df.where(F.col(dep).isNotNull() & F.col(dist).isNotNull()).select(F.col(dep).cast("double").alias("x"), F.col(dist).cast("double").alias("y"))
     near = [float(v) for v in np.geomspace(0.001, 0.5, knots // 2 - 1)]
     shares = sorted({0.0, 1.0, *near, *[1 - v for v in near]})
     if loss == "l1":
-        binned, _ = quantile_bins(rows, "x", 200)
-        points = quantiles(binned, ["bin"], {"x": (F.col("x"), 0.5), "y": (F.col("y"), 0.5)}, digits=None).select("x", "y", F.col("n").cast("double").alias("w"))
+        binned, path = stored(quantile_bins(rows, "x", 200)[0])
+        points = checkpointed(quantiles(binned, ["bin"], {"x": (F.col("x"), 0.5), "y": (F.col("y"), 0.5)}, digits=None).select("x", "y", F.col("n").cast("double").alias("w")))
+        discard(df.sparkSession, path)
         at = points.agg(F.percentile("x", shares)).first()[0]  # of 200 points
     else:  # equal depressions are one point, by their mean; the knots are quantiles of the rows
         points = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))

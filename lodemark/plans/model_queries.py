@@ -11,9 +11,10 @@ from lodemark.functions.numeric import mapped
 from lodemark.operators import boosting, models
 from lodemark.operators.aggregate import rounded
 from lodemark.operators.models import Geometric
-from lodemark.operators.quantiles import beside, lad_slope, quantile, quantiles
+from lodemark.operators.quantiles import apart, beside, lad_slope, quantile, quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.registry import query
+from lodemark.session import discard, stored
 
 WP = f"WITH {SQL}, {POV_SQL}"
 TRAIN = "label_id % 5 <> 0"
@@ -190,8 +191,10 @@ def m27(spark, d):
     fits = models.ladder(view.where(TRAIN))
     columns = _cols("dep", "zoom", "sv_image_y", "canvas_y", "height_m") | {"label_type": F.col("label_type")}
     errors = {k: F.abs(models.predict_any(m, columns) - F.col("truth_m")) for k, m in fits.items()}
-    test = view.where(f"NOT ({TRAIN})").select(*[e.alias(k) for k, e in errors.items()])
+    # Written, as the quantiles read them three times; all in one projection they are longer than the JVM compiles.
+    test, path = stored(apart(view.where(f"NOT ({TRAIN})").select("truth_m", *columns), errors).select(*errors))
     found = quantiles(test, [], {f"{k}_{n}": (F.col(k), q) for k in errors for n, q in (("median", 0.5), ("p90", 0.9))}, digits=None).first()
+    discard(spark, path)
     shape = {k: (getattr(m, "height_m", None), getattr(m, "angle_deg", None)) for k, m in fits.items()}
     rows = [(k, m.form, *shape[k], *(None if found[f"{k}_{n}"] is None else round(found[f"{k}_{n}"], 6) for n in ("median", "p90"))) for k, m in sorted(fits.items())]
     return _rows(spark, rows, "rung string, form string, height_m double, angle_deg double, median_m double, p90_m double")

@@ -32,7 +32,7 @@ def test_slopes_and_losses_by_brute_force(spark, monkeypatch, form, bits, at_onc
     got, typed = grid_slopes.median_slopes(base, form, grid, ["a", "b", "c"])
     heights = [1 / s for s in got]
     by_type = [{t: 1 / s for t, s in own.items()} for own in typed]
-    losses = grid_slopes.absolute_losses(base, form, grid, heights, by_type, cap)
+    losses = grid_slopes.mean_losses(base, form, grid, heights, by_type, cap)
     kept.unpersist()
     d, m, kind = (np.array([r[k] for r in rows]) for k in range(3))
     y = 1 / np.maximum(m, 1)
