@@ -24,8 +24,8 @@ from lodemark.session import discard, stored
 MISSING = 255
 #: Cells that residuals are counted in for the medians of leaves, half of them on each side of zero and narrower near it.
 CELLS = 4096
-#: Rounds after which the trees grown so far are added to the stored scores.
-REFRESH = 10
+#: Rounds after which the trees grown so far are added to the stored scores; walking them in each pass costs more than to write often.
+REFRESH = 3
 
 
 @dataclass(frozen=True)
@@ -232,11 +232,10 @@ class _Passes:
                     row = batch.slice(k, 1)
                     yield pa.RecordBatch.from_arrays([*row.columns[:3], pa.array([make(bins, scores).tobytes()], pa.binary())], ["bins", "y", "held", "scores"])
 
-        old, old_path = self.blocks, self.path
-        made, self.path = stored(blocks.mapInArrow(run, "bins binary, y binary, held binary, scores binary"))
-        self.blocks = made.persist()
-        if old is not None:
-            old.unpersist()
+        # Read from their files in every pass: kept in memory they would take it from the tasks, by thirteen scores a row.
+        old_path = self.path
+        self.blocks, self.path = stored(blocks.mapInArrow(run, "bins binary, y binary, held binary, scores binary"), large_rows=True)
+        if old_path is not None:
             discard(self.spark, old_path)
 
     def add(self, pending: list[list[Tree]]) -> None:
@@ -244,7 +243,6 @@ class _Passes:
         self._store(self.blocks, lambda bins, scores: np.stack([_added(s, t, bins) for s, t in zip(scores, pending, strict=True)]))
 
     def close(self) -> None:
-        self.blocks.unpersist()
         discard(self.spark, self.path)
 
     def sums(self, pending: list[list[Tree]], visit, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -435,7 +433,7 @@ def fit_boosted(
     """
     numeric = {n: c for n, c in features.items() if n not in categories}
     bins = make_bins(df, numeric, categories)
-    blocks, path = stored(_blocks(df, bins, features, label, key, held_of))
+    blocks, path = stored(_blocks(df, bins, features, label, key, held_of), large_rows=True)
     try:
         probes = _boost(blocks, bins, specs, [rounds] * len(specs), stop, False, depth, leaves, least, rate)
         final = _boost(blocks, bins, specs, [p.best_round for p in probes], None, True, depth, leaves, least, rate)

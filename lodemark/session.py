@@ -40,10 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, and the table's path, for discard() once nothing reads it any more."""
+def stored(df: DataFrame, large_rows: bool = False) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and the table's path, for discard() once nothing reads it any more.
+
+    large_rows: of about a megabyte each. A reader holds a row group of few rows whole, and a writer looks at its size
+    every hundred rows only, so that both would hold hundreds of megabytes a task.
+    """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    small = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 2, "parquet.block.size.row.check.max": 8, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    df.write.options(**(small if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
