@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions.pov import CANVAS_HEIGHT, CANVAS_WIDTH, pov_if_centered
 
-from .quantiles import cell_quantiles
+from .quantiles import apart, cell_quantiles
 from .windows import md5_order, top_per_group
 
 #: Pixels of the stored frame for a degree of pitch.
@@ -116,16 +116,20 @@ def noise_sweep(clicks: DataFrame, predictors: dict[str, Callable[[], Column]],
     click before a predictor sees the row; any Column of these can be one. Deltas are means over the draws less the
     errors without noise.
     """
-    grid = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(k).alias("draw")) for s, k in [(0.0, 0), *((s, k) for s in sigmas for k in range(draws))]])
-    rows = clicks.select("*", F.inline(grid))
-    rows = rows.withColumn("_m", md5_order(*[F.col(k) for k in keys], F.col("draw")))
-    digits = F.conv(F.substring("_m", 1, 14), 16, 10).cast("long")
-    u, v = ((x + 0.5) / 268435456 for x in (F.shiftright(digits, 28), digits.bitwiseAND(268435455)))
-    reach, turn = F.sqrt(-2 * F.ln(u)) * F.col("sigma"), 2 * F.pi() * v
-    x, y = F.col("canvas_x").cast("double"), F.col("canvas_y").cast("double")
     angle = [F.col(c).cast("double") for c in ("heading", "pitch", "zoom")]
-    before = pov_if_centered(x, y, *angle)[1]
-    moved = rows.withColumns({"_pitch": before, "canvas_x": F.least(F.greatest(x + reach * F.cos(turn), F.lit(0.0)), F.lit(float(CANVAS_WIDTH))), "canvas_y": F.least(F.greatest(y + reach * F.sin(turn), F.lit(0.0)), F.lit(float(CANVAS_HEIGHT)))})
+    x, y = F.col("canvas_x").cast("double"), F.col("canvas_y").cast("double")
+    # One hash a click and draw: the sigmas of a draw share it. Each step passes through a generator, so that it is made once for what follows.
+    rows = apart(clicks.withColumn("draw", F.explode(F.array(*[F.lit(k) for k in range(draws)]))), {"_m": md5_order(*[F.col(k) for k in keys], F.col("draw"))})
+    digits = F.conv(F.substring("_m", 1, 14), 16, 10).cast("long")
+    rows = apart(rows, {"_digits": digits}).drop("_m")
+    u, v = ((c + 0.5) / 268435456 for c in (F.shiftright("_digits", 28), F.col("_digits").bitwiseAND(268435455)))
+    turn = 2 * F.pi() * v
+    far = F.sqrt(-2 * F.ln(u))
+    # Without noise a click is there once, beside its first draw.
+    grid = [F.array(*[F.struct(F.lit(float(s)).alias("sigma"), far.alias("_far"), F.cos(turn).alias("_cos"), F.sin(turn).alias("_sin")) for s in own]) for own in ((0.0, *sigmas), sigmas)]
+    rows = rows.select("*", pov_if_centered(x, y, *angle)[1].alias("_pitch"), F.inline(F.when(F.col("draw") == 0, grid[0]).otherwise(grid[1]))).drop("_digits")
+    reach = F.col("_far") * F.col("sigma")
+    moved = rows.withColumns({"canvas_x": F.least(F.greatest(x + reach * F.col("_cos"), F.lit(0.0)), F.lit(float(CANVAS_WIDTH))), "canvas_y": F.least(F.greatest(y + reach * F.col("_sin"), F.lit(0.0)), F.lit(float(CANVAS_HEIGHT)))})
     moved = moved.withColumn("dep", -pov_if_centered(F.col("canvas_x"), F.col("canvas_y"), *angle)[1])
     moved = moved.withColumn("sv_image_y", F.col("sv_image_y") + (-F.col("dep") - F.col("_pitch")) * PIXELS_PER_DEGREE)
     errors = moved.select("sigma", "draw", *[F.abs(p() - F.col(truth)).alias(k) for k, p in predictors.items()]).unpivot(["sigma", "draw"], list(predictors), "model", "e")

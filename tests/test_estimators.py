@@ -97,3 +97,20 @@ def test_rungs_share_one_heading(spark):
     frame = es.error_frame(df, es.rung_predictors(fits, columns, F.col("heading_diff")), ["label_id"])
     r = frame.agg(*[F.max(c).alias(c) for c in frame.columns if c != "label_id"]).first()
     assert r["error_anchor"] < 1e-6 and r["dist_error_anchor"] < 1e-9 and r["error_C"] < 1e-6
+
+
+def test_noise_takes_one_hash_a_click_and_draw(spark, monkeypatch):
+    """The sigmas of a draw share its hash; one was made for each of them."""
+    from lodemark.operators import sampling
+
+    plans = []
+    monkeypatch.setattr(sampling, "cell_quantiles", lambda df, *a, own=sampling.cell_quantiles: plans.append(df) or own(df, *a))
+    rows = [(k, k % 3, float(20 + k * 13 % 600), float(10 + k * 7 % 400), float(k % 360), -10.0, 1 + k % 3, 5.0 + k % 20, -100.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "label_id long, pano_id long, canvas_x double, canvas_y double, heading double, pitch double, zoom long, truth_m double, sv_image_y double")
+    got = sampling.noise_sweep(df, {"linear": lambda: F.greatest(F.lit(0.0), 30 - 0.05 * F.col("canvas_y"))}, "truth_m", ["label_id", "pano_id"]).collect()
+    assert {r["sigma"] for r in got} == {2.0, 5.0, 10.0}
+    own = plans[0].groupBy("sigma", "draw").count().collect()
+    assert len(own) == 16 and {r["count"] for r in own} == {60}
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    at = text.index("md5(")
+    assert "[0,1,2,3,4]" in text[at:] and "sigma" not in text[at:]
