@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodemark.functions import numeric
 from lodemark.operators import depth, depth_cells
 
 
@@ -77,3 +79,18 @@ def test_fixture_payloads_come_in_small_frames(spark):
     got = depth.synthetic_payloads(spark.range(0, 40, 1, 1), "id").toPandas()
     one = spark.range(40).select("id", depth.synthetic_payload(depth_cells.F.col("id")).alias("b64")).toPandas()
     assert got.pano_id.tolist() == one.id.tolist() and got.b64.tolist() == one.b64.tolist()
+
+
+def test_labels_travel_once_whatever_the_controls(spark):
+    """Each control had rows of its own in the shuffle; missing columns and rows keep their meaning under all."""
+    payloads = spark.range(2).select(F.concat(F.lit("p"), "id").alias("pano_id"), depth.synthetic_payload(F.col("id") * 7 + 3).alias("b64"))
+    rows = [(f"p{k % 3}", k, None if k % 17 == 0 else k * 37 % 512, None if k % 13 == 0 else k * 11 % 256) for k in range(200)]
+    labels = spark.createDataFrame(rows, "pano_id string, label_id long, col int, row int")
+    found = depth.classify_labels(payloads, labels, controls=depth.CONTROLS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan and found.columns[:4] == ["pano_id", "label_id", "control", "status"]
+    got = {(r["control"], r["label_id"]): (r["status"], r["hit_class"], r["horizontal_m"]) for r in found.collect()}
+    assert len(got) == 4 * len(rows)
+    for control in depth.CONTROLS:
+        cells = labels.select("pano_id", "label_id", *[x.cast("int").alias(n) for n, x in zip(("col", "row"), numeric.control_cell(control, F.col("col"), F.col("row")), strict=True)])
+        assert {(control, r["label_id"]): (r["status"], r["hit_class"], r["horizontal_m"]) for r in depth.classify_labels(payloads, cells).collect()}.items() <= got.items()
