@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodemark.functions import geo
 from lodemark.functions.numeric import dummies, mapped
+from lodemark.session import checkpointed, discard, stored
 
 from . import models
 from .quantiles import apart, quantile, quantiles
@@ -115,3 +116,18 @@ def frame_metrics(frame: DataFrame, keys: list[str], digits: int = 6) -> DataFra
     names = [f"{short}_{m}" for short in ("place", "dist") for m in ("median", "p90", "mean", "sd")]
     rows = [F.struct(F.lit(k).alias("model"), F.col(f"n_{k}").alias("n"), *[F.round(f"{m}_{k}", digits).alias(m) for m in names]) for k in keys]
     return wide.select(F.inline(F.array(*rows))).orderBy(F.asc_nulls_last("place_median"), "model")
+
+
+def metrics_by_parts(test: DataFrame, predictors: dict[str, Predictor], keep: list[str], at_once: int = 8, digits: int = 6) -> DataFrame:
+    """frame_metrics of many predictors: a few at a time have a frame, which is written once for its metrics.
+
+    All of them in one frame are more operators, and more aggregates, than the JVM compiles.
+    """
+    parts, names = None, list(predictors)
+    for i in range(0, len(names), at_once):
+        some = names[i : i + at_once]
+        frame, path = stored(error_frame(test, {k: predictors[k] for k in some}, keep))
+        found = checkpointed(frame_metrics(frame, some, digits))
+        discard(test.sparkSession, path)
+        parts = found if parts is None else parts.unionByName(found)
+    return parts.orderBy(F.asc_nulls_last("place_median"), "model")

@@ -13,7 +13,6 @@ from lodemark.operators.quantiles import quantiles
 from lodemark.plans.clicks import POV_SQL, SQL, clicks, with_angles
 from lodemark.plans.sampling_queries import _TAIL, _line_sql
 from lodemark.registry import query
-from lodemark.session import checkpointed, discard, stored
 
 W = f"WITH {SQL}"
 WP = f"WITH {SQL}, {POV_SQL}"
@@ -326,8 +325,4 @@ def v02_frame(spark, d):
     found = estimators.rung_predictors(models.ladder(train), columns, F.col("heading_diff"))
     seven = estimators.fit_estimators(train, mixed=False)["est7"]
     found |= {"est7": seven, "est7_sph": estimators.Predictor(seven.distance, F.col("heading_diff"))}
-    # Written, as the metrics read it three times.
-    frame, path = stored(estimators.error_frame(test, found, ["label_id", "city"]))
-    metrics = checkpointed(estimators.frame_metrics(frame, list(found)))
-    discard(spark, path)
-    return metrics
+    return estimators.metrics_by_parts(test, found, ["label_id", "city"])

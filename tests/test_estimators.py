@@ -114,3 +114,16 @@ def test_noise_takes_one_hash_a_click_and_draw(spark, monkeypatch):
     text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     at = text.index("md5(")
     assert "[0,1,2,3,4]" in text[at:] and "sigma" not in text[at:]
+
+
+def test_metrics_by_parts_are_those_of_one_frame(spark, monkeypatch):
+    """All rungs in one frame did not compile; a few at a time give the same rows in the same order."""
+    from lodemark.operators import estimators as est
+
+    rows = [(k, "c", 40.0 + k / 1e4, -75.0, float(k * 37 % 360), 40.0 + k / 1e4 + 1e-4, -75.0 + 1e-4, 5.0 + k % 20) for k in range(50)]
+    df = spark.createDataFrame(rows, "label_id long, city string, pano_lat double, pano_lng double, heading double, lat double, lng double, truth_m double")
+    made = {f"m{k}": est.Predictor(F.col("truth_m") + k, F.lit(0.0)) for k in (3, 1, 2, 5, 4)}
+    frames = []
+    monkeypatch.setattr(est, "error_frame", lambda test, some, keep, own=est.error_frame: frames.append(len(some)) or own(test, some, keep))
+    want = est.frame_metrics(est.error_frame(df, made, ["label_id"]), list(made)).collect()
+    assert est.metrics_by_parts(df, made, ["label_id"], at_once=2).collect() == want and frames == [5, 2, 2, 1]
